@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import bpe
+from voltrail.llm import bpe, chat, lines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe}
+def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judged(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {}
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_line_rules, op6_chat)}
+
+ORACLES: dict[str, str] = {"op3_line_rules": lines.ORACLE, "op6_chat": chat.ORACLE}
