@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import bpe, chat, lines
+from voltrail.llm import bpe, chat, lines, separator_scan, token_tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,15 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_line_rules, op6_chat)}
+def op4_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_tables.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return separator_scan.count_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_line_rules, op4_token_tables, op6_chat, op7_separator_scan)}
 
 ORACLES: dict[str, str] = {"op3_line_rules": lines.ORACLE, "op6_chat": chat.ORACLE}
