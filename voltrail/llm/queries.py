@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import bpe, chat, lines, separator_scan, token_tables
+from voltrail.llm import bpe, chat, lines, separator_scan, substrings, token_tables, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op2_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judged(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.count_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_line_rules, op4_token_tables, op6_chat, op7_separator_scan)}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_super_kmers, op3_line_rules, op4_token_tables, op6_chat, op7_separator_scan, op8_warc)}
 
-ORACLES: dict[str, str] = {"op3_line_rules": lines.ORACLE, "op6_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_super_kmers": substrings.ORACLE, "op3_line_rules": lines.ORACLE, "op6_chat": chat.ORACLE, "op8_warc": warc.ORACLE}
