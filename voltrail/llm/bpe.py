@@ -28,7 +28,9 @@ from voltrail.llm.common import list_array, pieces, rows, texts
 #: White space of Unicode (property White_Space), as the tokenizers' patterns understand it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cached segments in a Python worker.
-CACHE = 1_000_000
+CACHE = 700_000
+#: Remembered verdicts on token pairs.
+PAIRS = 600_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -58,7 +60,7 @@ class Vocabulary:
                     self.left[i], self.right[i] = last
                 else:
                     del self.usable[t]
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
 
     def _merge(self, text: bytes) -> list[int]:
         """Merges by lowest rank, leftmost first, until two tokens are left or none merge."""
@@ -78,7 +80,7 @@ class Vocabulary:
         The last merges are undone one by one, youngest first; at each step the two tokens that touch the border must
         not have a merge that comes before the one undone.
         """
-        known = self.apart.get((a, b))
+        known = self.apart.get(a << 32 | b)
         if known is not None:
             return known
         x, y, below, verdict = a, b, 1 << 30, True
@@ -95,9 +97,9 @@ class Vocabulary:
                 below, x = x, self.right[x]
             else:
                 below, y = y + 1, self.left[y]
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) > PAIRS:
             self.apart.clear()
-        self.apart[a, b] = verdict
+        self.apart[a << 32 | b] = verdict
         return verdict
 
 
@@ -115,13 +117,13 @@ class PrefixTable:
         v, text, last = self.vocabulary, self.text, self.last
         rank, apart, known, longest = v.usable.get, v.stay_apart, v.apart.get, v.longest
         for end in range(begin + 1, stop + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            for start in range(end - 1, (end - longest if end > longest else 0) - 1, -1):
                 token = rank(text[start:end])
                 if token is not None:
                     if not start:
                         break
                     before = last[start]
-                    fits = known((before, token))
+                    fits = known(before << 32 | token)
                     if fits or fits is None and apart(before, token):
                         break
             else:
