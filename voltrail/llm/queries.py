@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import bpe, chat, lines, near_dups, separator_scan, substrings, token_tables, warc
+from voltrail.llm import bpe, chat, lines, near_dups, separator_scan, substrings, templates, token_tables, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +44,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_super_kmers, op3_line_rules, op4_token_tables, op6_chat, op7_separator_scan, op8_warc, op10_chosen_path)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_super_kmers, op3_line_rules, op4_token_tables, op6_chat, op7_separator_scan, op8_warc, op9_templates, op10_chosen_path)}
 
 ORACLES: dict[str, str] = {"op2_super_kmers": substrings.ORACLE, "op3_line_rules": lines.ORACLE, "op6_chat": chat.ORACLE, "op8_warc": warc.ORACLE}
