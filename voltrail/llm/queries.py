@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import bpe, chat, lines, near_dups, separator_scan, substrings, templates, token_tables, warc
+from voltrail.llm import bpe, chat, lines, lm, near_dups, separator_scan, substrings, templates, token_tables, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judged(table(spark, sf_dir, "documents"))
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
@@ -52,6 +56,6 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_super_kmers, op3_line_rules, op4_token_tables, op6_chat, op7_separator_scan, op8_warc, op9_templates, op10_chosen_path)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_super_kmers, op3_line_rules, op4_token_tables, op5_attention_lm, op6_chat, op7_separator_scan, op8_warc, op9_templates, op10_chosen_path)}
 
 ORACLES: dict[str, str] = {"op2_super_kmers": substrings.ORACLE, "op3_line_rules": lines.ORACLE, "op6_chat": chat.ORACLE, "op8_warc": warc.ORACLE}
