@@ -248,21 +248,22 @@ def encoding(df: DataFrame, path: str, pattern: str) -> Callable[[list[str]], li
     return lambda several: _encoder(shared, pattern).encode_batch(several)
 
 
-def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, tokens array<int>) per row of df."""
+def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row (id, tokens array<int>, and the columns to carry) per row of df."""
     shared = _share(df, path)
     kind = df.schema[id_col].dataType
-    one = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
+    one = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(shared, pattern).encode_batch
         for batch in pieces(batches):
             ids = encode(texts(batch))
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), list_array(flat, [len(x) for x in ids], pa.int32())], ["id", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), list_array(flat, [len(x) for x in ids], pa.int32()), batch.column("rest")], ["id", "tokens", "rest"])
 
-    out = one.mapInArrow(run, f"id {kind.simpleString()}, tokens array<int>")
-    return out.withColumnRenamed("id", id_col)
+    out = one.mapInArrow(run, f"id {kind.simpleString()}, tokens array<int>, rest {one.schema['rest'].dataType.simpleString()}")
+    return out.select(F.col("id").alias(id_col), "tokens", *(F.col(f"rest.`{c}`").alias(c) for c in carry))
 
 
 def decode_documents(df: DataFrame, path: str, tokens_col: str = "tokens", into: str = "decoded") -> DataFrame:

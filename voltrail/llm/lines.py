@@ -106,20 +106,22 @@ def repeat_words(words: list[str]) -> int:
     return sum(covered)
 
 
-def clean_lines(df: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of df: id, the counts, base_failed, kept, and text without the failing lines."""
+def clean_lines(df: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of df: id, the counts, base_failed, kept, text without the failing lines, and the columns to carry."""
     kind = df.schema[id_col].dataType.simpleString()
-    one = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
+    one = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "text"]
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             found = zip(*map(rules.judge, texts(batch)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, k) for x, k in zip(found, kinds))], ["id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rest"), *(pa.array(x, k) for x, k in zip(found, kinds))], ["id", "rest", *names])
 
-    schema = f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, text string"
-    return one.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, rest {one.schema['rest'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, text string"
+    out = one.mapInArrow(run, schema)
+    return out.select(F.col("id").alias(id_col), *names, *(F.col(f"rest.`{c}`").alias(c) for c in carry))
 
 
 def judged(df: DataFrame) -> DataFrame:
@@ -136,7 +138,8 @@ WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS te
 lines AS (
   SELECT r, i, line, w, len(w) AS n, list_sum(list_transform(w, lambda a: length(a))) AS chars,
          len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols
-  FROM (SELECT r, i, parts[i] AS line, regexp_extract_all(parts[i], '[^ 	-]+') AS w
+  FROM (SELECT r, i, parts[i] AS line, regexp_extract_all(parts[i], '[^ 	-
+]+') AS w
         FROM (SELECT r, string_split(text, chr(10)) AS parts FROM docs), unnest(range(1, len(parts) + 1)) AS u(i))
   WHERE len(w) > 0),
 line_verdicts AS (
@@ -154,7 +157,8 @@ by_doc AS (
   FROM line_verdicts GROUP BY r),
 windows AS (
   SELECT r, p, concat_ws(' ', w[p], w[p + 1], w[p + 2]) AS k
-  FROM (SELECT r, regexp_extract_all(text, '[^ 	-]+') AS w FROM docs), unnest(range(1, len(w) - 1)) AS u(p)),
+  FROM (SELECT r, regexp_extract_all(text, '[^ 	-
+]+') AS w FROM docs), unnest(range(1, len(w) - 1)) AS u(p)),
 repeats AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, k) AS c FROM windows) WHERE c > 1),
 covered AS (
   SELECT r, count(DISTINCT q) AS n_repeat_words

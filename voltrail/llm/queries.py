@@ -53,7 +53,7 @@ def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_super_kmers, op3_line_rules, op4_token_tables, op5_attention_lm, op6_chat, op7_separator_scan, op8_warc, op9_templates, op10_chosen_path)}
