@@ -1,14 +1,14 @@
-"""The registered queries and their SQL."""
+"""The registered queries, their SQL and the flagship query."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from voltrail.plans import catalog_plans, cycle_plans  # noqa: F401
+from voltrail.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return QUERIES["soh_series"](spark, sf_dir)
