@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.plans import catalog_plans, cycle_plans, retrieval_plans, window_plans  # noqa: F401
+from voltrail.plans import catalog_plans, curve_plans, cycle_plans, retrieval_plans, window_plans  # noqa: F401
 from voltrail.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["soh_series"](spark, sf_dir)
+    return QUERIES["rag_forecast"](spark, sf_dir)
