@@ -37,7 +37,7 @@ def write_flat(df: DataFrame, folder: str, ranks: str, pattern: str, end_id: int
         fs, inner = open_fs(path)
         fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
         n, size = 0, 0
-        with fs.open_output_stream(inner) as out:
+        with fs.open_output_stream(inner, compression=None) as out:
             for batch in pieces(batches):
                 flat = np.concatenate([x for ids in encoding(texts(batch)) for x in (ids, [end_id])]).astype("<u2")
                 out.write(flat.tobytes())

@@ -75,7 +75,7 @@ class ArchiveWriter:
                 self.path = f"{self.folder}/{self.name}-{len(self.done)}.warc.zst"
                 fs, inner = open_fs(self.path)
                 fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-                self.out, self.n = fs.open_output_stream(inner), 0
+                self.out, self.n = fs.open_output_stream(inner, compression=None), 0
                 content = dictionary_for(records[:samples])
                 self.out.write(DICTIONARY_MAGIC.to_bytes(4, "little") + len(content).to_bytes(4, "little") + content)
                 self.size = 8 + len(content)
@@ -187,7 +187,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for path, expected in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
                 fs, inner = open_fs(path)
                 got, found = 0, []
-                with fs.open_input_stream(inner) as stream:
+                with fs.open_input_stream(inner, compression=None) as stream:
                     for offset, content in frames(stream):
                         try:
                             found.append(parse(content))
