@@ -13,11 +13,11 @@ from voltrail.plans.window_plans import CASES_SQL, H, L, cases_of
 
 
 @query(CASES_SQL + """, sel AS (SELECT cell_uid, window_start, split, chemistry_family, cycle_idx / n_cycles AS life, list_stddev_pop(soh_seq) + list_max(soh_seq) - list_min(soh_seq) + abs(soh_seq[16] - soh_seq[1]) AS score FROM cases),
-r AS (SELECT cell_uid, window_start, 'representative' AS how FROM (SELECT *, row_number() OVER (PARTITION BY cell_uid ORDER BY score DESC NULLS LAST, window_start) AS k FROM sel) WHERE k = 1),
-t AS (SELECT cell_uid, window_start, 'latest' AS how FROM (SELECT *, row_number() OVER (PARTITION BY cell_uid ORDER BY window_start DESC) AS k FROM sel) WHERE k = 1),
-d AS (SELECT cell_uid, window_start, 'stratum' AS how FROM (SELECT *, row_number() OVER (PARTITION BY chemistry_family, split ORDER BY md5(cell_uid || '|' || window_start || '|3'), cell_uid, window_start) AS k FROM sel) WHERE k = 1),
-l AS (SELECT cell_uid, window_start, 'stage' AS how FROM (SELECT *, row_number() OVER (PARTITION BY cell_uid, CASE WHEN life < 0.35 THEN 0 WHEN life < 0.65 THEN 1 ELSE 2 END ORDER BY md5(cell_uid || '|' || window_start || '|3'), window_start) AS k FROM sel WHERE life >= 0.1 AND life < 0.9) WHERE k = 1)
-SELECT * FROM r UNION ALL SELECT * FROM t UNION ALL SELECT * FROM d UNION ALL SELECT * FROM l""")
+q1 AS (SELECT cell_uid, window_start, 'representative' AS how FROM (SELECT *, row_number() OVER (PARTITION BY cell_uid ORDER BY score DESC NULLS LAST, window_start) AS k FROM sel) WHERE k = 1),
+q2 AS (SELECT cell_uid, window_start, 'latest' AS how FROM (SELECT *, row_number() OVER (PARTITION BY cell_uid ORDER BY window_start DESC) AS k FROM sel) WHERE k = 1),
+q3 AS (SELECT cell_uid, window_start, 'stratum' AS how FROM (SELECT *, row_number() OVER (PARTITION BY chemistry_family, split ORDER BY md5(cell_uid || '|' || window_start || '|3'), cell_uid, window_start) AS k FROM sel) WHERE k = 1),
+q4 AS (SELECT cell_uid, window_start, 'stage' AS how FROM (SELECT *, row_number() OVER (PARTITION BY cell_uid, CASE WHEN life < 0.35 THEN 0 WHEN life < 0.65 THEN 1 ELSE 2 END ORDER BY md5(cell_uid || '|' || window_start || '|3'), window_start) AS k FROM sel WHERE life >= 0.1 AND life < 0.9) WHERE k = 1)
+SELECT * FROM q1 UNION ALL SELECT * FROM q2 UNION ALL SELECT * FROM q3 UNION ALL SELECT * FROM q4""")
 def query_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most eventful window per cell, latest per cell, one drawn per stratum, one drawn per stage of life."""
     df = cases_of(spark, sf_dir)
