@@ -70,15 +70,15 @@ def shape_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(RETRIEVE_SQL + f""", pool AS (SELECT q.case_id AS query, r.case_id AS ref, q.delta AS y, r.delta AS p, row_number() OVER (PARTITION BY q.case_id ORDER BY md5(q.case_id || '|' || r.case_id || '|1'), r.case_id) AS k
-  FROM q JOIN e r ON r.split != 'target_query' AND r.user_id != q.user_id AND ('x' || md5('r' || r.case_id)[1:1])[2:2] IN ('0', '1')),
+  FROM q JOIN e r ON r.split != 'target_query' AND r.user_id != q.user_id AND md5('r' || r.case_id)[1:1] = md5('q' || q.case_id)[1:1]),
 m AS (SELECT query, i, avg(p[i]) AS p, any_value(y[i]) AS y FROM pool, unnest(range(1, {H + 1})) AS u(i) WHERE k <= 5 GROUP BY query, i) SELECT query, round(avg(abs(p - y)), 8) AS mae FROM m GROUP BY query""")
 def random_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of the mean of five random references; they are drawn from an eighth of the references, chosen by digest."""
+    """Errors of the mean of five random references; they are drawn from those that share a digit with the query's digest."""
     df = embedded(spark, sf_dir)
-    queries = query_rows(df).select(F.col("case_id").alias("query"), F.col("delta").alias("y"), F.col("user_id").alias("q_user"))
-    pool = df.where("split != 'target_query'").where(F.substring(F.md5(F.concat(F.lit("r"), F.col("case_id").cast("string"))), 1, 1).isin("0", "1"))
-    refs = pool.select(F.col("case_id").alias("ref"), F.col("delta").alias("p"), "user_id")
-    pairs = refs.join(queries, F.col("user_id") != F.col("q_user"))  # a query per tenth cell, against an eighth of the references
+    digit = lambda side: F.substring(F.md5(F.concat(F.lit(side), F.col("case_id").cast("string"))), 1, 1)
+    queries = query_rows(df).select(F.col("case_id").alias("query"), F.col("delta").alias("y"), F.col("user_id").alias("q_user"), digit("q").alias("digit"))
+    refs = df.where("split != 'target_query'").select(F.col("case_id").alias("ref"), F.col("delta").alias("p"), "user_id", digit("r").alias("digit"))
+    pairs = refs.join(queries, "digit").where(F.col("user_id") != F.col("q_user"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.md5(F.concat_ws("|", F.col("query").cast("string"), F.col("ref").cast("string"), F.lit("1"))), "ref"))
     chosen = pairs.withColumn("k", rank).where("k <= 5").select("query", F.posexplode(F.arrays_zip("p", "y")).alias("i", "z"))
     mean = chosen.groupBy("query", "i").agg(F.avg("z.p").alias("p"), F.first("z.y").alias("y"))
