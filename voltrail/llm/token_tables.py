@@ -10,8 +10,10 @@ text; an empty table gives empty files; columns other than id and text are not r
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,11 +26,16 @@ from pyspark.sql import functions as F
 from voltrail.llm.common import WORD, list_array, pieces, rows, shared_dir, texts
 
 #: Cached words in a Python worker.
-CACHE = 700_000
+CACHE = 800_000
+#: Cached parts of words.
+PARTS_CACHE = 400_000
 #: Printable Latin-1: normalisation leaves it alone but for lower case, one character for one.
 PLAIN = re.compile(r"[!-~¡-¬®-ÿ]*\Z")
 #: How the tokenizer splits a word; parts of plain words are looked up one by one.
-PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Byte-level vocabularies write bytes that are not printable, in order, as characters from 256 on.
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
@@ -38,33 +45,49 @@ class WordEncoder:
         import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_str(definition)
         probe = ["Hello, World's 42nd", "\tté  |  x_y\n", "É!! <|a|> don't", "1 2.5 %%% a-b"]
         by_word = [sum((self._ids(w) for w in WORD.findall(t)), []) for t in probe]
-        by_part = [sum((self._ids(p) for w in WORD.findall(t) for p in regex.findall(PARTS, w.lower())), []) for t in probe]
         self.by_word = by_word == [self._ids(t) for t in probe]
+        by_part = [np.frombuffer(b"".join(self._part(p) for w in WORD.findall(t) for p in regex.findall(SPLIT, w.lower())), np.uint32).tolist() for t in probe]
         self.by_part = self.by_word and by_part == by_word
-        self.controls = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.split = regex.compile(PARTS).findall
-        self.cache: dict[str, bytes] = {}
+        controls = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.control = re.compile("|".join(controls) or r"\Z.").search
+        self.split = regex.compile(SPLIT).findall
+        self.cache: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _part(self, part: str) -> bytes:
+        """The ids of a part in lower case, by the model alone; bytes stand as the characters of the vocabulary."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(BYTES)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
+
     def _encode_all(self, several: list[str]) -> Iterator[bytes]:
         for start in range(0, len(several), 4096):
             for e in self.tokenizer.encode_batch_fast(several[start : start + 4096], add_special_tokens=False):
-                yield np.array(e.ids, np.uint32).tobytes()
+                yield array("I", e.ids).tobytes()
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if PLAIN.match(w) and not any(c in w for c in self.controls)] if self.by_part else []
-        split = {w: self.split(w.lower()) for w in plain}
-        if len(self.parts) > CACHE:
+        plain = [w for w in words if PLAIN.match(w) and not self.control(w)] if self.by_part else []
+        split = {}
+        for w in plain:
+            low = w.lower()
+            if low.isalpha():  # most words are letters, or letters and a point or comma
+                split[w] = (low,)
+            elif low[-1] in ".,;" and low[:-1].isalpha():
+                split[w] = (low[:-1], low[-1])
+            else:
+                split[w] = self.split(low)
+        if len(self.parts) > PARTS_CACHE:
             self.parts.clear()
-        new = list({p for ps in split.values() for p in ps if p not in self.parts})
-        self.parts.update(zip(new, self._encode_all(new)))
-        known = self.parts
+        known, part = self.parts, self._part
+        for p in {p for ps in split.values() for p in ps}.difference(known):
+            known[p] = part(p)
         found = {w: known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for w, ps in split.items()}
         rest = [w for w in words if w not in found]
         found.update(zip(rest, self._encode_all(rest)))
@@ -74,24 +97,29 @@ class WordEncoder:
         """The ids of each text as packed 32-bit integers."""
         if not self.by_word:
             return list(self._encode_all(several))
-        split = [WORD.findall(t) for t in several]
+        split = [t.encode().split() for t in several]  # of bytes: by ASCII white space alone
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache, missing = self.cache, set()
-        for words in split:
-            missing.update([w for w in words if w not in cache])
-        cache.update(self._learn(list(missing)))
-        out = [b"".join(map(cache.__getitem__, words)) for words in split]
+        found = [list(map(cache.get, words)) for words in split]
+        open_texts = [i for i, ids in enumerate(found) if None in ids]
+        for i in open_texts:
+            missing.update([w for w, ids in zip(split[i], found[i]) if ids is None])
+        words = [w.decode() for w in missing]
+        learnt = self._learn(words)
+        cache.update(zip(missing, map(learnt.__getitem__, words)))
+        for i in open_texts:
+            found[i] = list(map(cache.__getitem__, split[i]))
         for w in missing:
             if len(w) > 64:  # long words hardly come again
                 del cache[w]
-        return out
+        return [b"".join(ids) for ids in found]
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
-def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", row_group_mb: int = 32) -> None:
+def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", row_group_mb: int = 16) -> None:
     """Encodes df's texts with the tokenizer file, appends the end id to each and writes the files in folder."""
     with open(tokenizer, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary, not data
@@ -103,7 +131,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id
             _encoders[shared.value] = WordEncoder(shared.value)
         encode, end = _encoders[shared.value].encode_batch, np.uint32(end_id).tobytes()
         part, before = TaskContext.get().partitionId(), 0
-        for batch in pieces(batches):
+        for batch in pieces(batches, mb=2):
             ids = encode(texts(batch))
             sizes = np.array([len(x) // 4 + 1 for x in ids], np.int64)
             flat = np.frombuffer(b"".join([x + end for x in ids]), np.uint32).view(np.int32)
