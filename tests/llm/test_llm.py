@@ -187,6 +187,28 @@ def test_near_duplicates_of_many_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def crowd(n=240, seed=5):
+    """Texts that share most of their words; the second half are near copies of the first."""
+    r = random.Random(seed)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join([*common, *(f"u{i}x{j}" for j in range(40))])) for i in range(n // 2)]
+    return rows + [(i + n // 2, t.replace(f"u{i}x{r.randrange(40)}", "changed")) for i, t in rows]
+
+
+def test_near_duplicates_in_a_crowd(spark):
+    """Links to leaders of large nodes of the last level."""
+    df = spark.createDataFrame(crowd(), "doc_id long, text string").repartition(4)
+    got = near_dups.near_duplicates(df, near_dups.Join(trees=3, depth=1, node=16)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: c for _, d, _, c in brute_components(crowd(), 2, 80)}
+
+
+def test_near_duplicates_miss_no_set(spark):
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    sets = spark.createDataFrame([(1, b"x" * 6)], "node long, shingles binary")
+    with pytest.raises(Exception, match="without its full sets"):
+        near_dups.confirm(pairs, sets, near_dups.Join()).collect()
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_dups.near_duplicates(empty).count() == 0
 

@@ -184,20 +184,22 @@ def node_step(table: DataFrame, join: Join, last: bool) -> DataFrame:
             sizes = np.array([r[3] for r in group])
             est = candidates(sketches, sizes, sketches, sizes, join)
             np.fill_diagonal(est, -1)
-            _emit(group, group, est, out)
+            _emit(group, group, est, out, listed=leaders is None)
 
         def lead(group: list[tuple]) -> None:
-            """Compares with the node's leaders; who is close to none becomes one."""
+            """Compares with the node's leaders; who is close to none becomes one. All classes are listed, as any may have
+            a link that this comparison leaves out."""
             nonlocal leaders
             if not group:
                 return
             compare(group)
+            out.extend(_member(r) for r in group)
             sketches = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), -1)
             sizes = np.array([r[3] for r in group])
             if leaders:
                 known = np.frombuffer(b"".join(r[4] for r in leaders), np.uint8).reshape(len(leaders), -1)
                 est = candidates(sketches, sizes, known, np.array([r[3] for r in leaders]), join)
-                _emit(group, leaders, est, out)
+                _emit(group, leaders, est, out, listed=False)
                 leaders += [r for r, e in zip(group, est.max(axis=1)) if e < (1 + join.cut) / 2]
             else:
                 leaders = list(group)
@@ -229,15 +231,21 @@ def node_step(table: DataFrame, join: Join, last: bool) -> DataFrame:
     return table.repartition("leaf").sortWithinPartitions("leaf", "node").mapInArrow(run, schema)
 
 
-def _emit(group: list[tuple], others: list[tuple], est: np.ndarray, out: list[tuple], best: int = 3) -> None:
-    """The best partners of each class of a group, and the classes that have partners."""
+def _member(r: tuple) -> tuple:
+    leaf, level, node, n, sketch, _ = r
+    return (1, None, None, leaf, level, node, n, sketch, None)
+
+
+def _emit(group: list[tuple], others: list[tuple], est: np.ndarray, out: list[tuple], listed: bool, best: int = 3) -> None:
+    """The best partners of each class of a group, and the classes that have partners unless listed is false."""
     for i in np.flatnonzero((est > 0).any(axis=1)):
         r = group[i]
         partners = np.flatnonzero(est[i] > 0)
         for j in partners[np.argsort(-est[i][partners], kind="stable")[:best]]:
             if others[j][2] != r[2]:
                 out.append((0, others[j][2], float(est[i, j]), None, None, r[2], None, None, None))
-        out.append((1, None, None, r[0], r[1], r[2], r[3], r[4], None))
+        if listed:
+            out.append(_member(r))
 
 
 def _step_batch(out: list[tuple], fields: list[str]) -> pa.RecordBatch:
@@ -330,14 +338,16 @@ def full_sets(df: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) that are links on full sets."""
+    """The pairs (a, b) that are links on full sets. A pair without its sets is an error."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 500):
             keep = []
+            if batch.column("x").null_count or batch.column("y").null_count:
+                raise ValueError("a pair without its full sets")
             for x, y in zip(batch.column("x"), batch.column("y")):
                 u, v = (np.frombuffer(s.as_buffer(), "V6") for s in (x, y))
                 common = len(set(u.tolist()).intersection(v.tolist()))
