@@ -202,6 +202,15 @@ def test_near_duplicates_in_a_crowd(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: c for _, d, _, c in brute_components(crowd(), 2, 80)}
 
 
+@pytest.mark.parametrize("percent, depth", [(80, 6), (80, 3), (90, 6), (60, 4)])
+def test_trees_follow_from_the_recall(percent, depth):
+    join = near_dups.Join(percent=percent, depth=depth)
+    assert (1 - (percent / 100) ** depth) ** join.trees <= 1e-4
+    paths = join.paths()
+    assert paths.shape == (join.trees, depth) and all(len(set(p)) == depth for p in paths.tolist())
+    assert paths.max() < join.pool and (join.trees * depth > join.hashes or len(np.unique(paths)) == paths.size)
+
+
 def test_near_duplicates_miss_no_set(spark):
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
     sets = spark.createDataFrame([(1, b"x" * 6)], "node long, shingles binary")

@@ -6,8 +6,10 @@ sketches exhaustively; a larger one branches again; what is still together at th
 instead of all with all. Candidates are confirmed on full sets, best first, and only pairs that no confirmed link
 connects yet are looked at again, so a group of copies costs links in proportion to its size, not to its square.
 
-Recall: a pair at the threshold t meets in a node at depth d with probability t**d in each tree, so ``trees`` trees miss
-it with probability (1 - t**d)**trees; the sketches' cut lies 3.5 standard deviations below the threshold.
+Recall: a pair at the threshold t meets in a node at depth d with probability t**d in each tree, so n trees miss it with
+probability (1 - t**d)**n. Unless given, the number of trees follows from the miss that is allowed at the threshold if
+every node is split down to the last level; no two of them take the same token as long as the hashes suffice. The sketches'
+cut lies 3.5 standard deviations below the threshold.
 
 Defined cases: null and empty texts have an empty set and link with nothing; a text with fewer words than a shingle is
 one shingle; equal texts and repeated rows share a class and so a component; a row with a null id can connect others
@@ -18,6 +20,7 @@ other than id and text are not read. Texts are taken whole.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -35,11 +38,21 @@ from voltrail.llm.substrings import Words, mixed
 class Join:
     shingle: int = 2
     percent: int = 80  # links: 100 * intersection >= percent * union
-    trees: int = 12
+    trees: int = 0  # 0: as many as miss asks for
     depth: int = 6
+    miss: float = 1e-4  # of the pairs at the threshold, if every node is split down to the last level
     node: int = 64  # classes that are compared exhaustively
-    pool: int = 64  # minwise tokens to choose from
-    hashes: int = 256  # two bits of each make the sketch
+    hashes: int = 256  # two bits of each make the sketch; trees choose from the first
+
+    def __post_init__(self):
+        if not self.trees:
+            apart = 1 - (self.percent / 100) ** self.depth
+            object.__setattr__(self, "trees", 1 if apart <= 0 else math.ceil(math.log(self.miss) / math.log(apart)))
+
+    @property
+    def pool(self) -> int:
+        """Minwise tokens to choose from."""
+        return min(self.hashes, self.trees * self.depth)
 
     @property
     def cut(self) -> float:
@@ -55,7 +68,9 @@ class Join:
     def paths(self) -> np.ndarray:
         """The pool's tokens that each tree takes, level by level."""
         draw = np.random.default_rng(7)
-        return np.array([draw.permutation(self.pool)[: self.depth] for _ in range(self.trees)])
+        trees = self.pool // self.depth  # of one permutation
+        dealt = [draw.permutation(self.pool)[: trees * self.depth].reshape(trees, self.depth) for _ in range(-(-self.trees // trees))]
+        return np.concatenate(dealt)[: self.trees]
 
 
 def shingle_sets(several: list[str], k: int) -> list[np.ndarray]:
