@@ -202,6 +202,23 @@ def test_near_duplicates_in_a_crowd(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: c for _, d, _, c in brute_components(crowd(), 2, 80)}
 
 
+def test_near_duplicates_by_blocks(spark):
+    """A large leaf is dealt to cells of bounded size that bring all pairs across components together."""
+    join = near_dups.Join(trees=3, depth=1, node=16, block=8)
+    members = spark.createDataFrame([(1, i, 9, b"s") for i in range(100)] + [(2, i, 9, b"s") for i in range(5)], "leaf long, node long, n long, sketch binary")
+    labels = spark.createDataFrame([(i, min(i, 70)) for i in range(60, 100)], "node long, part long")  # 70 to 99 are one component
+    held, met = {}, set()
+    for r in near_dups.cells(members, labels, join).collect():
+        held.setdefault(r["cell"], []).append(r)
+    for rows in held.values():
+        assert len(rows) <= 6 * join.block
+        met |= {(x["node"], y["node"]) for x in rows if x["own"] for y in rows if y["other"]}
+    assert {(a, b) for a in range(70) for b in range(100)} <= met
+    df = spark.createDataFrame(crowd(80), "doc_id long, text string").repartition(4)
+    got = near_dups.near_duplicates(df, join).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: c for _, d, _, c in brute_components(crowd(80), 2, 80)}
+
+
 @pytest.mark.parametrize("percent, depth", [(80, 6), (80, 3), (90, 6), (60, 4)])
 def test_trees_follow_from_the_recall(percent, depth):
     join = near_dups.Join(percent=percent, depth=depth)

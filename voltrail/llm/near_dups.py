@@ -3,8 +3,10 @@
 Documents with equal shingle sets form one class. In each of several independent trees a class branches by selected
 minwise tokens, one per level; all classes with the same path so far are a node. A node with few classes compares their
 sketches exhaustively; a larger one branches again; what is still together at the last level is compared with leaders
-instead of all with all. Candidates are confirmed on full sets, best first, and only pairs that no confirmed link
-connects yet are looked at again, so a group of copies costs links in proportion to its size, not to its square.
+instead of all with all. Candidates are confirmed on full sets, the best of each class first. Then the leaves' classes of
+different components meet in blocks, and the pairs whose sketches allow a link are confirmed in rounds, the likeliest
+first, until none is left; what confirmed links connect is not looked at again, so a group of copies costs links in
+proportion to its size, not to its square.
 
 Recall: a pair at the threshold t meets in a node at depth d with probability t**d in each tree, so n trees miss it with
 probability (1 - t**d)**n. Unless given, the number of trees follows from the miss that is allowed at the threshold if
@@ -43,6 +45,7 @@ class Join:
     miss: float = 1e-4  # of the pairs at the threshold, if every node is split down to the last level
     node: int = 64  # classes that are compared exhaustively
     hashes: int = 256  # two bits of each make the sketch; trees choose from the first
+    block: int = 1024  # classes of a leaf that meet as many others in one piece of work
 
     def __post_init__(self):
         if not self.trees:
@@ -269,55 +272,59 @@ def _step_batch(out: list[tuple], fields: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], fields)
 
 
-def across(members: DataFrame, labels: DataFrame, sets: DataFrame, join: Join, chunk: int = 256) -> DataFrame:
-    """Links (a, b) between different components within a leaf, confirmed on full sets where they meet.
+def cells(members: DataFrame, labels: DataFrame, join: Join) -> DataFrame:
+    """The leaves' classes dealt to cells, in which each class of a component other than the leaf's largest meets each class.
 
-    Of the pairs whose sketches allow a link, the likeliest come first, and a link joins its components at once; so a leaf
-    gives fewer links than it has components.
+    A leaf has a cell per block of the former and block of all, so a class is in as many cells as needed, and none is large.
     """
     table = members.join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    mixed_leaves = table.groupBy("leaf").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("leaf")
-    table = table.join(mixed_leaves, "leaf").join(sets, "node")
+    leaves = table.groupBy("leaf", "part").agg(F.count("*").alias("k")).groupBy("leaf").agg(F.sum("k").alias("k"), F.max(F.struct("k", "part")).alias("main"))
+    blocks = lambda k: F.ceil(k / F.lit(join.block))
+    leaves = leaves.where("k > main.k").select("leaf", F.col("main.part").alias("main"), blocks(F.col("k") - F.col("main.k")).alias("downs"), blocks(F.col("k")).alias("acrosses"))
+    own = F.col("part") != F.col("main")
+    down, aside = F.pmod(F.xxhash64("node", F.lit(1)), "downs"), F.pmod(F.xxhash64("node", F.lit(2)), "acrosses")
+    cell = lambda i, j, own, other: F.struct(i.alias("i"), j.alias("j"), own.alias("own"), other.alias("other"))
+    as_other = F.transform(F.sequence(F.lit(0).cast("long"), F.col("downs") - 1), lambda i: cell(i, aside, own & (i == down), F.lit(True)))
+    rest = F.filter(F.sequence(F.lit(0).cast("long"), F.col("acrosses") - 1), lambda j: own & (j != aside))
+    as_own = F.transform(rest, lambda j: cell(down, j, F.lit(True), F.lit(False)))
+    dealt = table.join(leaves, "leaf").select("leaf", "node", "n", "sketch", "part", F.explode(F.concat(as_other, as_own)).alias("c"))
+    return dealt.select(F.xxhash64("leaf", "c.i", "c.j").alias("cell"), "node", "n", "sketch", "part", "c.own", "c.other")
+
+
+def across(members: DataFrame, labels: DataFrame, join: Join, most: int, chunk: int = 256) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a leaf and whose sketches allow a link.
+
+    Each component gives its likeliest pairs of a cell, at most so many; a row of nulls says that others were left out.
+    """
 
-    def links(group: dict[str, list]) -> Iterator[tuple[int, int]]:
-        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group["leaf"]), -1)
+    def pairs(group: dict[str, list]) -> tuple[np.ndarray, np.ndarray, bool]:
+        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group["cell"]), -1)
         nodes, sizes, parts = (np.array(group[c], np.int64) for c in ("node", "n", "part"))
-        names, part = np.unique(parts, return_inverse=True)
-        top, opened = list(range(len(names))), {}
-
-        def find(x: int) -> int:
-            while top[x] != x:
-                x = top[x]
-            return x
-
-        def shingles(i: int) -> set[bytes]:
-            if i not in opened:
-                opened[i] = set(np.frombuffer(group["shingles"][i], "V6").tolist())
-            return opened[i]
-
-        rest = np.flatnonzero(part != np.argmax(np.bincount(part)))  # a pair across has one of these
-        for start in range(0, len(rest), chunk):
-            own = rest[start : start + chunk]
-            for at in range(0, len(nodes), 4096):
-                other = np.arange(at, min(at + 4096, len(nodes)))
-                est = candidates(sketches[own], sizes[own], sketches[other], sizes[other], join)
-                i, j = np.nonzero((est > 0) & (part[own][:, None] != part[other][None, :]))
-                for k in np.argsort(-est[i, j], kind="stable"):
-                    x, y = int(own[i[k]]), int(other[j[k]])
-                    p, q = find(part[x]), find(part[y])
-                    if p != q:
-                        common = len(shingles(x) & shingles(y))
-                        if 100 * common >= join.percent * (sizes[x] + sizes[y] - common):
-                            top[p] = q
-                            yield int(nodes[x]), int(nodes[y])
+        own, other = (np.flatnonzero(group[c]) for c in ("own", "other"))
+        found = [(own[:0], own[:0], np.empty(0))]
+        for start in range(0, len(own), chunk):
+            x = own[start : start + chunk]
+            est = candidates(sketches[x], sizes[x], sketches[other], sizes[other], join)
+            i, j = np.nonzero((est > 0) & (parts[x][:, None] != parts[other][None, :]))
+            found.append((x[i], other[j], est[i, j]))
+        x, y, est = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((nodes[y], nodes[x], -est, parts[x]))
+        x, y = x[order], y[order]
+        new = np.ones(len(x), bool)
+        new[1:] = parts[x][1:] != parts[x][:-1]
+        place = np.arange(len(x))
+        taken = place - np.maximum.accumulate(np.where(new, place, 0)) < most
+        return nodes[x[taken]], nodes[y[taken]], not taken.all()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "leaf"):
-            found = list(links(group))
-            yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], ["a", "b"])
+        for group in _groups(batches, "cell"):
+            x, y, more = pairs(group)
+            a, b = pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))
+            if more:
+                a, b = (pa.concat_arrays([c, pa.nulls(1, pa.int64())]) for c in (a, b))
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
-    columns = table.select("leaf", "node", "n", "sketch", "part", "shingles")
-    return columns.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "a long, b long").distinct()
+    return cells(members, labels, join).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
@@ -434,18 +441,19 @@ def near_duplicates(df: DataFrame, join: Join = Join()) -> DataFrame:
     tried = stored(best_pairs(pairs, 1), "tried")
     links = stored(confirm(tried, sets, join), "links")
     labels = components(links)
-    for n in (2, None):
-        part = lambda end: labels.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
-        open_pairs = pairs.join(tried, ["a", "b"], "left_anti").join(part("a"), "a", "left").join(part("b"), "b", "left")
-        open_pairs = open_pairs.where("part_a IS NULL OR part_b IS NULL OR part_a != part_b").select("a", "b", "est")
-        more = stored(best_pairs(open_pairs, n) if n else open_pairs.select("a", "b"), "tried")
+    # what the best partners of each class have not shown: pairs across components in the leaves, the likeliest first
+    most = 4
+    while True:
+        found = stored(across(members, labels, join, most), "across")
+        more = stored(found.where("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "tried")
         tried = tried.unionByName(more)
-        links = links.unionByName(stored(confirm(more, sets, join), "links"))
-        labels = components(links)
-    # what the best partners of each class have not shown: links across components, in the leaves
-    more = stored(across(members, labels, sets, join), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        new = stored(confirm(more, sets, join), "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(links)
+        if found.where("a IS NULL").isEmpty():
+            break
+        most *= 16
 
     named = classes.where("n > 0").select("set", "node").join(labels, "node", "left").select("set", F.coalesce("part", "node").alias("part"))
     placed = docs.select("doc_id", "text_hash", "n", "set").join(named, "set", "left")
