@@ -352,6 +352,14 @@ def test_lm(spark, docs):
     assert lm.scores(docs.limit(0), RANKS, shape).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_hot_words(spark, docs):
+    run = lambda known: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in lm.scores(docs, RANKS, lm.Shape(inputs=64, every=1, rounds=1, part=10**6, known=known)).collect())
+    every, few, none = run(1 << 20), run(50), run(0)
+    for other in (few, none):
+        assert [i for i, _ in other] == [i for i, _ in every]
+        assert [x for _, x in other] == pytest.approx([x for _, x in every], rel=1e-6)
+
+
 def test_lm_gradient():
     shape = lm.Shape(inputs=8, spare=2, single=4, clusters=2, clustered=8, bins=2, width=4, context=3, step=5)
     model = lm.Model(shape, np.zeros(shape.classes))

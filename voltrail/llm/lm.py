@@ -9,8 +9,9 @@ are one type. Windows overlap: each holds some subwords as context only, and eve
 subword is scored once. Training is distributed: partitions of the training windows run Adam from the same weights, and
 the weights are averaged, some rounds long. Each training document gives windows in proportion to its length.
 
-Beside the model's score stands the base score, a unigram of words. Its counts of all words meet the documents in buckets
-of packed words; the most frequent words, a bounded number that the model knows too, are resolved where the documents are.
+Beside the model's score stands the base score, a unigram of words. The counts of words meet the documents in buckets of
+packed words, where both scores are finished; the most frequent words, a bounded number, are resolved where the documents
+are. How many these are changes no score.
 
 Defined cases: null and empty texts are one end token; a null id counts as the empty text where folds are dealt; without
 training documents all counts are 0 and the model keeps its first weights; equal rows are counted and scored each; an
@@ -58,7 +59,7 @@ class Shape:
     batch: int = 256
     rate: float = 0.01
     part: int = 8_000  # training windows in a partition
-    known: int = 1 << 20  # most frequent words whose counts the model knows
+    known: int = 1 << 20  # most frequent words whose counts are sent to the documents; the others' meet them in buckets
     whole: float = 0.9  # weight of whole words against spellings
 
     @property
@@ -445,13 +446,15 @@ def train(spark: SparkSession, sample: DataFrame, mapping: Mapping, shape: Shape
     return model.vector
 
 
-def model_scores(docs: DataFrame, shared, shape: Shape) -> DataFrame:
-    """Per document: row (its hash), doc_id, held_out, n_tokens, score; and of the hot words, hot_known and hot_logs.
+def model_scores(docs: DataFrame, shared, shape: Shape, buckets: int) -> DataFrame:
+    """Per document: row (its hash), doc_id, held_out, n_tokens, score (whose words that are not hot lack their mixture); and
+    of the hot words, hot_known and hot_logs. Beside them, rows of the words that are not hot: bucket (of their hash), packed.
 
     shared: the subwords' strings, the mapping, the weights, the hot words' hashes (in order) and counts, and by how much
     adding one to all words' counts adds to their sum.
     """
-    names = ["row", "doc_id", "held_out", "n_tokens", "score", "hot_known", "hot_logs"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "score", "hot_known", "hot_logs", "bucket", "packed"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, mapping, vector, hot, counts, smoothing = shared.value
@@ -474,16 +477,35 @@ def model_scores(docs: DataFrame, shared, shape: Shape) -> DataFrame:
             order = np.argsort(text, kind="stable")  # words of each text, then its end
             h, text = h[order], text[order]
             which, place = _among(hot, h)
-            count = np.where(which, counts[place], 0) if len(hot) else np.zeros(len(h))
-            share = (count + 1) / (mapping.first_mass[output[flat[begins]]] * smoothing)
-            scores = np.bincount(text, first + np.log(shape.whole * share + (1 - shape.whole) * np.exp(spelled) + 1e-300), n)
+            mass = mapping.first_mass[output[flat[begins]]] * smoothing
+            first[which] += mixture(counts[place[which]], mass[which], spelled[which], shape)
+            scores = np.bincount(text, first, n)
             n_words = np.diff(np.append(words.first, len(words.stops))) + 1
             known = np.bincount(text[which], counts[place[which]] > 0, n).astype(np.int64)
             sums = np.bincount(text[which], np.log10(counts[place[which]] + 1.0), n)
-            columns = [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n_words, pa.int64()), pa.array(scores / np.log(10)), pa.array(known), pa.array(sums)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns = [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n_words, pa.int64()), pa.array(scores / np.log(10)), pa.array(known), pa.array(sums, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, k) for k in kinds[7:])], names)
+            row, training = batch.column("row").to_numpy(), ~batch.column("held_out").to_numpy(zero_copy_only=False)
+            full, packs = _bucketed(*(x[~which] for x in (h, text, mass, spelled)), row, training, buckets)
+            if packs:
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(packs), k) for k in kinds[:7]), pa.array(full, pa.int64()), pa.array(packs, pa.binary())], names)
+
+    return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, score double, hot_known long, hot_logs double, bucket long, packed binary")
+
+
+def mixture(counts: np.ndarray, mass: np.ndarray, spelled: np.ndarray, shape: Shape) -> np.ndarray:
+    """Logs of the probabilities of words within their first classes: shares of the class as whole words, and spellings."""
+    return np.log(shape.whole * (counts + 1) / mass + (1 - shape.whole) * np.exp(spelled) + 1e-300)
+
 
-    return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, score double, hot_known long, hot_logs double")
+def _bucketed(h: np.ndarray, text: np.ndarray, mass: np.ndarray, spelled: np.ndarray, row: np.ndarray, training: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """The words by the bucket of their hash: the buckets that have any, and what goes there."""
+    order = np.lexsort((text, h))
+    order = order[np.argsort((h[order].view(np.uint64) % np.uint64(buckets)).astype(np.int64), kind="stable")]
+    h, text, mass, spelled = (x[order] for x in (h, text, mass, spelled))
+    cuts = np.searchsorted((h.view(np.uint64) % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    return full, [_pack(*(x[cuts[b] : cuts[b + 1]] for x in (h, text, mass, spelled)), row, training) for b in full]
 
 
 def hashed(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -499,47 +521,27 @@ def _among(hot: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hot[place] == h, place
 
 
-def base_sums(docs: DataFrame, shared, buckets: int) -> DataFrame:
-    """Of the words that are not hot, per document: row, n_known, logs (the sum of log10(count + 1)).
+def rest_sums(sent: DataFrame, shape: Shape) -> DataFrame:
+    """Of the words that are not hot, per document: row, n_known, logs (the sum of log10(count + 1)), mixed (the sum of log10
+    of their mixtures).
 
-    Words go, folded per piece of a task, to the bucket of their hash. There their training counts are added up and their
-    logs are given back to the documents.
+    sent: bucket, packed. In the bucket of a word its training counts are added up, and its logs are given back to the
+    documents, so a word's count is exact however rare it is.
     """
-
-    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value[3]
-        for batch in pieces(batches, mb=2):
-            h, text = hashed(lowered(texts(batch)), batch.num_rows)
-            rest = ~_among(hot, h)[0]
-            h, text = h[rest], text[rest]
-            order = np.lexsort((text, h))
-            h, text = h[order], text[order]
-            new = np.flatnonzero(_changes(h) | _changes(text))
-            times = np.diff(np.append(new, len(h)))
-            h, text = h[new], text[new]
-            bucket = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            row, training = batch.column("row").to_numpy(), ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            full = np.flatnonzero(np.diff(cuts))
-            packs = [_pack(h[own], text[own], times[own], row, training) for own in (order[cuts[b] : cuts[b + 1]] for b in full)]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(packs, pa.binary())], ["bucket", "packed"])
-
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             for b, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "packed"))):
                 if b != now and held:
-                    yield _meet(held)
+                    yield _meet(held, shape)
                     held = []
                 now = b
                 held.append(packed)
         if held:
-            yield _meet(held)
+            yield _meet(held, shape)
 
-    sent = docs.select("row", "held_out", "text").mapInArrow(send, "bucket long, packed binary")
-    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "row long, n_known long, logs double")
-    return met.groupBy("row").agg(F.sum("n_known").alias("n_known"), F.sum("logs").alias("logs"))
+    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "row long, n_known long, logs double, mixed double")
+    return met.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("n_known", "logs", "mixed")))
 
 
 def _changes(values: np.ndarray) -> np.ndarray:
@@ -548,40 +550,44 @@ def _changes(values: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Of a packed bucket: hashes of words, rows, whether they are for training; per word its texts, per entry its text and times.
-_LAYOUT = ("i8", "i8", "u1", "u4", "u4", "u4")
+#: Of a packed bucket: hashes of words, rows, whether they are for training; per word its entries and the smoothed mass of its
+#: first class, per entry its text and the log probability of its spelling.
+_LAYOUT = ("i8", "i8", "u1", "u4", "f8", "u4", "f8")
 
 
-def _pack(h: np.ndarray, text: np.ndarray, times: np.ndarray, row: np.ndarray, training: np.ndarray) -> bytes:
+def _pack(h: np.ndarray, text: np.ndarray, mass: np.ndarray, spelled: np.ndarray, row: np.ndarray, training: np.ndarray) -> bytes:
     rows, inner = np.unique(text, return_inverse=True)
     first = np.flatnonzero(_changes(h))
-    parts = (h[first], row[rows], training[rows], np.diff(np.append(first, len(h))), inner, times)
+    parts = (h[first], row[rows], training[rows], np.diff(np.append(first, len(h))), mass[first], inner, spelled)
     sizes = np.array([len(p) for p in parts], np.int64)
     return sizes.tobytes() + zstandard.compress(b"".join(p.astype(k).tobytes() for p, k in zip(parts, _LAYOUT)), 1)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
-    sizes = np.frombuffer(blob[:48], np.int64)
-    body, at, parts = zstandard.decompress(blob[48:]), 0, []
+    head = 8 * len(_LAYOUT)
+    sizes = np.frombuffer(blob[:head], np.int64)
+    body, at, parts = zstandard.decompress(blob[head:]), 0, []
     for kind, size in zip(_LAYOUT, sizes):
         parts.append(np.frombuffer(body, kind, size, at))
         at += parts[-1].nbytes
     return parts
 
 
-def _meet(held: list[bytes]) -> pa.RecordBatch:
+def _meet(held: list[bytes], shape: Shape) -> pa.RecordBatch:
     """The sums per row of one bucket."""
     opened = [_unpack(blob) for blob in held]
     keys, word = np.unique(np.concatenate([p[0] for p in opened]), return_inverse=True)
     spread = np.repeat(word, np.concatenate([p[3] for p in opened]))  # the word of each entry
-    row = np.concatenate([p[1][p[4]] for p in opened])
-    training = np.concatenate([p[2][p[4]] for p in opened])
-    times = np.concatenate([p[5] for p in opened]).astype(np.float64)
-    counts = np.bincount(spread, times * training, len(keys))
+    row = np.concatenate([p[1][p[5]] for p in opened])
+    training = np.concatenate([p[2][p[5]] for p in opened])
+    mass = np.concatenate([np.repeat(p[4], p[3]) for p in opened])
+    spelled = np.concatenate([p[6] for p in opened])
+    counts = np.bincount(spread, training, len(keys))
     rows, of = np.unique(row, return_inverse=True)
-    known = np.bincount(of, times * (counts > 0)[spread], len(rows)).astype(np.int64)
-    logs = np.bincount(of, times * np.log10(counts + 1)[spread], len(rows))
-    return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(known), pa.array(logs)], ["row", "n_known", "logs"])
+    known = np.bincount(of, (counts > 0)[spread], len(rows)).astype(np.int64)
+    logs = np.bincount(of, np.log10(counts + 1)[spread], len(rows))
+    mixed = np.bincount(of, mixture(counts[spread], mass, spelled, shape), len(rows)) / np.log(10)
+    return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(known), pa.array(logs), pa.array(mixed)], ["row", "n_known", "logs", "mixed"])
 
 
 def scores(df: DataFrame, ranks: str, shape: Shape = Shape()) -> DataFrame:
@@ -600,12 +606,14 @@ def scores(df: DataFrame, ranks: str, shape: Shape = Shape()) -> DataFrame:
     mapping = Mapping(by_id, firsts, company_of(found.where("kind = 2").select("window"), by_id, shape), shape)
     vector = train(spark, found.where("kind = 2").select("window"), mapping, shape)
     shared = spark.sparkContext.broadcast((tokens, mapping, vector, hot, hot_counts, (n + v + 1) / max(n, 1)))
-    scored = model_scores(docs, shared, shape)
+    made = stored(model_scores(docs, shared, shape, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "lm-scored")
+    scored = made.where("bucket IS NULL").drop("bucket", "packed")
     first = [F.first(c).alias(c) for c in scored.columns if c != "row"]
     scored = scored.groupBy("row").agg(*first, F.count("*").alias("copies"))
-    sums = base_sums(docs, shared, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sums = rest_sums(made.where("bucket IS NOT NULL").select("bucket", "packed"), shape)
     both = scored.join(sums, "row", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     known = F.col("hot_known") + F.coalesce(F.col("n_known") / F.col("copies"), F.lit(0)).cast("long")
     logs = F.col("hot_logs") + F.coalesce(F.col("logs") / F.col("copies"), F.lit(0))
+    score = F.col("score") + F.coalesce(F.col("mixed") / F.col("copies"), F.lit(0))
     base = logs - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
-    return both.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(int(n)).alias("train_tokens"), base.alias("base_score"), "score")
+    return both.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(int(n)).alias("train_tokens"), base.alias("base_score"), score.alias("score"))
