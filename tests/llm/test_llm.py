@@ -360,6 +360,15 @@ def test_lm_scores_do_not_depend_on_hot_words(spark, docs):
         assert [x for _, x in other] == pytest.approx([x for _, x in every], rel=1e-6)
 
 
+def test_lm_trains_on_all_windows(spark):
+    """Short documents give windows too, the same ones however the files are split into tasks."""
+    df = spark.createDataFrame([(i, f"short text number {i}") for i in range(60)], "doc_id long, text string")
+    strings = spark.sparkContext.broadcast(lm.read_ranks(RANKS))
+    docs = lm._documents(df)
+    one, five = ([bytes(r["window"]) for r in lm.gather(docs.repartition(n), strings, lm.Shape()).where("kind = 2").collect()] for n in (1, 5))
+    assert sorted(one) == sorted(five) and len(one) == docs.where("NOT held_out").count()
+
+
 def test_lm_gradient():
     shape = lm.Shape(inputs=8, spare=2, single=4, clusters=2, clustered=8, bins=2, width=4, context=3, step=5)
     model = lm.Model(shape, np.zeros(shape.classes))

@@ -7,7 +7,7 @@ corpus. A word's probability is that of its first class times a mixture of its s
 whole word, and of its spelling in subwords. Shares are smoothed as in the base score, where all words that training lacks
 are one type. Windows overlap: each holds some subwords as context only, and every
 subword is scored once. Training is distributed: partitions of the training windows run Adam from the same weights, and
-the weights are averaged, some rounds long. Each training document gives windows in proportion to its length.
+the weights are averaged, some rounds long. All windows of all training documents are used.
 
 Beside the model's score stands the base score, a unigram of words. The counts of words meet the documents in buckets of
 packed words, where both scores are finished; the most frequent words, a bounded number, are resolved where the documents
@@ -54,7 +54,7 @@ class Shape:
     width: int = 16
     context: int = 8  # subwords of a window that are context only
     step: int = 24  # subwords that a window scores
-    every: int = 32  # of so many windows of a training document one is for training
+    every: int = 1  # of so many windows of a task one is for training; 1: all are
     rounds: int = 3
     batch: int = 256
     rate: float = 0.01
