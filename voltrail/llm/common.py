@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The same in Spark's and DuckDB's regular expressions.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
+#: Which bytes are ASCII white space.
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -46,7 +50,6 @@ def open_fs(uri: str):
 
 def pieces(batches: Iterable[pa.RecordBatch], mb: float = 8, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about so many MB of the column, one row at least, so that a task holds few results."""
-    import numpy as np
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -73,8 +76,56 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def list_array(flat, lengths, kind: pa.DataType) -> pa.ListArray:
     """A list column from its flat values (numpy) and the rows' lengths."""
-    import numpy as np
-
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+
+
+def distinct(data, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Of the strings that begin at starts and fill the data: which of the distinct ones each is, and these."""
+    if not len(starts):
+        return np.empty(0, np.int64), []
+    offsets = np.append(starts, len(data)).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+def spread(ids: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The packed 32-bit ids of the distinct strings, in the order of their occurrences, and each occurrence's count."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat, begins = np.frombuffer(b"".join(ids), np.int32), np.cumsum(sizes) - sizes
+    counts = sizes[at]
+    place = np.repeat(begins[at] - (np.cumsum(counts) - counts), counts)
+    place += np.arange(len(place))
+    return flat[place], counts
+
+
+class Cache:
+    """What a worker has learnt of strings, in two generations: when the younger one takes half of the MB, it becomes the
+    older one, and what is asked for again moves on. Strings over 64 long hardly come again and are not kept."""
+
+    def __init__(self, mb: float):
+        self.most, self.size, self.young, self.old = int(mb * 5e5), 0, {}, {}
+
+    def look_up(self, keys: list, learn) -> list:
+        """The values of the distinct keys; learn gives those of a list of unknown ones."""
+        values = list(map(self.young.get, keys))
+        old, keep, unknown = self.old.get, {}, []
+        for i in [i for i, v in enumerate(values) if v is None]:
+            k = keys[i]
+            v = old(k)
+            if v is None:
+                unknown.append(i)
+            else:
+                values[i] = keep[k] = v
+        if unknown:
+            asked = [keys[i] for i in unknown]
+            for i, k, v in zip(unknown, asked, learn(asked)):
+                values[i] = v
+                if len(k) <= 64:
+                    keep[k] = v
+        self.size += sum(map(len, keep)) + sum(map(len, keep.values())) + 190 * len(keep)  # objects and their places
+        if self.size > self.most:
+            self.young, self.old, self.size = {}, self.young, 0
+        self.young.update(keep)
+        return values

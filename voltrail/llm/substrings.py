@@ -23,10 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltrail.llm.common import pieces, texts
+from voltrail.llm.common import SPACES, pieces, texts
 
-SPACES = np.zeros(256, bool)
-SPACES[[0x20, *range(0x09, 0x0E)]] = True
 #: An odd factor and its inverse modulo 2**64: hashes of words from sums over a text.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

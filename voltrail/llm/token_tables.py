@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltrail.llm.common import WORD, list_array, pieces, rows, shared_dir, texts
-
-#: Cached words in a Python worker.
-CACHE = 800_000
-#: Cached parts of words.
-PARTS_CACHE = 400_000
+from voltrail.llm.common import WORD, Cache, distinct, list_array, pieces, rows, shared_dir, spread, texts
+from voltrail.llm.substrings import Words
+
+#: MB of words and of their parts that a Python worker remembers.
+WORDS_MB, PARTS_MB = 96, 64
+#: ASCII signs that are neither letters nor digits: a run of them after a word's letters is one part.
+SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
+LETTERS, MARKS = (np.array([chr(i).isascii() and f(chr(i)) for i in range(256)]) for f in (str.isalpha, lambda c: c in SIGNS))
 #: Printable Latin-1: normalisation leaves it alone but for lower case, one character for one.
 PLAIN = re.compile(r"[!-~¡-¬®-ÿ]*\Z")
 #: How the tokenizer splits a word; parts of plain words are looked up one by one.
@@ -55,8 +57,7 @@ class WordEncoder:
         controls = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.control = re.compile("|".join(controls) or r"\Z.").search
         self.split = regex.compile(SPLIT).findall
-        self.cache: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.cache, self.parts = Cache(WORDS_MB), Cache(PARTS_MB)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -72,48 +73,56 @@ class WordEncoder:
             for e in self.tokenizer.encode_batch_fast(several[start : start + 4096], add_special_tokens=False):
                 yield array("I", e.ids).tobytes()
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if PLAIN.match(w) and not self.control(w)] if self.by_part else []
-        split = {}
-        for w in plain:
-            low = w.lower()
-            if low.isalpha():  # most words are letters, or letters and a point or comma
-                split[w] = (low,)
-            elif low[-1] in ".,;" and low[:-1].isalpha():
-                split[w] = (low[:-1], low[-1])
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words or of parts of words; spaces after them don't count."""
+        plain = PLAIN.match if self.by_part else (lambda w: None)
+        control = self.control if self.control(b"".join(words).decode()) else (lambda w: None)
+        split, rest = [], []
+        for w in words:
+            w = w.rstrip(b" ").decode()
+            if plain(w) and not control(w):
+                low = w.lower()
+                core = low.rstrip(SIGNS)
+                if not core.isalpha():
+                    split.append(self.split(low))
+                elif len(core) == len(low):
+                    split.append((core,))
+                else:
+                    split.append((core, low[len(core) :]))
             else:
-                split[w] = self.split(low)
-        if len(self.parts) > PARTS_CACHE:
-            self.parts.clear()
-        known, part = self.parts, self._part
-        for p in {p for ps in split.values() for p in ps}.difference(known):
-            known[p] = part(p)
-        found = {w: known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for w, ps in split.items()}
-        rest = [w for w in words if w not in found]
-        found.update(zip(rest, self._encode_all(rest)))
-        return found
+                split.append(None)
+                rest.append(w)
+        parts = list({p for ps in split if ps for p in ps})
+        found = dict(zip(parts, self.parts.look_up(parts, lambda unknown: list(map(self._part, unknown)))))
+        others = self._encode_all(rest)
+        return [next(others) if ps is None else found[ps[0]] if len(ps) == 1 else b"".join([found[p] for p in ps]) for ps in split]
+
+    def encode_flat(self, several: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (int32) of all texts in a row, and how many each has."""
+        if not self.by_word:
+            ids = list(self._encode_all(several))
+            return np.frombuffer(b"".join(ids), np.int32), np.array([len(x) // 4 for x in ids], np.int64)
+        words = Words(several)
+        data, starts, first = words.norm, words.starts, np.append(words.first, len(words.stops))
+        if self.by_part and not self.control(data.tobytes().decode()):
+            # letters and the signs after them are parts of their own, so they are looked up one by one, in lower case
+            if len(data) and data.max() < 0xC4:  # up to Latin-1 no character depends on its neighbours
+                data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+            cut = np.flatnonzero(LETTERS[data[:-1]] & MARKS[data[1:]]) + 1
+            at = np.concatenate([starts, cut])
+            at.sort(kind="stable")
+            first = np.searchsorted(at, np.append(starts, len(data))[first])
+            starts = at
+        which, strings = distinct(data.tobytes(), starts)
+        ids, counts = spread(self.cache.look_up(strings, self._learn), which)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        return ids, np.diff(upto[first])
 
     def encode_batch(self, several: list[str]) -> list[bytes]:
         """The ids of each text as packed 32-bit integers."""
-        if not self.by_word:
-            return list(self._encode_all(several))
-        split = [t.encode().split() for t in several]  # of bytes: by ASCII white space alone
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache, missing = self.cache, set()
-        found = [list(map(cache.get, words)) for words in split]
-        open_texts = [i for i, ids in enumerate(found) if None in ids]
-        for i in open_texts:
-            missing.update([w for w, ids in zip(split[i], found[i]) if ids is None])
-        words = [w.decode() for w in missing]
-        learnt = self._learn(words)
-        cache.update(zip(missing, map(learnt.__getitem__, words)))
-        for i in open_texts:
-            found[i] = list(map(cache.__getitem__, split[i]))
-        for w in missing:
-            if len(w) > 64:  # long words hardly come again
-                del cache[w]
-        return [b"".join(ids) for ids in found]
+        ids, sizes = self.encode_flat(several)
+        ends = np.cumsum(sizes)
+        return [ids[b - n : b].tobytes() for b, n in zip(ends, sizes)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -129,16 +138,16 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.value not in _encoders:
             _encoders[shared.value] = WordEncoder(shared.value)
-        encode, end = _encoders[shared.value].encode_batch, np.uint32(end_id).tobytes()
+        encode = _encoders[shared.value].encode_flat
         part, before = TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, mb=2):
-            ids = encode(texts(batch))
-            sizes = np.array([len(x) // 4 + 1 for x in ids], np.int64)
-            flat = np.frombuffer(b"".join([x + end for x in ids]), np.uint32).view(np.int32)
+        for batch in pieces(batches, mb=4):
+            ids, sizes = encode(texts(batch))
+            flat = np.insert(ids, np.cumsum(sizes), end_id)
+            sizes = sizes + 1
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(sizes), list_array(flat, sizes, pa.int32())],
+                [batch.column("doc_id"), pa.array(np.full(len(sizes), part, np.int32)), pa.array(starts), pa.array(sizes), list_array(flat, sizes, pa.int32())],
                 ["doc_id", "part", "part_start", "n_tokens", "tokens"],
             )
 
