@@ -205,7 +205,7 @@ def test_near_duplicates_in_a_crowd(spark):
 def test_near_duplicates_by_blocks(spark):
     """A large leaf is dealt to cells of bounded size that bring all pairs across components together."""
     join = near_dups.Join(trees=3, depth=1, node=16, block=8)
-    members = spark.createDataFrame([(1, i, 9, b"s") for i in range(100)] + [(2, i, 9, b"s") for i in range(5)], "leaf long, node long, n long, sketch binary")
+    members = spark.createDataFrame([(1, i) for i in range(100)] + [(2, i) for i in range(5)], "leaf long, node long")
     labels = spark.createDataFrame([(i, min(i, 70)) for i in range(60, 100)], "node long, part long")  # 70 to 99 are one component
     held, met = {}, set()
     for r in near_dups.cells(members, labels, join).collect():
@@ -219,13 +219,51 @@ def test_near_duplicates_by_blocks(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: c for _, d, _, c in brute_components(crowd(80), 2, 80)}
 
 
-@pytest.mark.parametrize("percent, depth", [(80, 6), (80, 3), (90, 6), (60, 4)])
+@pytest.mark.parametrize("percent, depth", [(80, 6), (80, 4), (90, 6), (60, 4), (100, 2)])
 def test_trees_follow_from_the_recall(percent, depth):
+    """The formula against drawn trees, in which a pair takes each branch with the threshold's probability."""
     join = near_dups.Join(percent=percent, depth=depth)
-    assert (1 - (percent / 100) ** depth) ** join.trees <= 1e-4
+    assert join.missed(join.trees) <= 1e-4 < join.missed(join.trees - 1) or join.trees == 1
+    draw = np.random.default_rng(3)
+    together = draw.random((20_000, 1)) < percent / 100
+    for _ in range(depth - 1):
+        together = np.repeat(together, join.branches, 1)
+        together &= draw.random(together.shape) < percent / 100
+    assert abs((1 - together.any(axis=1).mean()) - join.missed(1)) < 0.015
     paths = join.paths()
-    assert paths.shape == (join.trees, depth) and all(len(set(p)) == depth for p in paths.tolist())
-    assert paths.max() < join.pool and (join.trees * depth > join.hashes or len(np.unique(paths)) == paths.size)
+    assert paths.shape == (join.trees, join.places) and all(len(set(p)) == join.places for p in paths.tolist())
+    assert paths.max() < join.hashes and (paths.size > join.hashes or len(np.unique(paths)) == paths.size)
+
+
+def test_components_in_blocks(spark, monkeypatch):
+    """Long paths and a hub, contracted in many small blocks."""
+    monkeypatch.setattr(near_dups, "LINKS", 50)
+    r = random.Random(4)
+    links = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1200)] + [(3000 + i, 3100 + i) for i in range(20)]
+    r.shuffle(links)
+    got = {x["node"]: x["part"] for x in near_dups.components(spark.createDataFrame(links, "a long, b long"), len(links)).collect()}
+    assert got == {x: 0 if x <= 200 else 1000 if x < 2000 else x if x < 3100 else x - 100 for link in links for x in link}
+
+
+def test_near_duplicates_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85 among texts that share passages, with the query's own parameters."""
+    r = random.Random(11)
+    shared = [" ".join(f"s{i}x{j}" for j in range(40)) for i in range(6)]
+    rows, want = [], 0
+    for i in range(1200):
+        own = [f"u{i}x{j}" for j in range(60)]
+        words = [*shared[i % 6].split(), *own]
+        near = list(words)
+        for at in r.sample(range(2, 98, 5), r.choice([4, 5])):  # 99 shingles; each change takes two from both
+            near[at] = f"v{i}x{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+        sets = [set(zip(x, x[1:])) for x in (words, near)]
+        share = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        assert 0.80 <= share <= 0.86
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["component_id"] for x in near_dups.near_duplicates(df).collect()}
+    assert all(c in (d, d - d % 2) for d, c in got.items())
+    assert sum(got[2 * i + 1] == 2 * i for i in range(1200)) >= 0.995 * 1200
 
 
 def test_near_duplicates_miss_no_set(spark):

@@ -1,17 +1,21 @@
 """Near-duplicate components by a chosen-path set similarity join over word shingles.
 
 Documents with equal shingle sets form one class. In each of several independent trees a class branches by selected
-minwise tokens, one per level; all classes with the same path so far are a node. A node with few classes compares their
-sketches exhaustively; a larger one branches again; what is still together at the last level is compared with leaders
-instead of all with all. Candidates are confirmed on full sets, the best of each class first. Then the leaves' classes of
-different components meet in blocks, and the pairs whose sketches allow a link are confirmed in rounds, the likeliest
-first, until none is left; what confirmed links connect is not looked at again, so a group of copies costs links in
-proportion to its size, not to its square.
-
-Recall: a pair at the threshold t meets in a node at depth d with probability t**d in each tree, so n trees miss it with
-probability (1 - t**d)**n. Unless given, the number of trees follows from the miss that is allowed at the threshold if
-every node is split down to the last level; no two of them take the same token as long as the hashes suffice. The sketches'
-cut lies 3.5 standard deviations below the threshold.
+minwise tokens; all classes with the same path so far are a node. A node with few classes compares their sketches
+exhaustively. A larger one branches again, into the nodes of two further tokens for each class. What is still large at the
+last level is compared in chunks and with leaders.
+
+Of each class the likeliest partner and the partner with the smallest number are confirmed on full sets. Then the groups of
+classes that sketches connect in a node, and the large nodes of the last level, are looked through for classes that
+confirmed links have not brought into one component: these meet in blocks, and the pairs whose sketches allow a link are
+confirmed in rounds, the likeliest first, until none is left. What confirmed links connect is not looked at again, so a
+group of copies costs links in proportion to its size, not to its square.
+
+Recall: a pair at the threshold t takes the same branch with probability t. If m is its probability of missing each other
+below a node, that of a node with b branches above is (1 - t + t * m) ** b, and at the roots the exponent is the number
+of trees. With two branches and t over a half it stays bounded however deep the trees are. Unless given, the number of trees
+follows from the miss that is allowed at the threshold if every node is split down to the last level; tokens are not
+taken twice as long as the hashes suffice. The sketches' cut lies 3.5 standard deviations below the threshold.
 
 Defined cases: null and empty texts have an empty set and link with nothing; a text with fewer words than a shingle is
 one shingle; equal texts and repeated rows share a class and so a component; a row with a null id can connect others
@@ -25,37 +29,50 @@ import hashlib
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltrail.llm.common import pieces, rows, stored, texts
 from voltrail.llm.substrings import Words, mixed
 
 
+#: Links that one task contracts at a time.
+LINKS = 100_000
+
+
 @dataclass(frozen=True)
 class Join:
     shingle: int = 2
     percent: int = 80  # links: 100 * intersection >= percent * union
     trees: int = 0  # 0: as many as miss asks for
-    depth: int = 6
+    branches: int = 2  # of a class in a node that is split
+    depth: int = 4
     miss: float = 1e-4  # of the pairs at the threshold, if every node is split down to the last level
     node: int = 64  # classes that are compared exhaustively
-    hashes: int = 256  # two bits of each make the sketch; trees choose from the first
+    hashes: int = 256  # two bits of each make the sketch; trees choose from them
     block: int = 1024  # classes of a leaf that meet as many others in one piece of work
 
     def __post_init__(self):
         if not self.trees:
-            apart = 1 - (self.percent / 100) ** self.depth
+            apart = self.missed(1)
             object.__setattr__(self, "trees", 1 if apart <= 0 else math.ceil(math.log(self.miss) / math.log(apart)))
 
+    def missed(self, trees: int) -> float:
+        """The probability that a pair at the threshold shares no node of the last level of so many trees."""
+        t, below = self.percent / 100, 0.0
+        for _ in range(self.depth - 1):
+            below = (1 - t + t * below) ** self.branches
+        return (1 - t + t * below) ** trees
+
     @property
-    def pool(self) -> int:
-        """Minwise tokens to choose from."""
-        return min(self.hashes, self.trees * self.depth)
+    def places(self) -> int:
+        """Of a tree: the root's token, and those of each branch below."""
+        return sum(self.branches**level for level in range(self.depth))
 
     @property
     def cut(self) -> float:
@@ -69,10 +86,11 @@ class Join:
         return draw.integers(0, 1 << 32, n, np.uint32) | np.uint32(1), draw.integers(0, 1 << 32, n, np.uint32)
 
     def paths(self) -> np.ndarray:
-        """The pool's tokens that each tree takes, level by level."""
+        """The hashes whose tokens each tree takes, from the root, level by level."""
         draw = np.random.default_rng(7)
-        trees = self.pool // self.depth  # of one permutation
-        dealt = [draw.permutation(self.pool)[: trees * self.depth].reshape(trees, self.depth) for _ in range(-(-self.trees // trees))]
+        trees = max(1, self.hashes // self.places)  # of one permutation
+        short = max(0, self.places - self.hashes)  # only in trees with more places than hashes
+        dealt = [np.append(draw.permutation(self.hashes), draw.integers(0, self.hashes, short))[: trees * self.places].reshape(trees, self.places) for _ in range(-(-self.trees // trees))]
         return np.concatenate(dealt)[: self.trees]
 
 
@@ -118,158 +136,205 @@ def two_bits(tokens: np.ndarray) -> bytes:
 
 
 def signatures(df: DataFrame, join: Join) -> DataFrame:
-    """Per row: doc_id, text_hash, n (size of the set), set (its digest), sketch, and the pool's minwise tokens."""
+    """Per row: doc_id, text_hash, n (size of the set), set (its digest), sketch, and the minwise tokens of the trees."""
     one = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     one = one.withColumn("text_hash", F.xxhash64("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = join.factors()
+        factors, paths = join.factors(), join.paths().ravel()
         for batch in pieces(batches, mb=2):
             sets = shingle_sets(texts(batch), join.shingle)
             least = [minwise(s, factors) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                 pa.array(map(two_bits, least), pa.binary()), pa.array([x[: join.pool].tobytes() for x in least], pa.binary())],
-                ["doc_id", "text_hash", "n", "set", "sketch", "pool"],
+                 pa.array(map(two_bits, least), pa.binary()), pa.array([x[paths].tobytes() for x in least], pa.binary())],
+                ["doc_id", "text_hash", "n", "set", "sketch", "paths"],
             )
 
-    return one.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, n long, set binary, sketch binary, pool binary")
+    return one.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, n long, set binary, sketch binary, paths binary")
 
 
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of each row of a (bytes of sketches) with each of b."""
-    half = a.shape[1] // 2
-    differ = (a[:, None, :half] ^ b[None, :, :half]) | (a[:, None, half:] ^ b[None, :, half:])
-    share = 1 - np.bitwise_count(differ.view(np.uint64)).sum(axis=2, dtype=np.int32) / (half * 8)
+    """Estimated similarity of each sketch of a with each of b; axes before the last two are gone through side by side."""
+    half = a.shape[-1] // 2
+    x, y = a[..., :, None, :], b[..., None, :, :]
+    differ = (x[..., :half] ^ y[..., :half]) | (x[..., half:] ^ y[..., half:])
+    share = 1 - np.bitwise_count(differ.view(np.uint64)).sum(axis=-1, dtype=np.int32) / (half * 8)
     return (share - 0.25) / 0.75
 
 
 def candidates(sketches: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_sizes: np.ndarray, join: Join) -> np.ndarray:
     """The estimates of pairs that may be links, -1 for the rest."""
     est = similarity(sketches, others)
-    small, large = np.minimum(sizes[:, None], other_sizes[None, :]), np.maximum(sizes[:, None], other_sizes[None, :])
-    return np.where((est >= join.cut) & (small * 100 >= large * join.percent), est, -1.0)
+    x, y = sizes[..., :, None], other_sizes[..., None, :]
+    return np.where((est >= join.cut) & (np.minimum(x, y) * 100 >= np.maximum(x, y) * join.percent), est, -1.0)
+
 
+#: A class in a node: the node's key, the place of its next branches in the tree, the class, its size, sketch and tokens.
+TREE_ROW = "leaf long, at int, node long, n long, sketch binary, path binary"
+NAMES = [x.split()[0] for x in TREE_ROW.split(", ")]
+#: What a node has found: kind 0, a class of a group with its likeliest and its smallest partner; kind 1, a row one level deeper.
+STEP = f"kind int, best long, est double, least long, {TREE_ROW}"
 
-TREE_ROW = "leaf long, level int, node long, n long, sketch binary, path binary"
+
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """A column of binary values of equal length, a row for each."""
+    if not len(column):
+        return np.empty((0, 0), kind)
+    if pa.types.is_large_binary(column.type):
+        column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), -1).view(kind)
+
+
+def _binary(matrix: np.ndarray) -> pa.Array:
+    data = np.ascontiguousarray(matrix)
+    offsets = np.arange(len(data) + 1, dtype=np.int32) * (data.nbytes // max(1, len(data)))
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def first_level(classes: DataFrame, join: Join) -> DataFrame:
     """A row per class and tree, with the node it belongs to at the first level."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = join.paths()
-        for batch in rows(batches, 2000):
+        for batch in rows(batches, 4000):
             n = batch.num_rows
-            pool = np.frombuffer(b"".join(batch.column("pool").to_pylist()), np.uint32).reshape(n, join.pool)
-            chosen = pool[:, paths.ravel()].reshape(n * join.trees, join.depth)
+            path = _matrix(batch.column("paths"), np.uint32).reshape(n * join.trees, join.places) if n else np.empty((0, join.places), np.uint32)
             tree = np.tile(np.arange(join.trees, dtype=np.uint64), n)
             take = pa.array(np.repeat(np.arange(n), join.trees))
-            key = mixed((tree << np.uint64(32)) + chosen[:, 0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(np.ones(len(key), np.int32)), *(batch.column(c).take(take) for c in ("node", "n", "sketch")), pa.array([x.tobytes() for x in chosen], pa.binary())],
-                [x.split()[0] for x in TREE_ROW.split(", ")],
-            )
-
-    return classes.where("n > 0").select("node", "n", "sketch", "pool").mapInArrow(run, TREE_ROW)
+            key = mixed((tree << np.uint64(32)) + path[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.zeros(len(key), np.int32)), *(batch.column(c).take(take) for c in ("node", "n", "sketch")), _binary(path)], NAMES)
+
+    return classes.where("n > 0").select("node", "n", "sketch", "paths").mapInArrow(run, TREE_ROW)
+
+
+class _Rows:
+    """Rows of the tree as arrays."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.arrays = arrays
+        self.leaf, self.at, self.node, self.n, self.sketch, self.path = arrays
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> _Rows:
+        column = dict(zip(NAMES, (batch.column(c) for c in NAMES)))
+        return cls([*(column[c].to_numpy() for c in NAMES[:4]), _matrix(column["sketch"], np.uint8), _matrix(column["path"], np.uint32)])
+
+    def __len__(self) -> int:
+        return len(self.leaf)
+
+    def __getitem__(self, which) -> _Rows:
+        return _Rows([a[which] for a in self.arrays])
+
+    def __add__(self, other: _Rows) -> _Rows:
+        return _Rows([np.concatenate(x) for x in zip(self.arrays, other.arrays)]) if len(self) else other
+
+
+def _deeper(r: _Rows, join: Join) -> pa.RecordBatch:
+    """The rows of large nodes, once for each branch."""
+    b = join.branches
+    at = (np.repeat(r.at.astype(np.int64) * b + 1, b).reshape(-1, b) + np.arange(b)).ravel()
+    which = np.repeat(np.arange(len(r)), b)
+    token = r.path[which, at].astype(np.uint64)
+    key = mixed(r.leaf.view(np.uint64)[which] * np.uint64(0x9FB21C651E98DF25) + (at.astype(np.uint64) << np.uint64(32)) + token)
+    d = r[which]
+    none = pa.nulls(len(d), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.ones(len(d), np.int32)), none, pa.nulls(len(d), pa.float64()), none, pa.array(key.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(d.node), pa.array(d.n), _binary(d.sketch), _binary(d.path)],
+        ["kind", "best", "est", "least", *NAMES],
+    )
+
+
+def _found(group: np.ndarray, node: np.ndarray, best: np.ndarray, est: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+    """Classes of groups with their partners; an estimate of -1 stands for none."""
+    none, lost = est < 0, len(node)
+    empty = [pa.nulls(lost, k) for k in (pa.int32(), pa.int64(), pa.binary(), pa.binary())]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(lost, np.int32)), pa.array(best, mask=none), pa.array(est, mask=none), pa.array(least, mask=none), pa.array(group), empty[0], pa.array(node), empty[1], empty[2], empty[3]],
+        ["kind", "best", "est", "least", *NAMES],
+    )
+
+
+_NONE = np.iinfo(np.int64).max
+
+
+def _compared(r: _Rows, begins: np.ndarray, sizes: np.ndarray, join: Join) -> Iterator[pa.RecordBatch]:
+    """Small nodes, exhaustively: the classes that sketches connect are a group."""
+    for size in np.unique(sizes[sizes > 1]):
+        of = begins[sizes == size]
+        step = max(1, 100_000 // int(size) ** 2)
+        for start in range(0, len(of), step):
+            at = of[start : start + step, None] + np.arange(size)
+            node, own = r.node[at], np.arange(size)
+            est = candidates(r.sketch[at], r.n[at], r.sketch[at], r.n[at], join)
+            est[:, own, own] = -1
+            near = est > 0
+            has = near.any(axis=2)
+            if not has.any():
+                continue
+            label = np.broadcast_to(own, at.shape)
+            while True:
+                lower = np.minimum(label, np.where(near, label[:, None, :], size).min(axis=2))
+                if (lower == label).all():
+                    break
+                label = lower
+            group = mixed(r.leaf[at].view(np.uint64) + (label.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            best = est.argmax(axis=2)
+            least = np.where(near, node[:, None, :], _NONE).min(axis=2)
+            yield _found(group[has], node[has], np.take_along_axis(node, best, 1)[has], est.max(axis=2)[has], least[has])
+
+
+def _led(r: _Rows, leaders: _Rows | None, join: Join) -> tuple[pa.RecordBatch, _Rows]:
+    """Classes of a large node of the last level, compared with each other and with its leaders; who is close to none becomes
+    a leader, up to a number. All classes are listed, as any may have a link that this comparison leaves out."""
+    others = r if leaders is None else leaders + r
+    est = candidates(r.sketch, r.n, others.sketch, others.n, join)
+    est[r.node[:, None] == others.node] = -1
+    best, least = est.argmax(axis=1), np.where(est > 0, others.node, _NONE).min(axis=1)
+    found = _found(mixed(r.leaf.view(np.uint64)).view(np.int64), r.node, others.node[best], est.max(axis=1), least)
+    if leaders is None:
+        return found, r
+    far = est[:, : len(leaders)].max(axis=1) < (1 + join.cut) / 2
+    return found, (leaders + r[far])[: 8 * join.node]
 
 
 def node_step(table: DataFrame, join: Join, last: bool) -> DataFrame:
-    """Of each node's classes, either pairs to confirm and the classes they are of, or the classes one level deeper.
-
-    kind 0: node, other, est. kind 1: leaf, node, n, sketch. kind 2: rows of the next level.
-    """
-    fields = ["kind", "other", "est", *(x.split()[0] for x in TREE_ROW.split(", "))]
+    """Of each node's classes, either those that have partners or the rows one level deeper."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        held: list[tuple] = []
-        key, large, leaders = None, False, None
-
-        def deeper(r: tuple) -> tuple:
-            leaf, level, node, n, sketch, path = r
-            token = np.frombuffer(path, np.uint32)[level : level + 1]
-            k = mixed(np.array([leaf], np.int64).view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + token)
-            return (2, None, None, int(k.view(np.int64)[0]), level + 1, node, n, sketch, path)
-
-        def compare(group: list[tuple]) -> None:
-            if len(group) < 2:
-                return
-            sketches = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), -1)
-            sizes = np.array([r[3] for r in group])
-            est = candidates(sketches, sizes, sketches, sizes, join)
-            np.fill_diagonal(est, -1)
-            _emit(group, group, est, out, listed=leaders is None)
-
-        def lead(group: list[tuple]) -> None:
-            """Compares with the node's leaders; who is close to none becomes one. All classes are listed, as any may have
-            a link that this comparison leaves out."""
-            nonlocal leaders
-            if not group:
-                return
-            compare(group)
-            out.extend(_member(r) for r in group)
-            sketches = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), -1)
-            sizes = np.array([r[3] for r in group])
-            if leaders:
-                known = np.frombuffer(b"".join(r[4] for r in leaders), np.uint8).reshape(len(leaders), -1)
-                est = candidates(sketches, sizes, known, np.array([r[3] for r in leaders]), join)
-                _emit(group, leaders, est, out, listed=False)
-                leaders += [r for r, e in zip(group, est.max(axis=1)) if e < (1 + join.cut) / 2]
-            else:
-                leaders = list(group)
-
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in fields[3:])):
-                if r[0] != key:
-                    (lead if leaders is not None else compare)(held)
-                    key, large, held, leaders = r[0], False, [], None
-                if large:
-                    out.append(deeper(r))
-                else:
-                    held.append(r)
-                    if len(held) > join.node:
-                        if last:
-                            leaders = leaders or []
-                            lead(held)
-                        else:
-                            large = True
-                            out += map(deeper, held)
-                        held = []
-                if len(out) > 20_000:
-                    yield _step_batch(out, fields)
-                    out = []
-        (lead if leaders is not None and held else compare)(held)
-        yield _step_batch(out, fields)
-
-    schema = "kind int, other long, est double, " + TREE_ROW
-    return table.repartition("leaf").sortWithinPartitions("leaf", "node").mapInArrow(run, schema)
-
-
-def _member(r: tuple) -> tuple:
-    leaf, level, node, n, sketch, _ = r
-    return (1, None, None, leaf, level, node, n, sketch, None)
-
-
-def _emit(group: list[tuple], others: list[tuple], est: np.ndarray, out: list[tuple], listed: bool, best: int = 3) -> None:
-    """The best partners of each class of a group, and the classes that have partners unless listed is false."""
-    for i in np.flatnonzero((est > 0).any(axis=1)):
-        r = group[i]
-        partners = np.flatnonzero(est[i] > 0)
-        for j in partners[np.argsort(-est[i][partners], kind="stable")[:best]]:
-            if others[j][2] != r[2]:
-                out.append((0, others[j][2], float(est[i, j]), None, None, r[2], None, None, None))
-        if listed:
-            out.append(_member(r))
-
-
-def _step_batch(out: list[tuple], fields: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    columns = zip(*out) if out else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], fields)
+        held, large, leaders = None, None, None  # rows of the node that may go on, or its key if it is large
+        for batch in chain(batches, [None]):
+            r = _Rows.of(batch) if batch is not None else None
+            if held is not None:
+                r = held if r is None else held + r
+            held = None
+            if r is None or not len(r):
+                continue
+            cuts = np.flatnonzero(r.leaf[1:] != r.leaf[:-1]) + 1
+            begins = np.append(0, cuts)
+            sizes = np.diff(np.append(begins, len(r)))
+            big = sizes > join.node
+            big[0] |= r.leaf[0] == large
+            if batch is not None and not big[-1]:
+                held = r[begins[-1] :]
+                begins, sizes, big = begins[:-1], sizes[:-1], big[:-1]
+            yield from _compared(r, begins[~big], sizes[~big], join)
+            if last:
+                for begin, size in zip(begins[big], sizes[big]):
+                    if r.leaf[begin] != large:
+                        large, leaders = r.leaf[begin], None
+                    for start in range(begin, begin + size, join.node):
+                        found, leaders = _led(r[start : min(start + join.node, begin + size)], leaders, join)
+                        yield found
+            elif big.any():
+                for part in np.array_split(np.flatnonzero(np.repeat(big, sizes)), -(-int(sizes[big].sum()) // 10_000)):
+                    yield _deeper(r[part], join)
+            large = r.leaf[-1] if held is None else None
+
+    return table.repartition("leaf").sortWithinPartitions("leaf", "node").mapInArrow(run, STEP)
 
 
 def cells(members: DataFrame, labels: DataFrame, join: Join) -> DataFrame:
@@ -277,7 +342,7 @@ def cells(members: DataFrame, labels: DataFrame, join: Join) -> DataFrame:
 
     A leaf has a cell per block of the former and block of all, so a class is in as many cells as needed, and none is large.
     """
-    table = members.join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    table = _placed(members, labels)
     leaves = table.groupBy("leaf", "part").agg(F.count("*").alias("k")).groupBy("leaf").agg(F.sum("k").alias("k"), F.max(F.struct("k", "part")).alias("main"))
     blocks = lambda k: F.ceil(k / F.lit(join.block))
     leaves = leaves.where("k > main.k").select("leaf", F.col("main.part").alias("main"), blocks(F.col("k") - F.col("main.k")).alias("downs"), blocks(F.col("k")).alias("acrosses"))
@@ -287,11 +352,22 @@ def cells(members: DataFrame, labels: DataFrame, join: Join) -> DataFrame:
     as_other = F.transform(F.sequence(F.lit(0).cast("long"), F.col("downs") - 1), lambda i: cell(i, aside, own & (i == down), F.lit(True)))
     rest = F.filter(F.sequence(F.lit(0).cast("long"), F.col("acrosses") - 1), lambda j: own & (j != aside))
     as_own = F.transform(rest, lambda j: cell(down, j, F.lit(True), F.lit(False)))
-    dealt = table.join(leaves, "leaf").select("leaf", "node", "n", "sketch", "part", F.explode(F.concat(as_other, as_own)).alias("c"))
-    return dealt.select(F.xxhash64("leaf", "c.i", "c.j").alias("cell"), "node", "n", "sketch", "part", "c.own", "c.other")
+    dealt = table.join(leaves, "leaf").select("leaf", "node", "part", F.explode(F.concat(as_other, as_own)).alias("c"))
+    return dealt.select(F.xxhash64("leaf", "c.i", "c.j").alias("cell"), "node", "part", "c.own", "c.other")
+
+
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
+
 
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (leaf, node) of leaves with classes of several components."""
+    table = _placed(members, labels)
+    several = table.groupBy("leaf").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("leaf")
+    return table.select("leaf", "node").join(several, "leaf", "left_semi")
 
-def across(members: DataFrame, labels: DataFrame, join: Join, most: int, chunk: int = 256) -> DataFrame:
+
+def across(members: DataFrame, labels: DataFrame, classes: DataFrame, join: Join, most: int, chunk: int = 256) -> DataFrame:
     """Pairs (a, b) of classes of different components that share a leaf and whose sketches allow a link.
 
     Each component gives its likeliest pairs of a cell, at most so many; a row of nulls says that others were left out.
@@ -324,7 +400,8 @@ def across(members: DataFrame, labels: DataFrame, join: Join, most: int, chunk:
                 a, b = (pa.concat_arrays([c, pa.nulls(1, pa.int64())]) for c in (a, b))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
-    return cells(members, labels, join).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+    dealt = cells(members, labels, join).join(classes.select("node", "n", "sketch"), "node")
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
@@ -348,15 +425,21 @@ def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[dict[str, l
 
 def full_sets(df: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     """The shingles (48 bits of each hash) of the classes in nodes (node, doc_id, text_hash)."""
-    one = df.select(F.col("doc_id").cast("long").alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    wanted = one.join(nodes.hint("shuffle_hash"), one["d"].eqNullSafe(nodes["doc_id"]) & (one["h"] == nodes["text_hash"])).select("node", "text")
+    one = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    keys = nodes.select("node", F.col("doc_id").alias("node_doc"), F.col("text_hash").alias("node_hash"))
+    wanted = one.join(keys, F.col("doc_id").eqNullSafe(F.col("node_doc")) & (F.col("text_hash") == F.col("node_hash"))).select("node", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in pieces(batches, mb=2):
+            node = batch.column("node").to_numpy()
+            new = np.append(node[0] != before, node[1:] != node[:-1])  # rows repeated in the table come side by side
+            before = node[-1]
+            batch = batch.filter(pa.array(new))
             sets = [s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for s in shingle_sets(texts(batch), join.shingle)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    return wanted.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return wanted.mapInArrow(run, "node long, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -380,12 +463,50 @@ def confirm(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and part (the smallest node that links reach), by alternating stars until nothing changes."""
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    edges = stored(edges, "stars")
+def contracted(edges: DataFrame) -> DataFrame:
+    """The links (a, b) of each task as stars (u, v): from each node to the smallest one that it is connected with there."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches):
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := parent.setdefault(x, x)) != x:
+                    parent[x] = x = parent[up]
+                return x
+
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            stars = [(x, v) for x in parent if (v := root(x)) != x]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in stars], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, joined to blocks of about LINKS rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= LINKS:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def components(links: DataFrame, n: int) -> DataFrame:
+    """node and part (the smallest node that links reach) of n links (a, b).
+
+    Tasks contract blocks of links to stars. If there are several blocks, alternating stars follow until nothing changes.
+    """
+    blocks = -(-n // LINKS) or 1
+    edges = stored(contracted(links.select("a", "b").repartition(blocks)), "stars")
     before = None
-    while True:
+    while blocks > 1:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -402,17 +523,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def kept_documents(df: DataFrame, join: Join) -> DataFrame:
-    """The rows of df whose id is their component's."""
-    kept = near_duplicates(df, join).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = df["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(df["text"], F.lit(""))) == F.col("_hash"))
-    return df.join(stored(kept, "kept").hint("shuffle_hash"), same, "left_semi")
-
-
-def best_pairs(pairs: DataFrame, n: int) -> DataFrame:
-    """Pairs that are among the n best of either class."""
-    ends = pairs.select("a", "b", "est", F.explode(F.array("a", "b")).alias("end"))
-    rank = F.row_number().over(W.partitionBy("end").orderBy(F.desc("est"), "a", "b"))
-    return ends.withColumn("rank", rank).where(F.col("rank") <= n).select("a", "b").distinct()
+    """The rows of df whose id is their component's. Columns other than doc_id and text may have any names."""
+    kept = near_duplicates(df, join).where("kept").select("doc_id", "text_hash").distinct()
+    rest = [c for c in df.columns if c not in ("doc_id", "text")]
+    one = df.select("doc_id", "text", F.struct(*rest).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
+    one = one.withColumn("text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = one["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (one["text_hash"] == kept["text_hash"])
+    left = one.join(kept, same, "left_semi")
+    return left.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in df.columns))
 
 
 def near_duplicates(df: DataFrame, join: Join = Join()) -> DataFrame:
@@ -420,44 +538,47 @@ def near_duplicates(df: DataFrame, join: Join = Join()) -> DataFrame:
     the id is the component's)."""
     docs = stored(signatures(df, join), "signatures")
     # copies meet here once per task; their rows are not gathered
-    classes = docs.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash", "n", "sketch", "pool")).alias("r"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "set", "r.*"), "classes")
+    row = F.min(F.struct("doc_id", "text_hash", "n", "sketch", "paths"))
+    classes = docs.groupBy("set").agg(row.alias("r"), F.min("doc_id").alias("first_id"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "set", "first_id", "r.*"), "classes")
 
     level = first_level(classes, join)
-    pairs = members = None
+    steps = []
     for depth in range(1, join.depth + 1):
         step = stored(node_step(level, join, depth == join.depth), "nodes")
-        found = step.where("kind = 0").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "est")
-        held = step.where("kind = 1").select("leaf", "node", "n", "sketch")
-        pairs, members = (found, held) if pairs is None else (pairs.unionByName(found), members.unionByName(held))
-        level = step.where("kind = 2").select(*(x.split()[0] for x in TREE_ROW.split(", ")))
+        steps.append(step.where("kind = 0").select("leaf", "node", "best", "est", "least"))
+        level = step.where("kind = 1").select(*NAMES)
         if depth < join.depth and level.isEmpty():
             break
+    found = reduce(DataFrame.unionByName, steps)
+    members = found.select("leaf", "node")
 
-    pairs = stored(pairs.groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
-    involved = members.select("node").distinct().join(classes.select("node", "doc_id", "text_hash"), "node")
+    chosen = found.groupBy("node").agg(F.max(F.struct("est", "best"))["best"].alias("best"), F.min("least").alias("least"))
+    chosen = stored(chosen, "chosen")
+    involved = chosen.join(classes.select("node", "doc_id", "text_hash"), "node")
     sets = stored(full_sets(df, involved, join), "sets")
 
-    tried = stored(best_pairs(pairs, 1), "tried")
+    other = chosen.select("node", F.explode(F.array_distinct(F.array("best", "least"))).alias("other")).where("other IS NOT NULL")
+    tried = stored(other.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "tried")
     links = stored(confirm(tried, sets, join), "links")
-    labels = components(links)
-    # what the best partners of each class have not shown: pairs across components in the leaves, the likeliest first
+    labels = components(links, links.count())
+    # what these pairs have not shown: pairs across components in groups and large nodes, the likeliest first
     most = 4
     while True:
-        found = stored(across(members, labels, join, most), "across")
+        members = stored(unsettled(members, labels), "members")
+        found = stored(across(members, labels, classes, join, most), "across")
         more = stored(found.where("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "tried")
         tried = tried.unionByName(more)
         new = stored(confirm(more, sets, join), "links")
         if not new.isEmpty():
             links = links.unionByName(new)
-            labels = components(links)
+            labels = components(links, links.count())
         if found.where("a IS NULL").isEmpty():
             break
         most *= 16
 
-    named = classes.where("n > 0").select("set", "node").join(labels, "node", "left").select("set", F.coalesce("part", "node").alias("part"))
-    placed = docs.select("doc_id", "text_hash", "n", "set").join(named, "set", "left")
-    least = placed.groupBy("part").agg(F.min("doc_id").alias("least"))
-    out = placed.join(least, "part", "left")
+    named = classes.where("n > 0").select("set", "node", "first_id").join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    least = named.groupBy("part").agg(F.min("first_id").alias("least"))
+    out = docs.select("doc_id", "text_hash", "n", "set").join(named.join(least, "part").select("set", "least"), "set", "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
