@@ -323,6 +323,32 @@ def test_chat_cannot_be_forged(spark):
     assert chat.formatted(df.limit(0)).count() == 1  # the forger alone
 
 
+def test_chat_keeps_conversations_apart(spark):
+    """Ids beyond 2**53 beside a null one, equal turn numbers, null turns, extra columns; and each example's prefix."""
+    big = 2**53
+    rows = [(c, t, role, f"{c} {t} {role} é", 1) for c in (big, big + 1, None) for t, role in ((None, "system"), (1, "user"), (1, "assistant"), (2, "user"), (3, "assistant"))]
+    rows += [(5, t, "assistant" if t % 2 else "user", "x" * t, 1) for t in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position int").repartition(3)
+    turns = chat.render(df)
+    want = {}
+    for c in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        replies = "".join(r[3] for r in own if r[2] == "assistant")
+        want[c] = (len(own), hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in own).encode()).hexdigest(), len(replies), hashlib.sha256(replies.encode()).hexdigest())
+        text, prefixes = "", []
+        for r in own:
+            text += f"<|im_start|>{r[2]}\n{r[3]}<|im_end|>\n"
+            prefixes += [(text, r[3])] if r[2] == "assistant" else []
+        same = F.lit(c).cast("long").eqNullSafe(F.col("conv_id"))
+        made = chat.expand(turns.where(same), chat.examples(turns.where(same))).orderBy("target").collect()
+        assert [(x["text"], x["text"][x["loss_begin"] : x["loss_stop"]]) for x in made] == prefixes
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.formatted(df).collect()}
+    assert {c: x for c, x in got.items() if c != -1} == want
+    for change in ({"length": F.col("length") + 1}, {"hashes": F.col("hashes") + 1}, {"loss_begin": F.lit(0).cast("long")}):
+        with pytest.raises(Exception, match="differs from the turns"):
+            chat.read_back(turns, chat.examples(turns).withColumns(change)).collect()
+
+
 def test_warc(spark):
     big = "<p>é" * 600
     rows = [(1, "http://a b\r\nX: y", big), (2, None, big), (3, "u", None), (4, "u", "small"), (5, "u", "small"), (None, "u", big), (2, None, big), (6, "u", "a\r\n\r\nb" * 300)]
