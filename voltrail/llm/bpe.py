@@ -13,9 +13,9 @@ table gives an empty table. Columns other than the id and the text are not read.
 from __future__ import annotations
 
 import base64
-
-from collections import ChainMap
+import re
 from collections.abc import Callable, Iterable, Iterator
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -23,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltrail.llm.common import list_array, pieces, rows, texts
+from voltrail.llm.common import SPACES, Cache, distinct, list_array, pieces, rows, spread, texts
 
 #: White space of Unicode (property White_Space), as the tokenizers' patterns understand it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Cached segments in a Python worker.
-CACHE = 700_000
-#: Remembered verdicts on token pairs.
-PAIRS = 600_000
+#: MB of segments and of pieces that a Python worker remembers, and verdicts on token pairs.
+SEGMENTS_MB, PIECES_MB, PAIRS = 96, 64, 200_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -97,7 +95,7 @@ class Vocabulary:
                 below, x = x, self.right[x]
             else:
                 below, y = y + 1, self.left[y]
-        if len(self.apart) > PAIRS:
+        if len(self.apart) >= PAIRS:
             self.apart.clear()
         self.apart[a << 32 | b] = verdict
         return verdict
@@ -171,51 +169,105 @@ class PrefixTable:
         return out[::-1]
 
 
+#: Texts by which an encoder finds out whether a pattern can be matched segment by segment.
+PROBE = ["It's  a\n\n test,  don't\t\tstop. ", " 1234 56\r\n\u00a0x\u3000y \n", "\u00e9t\u00e9 \u00c9T\u00c9!? \u4f60\u597d 'll  'LL 's\n x", "a_b (c)  [d]\n\n\n e\x0b\x0cf \u2028g"]
+
+
+_BORDER = r"(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])"
+LETTERS, MARKS = (np.array([bool(re.match(f"[{c}]", chr(i))) for i in range(256)]) for c in ("A-Za-z", r"!-/:-@\[-`{-~"))
+#: White space that is not ASCII, in UTF-8.
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
 class Encoder:
-    """Encodes texts; segments and pieces that come again are looked up."""
+    """Encodes texts segment by segment: white space, and words with the space before them. Each distinct segment of a batch
+    is looked up once; those that are new are split into pieces, and new pieces go through the prefix table."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        import re
-
         import regex
 
         self.vocabulary = vocabulary
         self.split = regex.compile(pattern).findall
-        # white-space segments and the words after them: no match of the pattern crosses their borders
-        self.segments = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+        segments = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+        # in a pattern that the probes agree with, no match crosses the borders of segments
+        self.by_segment = all(self.split(t) == [p for s in segments(t) for p in self.split(s)] for t in PROBE)
+        # nor does one cross the border of an ASCII letter and a sign after it
+        self.by_letters = self.by_segment and all(self.split(t) == [p for s in re.split(_BORDER, t) for p in self.split(s)] for t in PROBE)
+        self.segments = segments if self.by_segment else self.split
         self.packed = [np.int32(i).tobytes() for i in range(len(vocabulary.tokens))]
-        self.cache: dict[str, bytes] = {}
+        self.cache, self.pieces = Cache(SEGMENTS_MB), Cache(PIECES_MB)
+        self.strings = pa.array(vocabulary.tokens, pa.binary())
+        self.decimals = pa.array([f"{i},".encode() for i in range(len(vocabulary.tokens))], pa.binary())
 
-    def _learn(self, segments: set[str]) -> dict[str, bytes]:
-        """The segments' ids. Their pieces are taken in order, so that one table keeps the common prefixes."""
-        split = {s: [p.encode() for p in self.split(s)] for s in segments}
-        known: dict[bytes, bytes] = {}
+    def _learn_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The pieces' ids. They are taken in order, so that one table keeps the common prefixes."""
         rank, packed = self.vocabulary.rank.get, self.packed
-        table = PrefixTable(self.vocabulary)
-        for piece in sorted(set(chain.from_iterable(split.values()))):
-            token = rank(piece)
+        table, found = PrefixTable(self.vocabulary), {}
+        for piece in sorted(pieces):
+            data = piece.encode()
+            token = rank(data)
             if token is not None:
-                known[piece] = packed[token]
+                found[piece] = packed[token]
             else:
-                table.become(piece)
-                known[piece] = b"".join([packed[t] for t in table.tokens()])
-        return {s: b"".join([known[p] for p in ps]) for s, ps in split.items()}
+                table.become(data)
+                found[piece] = b"".join([packed[t] for t in table.tokens()])
+        return [found[p] for p in pieces]
+
+    def _learn(self, segments: list[bytes]) -> list[bytes]:
+        split = [self.split(s.decode()) for s in segments]
+        pieces = list(set(chain.from_iterable(split)))
+        found = dict(zip(pieces, self.pieces.look_up(pieces, self._learn_pieces)))
+        return [found[ps[0]] if len(ps) == 1 else b"".join([found[p] for p in ps]) for ps in split]
+
+    def _cut(self, several: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The texts as bytes, where their segments begin, and how many each text has."""
+        encoded = [t.encode() for t in several]
+        data = b"".join(encoded)
+        if not self.by_segment or _WIDE.search(data):
+            split = [self.segments(t) for t in several]
+            sizes = np.array([len(s.encode()) for ss in split for s in ss], np.int64)
+            return data, np.cumsum(sizes) - sizes, np.array([len(ss) for ss in split], np.int64)
+        raw = np.frombuffer(data, np.uint8)
+        begins = np.cumsum([0, *map(len, encoded)])
+        first = np.zeros(len(raw) + 1, bool)
+        first[begins] = True
+        space = SPACES[raw]
+        before = np.empty_like(space)
+        before[1:], before[:1] = space[:-1], False
+        start = first[:-1] | (space & ~before)  # a text or a run of white space begins
+        word = np.flatnonzero(~space & before & ~first[:-1])  # words after white space
+        start[word[raw[word - 1] != 0x20]] = True
+        start[word - 1] = True  # the last of the run goes with the word, or stands alone
+        if self.by_letters:
+            start[1:] |= LETTERS[raw[:-1]] & MARKS[raw[1:]]
+        at = np.flatnonzero(start)
+        return data, at, np.diff(np.searchsorted(at, begins))
+
+    def encode_flat(self, several: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (int32) of all texts in a row, and how many each has."""
+        data, starts, segments = self._cut(several)
+        which, strings = distinct(data, starts)
+        ids, counts = spread(self.cache.look_up(strings, self._learn), which)
+        ends = np.cumsum([0, *segments])
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        return ids, np.diff(upto[ends])
 
     def encode_batch(self, several: list[str]) -> list[np.ndarray]:
         """The ids (int32) of each text."""
-        split = [self.segments(t) for t in several]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        missing = set()
-        for segments in split:
-            missing.update([s for s in segments if s not in cache])
-        found = self._learn(missing)
-        look = cache
-        if any(len(s) > 64 for s in missing):  # long segments hardly come again
-            look = ChainMap({s: found.pop(s) for s in missing if len(s) > 64}, cache)
-        cache.update(found)
-        return [np.frombuffer(b"".join(map(look.__getitem__, segments)), np.int32) for segments in split]
+        ids, sizes = self.encode_flat(several)
+        ends = np.cumsum(sizes)
+        return [ids[b - n : b] for b, n in zip(ends, sizes)]
+
+    def joined(self, strings: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> list[memoryview]:
+        """Of each text, the joined strings of its ids."""
+        taken = strings.take(pa.array(ids))
+        offsets = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(ids) + 1]
+        data, ends = memoryview(taken.buffers()[2] or b""), np.cumsum([0, *sizes])
+        return [data[offsets[a] : offsets[b]] for a, b in zip(ends, ends[1:])]
+
+    def decode_flat(self, ids: np.ndarray, sizes: np.ndarray) -> list[memoryview]:
+        """The bytes of each text's ids."""
+        return self.joined(self.strings, ids, sizes)
 
 
 _encoders: dict[tuple, Encoder] = {}  # one for each vocabulary and pattern in a Python worker
@@ -256,11 +308,10 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
     one = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(shared, pattern).encode_batch
-        for batch in pieces(batches):
-            ids = encode(texts(batch))
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), list_array(flat, [len(x) for x in ids], pa.int32()), batch.column("rest")], ["id", "tokens", "rest"])
+        encode = _encoder(shared, pattern).encode_flat
+        for batch in pieces(batches, mb=4):
+            ids, sizes = encode(texts(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), list_array(ids, sizes, pa.int32()), batch.column("rest")], ["id", "tokens", "rest"])
 
     out = one.mapInArrow(run, f"id {kind.simpleString()}, tokens array<int>, rest {one.schema['rest'].dataType.simpleString()}")
     return out.select(F.col("id").alias(id_col), "tokens", *(F.col(f"rest.`{c}`").alias(c) for c in carry))
@@ -288,8 +339,18 @@ def _arrow(batch: pa.RecordBatch, keep: list[str], into: str) -> pa.Schema:
 
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The digest columns of op1: ids and decoded bytes, both from the operators above."""
-    coded = encode_documents(df, path, pattern)
-    digested = coded.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), "tokens")
-    decoded = decode_documents(digested, path)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """The digest columns of op1. A task encodes a piece of its texts, decodes the ids and keeps the digests of both, so
+    that neither ids nor decoded bytes leave it."""
+    shared = _share(df, path)
+    one = df.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = one.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared, pattern)
+        for batch in pieces(batches, mb=4):
+            ids, sizes = encoder.encode_flat(texts(batch))
+            coded = [sha256(x[:-1]).hexdigest() for x in encoder.joined(encoder.decimals, ids, sizes)]
+            decoded = [sha256(x).hexdigest() for x in encoder.decode_flat(ids, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return one.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
