@@ -7,7 +7,7 @@ last level is compared in chunks and with leaders.
 
 Of each class the likeliest partner and the partner with the smallest number are confirmed on full sets. Then the groups of
 classes that sketches connect in a node, and the large nodes of the last level, are looked through for classes that
-confirmed links have not brought into one component: these meet in blocks, and the pairs whose sketches allow a link are
+confirmed links have not brought into one component. Groups of all trees that share classes are one; in it, these classes meet in blocks, and the pairs whose sketches allow a link are
 confirmed in rounds, the likeliest first, until none is left. What confirmed links connect is not looked at again, so a
 group of copies costs links in proportion to its size, not to its square.
 
@@ -51,7 +51,7 @@ class Join:
     percent: int = 80  # links: 100 * intersection >= percent * union
     trees: int = 0  # 0: as many as miss asks for
     branches: int = 2  # of a class in a node that is split
-    depth: int = 4
+    depth: int = 3
     miss: float = 1e-4  # of the pairs at the threshold, if every node is split down to the last level
     node: int = 64  # classes that are compared exhaustively
     hashes: int = 256  # two bits of each make the sketch; trees choose from them
@@ -176,8 +176,9 @@ def candidates(sketches: np.ndarray, sizes: np.ndarray, others: np.ndarray, othe
 #: A class in a node: the node's key, the place of its next branches in the tree, the class, its size, sketch and tokens.
 TREE_ROW = "leaf long, at int, node long, n long, sketch binary, path binary"
 NAMES = [x.split()[0] for x in TREE_ROW.split(", ")]
-#: What a node has found: kind 0, a class of a group with its likeliest and its smallest partner; kind 1, a row one level deeper.
-STEP = f"kind int, best long, est double, least long, {TREE_ROW}"
+#: What a node has found: kind 0, a class of a group (leaf) with its likeliest and its smallest partner, and one class for the
+#: whole group; kind 1, a row one level deeper.
+STEP = f"kind int, best long, est double, least long, first long, {TREE_ROW}"
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -243,18 +244,18 @@ def _deeper(r: _Rows, join: Join) -> pa.RecordBatch:
     d = r[which]
     none = pa.nulls(len(d), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.ones(len(d), np.int32)), none, pa.nulls(len(d), pa.float64()), none, pa.array(key.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(d.node), pa.array(d.n), _binary(d.sketch), _binary(d.path)],
-        ["kind", "best", "est", "least", *NAMES],
+        [pa.array(np.ones(len(d), np.int32)), none, pa.nulls(len(d), pa.float64()), none, none, pa.array(key.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(d.node), pa.array(d.n), _binary(d.sketch), _binary(d.path)],
+        ["kind", "best", "est", "least", "first", *NAMES],
     )
 
 
-def _found(group: np.ndarray, node: np.ndarray, best: np.ndarray, est: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+def _found(group: np.ndarray, first: np.ndarray, node: np.ndarray, best: np.ndarray, est: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
     """Classes of groups with their partners; an estimate of -1 stands for none."""
     none, lost = est < 0, len(node)
     empty = [pa.nulls(lost, k) for k in (pa.int32(), pa.int64(), pa.binary(), pa.binary())]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.zeros(lost, np.int32)), pa.array(best, mask=none), pa.array(est, mask=none), pa.array(least, mask=none), pa.array(group), empty[0], pa.array(node), empty[1], empty[2], empty[3]],
-        ["kind", "best", "est", "least", *NAMES],
+        [pa.array(np.zeros(lost, np.int32)), pa.array(best, mask=none), pa.array(est, mask=none), pa.array(least, mask=none), pa.array(first), pa.array(group), empty[0], pa.array(node), empty[1], empty[2], empty[3]],
+        ["kind", "best", "est", "least", "first", *NAMES],
     )
 
 
@@ -284,7 +285,7 @@ def _compared(r: _Rows, begins: np.ndarray, sizes: np.ndarray, join: Join) -> It
             group = mixed(r.leaf[at].view(np.uint64) + (label.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             best = est.argmax(axis=2)
             least = np.where(near, node[:, None, :], _NONE).min(axis=2)
-            yield _found(group[has], node[has], np.take_along_axis(node, best, 1)[has], est.max(axis=2)[has], least[has])
+            yield _found(group[has], np.take_along_axis(node, label, 1)[has], node[has], np.take_along_axis(node, best, 1)[has], est.max(axis=2)[has], least[has])
 
 
 def _led(r: _Rows, leaders: _Rows | None, join: Join) -> tuple[pa.RecordBatch, _Rows]:
@@ -294,7 +295,7 @@ def _led(r: _Rows, leaders: _Rows | None, join: Join) -> tuple[pa.RecordBatch, _
     est = candidates(r.sketch, r.n, others.sketch, others.n, join)
     est[r.node[:, None] == others.node] = -1
     best, least = est.argmax(axis=1), np.where(est > 0, others.node, _NONE).min(axis=1)
-    found = _found(mixed(r.leaf.view(np.uint64)).view(np.int64), r.node, others.node[best], est.max(axis=1), least)
+    found = _found(mixed(r.leaf.view(np.uint64)).view(np.int64), np.full(len(r), others.node[0]), r.node, others.node[best], est.max(axis=1), least)
     if leaders is None:
         return found, r
     far = est[:, : len(leaders)].max(axis=1) < (1 + join.cut) / 2
@@ -361,10 +362,10 @@ def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members (leaf, node) of leaves with classes of several components."""
+    """The rows of members (leaf, node and others) of leaves with classes of several components."""
     table = _placed(members, labels)
     several = table.groupBy("leaf").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("leaf")
-    return table.select("leaf", "node").join(several, "leaf", "left_semi")
+    return table.select(*members.columns).join(several, "leaf", "left_semi")
 
 
 def across(members: DataFrame, labels: DataFrame, classes: DataFrame, join: Join, most: int, chunk: int = 256) -> DataFrame:
@@ -546,12 +547,11 @@ def near_duplicates(df: DataFrame, join: Join = Join()) -> DataFrame:
     steps = []
     for depth in range(1, join.depth + 1):
         step = stored(node_step(level, join, depth == join.depth), "nodes")
-        steps.append(step.where("kind = 0").select("leaf", "node", "best", "est", "least"))
+        steps.append(step.where("kind = 0").select("leaf", "node", "best", "est", "least", "first"))
         level = step.where("kind = 1").select(*NAMES)
         if depth < join.depth and level.isEmpty():
             break
     found = reduce(DataFrame.unionByName, steps)
-    members = found.select("leaf", "node")
 
     chosen = found.groupBy("node").agg(F.max(F.struct("est", "best"))["best"].alias("best"), F.min("least").alias("least"))
     chosen = stored(chosen, "chosen")
@@ -562,7 +562,11 @@ def near_duplicates(df: DataFrame, join: Join = Join()) -> DataFrame:
     tried = stored(other.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "tried")
     links = stored(confirm(tried, sets, join), "links")
     labels = components(links, links.count())
-    # what these pairs have not shown: pairs across components in groups and large nodes, the likeliest first
+    # what these pairs have not shown: pairs across components in groups and large nodes, the likeliest first. A class is in groups of
+    # several trees; groups that share classes are looked through as one, so that a pair comes up once
+    apart = unsettled(found.select("leaf", "node", "first"), labels).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    apart = stored(apart, "apart")
+    members = components(apart, apart.count()).select(F.col("part").alias("leaf"), "node")
     most = 4
     while True:
         members = stored(unsettled(members, labels), "members")
