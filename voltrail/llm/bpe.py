@@ -28,7 +28,7 @@ from voltrail.llm.common import SPACES, Cache, distinct, list_array, pieces, row
 #: White space of Unicode (property White_Space), as the tokenizers' patterns understand it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: MB of segments and of pieces that a Python worker remembers, and verdicts on token pairs.
-SEGMENTS_MB, PIECES_MB, PAIRS = 96, 64, 200_000
+SEGMENTS_MB, PIECES_MB, PAIRS = 40, 24, 60_000
 
 
 def read_ranks(path: str) -> list[bytes]:
