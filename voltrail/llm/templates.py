@@ -37,7 +37,7 @@ LITERAL, NUM, UNIT, NAME, NOTHING = range(5)
 #: Hashes of the placeholders.
 CODES = np.array([0, 0x6E756D, 0x756E6974, 0x6E616D65, 0], np.uint64)
 #: Cached words in a Python worker.
-CACHE = 500_000
+CACHE = 200_000
 
 
 class Lexicon:
@@ -227,6 +227,9 @@ def _scanner(shared, share: float):
 
 
 def without_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of df whose document is not contaminated."""
+    """The rows of df whose document is not contaminated. Columns other than doc_id and text may have any names."""
     hits = stored(contaminated(df, benchmark).select("doc_id").distinct(), "contaminated")
-    return df.join(hits.withColumnRenamed("doc_id", "_hit"), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    rest = [c for c in df.columns if c != "doc_id"]
+    one = df.select("doc_id", F.struct(*rest).alias("rest"))
+    left = one.join(hits, one["doc_id"].cast("long").eqNullSafe(hits["doc_id"]), "left_anti")
+    return left.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"rest.`{c}`").alias(c) for c in df.columns))
