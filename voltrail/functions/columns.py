@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -53,10 +55,14 @@ def array_mean(c: Column) -> Column:
     return F.when(n > 0, array_sum(c) / n)
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f and its lambdas use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def array_std(c: Column) -> Column:
     """Population deviation of the elements that are known."""
-    m = array_mean(c)
-    return F.sqrt(array_mean(F.transform(c, lambda x: (x - m) * (x - m))))
+    return bound(array_mean(c), lambda m: F.sqrt(array_mean(F.transform(c, lambda x: (x - m) * (x - m)))))
 
 
 def clip01(c: Column) -> Column:
@@ -69,3 +75,14 @@ def sigmoid(c: Column) -> Column:
 
 def text_or_unknown(c: str) -> Column:
     return F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("unknown")).alias(c)
+
+
+def ranked(df: DataFrame, bucket: Column, order: Sequence[str | Column], name: str = "rank") -> DataFrame:
+    """df with each row's place (from 0) in the order. bucket: a column that the order never contradicts, such as its first key or a
+    beginning of it; rows are sorted bucket by bucket and come behind the rows of the smaller buckets, of which there are few."""
+    df = df.withColumn("_bucket", bucket)
+    sizes = df.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(F.asc_nulls_first("_bucket")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per bucket
+    starts = sizes.select(F.col("_bucket").alias("_b"), before.alias("_before"))
+    own = F.row_number().over(W.partitionBy("_bucket").orderBy(*order)) - 1
+    return df.withColumn(name, own).join(starts, F.col("_bucket").eqNullSafe(F.col("_b"))).withColumn(name, F.col(name) + F.col("_before")).drop("_bucket", "_b", "_before")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -68,10 +69,26 @@ def domain_label(rules: DomainRules = DomainRules()) -> Column:
     return F.concat_ws("_", chemistry, kind)
 
 
+def glob(pattern: str) -> str:
+    """A file pattern (*, ?, [..], [!..]) as a regular expression for whole names."""
+    out, at = "", 0
+    while at < len(pattern):
+        c = pattern[at]
+        close = pattern.find("]", at + 2) if c == "[" else -1
+        if close > 0:
+            inner = pattern[at + 1 : close].replace("\\", r"\\").replace("[", r"\[").replace("&&", r"&\&")
+            out += "[" + ("^" + inner[1:] if inner[0] == "!" else "\\" + inner if inner[0] == "^" else inner) + "]"
+            at = close
+        else:
+            out += {"*": ".*", "?": "."}.get(c) or re.escape(c)
+        at += 1
+    return rf"(?s)\A{out}\z"
+
+
 def exclude(cells: DataFrame, chemistries: Sequence[str] = (), path_parts: Sequence[str] = (), prefixes: Sequence[str] = (), patterns: Sequence[str] = (), require: bool = True) -> DataFrame:
     """Cells without the named chemistries, and without paths or ids that match; an error if none is left."""
     drop = [F.col("chemistry_family").isin(*chemistries)] if chemistries else []
-    drop += [F.col("file_path").contains(p) for p in path_parts] + [F.col("raw_cell_id").startswith(p) for p in prefixes] + [F.col("raw_cell_id").like(p.replace("*", "%")) for p in patterns]
+    drop += [F.col("file_path").contains(p) for p in path_parts] + [F.col("raw_cell_id").startswith(p) for p in prefixes] + [F.col("raw_cell_id").rlike(glob(p)) for p in patterns]
     out = cells.where(~F.coalesce(reduce(lambda a, b: a | b, drop), F.lit(False))) if drop else cells
     if require and out.isEmpty():
         raise ValueError("no cells remain after exclusion")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltrail.functions.columns import EARLIEST, by_cell, median, whole_cell
+from voltrail.functions.columns import EARLIEST, by_cell, median, ranked, whole_cell
 
 NUMERIC = (
     "capacity soh voltage_mean voltage_max voltage_min current_mean current_abs_mean current_max current_min temp_mean temp_max temp_min "
@@ -31,6 +31,45 @@ def roll_up(raw: DataFrame, keys: tuple[str, ...] = ("cell", "cycle")) -> DataFr
     )
 
 
+def _statistics() -> list[Column]:
+    return [
+        F.avg("voltage").alias("voltage_mean"), F.max("voltage").alias("voltage_max"), F.min("voltage").alias("voltage_min"),
+        F.avg("current").alias("current_mean"), F.avg(F.abs("current")).alias("current_abs_mean"),
+        F.max("current").alias("current_max"), F.min("current").alias("current_min"),
+        F.avg("temperature").alias("temp_mean"), F.max("temperature").alias("temp_max"), F.min("temperature").alias("temp_min"),
+    ]
+
+
+def _rolled(raw: DataFrame, keys: tuple[str, ...], capacity: Column, charged: Column, charging: Column, cc: Column, cv: Column, time: str) -> DataFrame:
+    found = raw.groupBy(*keys).agg(
+        capacity.alias("capacity"), charged.alias("charge_capacity"), *_statistics(), duration(cc, time).alias("cc_time"), duration(cv, time).alias("cv_time"),
+        F.avg(F.when(charging, F.col("voltage"))).alias("_up"), F.avg(F.when(F.col("current") < 0, F.col("voltage"))).alias("_down"),
+    )
+    cell, cycle = keys
+    return found.withColumns({
+        "charge_throughput": cumulative("charge_capacity", cell, cycle), "discharge_throughput": cumulative("capacity", cell, cycle),
+        "energy_charge": F.col("charge_capacity") * F.col("_up"), "energy_discharge": F.col("capacity") * F.col("_down"),
+    }).drop("_up", "_down")
+
+
+def roll_up_hust(raw: DataFrame, keys: tuple[str, str] = ("cell", "cycle"), time: str = "clock") -> DataFrame:
+    """Cycles of a lab that writes the discharged capacity (dq) into some rows: its first known value in sample order. Charged: the
+    largest capacity of rows whose step says charge, in any case, and whose current is positive; throughputs are running sums."""
+    current = F.coalesce(F.col("current") > 0, F.lit(False))
+    charging = F.coalesce(F.lower("step").contains("charge"), F.lit(False)) & current
+    cv = F.coalesce(constant_voltage(), F.lit(False))
+    capacity = F.min_by("dq", F.when(F.col("dq").isNotNull(), F.col("sample")))
+    return _rolled(raw, keys, capacity, F.max(F.when(charging, F.col("capacity"))), charging, charging & ~cv, cv, time)
+
+
+def roll_up_tju(raw: DataFrame, keys: tuple[str, str] = ("cell", "cycle"), time: str = "clock") -> DataFrame:
+    """Cycles of a lab with separate counters: capacity and charged capacity are the largest of q_discharge and q_charge; the steps say whether
+    the current or the voltage was held. Isolated outliers of the capacity are for ``repair_capacity``."""
+    charging = F.coalesce(F.col("current") > 0, F.lit(False))
+    held = lambda text: charging & F.coalesce(F.lower("step").contains(text), F.lit(False))
+    return _rolled(raw, keys, F.max("q_discharge"), F.max("q_charge"), charging, held("constant current"), held("constant voltage"), time)
+
+
 def duration(phase: Column, time: str = "clock") -> Column:
     """Aggregate: last less first time of the rows of a phase, null if there are none."""
     at = F.when(phase, F.col(time))
@@ -149,10 +188,10 @@ def repair_capacity(df: DataFrame, column: str = "capacity", window: int = 7, fl
 
 
 def assign_ids(df: DataFrame, keys: list[str], prefix: str = "cell") -> DataFrame:
-    """One row per cell with cell_uid, numbered by the keys; cells are few beside their cycles."""
-    cells = df.select(*keys).distinct()
-    number = F.row_number().over(W.orderBy(*keys))
-    return cells.withColumn("cell_uid", F.concat(F.lit(prefix + "_"), F.lpad(number.cast("string"), 5, "0")))
+    """One row per cell with cell_uid, numbered by the keys. Cells of one first key (a dataset) are numbered together, behind those of smaller
+    ones, so no task sorts all cells."""
+    cells = ranked(df.select(*keys).distinct(), F.col(keys[0]), keys)
+    return cells.withColumn("cell_uid", F.concat(F.lit(prefix + "_"), F.lpad((F.col("rank") + 1).cast("string"), 5, "0"))).drop("rank")
 
 
 # protocol texts
@@ -287,6 +326,6 @@ def with_features(df: DataFrame, window: int = 5) -> DataFrame:
     df = with_derived(df)
     for c in ("soh", "voltage_mean", "temp_mean", "current_mean"):
         df = slope(df.withColumn(f"{c}_diff_1", delta(c)).withColumn(f"{c}_std_{window}", rolling_std(c, window)), c, window)
-    for c in ("charge_throughput", "energy_charge", "energy_discharge"):
+    for c in ("charge_throughput", "discharge_throughput", "energy_charge", "energy_discharge"):
         df = df.withColumn(f"{c}_delta_1", delta(c))
     return df

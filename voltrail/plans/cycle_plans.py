@@ -36,6 +36,38 @@ def cycle_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(op.roll_up(raw_samples(spark, sf_dir)), *ROLLED, keys=["cell", "cycle", "samples"])
 
 
+LAB = [*ROLLED, "cc_time", "cv_time", "charge_throughput", "discharge_throughput", "energy_charge", "energy_discharge"]
+
+
+def lab_sql(capacity: str, charged: str, charging: str, cc: str, cv: str) -> str:
+    """Both labs' samples have dq in some rows, and counters by the sign of the current."""
+    running = lambda c: f"sum(coalesce({c}, 0)) OVER (PARTITION BY cell ORDER BY cycle ROWS UNBOUNDED PRECEDING)"
+    return RAW_SQL + f""", lab AS (SELECT *, CASE WHEN sample % 5 = 2 THEN capacity * 0.9::DOUBLE END AS dq, CASE WHEN current > 0 THEN capacity END AS q_charge, CASE WHEN current < 0 THEN capacity END AS q_discharge,
+  CASE WHEN step = 'charge' THEN 'CC Charge, constant current' WHEN step = 'discharge' THEN 'DISCHARGE' ELSE 'Constant Voltage charge' END AS state FROM raw),
+marked AS (SELECT *, {charging} AS charging, {cc} AS cc, {cv} AS cv FROM lab),
+r AS (SELECT cell, cycle, {capacity} AS capacity, {charged} AS charge_capacity, avg(voltage) AS voltage_mean, max(voltage) AS voltage_max, min(voltage) AS voltage_min, avg(current) AS current_mean,
+    avg(abs(current)) AS current_abs_mean, max(current) AS current_max, min(current) AS current_min, avg(temperature) AS temp_mean, max(temperature) AS temp_max, min(temperature) AS temp_min,
+    max(clock) FILTER (cc) - min(clock) FILTER (cc) AS cc_time, max(clock) FILTER (cv) - min(clock) FILTER (cv) AS cv_time, avg(voltage) FILTER (charging) AS up, avg(voltage) FILTER (current < 0) AS down FROM marked GROUP BY cell, cycle),
+t AS (SELECT *, {running("charge_capacity")} AS charge_throughput, {running("capacity")} AS discharge_throughput, charge_capacity * up AS energy_charge, capacity * down AS energy_discharge FROM r)
+SELECT cell, cycle, {rounds(*LAB)} FROM t"""
+
+
+def lab_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current, capacity = F.col("current"), F.col("capacity")
+    step = F.when(F.col("step") == "charge", "CC Charge, constant current").when(F.col("step") == "discharge", "DISCHARGE").otherwise("Constant Voltage charge")
+    return raw_samples(spark, sf_dir).withColumns({"dq": F.when(F.col("sample") % 5 == 2, capacity * 0.9), "q_charge": F.when(current > 0, capacity), "q_discharge": F.when(current < 0, capacity), "step": step})
+
+
+@query(lab_sql("arg_min(dq, sample) FILTER (dq IS NOT NULL)", "max(capacity) FILTER (charging)", "contains(lower(state), 'charge') AND current > 0", "contains(lower(state), 'charge') AND current > 0 AND NOT contains(lower(state), 'constant voltage')", "contains(lower(state), 'constant voltage')"))
+def rollup_hust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(op.roll_up_hust(lab_samples(spark, sf_dir)), *LAB, keys=["cell", "cycle"])
+
+
+@query(lab_sql("max(q_discharge)", "max(q_charge)", "current > 0", "current > 0 AND contains(lower(state), 'constant current')", "current > 0 AND contains(lower(state), 'constant voltage')"))
+def rollup_tju(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(op.roll_up_tju(lab_samples(spark, sf_dir)), *LAB, keys=["cell", "cycle"])
+
+
 @query(RAW_SQL + """
 SELECT cell, cycle, max(clock) FILTER (cv) - min(clock) FILTER (cv) AS cv_time, max(clock) FILTER (step = 'charge') - min(clock) FILTER (step = 'charge') AS cc_time
 FROM (SELECT *, step LIKE '%constant voltage%' AS cv FROM raw) GROUP BY cell, cycle""")
@@ -162,7 +194,7 @@ SIGNALS = ["soh", "voltage_mean", "temp_mean", "current_mean"]
 FEATURES_SQL = SOH_SQL + f""", d AS (
   SELECT *, soh * 100 AS soh_pct, soh AS capacity_ratio, voltage_max - voltage_min AS voltage_range, temp_max - temp_min AS temp_range, abs(current_mean) AS current_abs_mean,
     {", ".join(f"{c} - lag({c}) OVER {W} AS {c}_diff_1" for c in SIGNALS)},
-    {", ".join(f"{c} - lag({c}) OVER {W} AS {c}_delta_1" for c in ("charge_throughput", "energy_charge", "energy_discharge"))},
+    {", ".join(f"{c} - lag({c}) OVER {W} AS {c}_delta_1" for c in ("charge_throughput", "discharge_throughput", "energy_charge", "energy_discharge"))},
     {", ".join(f"stddev_samp({c}) OVER (PARTITION BY cell_uid ORDER BY cycle_idx ROWS 4 PRECEDING) AS {c}_std_5" for c in SIGNALS)},
     (row_number() OVER {W} - 1) / greatest(count(*) OVER (PARTITION BY cell_uid) - 1, 1) AS aging
   FROM s),
@@ -174,7 +206,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DERIVED = ["soh_pct", "capacity_ratio", "voltage_range", "temp_range", "current_abs_mean"]
-DELTAS = [f"{c}_diff_1" for c in SIGNALS] + ["charge_throughput_delta_1", "energy_charge_delta_1", "energy_discharge_delta_1"]
+DELTAS = [f"{c}_diff_1" for c in SIGNALS] + ["charge_throughput_delta_1", "discharge_throughput_delta_1", "energy_charge_delta_1", "energy_discharge_delta_1"]
 
 
 @query(FEATURES_SQL + f" SELECT cell_uid, cycle_idx, {rounds(*DERIVED)} FROM f")

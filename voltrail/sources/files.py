@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ def folder(c: str = "file") -> Column:
 
 def _raw(df: DataFrame, dataset: str, cell: Column, **columns: Column) -> DataFrame:
     """The common schema of raw samples."""
-    names = ["cycle_idx", "time", "voltage", "current", "capacity", "temperature", "step"]
+    names = ["cycle_idx", "time", "voltage", "current", "capacity", "temperature", "step", "dq", "q_charge", "q_discharge"]
     kinds = dict.fromkeys(names, "double") | {"cycle_idx": "int", "step": "string"}
     parts = [columns.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in names]
     return df.select(F.lit(dataset).alias("source_dataset"), cell.alias("raw_cell_id"), F.col("file").alias("file_path"), "sample", *parts)
@@ -41,7 +43,7 @@ def read_hust(spark: SparkSession, root: str) -> DataFrame:
     """One file per cell; mA and mAh, a constant 30 degrees."""
     d = csv(spark, f"{root}/*.csv", {"cycle_index": "int", "Status": "string", "Current (mA)": "double", "Voltage (V)": "double", "Capacity (mAh)": "double", "Time (s)": "double", "dq": "double"})
     c = F.col
-    return _raw(d, "hust", stem(), cycle_idx=c("cycle_index"), time=c("Time (s)"), voltage=c("Voltage (V)"), current=c("Current (mA)") / 1000, capacity=c("Capacity (mAh)") / 1000, temperature=F.lit(30.0), step=c("Status"))
+    return _raw(d, "hust", stem(), cycle_idx=c("cycle_index"), time=c("Time (s)"), voltage=c("Voltage (V)"), current=c("Current (mA)") / 1000, capacity=c("Capacity (mAh)") / 1000, temperature=F.lit(30.0), step=c("Status"), dq=c("dq") / 1000)
 
 
 def read_tju(spark: SparkSession, root: str) -> DataFrame:
@@ -49,8 +51,9 @@ def read_tju(spark: SparkSession, root: str) -> DataFrame:
     d = csv(spark, f"{root}/Dataset_*/*.csv", {"time/s": "double", "control/V": "double", "Ecell/V": "double", "<I>/mA": "double", "Q discharge/mA.h": "double", "Q charge/mA.h": "double", "cycle number": "int"})
     c = F.col
     capacity = F.when(c("<I>/mA") >= 0, c("`Q charge/mA.h`")).otherwise(c("`Q discharge/mA.h`")) / 1000
-    step = F.when(F.abs("control/V") < 1e-6, "constant current").when(c("control/V") > 0, "constant voltage").otherwise("rest")
-    out = _raw(d, "tju", F.concat_ws("/", folder(), stem()), cycle_idx=c("cycle number"), time=c("time/s"), voltage=c("Ecell/V"), current=c("<I>/mA") / 1000, capacity=capacity, temperature=F.regexp_extract(stem(), r"CY(\d+)", 1), step=step)
+    control = F.coalesce("control/V", F.lit(0.0))
+    step = F.when(F.abs(control) < 1e-6, "constant current").when(control > 0, "constant voltage").otherwise("rest")
+    out = _raw(d, "tju", F.concat_ws("/", folder(), stem()), cycle_idx=c("cycle number"), time=c("time/s"), voltage=c("Ecell/V"), current=c("<I>/mA") / 1000, capacity=capacity, temperature=F.regexp_extract(stem(), r"CY(\d+)", 1), step=step, q_charge=c("`Q charge/mA.h`") / 1000, q_discharge=c("`Q discharge/mA.h`") / 1000)
     pairs = [F.lit(x) for kv in CHEMISTRY_OF_FOLDER.items() for x in kv]
     return out.withColumn("chemistry_family", F.create_map(*pairs)[F.split_part("raw_cell_id", F.lit("/"), F.lit(1))])
 
@@ -145,3 +148,16 @@ def write_results(results: DataFrame, path: str, config: dict) -> str:
     target = f"{path}/config_hash={config_hash(config)}"
     results.write.mode("overwrite").parquet(target)
     return target
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the folder that the cluster names in spark.checkpoint.dir, so that what reads it several times does not make it
+    several times, whatever executors are lost. Only where the setting is missing (tests, one machine) a temporary folder takes its place."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

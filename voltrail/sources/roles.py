@@ -30,7 +30,7 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
         (20.0 + event % 25).alias("temp_mean"), (20.0 + event % 25 + event % 3).alias("temp_max"), (18.0 + event % 25).alias("temp_min"),
         (value / 100 - 1).alias("current_mean"), (value / 100 - 0.5).alias("current_max"), (value / 100 - 1.5).alias("current_min"),
         F.when(F.col("user_id") % 5 != 0, value * 0.01).alias("energy_charge"), (value * 0.009).alias("energy_discharge"),
-        F.when(F.col("user_id") % 2 == 0, value * 0.5).alias("charge_throughput"),
+        F.when(F.col("user_id") % 2 == 0, value * 0.5).alias("charge_throughput"), F.when(F.col("user_id") % 3 != 0, value * 0.45).alias("discharge_throughput"),
         pick(F.col("user_id"), ["xjtu", "tju", "hust", "mit"]).alias("source_dataset"),
         pick(F.col("user_id"), ["LFP", "NCM", "NCA"]).alias("chemistry_family"),
     )
@@ -45,7 +45,7 @@ CYCLES_SQL = """WITH cycles AS (
     (20 + event_id % 25)::DOUBLE AS temp_mean, (20 + event_id % 25 + event_id % 3)::DOUBLE AS temp_max, (18 + event_id % 25)::DOUBLE AS temp_min,
     value / 100 - 1 AS current_mean, value / 100 - 0.5::DOUBLE AS current_max, value / 100 - 1.5::DOUBLE AS current_min,
     CASE WHEN user_id % 5 != 0 THEN value * 0.01::DOUBLE END AS energy_charge, value * 0.009::DOUBLE AS energy_discharge,
-    CASE WHEN user_id % 2 = 0 THEN value * 0.5::DOUBLE END AS charge_throughput,
+    CASE WHEN user_id % 2 = 0 THEN value * 0.5::DOUBLE END AS charge_throughput, CASE WHEN user_id % 3 != 0 THEN value * 0.45::DOUBLE END AS discharge_throughput,
     ['xjtu', 'tju', 'hust', 'mit'][user_id % 4 + 1] AS source_dataset, ['LFP', 'NCM', 'NCA'][user_id % 3 + 1] AS chemistry_family
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events))"""
 
