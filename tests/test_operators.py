@@ -76,13 +76,28 @@ def test_distances_of_equals_are_zero(spark):
     assert nothing == 1.0
 
 
-def test_search_in_blocks_is_the_same(spark):
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_search_against_brute_force(spark, metric):
+    """Any grid gives the k best; ties go to the smaller ids; groups, ends and kinds are left out before the choice."""
     rng = np.random.default_rng(3)
-    df = spark.createDataFrame([(i, rng.normal(size=5).tolist(), i % 7) for i in range(60)], "id long, vector array<double>, group long").repartition(5)
-    one = {(r["query"], r["rank"], r["ref"]) for r in retrieval.search(df, df, 4).collect()}
-    many = {(r["query"], r["rank"], r["ref"]) for r in retrieval.search(df, df, 4, block=13).collect()}
-    assert one == many and len(one) == 240
-    assert all(q % 7 != r % 7 for q, _, r in one)
+    v = rng.integers(-2, 3, size=(80, 3)).astype(float)
+    v[:, 0] += 0.5
+    rows = [(i, v[i].tolist(), i % 7, i % 40, i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, group long, until long, kind long").repartition(5)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for columns in (["id", "vector"], ["id", "vector", "group", "until", "kind"]):
+        want = {}
+        for i in range(80):
+            allowed = [j for j in range(80) if j != i and ("group" not in columns or (i % 7 != j % 7 and j % 40 <= i % 40 and i % 2 == j % 2))]
+            score = {j: round(float(-(unit[i] @ unit[j]) if metric == "cosine" else ((v[i] - v[j]) ** 2).sum()), 9) for j in allowed}
+            want[i] = [score[j] for j in sorted(allowed, key=lambda j: (score[j], j))[:4]]
+        for cells in (1, 3, 12):
+            got = retrieval.search(df.select(*columns), df.select(*columns), 4, metric, cells).orderBy("query", "rank").collect()
+            made = {}
+            for r in got:
+                made.setdefault(r["query"], []).append(round(-r["score"] if metric == "cosine" else r["score"], 9))
+            assert {i: made.get(i, []) for i in range(80)} == {i: pytest.approx(x) for i, x in want.items()}
+    assert retrieval.search(df.limit(0), df, 3).count() == 0 and retrieval.search(df, df.limit(0), 3).count() == 0
 
 
 def test_caps_weights_and_mmr(spark):
@@ -110,11 +125,146 @@ def test_discharge_map():
     n = 40
     v = np.linspace(4.0, 2.5, n)
     q = (4.0 - v) * 2
-    c, masks, stats = fn.discharge_map(np.arange(n), v, -np.ones(n), q, np.full(n, 25.0), np.ones(n, bool), 2.8, 3.6)
-    assert stats[-1] == 1 and stats[0] == pytest.approx(2, rel=0.05) and masks.all() and c.shape == (5, 100)
-    assert fn.discharge_map(np.arange(3), v[:3], -np.ones(3), q[:3], np.full(3, 25.0), np.ones(3, bool), 2.8, 3.6)[2][-1] == 0
+    hours = np.arange(n) / 60
+    c, masks, stats = fn.discharge_map(hours, v, -np.ones(n), q, np.full(n, 25.0), np.ones(n, bool), 2.8, 3.6)
+    named = dict(zip(fn.STATS, stats))
+    assert masks.all() and c.shape == (6, 100) and c[0, 0] == pytest.approx(2.8) and c[0, -1] == pytest.approx(3.6)
+    assert named["available"] == 1 and named["peak_value"] == pytest.approx(2, rel=0.05) and (named["voltage_min"], named["voltage_max"]) == (2.8, 3.6)
+    few = fn.discharge_map(hours[:3], v[:3], -np.ones(3), q[:3], np.full(3, 25.0), np.ones(3, bool), 2.8, 3.6)
+    assert few[2].tolist() == [0, 0, 0, 0, 2.8, 3.6, 0, 0] and not few[1].any()
     assert math.isnan(fn.life_rmse([1] * 9, [1] * 20)) and fn.life_rmse([1] * 12, [1] * 20) == 0
-    assert fn.dqdv_distance(v[::-1], q, v[::-1], q) == 0 and math.isnan(fn.dqdv_distance([0, 0.04], [1, 1], [0, 0.04], [1, 1]))
+
+
+def test_power_proxy_takes_all_samples_in_order_of_voltage():
+    """Eight voltages an hour apart, falling and one of them twice, current -2: in order of voltage time runs back, so nothing adds up; rising,
+    all hours do, although two samples are of one voltage."""
+    v = np.array([2.9, 3.0, 3.1, 3.1, 3.1, 3.2, 3.3, 3.4])
+    n, rest = len(v), (np.arange(8) / 10, np.full(8, 25.0), np.ones(8, bool), 2.8, 3.6)
+    smoothed = [np.median(v[max(0, i - 2) : i + 3]) for i in range(n)]
+    assert len(set(smoothed)) < n
+    up = dict(zip(fn.STATS, fn.discharge_map(np.arange(n), v, np.full(n, -2.0), *rest)[2]))
+    down = dict(zip(fn.STATS, fn.discharge_map(np.arange(n)[::-1], v, np.full(n, -2.0), *rest)[2]))
+    assert up["power_proxy"] == pytest.approx(2 * sum(smoothed[1:])) and down["power_proxy"] == 0 and down["available"] == 1
+
+
+def test_curve_distances_are_relative_point_by_point():
+    """Curves 1 and 2 everywhere: (2 - 1) / 2; curves 0 and 1e-5: relative to 1e-4."""
+    v = np.linspace(3, 4, 50)
+    assert fn.dqdv_distance(v, np.ones(50), v, np.full(50, 2.0)) == pytest.approx(0.5)
+    assert fn.dqdv_distance(v, np.zeros(50), v, np.full(50, 1e-5)) == pytest.approx(0.1)
+    mixed = np.where(v < 3.5, 1.0, 3.0)
+    assert fn.dqdv_distance(v, mixed, v, mixed * 2) == pytest.approx(0.5)  # not the global maximum's share
+    assert math.isnan(fn.dqdv_distance([0, 0.04], [1, 1], [0, 0.04], [1, 1])) and math.isnan(fn.dqdv_distance(v, mixed, v, mixed, 3.96))
+
+
+def test_partial_charge_needs_a_span():
+    t = np.arange(4.0)
+    assert fn.partial_charge(t, [3.0, 3.001, 3.002, 3.004], np.ones(4), np.ones(4, bool)) is None
+    got = fn.partial_charge(t * 60, [3.0, 3.1, 3.2, 3.3], np.full(4, 2.0), np.ones(4, bool), 4)
+    assert got == pytest.approx([0, 2, 4, 6])
+
+
+def test_charge_dqdv_of_a_line():
+    """Capacity rises by 5 per volt: the derivative is 5."""
+    v = np.linspace(3.0, 3.5, 400)
+    grid, d = fn.charge_dqdv(v, 5 * v, np.ones(400, bool))
+    assert len(grid) == 300 and d[50:250] == pytest.approx(np.full(200, 5.0), rel=2e-2)
+    assert fn.charge_dqdv(v[:20], 5 * v[:20], np.ones(20, bool)) is None and fn.charge_dqdv(v, 5 * v, np.zeros(400, bool)) is None
+    assert fn.above((grid, d), 3.49) is None and fn.above((grid, d), 3.2)[0][0] >= 3.2
+    x, slope = fn.map_dqdv(np.linspace(3.0, 3.6, 100))
+    assert x[0] >= 3.2 and slope[10:-10] == pytest.approx(np.full(len(x) - 20, 1 / 0.6), rel=1e-6)
+    assert fn.rolling_mean(np.array([1.0, 2.0, 6.0]), 3) == pytest.approx([1.5, 3.0, 4.0])
+
+
+def test_time_is_inferred(spark):
+    """Seconds by size, minutes by name, gaps filled by position, timestamps, and the row's number."""
+    rows = [(1, 1, i, x, m, s, None) for i, (x, m, s) in enumerate([(0.0, 1.0, "2020-01-01 00:00:00"), (None, 2.0, "2020-01-01 00:03:00"), (600.0, None, "x"), (None, 4.0, None)])]
+    df = spark.createDataFrame(rows, "cell long, cycle long, sample long, clock double, relative_time_min double, stamp string, none double")
+    of = lambda c, into="minutes": [r[into] for r in curves.inferred_time(df, c, into).orderBy("sample").collect()]
+    assert of("clock") == [0, 5, 10, 10] and of("clock", "hours") == pytest.approx([0, 300 / 3600, 600 / 3600, 600 / 3600])
+    assert of("relative_time_min") == [1, 2, 3, 4] and of("stamp") == [0, 3, None, None] and of("none") == [0, 1, 2, 3]
+
+
+def test_first_cycle_is_skipped(spark):
+    rows = [(c, k, i, i / 60, 3.6 - 0.02 * i, -1.0, 0.01 * i, 25.0, True, 2.8, 3.6) for c in (1, 2) for k in (1, 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "cell long, cycle long, sample long, hours double, voltage double, current double, capacity double, temperature double, discharging boolean, low double, high double").repartition(3)
+    got = {(r["cell"], r["cycle"]): r["qv_available"] for r in curves.discharge_maps(df, skip_first=F.col("cell") == 2).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 1.0, (2, 1): 0.0, (2, 2): 1.0}
+
+
+def test_lab_roll_ups(spark):
+    """Discharged capacity by the first dq, or by the largest counter; charge only where the current is positive; running sums."""
+    rows = [("c", 1, 0, "CC Charge", 2.0, 3.0, 1.0, None, 1.5, None), ("c", 1, 1, "discharge", -2.0, 3.5, 9.0, 0.8, None, 0.7), ("c", 1, 2, "Discharge", -2.0, 3.1, 9.5, 0.9, None, 0.6), ("c", 2, 0, "constant voltage charge", 1.0, 4.0, 1.2, 0.7, 1.1, 0.2)]
+    df = spark.createDataFrame([(*r, float(r[2] * 10)) for r in rows], "cell string, cycle long, sample long, step string, current double, voltage double, capacity double, dq double, q_charge double, q_discharge double, clock double").withColumn("temperature", F.lit(30.0))
+    h = cycles.roll_up_hust(df).orderBy("cycle").collect()
+    assert [(r["capacity"], r["charge_capacity"], r["cc_time"], r["cv_time"]) for r in h] == [(0.8, 1.0, 0.0, None), (0.7, 1.2, None, 0.0)]
+    assert [r["discharge_throughput"] for r in h] == pytest.approx([0.8, 1.5]) and h[0]["energy_discharge"] == pytest.approx(0.8 * 3.3) and h[1]["energy_discharge"] is None
+    t = cycles.roll_up_tju(df).orderBy("cycle").collect()
+    assert [(r["capacity"], r["charge_capacity"]) for r in t] == [(0.7, 1.5), (0.2, 1.1)] and t[1]["cv_time"] == 0 and t[0]["energy_charge"] == pytest.approx(4.5)
+
+
+def test_labels_scale_the_shortfall(spark):
+    """Four cases; soh below .9 by 0, 0, .1, .2: median .05, quartiles 0 and .125. Of equal modes the first wins: thermal, current, cycle, power."""
+    df = spark.createDataFrame([(i, 1.0, 1.0, 1.0, 1.0, s) for i, s in enumerate([0.95, 0.9, 0.8, 0.7])], "i int, thermal double, current double, power double, aging double, anchor_soh double")
+    got = windows.semantic_labels(df).orderBy("i").collect()
+    z = [(b - 0.05) / 0.125 for b in (0, 0, 0.1, 0.2)]
+    assert [r["cycle_score"] for r in got] == pytest.approx([1 / (1 + math.exp(-0.8 * x)) for x in z])
+    assert [r["semantic_label"] for r in got] == ["thermal", "thermal", "cycle", "cycle"] and windows.MODES == ("thermal", "current", "cycle", "power")
+
+
+def test_patterns_match_whole_names(spark):
+    df = spark.createDataFrame([("a_1",), ("ab1",), ("a1",), ("xa_1",), ("a.1",), ("a_2",)], "raw_cell_id string").withColumns({"chemistry_family": F.lit("x"), "file_path": F.lit("p")})
+    left = lambda p: sorted(r["raw_cell_id"] for r in catalogs.exclude(df, patterns=[p]).collect())
+    assert left("a_1") == ["a.1", "a1", "a_2", "ab1", "xa_1"] and left("a?1") == ["a1", "a_2", "xa_1"] and left("*_[!2]") == ["a.1", "a1", "a_2", "ab1"] and left("a.*") == ["a1", "a_1", "a_2", "ab1", "xa_1"]
+
+
+def test_stage1_embedding(spark):
+    """Two states, a history of three resampled to five, statistics, stress, one sequence; then the bank's medians and ranges."""
+    rows = [(1, [0.9, None], [1.0, 0.9, 0.8], [2.0], [None], [1.0, None, 3.0])]
+    df = spark.createDataFrame(rows, "id long, state array<double>, h array<double>, c array<double>, s array<double>, x array<double>")
+    got = df.select(retrieval.stage1_embedding(F.col("state"), F.col("h"), F.col("c"), F.col("s"), [F.col("x")], 5)).first()[0]
+    assert got == pytest.approx([0.9, 0, 0.2, 0.15, 0.1, 0.05, 0, 2, 0, 2, 1, 3])
+    v = spark.createDataFrame([(i, [float(i), 5.0, 0.0 if i < 9 else 1.0]) for i in range(10)] + [(99, [1000.0, 6.0, None])], "id long, v array<double>")
+    out = {r["id"]: r["v"] for r in retrieval.robust_scaled(v, F.col("id") < 10, "v", 3).collect()}
+    assert out[0] == pytest.approx([-1.0, 0, 0]) and out[9] == pytest.approx([1.0, 0, 1 / 0.3]) and out[99] == pytest.approx([8.0, 1.0, 0])
+    near = {r["id"]: r["v"] for r in retrieval.robust_scaled(v, F.col("id") < 10, "v", 3, accuracy=1000).collect()}
+    assert near[99][0] == 8.0
+
+
+def test_qv_distance(spark):
+    """Curves 1, 2, 3 and 2, 4, 6 have one shape; levels 2 and 4 differ by half of 4. Statistics 1 and 2: half of 2."""
+    rows = [([1.0, 2.0, 3.0, None], [2.0, 4.0, 6.0, 7.0], None, [1.0], [1.0], [2.0])]
+    df = spark.createDataFrame(rows, "q_a array<double>, r_a array<double>, q_b array<double>, r_b array<double>, q_curve_stats array<double>, r_curve_stats array<double>")
+    d = 0.15 * 0.5
+    got = df.select(retrieval.qv_distance([("a", 0.35), ("b", 0.65)]), retrieval.qv_distance([("a", 0.35)], None), retrieval.qv_distance([("b", 0.65)], None)).first()
+    assert tuple(got) == pytest.approx(((0.35 * d + 0.5) / 1.35, d, 1.0))
+
+
+def test_hard_filter(spark):
+    rows = [(1, "a", 10, "x", "q", [0.1], i, *r) for i, r in enumerate([("b", 5, "x", "source_train", [0.1]), ("a", 5, "x", "source_train", [0.1]), ("a", 15, "x", "source_val", [0.1]), ("b", 5, "y", "target_query", [0.1]), ("b", 5, "y", "source_val", [0.1]), ("b", 5, "x", "source_val", [None]), ("b", 5, "x", "source_val", [0.1, 0.2])], 1)]
+    rows = [(1, "a", 10, "x", [0.1], i + 1, c, e, k, s, f) for *_, i, c, e, k, s, f in rows]
+    df = spark.createDataFrame(rows, "q_id long, q_cell string, q_end long, q_chemistry string, q_future array<double>, r_id long, r_cell string, r_end long, r_chemistry string, r_split string, r_future array<double>")
+    kept = lambda *a, **k: [r["r_id"] - 1 for r in df.where(retrieval.hard_filter(*a, **k)).orderBy("r_id").collect()]
+    assert kept() == [1, 5] and kept("past_only") == [1, 2, 5] and kept("allow") == [1, 2, 3, 5] and kept(same_chemistry=True) == [1] and kept(splits=["source_val"]) == [5]
+    with pytest.raises(ValueError):
+        retrieval.hard_filter("other")
+
+
+def test_rerank_by_curves(spark):
+    df = spark.createDataFrame([(1, 1, 1, 0.2, 0.9), (1, 2, 2, 0.3, 0.1), (1, 3, 3, 0.4, None)], "query long, ref long, rank int, distance double, d_dqdv double")
+    got = {r["ref"]: (r["distance"], r["base_distance"]) for r in retrieval.blended_rerank(df, F.lit(True)).collect()}
+    assert got[1] == pytest.approx((0.55 * 0.2 + 0.45 * 0.9, 0.2)) and got[3] == (0.4, 0.4)
+    assert {r["ref"]: r["new_rank"] for r in retrieval.reordered(df).collect()} == {2: 1, 1: 2, 3: 3}
+    assert spark.range(1).select(retrieval.blended_trend(F.lit(0.5), F.lit(1.0), F.lit(2.0))).first()[0] == pytest.approx(0.7 + 0.6)
+
+
+def test_places_by_bucket(spark):
+    from voltrail.functions.columns import ranked
+
+    names = [f"{a}{b}" for a in "bac" for b in range(5)] + [None]
+    df = spark.createDataFrame([(n,) for n in names], "name string").repartition(3)
+    got = {r["name"]: r["rank"] for r in ranked(df, F.substring("name", 1, 1), [F.asc_nulls_first("name")]).collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names, key=lambda n: (n is not None, n or "")))}
 
 
 def test_charge_mask_takes_discharge_unless_strict(spark):
@@ -135,6 +285,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "h" / "1-2.csv").write_text("cycle_index,Status,Current (mA),Voltage (V),Capacity (mAh),Time (s),dq\n1,charge,1000,3.1,5,0,\n1,discharge,-500,x,6,10,900\n")
     got = files.read_hust(spark, str(tmp_path / "h")).orderBy("time").collect()
     assert [(r["raw_cell_id"], r["current"], r["voltage"], r["temperature"]) for r in got] == [("1-2", 1.0, 3.1, 30.0), ("1-2", -0.5, None, 30.0)]
+    assert [r["dq"] for r in got] == [None, 0.9]
     (tmp_path / "t" / "Dataset_1_NCA_battery").mkdir(parents=True)
     (tmp_path / "t" / "Dataset_1_NCA_battery" / "CY25-05_1-#3.csv").write_text("time/s,control/V,Ecell/V,<I>/mA,Q discharge/mA.h,Q charge/mA.h,cycle number\n0,0,3.5,100,7,8,1\n1,4.2,3.6,-100,7,8,1\n")
     got = files.read_tju(spark, str(tmp_path / "t")).orderBy("time").collect()

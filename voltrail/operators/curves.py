@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +22,39 @@ def elapsed(df: DataFrame, time: str, unit: str = "s", keys: tuple[str, ...] = (
     return df.withColumn("minutes", (F.col(time) - first) / {"s": 60, "min": 1, "h": 1 / 60}[unit])
 
 
+def inferred_time(df: DataFrame, column: str, into: str = "minutes", keys: tuple[str, ...] = ("cell", "cycle"), order: str = "sample") -> DataFrame:
+    """df with the time column in minutes or hours, whatever its unit.
+
+    The column's name says minutes (min) or seconds (time/s, (s)); otherwise a cycle whose largest value is over 200 is in
+    seconds and others are in the unit asked for. Gaps are filled by position between the values around them, ends by the nearest.
+    Texts are timestamps and count from the cycle's first row, if two or more are known. Without any value the row's number (from 0)
+    stands in: as minutes, or as seconds where hours are asked for.
+    """
+    w = W.partitionBy(*keys)
+    ordered = w.orderBy(order)
+    per_hour = into == "hours"
+    ordinal = (F.row_number().over(ordered) - 1).cast("double") / (3600.0 if per_hour else 1.0)
+    if dict(df.dtypes)[column] == "string":
+        at = F.expr(f"try_cast(`{column}` AS timestamp)").cast("double")
+        first = F.first(at).over(ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        passed = (at - first) / (3600.0 if per_hour else 60.0)
+        return df.withColumn(into, F.when(F.count(at).over(w) >= 2, passed).otherwise(ordinal))
+    name, seconds = column.lower(), 3600.0 if per_hour else 60.0
+    df = df.withColumns({"_m": F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")), "_at": F.row_number().over(ordered)})
+    known = F.when(F.col("_m").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_m").alias("m")))
+    df = df.withColumns({"_a": F.last(known, True).over(ordered.rowsBetween(W.unboundedPreceding, 0)), "_b": F.first(known, True).over(ordered.rowsBetween(0, W.unboundedFollowing))})
+    a, b = F.col("_a"), F.col("_b")
+    filled = F.when(a["at"] == b["at"], a["m"]).otherwise(a["m"] + (F.col("_at") - a["at"]) / (b["at"] - a["at"]) * (b["m"] - a["m"]))
+    filled = F.coalesce(filled, a["m"], b["m"])
+    if "min" in name:
+        value = filled / 60.0 if per_hour else filled
+    elif "time/s" in name or "(s)" in name:
+        value = filled / seconds
+    else:
+        value = F.when(F.max("_m").over(w) > 200, filled / seconds).otherwise(filled)
+    return df.withColumn(into, F.coalesce(value, ordinal)).drop("_m", "_at", "_a", "_b")
+
+
 def charge_mask(step: str = "step", current: str = "current", eps: float = 1e-4, strict: bool = False) -> Column:
     """By the step's text where there is one (which takes discharge for charge too, unless strict), else by the sign."""
     text = F.lower(step).contains("charge") & (~F.lower(step).contains("discharge") if strict else F.lit(True))
@@ -64,32 +100,122 @@ def spectral_features(df: DataFrame, columns: list[str], window: int = 16) -> Da
     return df
 
 
-def discharge_maps(raw: DataFrame, size: int = 100) -> DataFrame:
-    """Per cell and cycle: channels on the voltage grid, masks and statistics. raw: cell, cycle, sample, clock, voltage,
-    current, capacity, temperature, discharging, low, high. Cells are grouped; their cycles are taken one by one."""
-    schema = "cell long, cycle long, channels array<array<double>>, masks array<double>, " + ", ".join(f"qv_{s} double" for s in fn.STATS)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _cycles(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
+    """The cycles of a sorted partition, one after the other, with their samples as arrays."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+        if not sum(b.num_rows for b in held):
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        arrays = {c: table.column(c).to_numpy() for c in table.column_names}
+        cell, cycle = arrays["cell"], arrays["cycle"]
+        begins = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (cycle[1:] != cycle[:-1])) + 1).tolist(), len(cell)]
+        held = []
+        if batch is not None:  # the last one may go on
+            begins.pop()
+            held = table.slice(begins[-1]).to_batches()
+        for begin, end in zip(begins, begins[1:]):
+            yield int(cell[begin]), int(cycle[begin]), {c: a[begin:end] for c, a in arrays.items()}
+
+
+def _per_cycle(raw: DataFrame, columns: Sequence[str], f, kinds: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """Rows of cell, cycle and what f makes of the arrays of a cycle's samples, in order. Cycles are spread over the tasks, which
+    take them one by one. kinds: the columns that f makes, with their types."""
+    names, schema = ["cell", "cycle", *kinds], pa.schema([("cell", pa.int64()), ("cycle", pa.int64()), *((c, k) for c, (_, k) in kinds.items())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for (cell, cycle), g in pdf.sort_values("sample").groupby(["cell", "cycle"], sort=True):
-            c, m, s = fn.discharge_map(g["clock"], g["voltage"], g["current"], g["capacity"], g["temperature"], g["discharging"], g["low"].iloc[0], g["high"].iloc[0], size)
-            out.append((cell, cycle, c.tolist(), m.tolist(), *s.tolist()))
-        return pd.DataFrame(out, columns=["cell", "cycle", "channels", "masks", *(f"qv_{s}" for s in fn.STATS)])
+        for cell, cycle, g in _cycles(batches):
+            out.append(dict(zip(names, (cell, cycle, *f(g)))))
+            if len(out) >= 500:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    one = raw.select(F.col("cell").cast("long").alias("cell"), F.col("cycle").cast("long").alias("cycle"), "sample", *columns)
+    ddl = "cell long, cycle long, " + ", ".join(f"{c} {t}" for c, (t, _) in kinds.items())
+    return one.repartition("cell", "cycle").sortWithinPartitions("cell", "cycle", "sample").mapInArrow(run, ddl)
+
+
+NUMBERS = ("array<double>", pa.list_(pa.float64()))
 
-    return raw.groupBy("cell").applyInPandas(run, schema)
+
+def discharge_maps(raw: DataFrame, size: int = 100, skip_first: Column | None = None) -> DataFrame:
+    """Per cell and cycle: channels on the voltage grid, masks and statistics. raw: cell, cycle, sample, hours, voltage,
+    current, capacity, temperature, discharging, low, high. Of the cells of skip_first (those of a lab that calibrates in the first
+    cycle) the first cycle counts as one without samples."""
+    if skip_first is not None:
+        first = F.col("cycle") == F.min("cycle").over(W.partitionBy("cell"))
+        raw = raw.withColumn("discharging", F.col("discharging") & ~(first & F.coalesce(skip_first, F.lit(False))))
+    kinds = {"channels": ("array<array<double>>", pa.list_(pa.list_(pa.float64()))), "masks": NUMBERS} | {f"qv_{s}": ("double", pa.float64()) for s in fn.STATS}
+    raw = raw.withColumn("discharging", F.coalesce("discharging", F.lit(False)).cast("int"))
+
+    def made(g: dict[str, np.ndarray]) -> tuple:
+        c, m, s = fn.discharge_map(g["hours"], g["voltage"], g["current"], g["capacity"], g["temperature"], g["discharging"], g["low"][0], g["high"][0], size)
+        return c.tolist(), m.tolist(), *s.tolist()
+
+    return _per_cycle(raw, ["hours", "voltage", "current", "capacity", "temperature", "discharging", "low", "high"], made, kinds)
 
 
 def charge_curves(raw: DataFrame, size: int = 50) -> DataFrame:
     """Per cell and cycle: the partial charge curve, null where there is too little."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def made(g: dict[str, np.ndarray]) -> tuple:
+        q = fn.partial_charge(g["minutes"], g["voltage"], g["current"], g["charging"], size)
+        return (None if q is None else q.tolist(),)
+
+    raw = raw.withColumn("charging", F.coalesce("charging", F.lit(False)).cast("int"))
+    return _per_cycle(raw, ["minutes", "voltage", "current", "charging"], made, {"curve": NUMBERS})
+
+
+def dqdv_curves(raw: DataFrame, **sizes) -> DataFrame:
+    """Per cell and cycle: voltages and dQ/dV of the charge, nulls where there is too little. raw: cell, cycle, sample, voltage,
+    capacity, charging; sizes: of ``charge_dqdv``."""
+
+    def made(g: dict[str, np.ndarray]) -> tuple:
+        curve = fn.charge_dqdv(g["voltage"], g["capacity"], g["charging"], **sizes)
+        return (None, None) if curve is None else tuple(x.tolist() for x in curve)
+
+    raw = raw.withColumn("charging", F.coalesce("charging", F.lit(False)).cast("int"))
+    return _per_cycle(raw, ["voltage", "capacity", "charging"], made, {"grid": NUMBERS, "dqdv": NUMBERS})
+
+
+def charging_rows(step: str = "step", current: str = "current", keys: tuple[str, ...] = ("cell", "cycle")) -> Column:
+    """Positive current, in rows whose step says charge if any row of the cycle does."""
+    says = F.coalesce(F.lower(step).contains("charge"), F.lit(False))
+    positive = F.coalesce(F.col(current) > 0, F.lit(False))
+    return positive & (says | ~F.max(says).over(W.partitionBy(*keys)))
+
+
+def dqdv_distances(pairs: DataFrame, least: float | None = None, points: int = 20) -> DataFrame:
+    """pairs (q_grid, q_dqdv, r_grid, r_dqdv and others) with d_dqdv of the curves, or of their parts from a voltage on; null where a curve is
+    missing or they share too little."""
+
+    @F.pandas_udf("double")
+    def distance(v1: pd.Series, d1: pd.Series, v2: pd.Series, d2: pd.Series) -> pd.Series:
         out = []
-        for (cell, cycle), g in pdf.sort_values("sample").groupby(["cell", "cycle"], sort=True):
-            q = fn.partial_charge(g["minutes"], g["voltage"], g["current"], g["charging"], size)
-            out.append((cell, cycle, None if q is None else q.tolist()))
-        return pd.DataFrame(out, columns=["cell", "cycle", "curve"])
+        for a, b, c, d in zip(v1, d1, v2, d2):
+            x, y = (None if v is None else (v, w) for v, w in ((a, b), (c, d)))
+            if least is not None:
+                x, y = fn.above(x, least, points), fn.above(y, least, points)
+            out.append(np.nan if x is None or y is None else fn.dqdv_distance(*x, *y, least))
+        return pd.Series(out, dtype=float)
+
+    return pairs.withColumn("d_dqdv", F.nanvl(distance("q_grid", "q_dqdv", "r_grid", "r_dqdv"), F.lit(None).cast("double")))
+
+
+def map_curves(maps: DataFrame, least: float = 3.2, points: int = 20) -> DataFrame:
+    """maps (channels, masks) with grid and dqdv from the stored voltages, nulls where there is too little."""
+
+    @F.pandas_udf("grid array<double>, dqdv array<double>")
+    def curve(voltages: pd.Series, known: pd.Series) -> pd.DataFrame:
+        found = [fn.map_dqdv(v, least, points) if k > 0 else None for v, k in zip(voltages, known)]
+        return pd.DataFrame([(None, None) if f is None else tuple(x.tolist() for x in f) for f in found], columns=["grid", "dqdv"])
 
-    return raw.groupBy("cell").applyInPandas(run, "cell long, cycle long, curve array<double>")
+    made = maps.withColumn("_c", curve(F.element_at("channels", 1), F.element_at("masks", 1)))
+    return made.withColumns({"grid": F.col("_c.grid"), "dqdv": F.col("_c.dqdv")}).drop("_c")
 
 
 def life_curves(cycles: DataFrame, key: str = "cell_uid") -> DataFrame:

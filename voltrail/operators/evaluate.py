@@ -134,6 +134,12 @@ def concept_scores() -> dict[str, Column]:
     }
 
 
+def category_summary(long: DataFrame, name: str, category: str, value: str) -> DataFrame:
+    """Per name and category: rows, their share of the name's, and mean, population deviation, smallest and largest of the values."""
+    out = long.groupBy(name, category).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return out.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(name)))
+
+
 def permuted(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:
     """df with the column's values dealt anew, by two orders of digests."""
     n = F.row_number().over(W.partitionBy("_b").orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(f"a{seed}"))), key))

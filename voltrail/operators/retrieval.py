@@ -1,9 +1,9 @@
-"""Search of similar cases: blocks of queries against all references, distances of pairs, selection, weights."""
+"""Search of similar cases: blocks of queries against blocks of references, distances of pairs, selection, weights."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from math import ceil
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -11,77 +11,170 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltrail.functions.columns import clip01
+from voltrail.functions.columns import array_mean, array_std, bound, clip01
 
 
-def search(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", block: int = 2048) -> DataFrame:
+def search(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", cells: int | None = None) -> DataFrame:
     """query, ref, score and rank of the k best references of each query.
 
     Both sides: id (long), vector, and optionally group, until, kind (long). References of a query's own id or group, those
-    that end after the query (until) and those of another kind are left out before the choice. Queries are taken in blocks
-    of bounded size; each task keeps the k best of its references for the block.
+    that end after the query (until) and those of another kind are left out before the choice. Blocks of queries and blocks of
+    references meet in a grid of about so many cells (unless given, as many as shuffle partitions); each cell keeps its k best, of equals
+    the smaller ids, and the best of a query's cells follow from these.
     """
     extra = [c for c in ("group", "until", "kind") if c in queries.columns]
-    wanted = queries.select("id", "vector", *extra)
-    blocks = max(1, ceil(wanted.count() / block))
-    found = None
-    for b in range(blocks):
-        part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        rows = part.toArrow().to_pydict()
-        vectors = np.array(rows["vector"], np.float64).reshape(len(rows["id"]), -1)
-        given = {c: np.array(rows[c], np.int64) for c in ("id", *extra)}
-        shared = queries.sparkSession.sparkContext.broadcast((vectors, given))
-        one = refs.select("id", "vector", *extra).mapInArrow(_nearest(shared, k, metric), "query long, ref long, score double")
-        found = one if found is None else found.unionByName(one)
+    cells = cells or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    down = max(1, round(sqrt(cells)))
+    aside = max(1, ceil(cells / down))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    everywhere = lambda n: F.explode(F.array(*(F.lit(x).cast("long") for x in range(n))))
+    side = lambda df, number: df.select(F.lit(number).alias("side"), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *(F.col(c).cast("long").alias(c) for c in extra))
+    left = side(queries, 0).withColumns({"i": own(down), "j": everywhere(aside)})
+    right = side(refs, 1).withColumns({"i": everywhere(down), "j": own(aside)})
+    dealt = left.unionByName(right).repartition("i", "j").sortWithinPartitions("i", "j", "side", "id")
+    found = dealt.mapInArrow(_nearest(k, metric, extra), "query long, ref long, score double")
     best = F.desc("score") if metric == "cosine" else F.asc("score")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(best, "ref")))
     return ranked.where(F.col("rank") <= k)
 
 
-def _nearest(shared, k: int, metric: str):
+def _nearest(k: int, metric: str, extra: list[str], tile: int = 512):
+    def prepared(v: np.ndarray) -> np.ndarray:
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if metric == "cosine" else v
+
+    def distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        if metric == "cosine":
+            return -(q @ r.T)
+        return np.maximum((q * q).sum(axis=1)[:, None] + (r * r).sum(axis=1) - 2 * (q @ r.T), 0)
+
+    def bad(q: dict, r: dict) -> np.ndarray:
+        out = q["id"][:, None] == r["id"]
+        if "group" in q:
+            out |= q["group"][:, None] == r["group"]
+        if "until" in q:
+            out |= q["until"][:, None] < r["until"]
+        if "kind" in q:
+            out |= q["kind"][:, None] != r["kind"]
+        return out
+
+    def merged(*parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each row, of (row, score, ref)."""
+        row, score, ref = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((ref, score, row))
+        row, score, ref = row[order], score[order], ref[order]
+        begin = np.searchsorted(row, row)
+        keep = np.arange(len(row)) - begin < k
+        return row[keep], score[keep], ref[keep]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, given = shared.value
-        n = len(vectors)
-        score, ref = np.full((n, 0), np.inf), np.zeros((n, 0), np.int64)
+        now, asked, best = None, [], None
+
+        def closed() -> pa.RecordBatch:
+            row, score, ref = best
+            return pa.RecordBatch.from_arrays([pa.array(asked["id"][row]), pa.array(ref), pa.array(-score if metric == "cosine" else score)], ["query", "ref", "score"])
+
         for batch in batches:
-            if not batch.num_rows or not n:
-                continue
-            r = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            own = {c: batch.column(c).to_numpy() for c in given}
-            if metric == "cosine":
-                unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                d = -(unit(vectors) @ unit(r).T)
-            else:
-                d = np.stack([((r - v) ** 2).sum(axis=1) for v in vectors])
-            bad = given["id"][:, None] == own["id"]
-            if "group" in own:
-                bad |= given["group"][:, None] == own["group"]
-            if "until" in own:
-                bad |= given["until"][:, None] < own["until"]
-            if "kind" in own:
-                bad |= given["kind"][:, None] != own["kind"]
-            d = np.where(bad, np.inf, d)
-            score, ref = np.hstack([score, d]), np.hstack([ref, np.broadcast_to(own["id"], d.shape)])
-            order = np.lexsort((ref, score))[:, :k]
-            score, ref = np.take_along_axis(score, order, 1), np.take_along_axis(ref, order, 1)
-        keep = np.isfinite(score)
-        query = np.broadcast_to(given["id"][:, None], score.shape)[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ref[keep]), pa.array(-score[keep] if metric == "cosine" else score[keep])], ["query", "ref", "score"])
+            place = batch.column("i").to_numpy() << 32 | batch.column("j").to_numpy() << 1 | batch.column("side").to_numpy()
+            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                some = batch.slice(a, b - a)
+                given = {c: some.column(c).to_numpy() for c in ("id", *extra)}
+                vectors = prepared(some.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1))
+                cell, is_ref = int(place[a]) >> 1, bool(place[a] & 1)
+                if cell != now:
+                    if best is not None:
+                        yield closed()
+                    now, asked, best = cell, None, None
+                if not is_ref:  # queries come before references
+                    one = given | {"vectors": vectors}
+                    asked = one if asked is None else {c: np.concatenate([asked[c], one[c]]) for c in one}
+                elif asked is not None:
+                    for start in range(0, len(asked["id"]), tile):
+                        q = {c: x[start : start + tile] for c, x in asked.items()}
+                        for at in range(0, b - a, 4 * tile):
+                            r = {c: x[at : at + 4 * tile] for c, x in given.items()}
+                            d = np.where(bad(q, r), np.inf, distances(q["vectors"], vectors[at : at + 4 * tile]))
+                            last = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
+                            row, column = np.nonzero((d <= last) & np.isfinite(d))
+                            part = (row + start, d[row, column], r["id"][column])
+                            best = merged(part) if best is None else merged(best, part)
+        if best is not None:
+            yield closed()
 
     return run
 
 
-def hard_filter(same_cell: str = "exclude", same_chemistry: bool = False) -> Column:
-    """Whether a reference may serve a query (columns q_… and r_…)."""
+def hard_filter(same_cell: str = "exclude", same_chemistry: bool = False, splits: Sequence[str] = ()) -> Column:
+    """Whether a reference may serve a query (columns q_… and r_… of id, cell, end, chemistry, split, future).
+
+    Never one of the target queries, nor itself, nor one with another horizon or an unknown future; of the query's own cell none, those that end before
+    it does (past_only), or all (allow); of the splits, if any are named.
+    """
     keep = (F.col("q_id") != F.col("r_id")) & (F.col("r_split") != "target_query")
+    keep &= (F.size("q_future") == F.size("r_future")) & ~F.exists("r_future", lambda x: x.isNull() | F.isnan(x))
+    if splits:
+        keep &= F.col("r_split").isin(*splits)
     same = F.col("q_cell") == F.col("r_cell")
     if same_cell == "exclude":
         keep &= ~same
     elif same_cell == "past_only":
         keep &= ~same | (F.col("r_end") <= F.col("q_end"))
+    elif same_cell != "allow":
+        raise ValueError("same_cell: exclude, past_only or allow")
     return keep & (F.col("q_chemistry") == F.col("r_chemistry")) if same_chemistry else keep
 
 
+def first_m(pairs: DataFrame, keep: Column, m: int) -> DataFrame:
+    """Of each query's coarse candidates in order of their rank, the first m that may serve."""
+    return pairs.where(keep).withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("rank"))).where(F.col("rank") <= m)
+
+
+# the first stage's embedding
+
+
+def resampled(seq: Column, points: int) -> Column:
+    """Linear interpolation of a sequence at so many equal steps; unknown elements are 0."""
+    n = F.size(seq)
+    at = lambda i: F.coalesce(F.element_at(seq, i.cast("int") + 1), F.lit(0.0))
+
+    def value(i: Column) -> Column:
+        place = i * (n - 1) / F.lit(max(points - 1, 1)) if points > 1 else F.lit(0.0)
+        low = F.floor(place)
+        return at(low) + (place - low) * (at(F.least(low + 1, n - 1)) - at(low))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), value)
+
+
+def summary(seq: Column) -> Column:
+    """Mean, population deviation and last of the known elements, zeros if there are none."""
+    known = F.filter(seq, lambda x: x.isNotNull())
+    parts = bound(known, lambda k: F.array(array_mean(k), array_std(k), F.get(k, F.size(k) - 1)))
+    return F.transform(parts, lambda x: F.coalesce(x, F.lit(0.0)))
+
+
+def stage1_embedding(state: Column, history: Column, curve_stats: Column, stress: Column, sequences: Sequence[Column], points: int = 16) -> Column:
+    """State, the resampled history less its last value, curve statistics, stress features, and summaries of sequences."""
+    zero = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(0.0)))
+    anchored = F.transform(history, lambda x: x - F.element_at(history, -1))
+    return F.concat(zero(state), bound(anchored, lambda h: resampled(h, points)), zero(curve_stats), zero(stress), *map(summary, sequences))
+
+
+def robust_scaled(df: DataFrame, bank: Column, column: str, width: int, accuracy: int | None = None, limit: float = 8.0) -> DataFrame:
+    """df with the column's dimensions less their medians by their interquartile ranges, both of the bank's rows; where a range is nothing
+    the deviation stands in, then 1. Unknown values are 0; all are cut at the limit. With an accuracy the percentiles are
+    approximate, with an error of one by it, and need bounded memory however large the bank."""
+    at = lambda i: F.element_at(column, i + 1)
+    cut = (lambda c, q: F.percentile_approx(c, q, accuracy)) if accuracy else (lambda c, q: F.percentile(c, F.lit(q)))
+    parts = [F.struct(cut(at(i), 0.5).alias("m"), (cut(at(i), 0.75) - cut(at(i), 0.25)).alias("i"), F.stddev_pop(at(i)).alias("s")) for i in range(width)]
+    marks = df.where(bank).agg(F.array(*parts).alias("_marks"))  # one row
+    scale = lambda m: F.when(m["i"] > 1e-8, m["i"]).when(m["s"] > 1e-8, m["s"]).otherwise(1.0)
+    inside = lambda z: F.when(z.isNull() | F.isnan(z), 0.0).otherwise(F.greatest(F.lit(-limit), F.least(F.lit(limit), z)))
+    out = F.zip_with(column, "_marks", lambda x, m: inside((x - m["m"]) / scale(m)))
+    return df.crossJoin(F.broadcast(marks)).withColumn(column, out).drop("_marks")
+
+
 # distances of pairs; q and r are arrays or columns of either side
 
 
@@ -93,10 +186,9 @@ def recency(n: int, power: float = 1.5) -> list[float]:
 def weighted_rmse(q: Column, r: Column, weights: Sequence[float], scale: float) -> Column:
     """1 if no element is known on both sides."""
     w = F.array(*map(F.lit, weights))
-    both = F.zip_with(q, r, lambda a, b: (a - b) / scale)
-    total = F.aggregate(F.zip_with(both, w, lambda d, x: F.when(d.isNotNull(), x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    square = F.aggregate(F.zip_with(both, w, lambda d, x: F.coalesce(x * d * d, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    return F.when(total > 0, F.sqrt(square / F.greatest(total, F.lit(1e-6)))).otherwise(1.0)
+    both = F.zip_with(F.zip_with(q, r, lambda a, b: (a - b) / scale), w, lambda d, x: F.when(d.isNotNull(), F.struct(x.alias("w"), (x * d * d).alias("s"))))
+    sums = F.aggregate(both, F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("s")), lambda a, x: F.when(x.isNull(), a).otherwise(F.struct((a["w"] + x["w"]).alias("w"), (a["s"] + x["s"]).alias("s"))))
+    return bound(sums, lambda t: F.when(t["w"] > 0, F.sqrt(t["s"] / F.greatest(t["w"], F.lit(1e-6)))).otherwise(1.0))
 
 
 def masked_l2(q: Column, r: Column, scales: Sequence[float] | None = None) -> Column:
@@ -106,9 +198,7 @@ def masked_l2(q: Column, r: Column, scales: Sequence[float] | None = None) -> Co
         both = F.zip_with(F.zip_with(q, r, lambda a, b: a - b), F.array(*map(F.lit, scales)), lambda d, s: d / s)
     else:
         both = F.zip_with(q, r, lambda a, b: (a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1e-4)))
-    n = F.size(F.filter(both, lambda x: x.isNotNull()))
-    square = F.aggregate(both, F.lit(0.0), lambda a, x: a + F.coalesce(x * x, F.lit(0.0)))
-    return F.when(n > 0, F.sqrt(square / n)).otherwise(1.0)
+    return bound(array_mean(F.transform(both, lambda x: x * x)), lambda m: F.when(m.isNotNull(), F.sqrt(m)).otherwise(1.0))
 
 
 def differences(seq: Column) -> Column:
@@ -120,7 +210,7 @@ def soh_state_distance(length: int, weights: tuple[float, float, float, float] =
     a, b, c, e = weights
     q, r = F.col("q_seq"), F.col("r_seq")
     last = lambda s: F.element_at(F.filter(s, lambda x: x.isNotNull()), -1)
-    centred = lambda s: F.transform(s, lambda x: x - last(s))
+    centred = lambda s: bound(last(s), lambda m: F.transform(s, lambda x: x - m))
     state = masked_l2(F.col("q_state"), F.col("r_state"), [0.1, 0.01, 0.005])
     history = weighted_rmse(centred(q), centred(r), recency(length), 0.015)
     slope = weighted_rmse(differences(q), differences(r), recency(length - 1), 0.0008)
@@ -128,6 +218,54 @@ def soh_state_distance(length: int, weights: tuple[float, float, float, float] =
     return (a * state + b * history + c * slope + e * stage) / (a + b + c + e)
 
 
+def curve_distance(q: Column, r: Column) -> Column:
+    """Of two curves where both are known: the root mean square difference of their standardised shapes (.85) and the relative difference
+    of their levels (.15); 1 if they share nothing. One pass over the elements sums what both need."""
+    names = ["n", "a", "b", "aa", "bb", "ab"]
+    start = F.struct(*(F.lit(0.0).alias(x) for x in names))
+
+    def add(s: Column, x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        more = dict(zip(names, (F.lit(1.0), a, b, a * a, b * b, a * b)))
+        return F.struct(*((s[n] + F.when(a.isNotNull() & b.isNotNull(), v).otherwise(0.0)).alias(n) for n, v in more.items()))
+
+    def spread(s: Column) -> Column:
+        m = {c: s[c] / s["n"] for c in ("a", "b")}
+        var = {c: F.greatest(s[c + c] / s["n"] - m[c] * m[c], F.lit(0.0)) for c in m}
+        return F.struct(m["a"].alias("ma"), m["b"].alias("mb"), var["a"].alias("va"), var["b"].alias("vb"), (s["ab"] / s["n"] - m["a"] * m["b"]).alias("cov"), *(F.greatest(F.sqrt(var[c]), F.lit(1e-4)).alias(f"s{c}") for c in m))
+
+    def distance(x: Column) -> Column:
+        shape = F.sqrt(F.greatest(x["va"] / (x["sa"] * x["sa"]) + x["vb"] / (x["sb"] * x["sb"]) - 2 * x["cov"] / (x["sa"] * x["sb"]), F.lit(0.0)))
+        return 0.85 * shape + 0.15 * F.abs(x["ma"] - x["mb"]) / F.greatest(F.abs(x["ma"]), F.abs(x["mb"]), x["sa"], x["sb"], F.lit(1e-4))
+
+    sums = F.aggregate(F.zip_with(q, r, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), start, add)
+    return bound(sums, lambda s: F.when(s["n"] > 0, bound(spread(s), distance)).otherwise(1.0))
+
+
+def qv_distance(channels: Sequence[tuple[str, float]], stats: str | None = "curve_stats") -> Column:
+    """Of q_/r_ curves: the weighted mean of the distances of the channels that both have (a channel that is null or all unknown is
+    absent), and of their statistics, relative, with weight 1; 1 if they have nothing in common."""
+    terms, weights = [], []
+    there = lambda c: F.coalesce(F.exists(c, lambda x: x.isNotNull()), F.lit(False))
+    for c, w in channels:
+        common = there(f"q_{c}") & there(f"r_{c}")
+        terms.append(F.when(common, w * curve_distance(F.col(f"q_{c}"), F.col(f"r_{c}"))).otherwise(0.0))
+        weights.append(F.when(common, w).otherwise(0.0))
+    if stats:
+        q, r = F.col(f"q_{stats}"), F.col(f"r_{stats}")
+        common = there(F.zip_with(q, r, lambda a, b: a + b))
+        terms.append(F.when(common, masked_l2(q, r)).otherwise(0.0))
+        weights.append(F.when(common, 1.0).otherwise(0.0))
+    total = sum(weights)
+    return F.when(total > 0, sum(terms) / total).otherwise(1.0)
+
+
+def availability(masks: str = "masks") -> Column:
+    """Share of the features that both sides of a pair have (q_/r_ arrays of booleans)."""
+    both = F.zip_with(f"q_{masks}", f"r_{masks}", lambda a, b: F.when(a & b, 1.0).otherwise(0.0))
+    return F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / F.size(both)
+
+
 def physics_distance() -> Column:
     """Of the first four stress features, relative."""
     return masked_l2(F.slice("q_stress", 1, 4), F.slice("r_stress", 1, 4))
@@ -261,3 +399,22 @@ def reliability_gate(floors: tuple[float, float, float] = (0.3, 0.3, 0.5), scale
     agree = f2 + (1 - f2) * F.exp(-F.col("dispersion") / scale)
     stage = f3 + (1 - f3) / (1 + F.exp(-(mid - F.col("anchor")) * sharpness))
     return clip01(sure * agree * stage)
+
+
+def blended_rerank(pairs: DataFrame, applies: Column, weight: float = 0.45, distance: str = "distance", extra: str = "d_dqdv") -> DataFrame:
+    """pairs with base_distance and the distance blended with another one, where it applies and is known."""
+    w = min(1.0, max(0.0, weight))
+    known = applies & F.col(extra).isNotNull() & ~F.isnan(extra)
+    return pairs.withColumn("base_distance", F.col(distance)).withColumn(distance, F.when(known, (1 - w) * F.col(distance) + w * F.col(extra)).otherwise(F.col(distance)))
+
+
+def reordered(results: DataFrame, extra: str = "d_dqdv", distance: str = "distance") -> DataFrame:
+    """Results with new_rank: by another distance, unknown ones last, then by the distance."""
+    order = [F.asc_nulls_last(extra), F.asc(distance), F.asc("rank")]
+    return results.withColumn("new_rank", F.row_number().over(W.partitionBy("query").orderBy(*order)))
+
+
+def blended_trend(confidence: Column, weighted: Column, trend: Column, share: float = 0.6) -> Column:
+    """A forecast from references and a trend: the less confidence, the more of the trend."""
+    b = share * (1 - clip01(confidence))
+    return (1 - b) * weighted + b * trend

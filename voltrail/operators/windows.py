@@ -11,22 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltrail.functions.columns import array_count, array_mean, array_std, clip01, median, sigmoid
+from voltrail.functions.columns import array_count, array_mean, array_std, clip01, median, ranked, sigmoid
 
 
 def sliding(df: DataFrame, columns: Sequence[str], lookback: int, horizon: int, stride: int, carry: Sequence[str] = (), order: str = "cycle_idx") -> DataFrame:
     """Windows by position: x_seq and x_future for each column, window and target bounds, and the anchor row's carried
-    columns. Gaps stay in place as nulls; cells that are too short have no windows."""
-    row = F.struct(F.col(order).alias("_o"), *columns, *(c for c in carry if c not in columns))
-    cells = df.groupBy("cell_uid").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    n = F.size("rows")
-    starts = F.when(n >= lookback + horizon, F.sequence(F.lit(0), n - lookback - horizon, F.lit(stride)))
-    cases = cells.select("cell_uid", "rows", F.explode(starts).alias("window_start"))
-    cut = lambda c, at, size: F.slice(F.col(f"rows.{c}"), F.col("window_start") + 1 + at, size)
-    anchor = F.element_at("rows", F.col("window_start") + lookback)
+    columns. Gaps stay in place as nulls; cells that are too short have no windows. A row gathers only the rows of its own window."""
+    whole, cell = lookback + horizon, W.partitionBy("cell_uid")
+    row = F.struct(*dict.fromkeys([*columns, *carry]))
+    ordered = cell.orderBy(order)
+    df = df.select("cell_uid", (F.row_number().over(ordered) - 1).alias("window_start"), F.count("*").over(cell).alias("n_cycles"), F.collect_list(row).over(ordered.rowsBetween(0, whole - 1)).alias("rows"))
+    cases = df.where((F.col("window_start") % stride == 0) & (F.col("window_start") + whole <= F.col("n_cycles")))
+    cut = lambda c, at, size: F.slice(F.col(f"rows.{c}"), at + 1, size)
+    start, anchor = F.col("window_start").cast("long"), F.get("rows", F.lit(lookback - 1))
     return cases.select(
-        "cell_uid", F.col("window_start").cast("long").alias("window_start"), (F.col("window_start") + lookback).cast("long").alias("window_end"),
-        (F.col("window_start") + lookback + horizon).cast("long").alias("target_end"), n.cast("long").alias("n_cycles"),
+        "cell_uid", start.alias("window_start"), (start + lookback).alias("window_end"), (start + whole).alias("target_end"), F.col("n_cycles").cast("long").alias("n_cycles"),
         *(cut(c, 0, lookback).alias(f"{c}_seq") for c in columns), *(cut(c, lookback, horizon).alias(f"{c}_future") for c in columns), *(anchor[c].alias(c) for c in carry),
     )
 
@@ -88,7 +87,7 @@ def robust_z(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-MODES = ("thermal", "current", "power", "cycle")
+MODES = ("thermal", "current", "cycle", "power")
 
 
 def semantic_labels(df: DataFrame) -> DataFrame:
@@ -96,10 +95,10 @@ def semantic_labels(df: DataFrame) -> DataFrame:
 
     Needs thermal, current, power, aging (values of each case) and anchor_soh.
     """
-    df = robust_z(df, ["thermal", "current", "power", "aging"])
-    aging = 0.7 * F.col("aging_z") + 0.8 * F.greatest(F.lit(0.0), 0.9 - F.col("anchor_soh"))
-    scores = {m: sigmoid(F.col(f"{m}_z")) for m in MODES[:3]} | {"cycle": sigmoid(aging)}
-    df = df.withColumns({f"{m}_score": s for m, s in scores.items()})
+    df = df.withColumn("below", F.greatest(F.lit(0.0), 0.9 - F.coalesce("anchor_soh", F.lit(1.0))))
+    df = robust_z(df, ["thermal", "current", "power", "aging", "below"])
+    scores = {"thermal": F.col("thermal_z"), "current": F.col("current_z"), "cycle": 0.7 * F.col("aging_z") + 0.8 * F.col("below_z"), "power": F.col("power_z")}
+    df = df.withColumns({f"{m}_score": sigmoid(scores[m]) for m in MODES})
     top = F.greatest(*(F.col(f"{m}_score") for m in MODES))
     label = F.coalesce(*(F.when(F.col(f"{m}_score") == top, F.lit(m)) for m in MODES))
     evidence = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"{m}_score") >= 0.55, F.lit(m)) for m in MODES))), ",")
@@ -139,10 +138,10 @@ def encode_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def folds(df: DataFrame, k: int) -> DataFrame:
-    """df with fold: the place of its cell among the sorted cells, modulo k."""
-    cells = df.select("cell_uid").distinct().withColumn("fold", (F.row_number().over(W.orderBy("cell_uid")) - 1) % k)
-    return df.join(cells, "cell_uid")
+def folds(df: DataFrame, k: int, prefix: int = 9) -> DataFrame:
+    """df with fold: the place of its cell among the sorted cells, modulo k. Cells are sorted bucket by bucket of their ids' first letters."""
+    cells = ranked(df.select("cell_uid").distinct(), F.substring("cell_uid", 1, prefix), ["cell_uid"])
+    return df.join(cells.select("cell_uid", (F.col("rank") % k).alias("fold")), "cell_uid")
 
 
 def residual_stats(df: DataFrame, target: str, baseline: str) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voltrail.functions.columns import r6, sigmoid
+from voltrail.functions.columns import r6, ranked, sigmoid
 from voltrail.operators import retrieval as op
 from voltrail.plans.registry import query
-from voltrail.plans.retrieval_plans import PAIRS_SQL, RESULTS_SQL, RETRIEVE_SQL, embedded, pairs_of, query_rows, results_of
+from voltrail.plans.retrieval_plans import PAIRS_SQL, RESULTS_SQL, chosen, coarse, components_sql, pairs_of, query_rows, results_of, with_components
 from voltrail.plans.window_plans import CASES_SQL, H, L, cases_of
+from voltrail.sources.files import stored
 
 
 @query(CASES_SQL + """, sel AS (SELECT cell_uid, window_start, split, chemistry_family, cycle_idx / n_cycles AS life, list_stddev_pop(soh_seq) + list_max(soh_seq) - list_min(soh_seq) + abs(soh_seq[16] - soh_seq[1]) AS score FROM cases),
@@ -40,21 +41,55 @@ def query_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-PRESETS = {"full": {"d_soh_state": 0.85, "d_physics": 0.03, "d_metadata": 0.04}, "state": {"d_soh_state": 1.0}, "physics": {"d_physics": 1.0}, "metadata": {"d_metadata": 1.0}}
+PRESETS = {"full": {"d_soh_state": 0.85, "d_qv_shape": 0.08, "d_physics": 0.03, "d_metadata": 0.04}, "state": {"d_soh_state": 1.0}, "curves": {"d_qv_shape": 0.7, "d_physics": 0.3}, "metadata": {"d_metadata": 1.0}}
+SETTINGS_SQL = PAIRS_SQL + """, settings AS (SELECT 'full' AS setting, *, distance AS d FROM scored UNION ALL SELECT 'state', *, d_soh_state FROM scored UNION ALL SELECT 'curves', *, 0.7 * d_qv_shape + 0.3 * d_physics FROM scored
+  UNION ALL SELECT 'metadata', *, d_metadata FROM scored), one AS (SELECT *, row_number() OVER (PARTITION BY setting, query, r_cell ORDER BY d, ref) AS c FROM settings),
+k AS (SELECT *, row_number() OVER (PARTITION BY setting, query ORDER BY d, ref) AS rank FROM one WHERE c = 1), top3 AS (SELECT * FROM k WHERE rank <= 3)"""
 
 
-@query(PAIRS_SQL + """, settings AS (SELECT 'full' AS setting, query, ref, r_cell, distance AS d FROM scored UNION ALL SELECT 'state', query, ref, r_cell, d_soh_state FROM scored UNION ALL SELECT 'physics', query, ref, r_cell, d_physics FROM scored
-  UNION ALL SELECT 'metadata', query, ref, r_cell, d_metadata FROM scored), one AS (SELECT *, row_number() OVER (PARTITION BY setting, query, r_cell ORDER BY d, ref) AS c FROM settings),
-k AS (SELECT *, row_number() OVER (PARTITION BY setting, query ORDER BY d, ref) AS rank FROM one WHERE c = 1) SELECT setting, query, ref, rank, round(d, 6) AS distance FROM k WHERE rank <= 3""")
-def setting_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+def settings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The components are computed once; each setting only weighs them anew."""
-    pairs = pairs_of(spark, sf_dir).select("query", "ref", "r_cell", "d_soh_state", "d_physics", "d_metadata")
+    pairs = pairs_of(spark, sf_dir).select("query", "ref", "r_cell", "q_dataset", "q_chemistry", "r_chemistry", "q_future", "r_future", "d_soh_state", "d_qv_shape", "d_physics", "d_metadata")
     each = F.array(*(F.struct(F.lit(n).alias("setting"), op.composite(w).alias("d")) for n, w in PRESETS.items()))
-    long = pairs.withColumn("s", F.explode(each)).select("query", "ref", "r_cell", "s.*")
+    long = pairs.withColumn("s", F.explode(each)).select("*", "s.*").drop("s")
     order = ["d", "ref"]
-    one = long.withColumn("_c", F.row_number().over(Window.partitionBy("setting", "query", "r_cell").orderBy(*order))).where("_c = 1")
-    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("setting", "query").orderBy(*order))).where("rank <= 3")
-    return ranked.select("setting", "query", "ref", "rank", r6("d", "distance"))
+    one = long.withColumn("_c", F.row_number().over(Window.partitionBy("setting", "query", "r_cell").orderBy(*order))).where("_c = 1").drop("_c")
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy("setting", "query").orderBy(*order))).where("rank <= 3")
+
+
+@query(SETTINGS_SQL + " SELECT setting, query, ref, rank, round(d, 6) AS distance FROM top3")
+def setting_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settings_of(spark, sf_dir).select("setting", "query", "ref", "rank", r6("d", "distance"))
+
+
+DIAGNOSED_SQL = SETTINGS_SQL + f""", diagnosed AS (SELECT *, q_chemistry = r_chemistry AS same, sqrt(list_avg(list_transform(range(1, {H + 1}), lambda i: pow(future[i] - truth[i], 2)))) AS rmse FROM top3),
+per_query AS (SELECT setting, query, any_value(q_dataset) AS dataset, arg_min(ref, rank) AS top1_ref, arg_min(rmse, rank) AS top1_rmse, min(rmse) AS best_rmse, avg(rmse) AS mean_rmse, arg_min(d, rank) AS top1_distance, avg(d) AS mean_distance, avg(same::INTEGER) AS match FROM diagnosed GROUP BY setting, query)"""
+MEASURES = ["top1_rmse", "best_rmse", "mean_rmse", "top1_distance", "mean_distance", "match"]
+
+
+def diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per setting and query: the first reference, and the errors of the first, of the best and on average if its future is the forecast."""
+    error = F.sqrt(F.aggregate(F.zip_with("r_future", "q_future", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x) / F.size("q_future"))
+    pairs = settings_of(spark, sf_dir).withColumns({"rmse": error, "same": (F.col("q_chemistry") == F.col("r_chemistry")).cast("int")})
+    first = lambda c: F.min_by(c, "rank")
+    return pairs.groupBy("setting", "query").agg(
+        F.first("q_dataset").alias("dataset"), first("ref").alias("top1_ref"), first("rmse").alias("top1_rmse"), F.min("rmse").alias("best_rmse"), F.avg("rmse").alias("mean_rmse"),
+        first("d").alias("top1_distance"), F.avg("d").alias("mean_distance"), F.avg("same").alias("match"),
+    )
+
+
+@query(DIAGNOSED_SQL + ", ".join(["SELECT setting, query, dataset, top1_ref", *(f"round({c}, 6) AS {c}" for c in MEASURES)]).replace("SELECT", " SELECT", 1) + " FROM per_query")
+def pair_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosed(spark, sf_dir).select("setting", "query", "dataset", "top1_ref", *(r6(c, c) for c in MEASURES))
+
+
+@query(DIAGNOSED_SQL + " SELECT setting, dataset, " + ", ".join(f"round(avg({c}) FILTER (isfinite({c})), 6) AS {c}" for c in MEASURES) + ", count(*) AS queries FROM per_query GROUP BY GROUPING SETS ((setting), (setting, dataset))")
+def setting_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means by setting, and by setting and dataset, of what is known and finite."""
+    d = diagnosed(spark, sf_dir)
+    finite = lambda c: F.when((F.abs(c) < float("inf")) & ~F.isnan(c), F.col(c))
+    sets = [[F.col("setting")], [F.col("setting"), F.col("dataset")]]
+    return d.groupingSets(sets, "setting", "dataset").agg(*(r6(F.avg(finite(c))).alias(c) for c in MEASURES), F.count("*").alias("queries"))
 
 
 @query(RESULTS_SQL + """, w AS (SELECT query, ref, list_transform(q_seq, lambda x: x - list_avg(q_seq)) AS a, list_transform(r.soh_seq, lambda x: x - list_avg(r.soh_seq)) AS b FROM results JOIN e r ON r.case_id = ref)
@@ -69,20 +104,33 @@ def shape_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("query", "ref", r6(dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b"))), "similarity"))
 
 
-@query(RETRIEVE_SQL + f""", pool AS (SELECT q.case_id AS query, r.case_id AS ref, q.delta AS y, r.delta AS p, row_number() OVER (PARTITION BY q.case_id ORDER BY md5(q.case_id || '|' || r.case_id || '|1'), r.case_id) AS k
-  FROM q JOIN e r ON r.split != 'target_query' AND r.user_id != q.user_id AND md5('r' || r.case_id)[1:1] = md5('q' || q.case_id)[1:1]),
-m AS (SELECT query, i, avg(p[i]) AS p, any_value(y[i]) AS y FROM pool, unnest(range(1, {H + 1})) AS u(i) WHERE k <= 5 GROUP BY query, i) SELECT query, round(avg(abs(p - y)), 8) AS mae FROM m GROUP BY query""")
+DRAWN_SQL = RESULTS_SQL + """, shuffled AS (SELECT case_id AS ref, row_number() OVER (ORDER BY md5(case_id || '|1'), case_id) - 1 AS place, count(*) OVER () AS n FROM e WHERE split != 'target_query'),
+drawn AS (SELECT query, ref FROM (SELECT DISTINCT query FROM results), unnest(range(0, 5)) AS u(j) JOIN shuffled ON place = (query * 7919 + j) % n)"""
+
+
+@query(DRAWN_SQL + components_sql("drawn", "random") + f""", told AS (SELECT 'random' AS how, query, distance, 1 / 5 AS alpha, future, truth FROM random UNION ALL SELECT 'retrieved', query, distance, alpha, future, truth FROM results),
+hz AS (SELECT how, query, i, sum(alpha * future[i]) / sum(alpha) AS p, any_value(truth[i]) AS y FROM told, unnest(range(1, {H + 1})) AS u(i) GROUP BY how, query, i),
+mz AS (SELECT how, query, avg(abs(p - y)) AS mae FROM hz GROUP BY how, query), dz AS (SELECT how, query, avg(distance) AS distance FROM told GROUP BY how, query)
+SELECT mz.how, mz.query, round(mae, 6) AS mae, round(distance, 6) AS distance FROM mz JOIN dz ON dz.how = mz.how AND dz.query = mz.query""")
 def random_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of the mean of five random references; they are drawn from those that share a digit with the query's digest."""
-    df = embedded(spark, sf_dir)
-    digit = lambda side: F.substring(F.md5(F.concat(F.lit(side), F.col("case_id").cast("string"))), 1, 1)
-    queries = query_rows(df).select(F.col("case_id").alias("query"), F.col("delta").alias("y"), F.col("user_id").alias("q_user"), digit("q").alias("digit"))
-    refs = df.where("split != 'target_query'").select(F.col("case_id").alias("ref"), F.col("delta").alias("p"), "user_id", digit("r").alias("digit"))
-    pairs = refs.join(queries, "digit").where(F.col("user_id") != F.col("q_user"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.md5(F.concat_ws("|", F.col("query").cast("string"), F.col("ref").cast("string"), F.lit("1"))), "ref"))
-    chosen = pairs.withColumn("k", rank).where("k <= 5").select("query", F.posexplode(F.arrays_zip("p", "y")).alias("i", "z"))
-    mean = chosen.groupBy("query", "i").agg(F.avg("z.p").alias("p"), F.first("z.y").alias("y"))
-    return mean.groupBy("query").agg(F.round(F.avg(F.abs(F.col("p") - F.col("y"))), 8).alias("mae"))
+    """Retrieved against as many random references per query: mean distance, and error of the weighted (random: plain) mean of the futures.
+
+    References stand in the order of their digests; a query takes those from a place of its own on, so that all can be drawn and no
+    query meets them all."""
+    df, found = coarse(spark, sf_dir)
+    real = chosen(with_components(df, found)).select(F.lit("retrieved").alias("how"), "query", "distance", "alpha", "r_future", "q_future")
+    digest = F.md5(F.concat(F.col("case_id").cast("string"), F.lit("|1")))
+    refs = df.where("split != 'target_query'").select("case_id", digest.alias("digest"))
+    refs = ranked(refs, F.substring("digest", 1, 2), ["digest", "case_id"], "place").select(F.col("case_id").alias("ref"), "place")
+    n = refs.agg(F.count("*").alias("n"))  # one row
+    asked = query_rows(df).select(F.col("case_id").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")).crossJoin(F.broadcast(n))
+    pairs = asked.withColumn("place", (F.col("query") * 7919 + F.col("j")) % F.col("n")).join(refs, "place").select("query", "ref")
+    drawn = with_components(df, pairs).select(F.lit("random").alias("how"), "query", "distance", F.lit(0.2).alias("alpha"), "r_future", "q_future")
+    both = stored(drawn.unionByName(real), "drawn")
+    long = both.select("how", "query", "alpha", F.posexplode(F.arrays_zip("r_future", "q_future")).alias("i", "z"))
+    mean = long.groupBy("how", "query", "i").agg((F.sum(F.col("alpha") * F.col("z.r_future")) / F.sum("alpha")).alias("p"), F.first("z.q_future").alias("y"))
+    errors = mean.groupBy("how", "query").agg(r6(F.avg(F.abs(F.col("p") - F.col("y")))).alias("mae"))
+    return errors.join(both.groupBy("how", "query").agg(r6(F.avg("distance")).alias("distance")), ["how", "query"])
 
 
 @query(RESULTS_SQL + """ SELECT query, string_agg(ref::VARCHAR, ',' ORDER BY rank) AS refs, count(*) AS n, round(sum(alpha), 6) AS weight FROM results GROUP BY query""")
@@ -104,20 +152,34 @@ def aligned_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("query", "ref", "side", (F.col("i") + 1).alias("i"), r6("value", "value"))
 
 
-@query(RESULTS_SQL + """, best AS (SELECT query, arg_min(ref, (distance, ref)) AS by_distance, arg_min(ref, (d_physics, ref)) AS by_physics, min(distance) AS nearest, min(d_physics) AS d_physics FROM results GROUP BY query)
-SELECT query, by_distance, by_physics, by_distance != by_physics AS changed, round(nearest, 6) AS nearest, round(d_physics, 6) AS d_physics FROM best""")
+@query(RESULTS_SQL + f""", x AS (SELECT *, sqrt(list_avg(list_transform(range(1, {H + 1}), lambda i: pow(future[i] - truth[i], 2)))) AS rmse, CASE WHEN r_stage != 'end' THEN d_qv_shape END AS d FROM results),
+best AS (SELECT query, arg_min(ref, rank) AS before, first(ref ORDER BY d NULLS LAST, distance, rank) AS after, arg_min(rmse, rank) AS rmse_before, first(rmse ORDER BY d NULLS LAST, distance, rank) AS rmse_after FROM x GROUP BY query)
+SELECT query, before, after, before != after AS changed, rmse_after < rmse_before AS improved, round(rmse_before, 6) AS rmse_before, round(rmse_after, 6) AS rmse_after FROM best""")
 def rerank_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether ordering the chosen references by one component changes the first."""
-    first = lambda c: F.min_by("ref", F.struct(c, "ref"))
-    out = results_of(spark, sf_dir).groupBy("query").agg(first("distance").alias("by_distance"), first("d_physics").alias("by_physics"), r6(F.min("distance")).alias("nearest"), r6(F.min("d_physics")).alias("d_physics"))
-    return out.withColumn("changed", F.col("by_distance") != F.col("by_physics"))
+    """Whether ordering the chosen references by their curves (unknown here at the end of life, and then last) changes the first, and
+    whether its future is nearer to the query's."""
+    error = F.sqrt(F.aggregate(F.zip_with("r_future", "q_future", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x) / F.size("q_future"))
+    r = results_of(spark, sf_dir).withColumns({"rmse": error, "d": F.when(F.col("r_stage") != "end", F.col("d_qv_shape"))})
+    at = lambda c, place: F.max(F.when(F.col(place) == 1, F.col(c)))
+    out = op.reordered(r, "d").groupBy("query").agg(at("ref", "rank").alias("before"), at("ref", "new_rank").alias("after"), at("rmse", "rank").alias("rmse_before"), at("rmse", "new_rank").alias("rmse_after"))
+    return out.select("query", "before", "after", (F.col("before") != F.col("after")).alias("changed"), (F.col("rmse_after") < F.col("rmse_before")).alias("improved"), r6("rmse_before", "rmse_before"), r6("rmse_after", "rmse_after"))
+
+
+@query(PAIRS_SQL + """, blended AS (SELECT *, CASE WHEN q_dataset = 'hust' AND r_stage != 'end' THEN 0.55 * distance + 0.45 * d_qv_shape ELSE distance END AS d FROM scored),
+one AS (SELECT *, row_number() OVER (PARTITION BY query, r_cell ORDER BY d, ref) AS c FROM blended), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, ref) AS rank FROM one WHERE c <= 2)
+SELECT query, ref, rank, round(d, 6) AS distance, round(distance, 6) AS base_distance FROM k WHERE rank <= 5""")
+def curve_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One dataset's queries order their candidates by the distance blended with that of the curves."""
+    pairs = pairs_of(spark, sf_dir).withColumns({"cell": F.col("r_cell"), "d": F.when(F.col("r_stage") != "end", F.col("d_qv_shape"))})
+    out = op.capped_topk(op.blended_rerank(pairs, F.col("q_dataset") == "hust", extra="d"), 5, per="cell", cap=2)
+    return out.select("query", "ref", "rank", r6("distance", "distance"), r6("base_distance", "base_distance"))
 
 
 @query(RESULTS_SQL + """, v AS (SELECT r.query, sum(alpha / (1 + exp(-greatest(-20, least(20, (c.thermal - 35) / 5))))) / sum(alpha) AS heat, sum(alpha / (1 + exp(-greatest(-20, least(20, (0.9 - c.anchor_soh) / 0.05))))) / sum(alpha) AS aged FROM results r JOIN e c ON c.case_id = r.ref GROUP BY r.query)
 SELECT query, round(heat, 6) AS heat, round(aged, 6) AS aged FROM v""")
 def neighbor_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concept scores of the references, weighted."""
-    thermal = F.element_at("r_stress", 1)
+    thermal = F.col("r_thermal")
     scores = {"heat": sigmoid((thermal - 35) / 5), "aged": sigmoid((0.9 - F.col("r_anchor")) / 0.05)}
     return results_of(spark, sf_dir).groupBy("query").agg(*(r6(F.sum(F.col("alpha") * s) / F.sum("alpha")).alias(n) for n, s in scores.items()))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltrail.functions.columns import r6
+from voltrail.functions.curves import STATS
 from voltrail.operators import curves as op
 from voltrail.plans.registry import query
 from voltrail.plans.window_plans import CASES_SQL, cases_of
@@ -42,10 +43,14 @@ def spectral_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cell_uid", "cycle_idx", *(r6(f"{c}_fft_{k}_16", f"{c}_{k}") for c in names for k in ("entropy", "low_ratio")))
 
 
+def maps_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = op.inferred_time(raw_samples(spark, sf_dir), "clock", "hours").withColumns({"discharging": op.discharge_mask(), "low": F.lit(2.8), "high": F.lit(3.6)})
+    return op.discharge_maps(raw, skip_first=F.col("cell") % 4 == 3)
+
+
 @query()
 def qv_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_samples(spark, sf_dir).withColumns({"discharging": op.discharge_mask(), "low": F.lit(2.8), "high": F.lit(3.6)})
-    return op.discharge_maps(raw).select("cell", "cycle", *(r6(f"qv_{s}", f"qv_{s}") for s in ("peak_value", "peak_voltage", "area", "capacity_span", "power_proxy", "available")))
+    return maps_of(spark, sf_dir).select("cell", "cycle", *(r6(f"qv_{s}", f"qv_{s}") for s in STATS))
 
 
 @query()
@@ -54,6 +59,35 @@ def partial_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.charge_curves(raw).select("cell", "cycle", r6(F.element_at("curve", -1), "charge"), F.size("curve").alias("points"))
 
 
+def dqdv_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples are few per cycle in the test tables, so that ten bins are enough here."""
+    raw = raw_samples(spark, sf_dir)
+    return op.dqdv_curves(raw.withColumn("charging", op.charging_rows()), least=10)
+
+
+@query()
+def charge_dqdv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dqdv_of(spark, sf_dir)
+    top = F.array_max("dqdv")
+    return out.select("cell", "cycle", F.size("grid").alias("points"), r6(top, "peak"), r6(F.element_at("grid", F.array_position("dqdv", top).cast("int")), "peak_voltage"))
+
+
+@query()
+def dqdv_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cycle's charge curve against the cell's next cycle, whole and from 3.2 V on."""
+    curves = dqdv_of(spark, sf_dir)
+    side = lambda p, shift: curves.select("cell", (F.col("cycle") - shift).alias("cycle"), F.col("grid").alias(f"{p}_grid"), F.col("dqdv").alias(f"{p}_dqdv"))
+    pairs = side("q", 0).join(side("r", 1), ["cell", "cycle"])
+    both = op.dqdv_distances(op.dqdv_distances(pairs).withColumnRenamed("d_dqdv", "whole"), 3.2)
+    return both.select("cell", "cycle", r6("whole", "whole"), r6("d_dqdv", "high"))
+
+
+@query()
+def map_dqdv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op.map_curves(maps_of(spark, sf_dir))
+    return out.select("cell", "cycle", F.size("grid").alias("points"), r6(F.array_max("dqdv"), "peak"))
+
+
 @query()
 def life_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = cycles(spark, sf_dir)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltrail.functions.columns import r6
+from voltrail.functions.columns import array_mean, array_std, array_sum, r6
 from voltrail.operators import evaluate as ev
 from voltrail.operators import retrieval as op
-from voltrail.operators import windows as win
 from voltrail.plans.cycle_plans import rounds
 from voltrail.plans.registry import query
-from voltrail.plans.window_plans import CASES_SQL, EMBED, EMBED_SQL, FLAT, H, L, cases_of, flat_of
+from voltrail.plans.window_plans import CASES_SQL, FLAT, H, L, cases_of, flat_of
+from voltrail.sources.files import stored
 from voltrail.sources.roles import table
 
 
@@ -68,28 +68,90 @@ def domain_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 # cases
 
 
+#: The case's sequences stand for what a bank keeps of its anchor cycle: capacities for the charge curve, changes of soh for its derivative.
+CURVES = [("q_curve", 0.35), ("dq", 0.65)]
+WEIGHTS = {"d_soh_state": 0.85, "d_qv_shape": 0.08, "d_physics": 0.03, "d_metadata": 0.04}
+WIDTH, TOP_M, FETCH = 3 + 16 + 4 + 12 + 12, 200, 800
+
+
+def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with their curves, stress features, sequences, masks, and the first stage's embedding before it is scaled."""
+    df = cases_of(spark, sf_dir)
+    changes = F.transform(op.differences(F.col("soh_seq")), F.abs)
+    df = df.withColumns({"state": F.array("anchor_soh", "slope", "curvature"), "q_curve": F.col("capacity_seq"), "dq": changes})
+    top = F.array_max("dq")
+    at = lambda c: F.get(c, F.array_position("dq", top).cast("int"))
+    df = df.withColumn("curve_stats", F.array(top, at("voltage_mean_seq"), array_sum(F.col("dq")), F.array_max("capacity_seq") - F.array_min("capacity_seq")))
+    moments = [f(F.col(c)) for c in ("temp_mean_seq", "current_mean_seq") for f in (array_mean, array_std)]
+    df = df.withColumn("stress", F.concat("curve_stats", F.array("thermal", "current", "power", "aging", *moments)))
+    sequences = [F.transform("current_mean_seq", F.abs), F.col("temp_mean_seq"), F.col("power_seq"), F.concat(F.array(F.lit(0.0)), op.differences(F.col("soh_seq")))]
+    some = lambda c: F.exists(c, lambda x: x.isNotNull())
+    masks = F.concat(F.array(some("q_curve"), some("dq")), F.transform("stress", lambda x: x.isNotNull()), F.array(*map(some, sequences)))
+    return df.withColumns({"masks": masks, "embedding": op.stage1_embedding(F.col("state"), F.col("soh_seq"), F.col("curve_stats"), F.col("stress"), sequences)})
+
+
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = cases_of(spark, sf_dir).withColumn("embedding", win.embedding(EMBED)).withColumn("state", F.array("anchor_soh", "slope", "curvature"))
-    return df.withColumn("stress", F.array(F.col("thermal"), F.col("current"), F.col("power"), F.col("aging")))
+    """Cases with the scaled embedding, as a table: searches and joins read it several times."""
+    return stored(op.robust_scaled(raw_cases(spark, sf_dir), F.col("split") != "target_query", "embedding", WIDTH), "cases")
 
 
 def query_rows(df: DataFrame) -> DataFrame:
-    """The last case of each tenth cell."""
-    last = F.row_number().over(Window.partitionBy("cell_uid").orderBy(F.desc("window_start")))
-    return df.where("split = 'target_query'").withColumn("_k", last).where("_k = 1").drop("_k")
+    return df.where("split = 'target_query'")
 
 
-def coarse(spark: SparkSession, sf_dir: str, top_m: int = 40) -> tuple[DataFrame, DataFrame]:
-    """All cases, and the coarse candidates of the queries among other cells' reference cases."""
-    df = embedded(spark, sf_dir)
-    side = lambda d: d.select(F.col("case_id").alias("id"), F.col("embedding").alias("vector"), F.col("user_id").alias("group"))
-    return df, op.search(side(query_rows(df)), side(df.where("split != 'target_query'")), top_m)
+def summary_sql(s: str) -> str:
+    return f"[coalesce(list_avg({s}), 0), coalesce(list_stddev_pop({s}), 0), coalesce(list_last(list_filter({s}, lambda x: x IS NOT NULL)), 0)]"
+
+
+RAW_CASES_SQL = CASES_SQL + f""", cv AS (SELECT *, [anchor_soh, slope, curvature] AS state, capacity_seq AS q_curve, list_transform(range(1, {L}), lambda i: abs(soh_seq[i + 1] - soh_seq[i])) AS dq FROM cases),
+cs AS (SELECT *, [list_max(dq), voltage_mean_seq[list_position(dq, list_max(dq)) + 1], coalesce(list_sum(dq), 0), list_max(capacity_seq) - list_min(capacity_seq)] AS curve_stats,
+  list_transform(current_mean_seq, lambda x: abs(x)) AS s1, temp_mean_seq AS s2, power_seq AS s3, list_concat([0.0::DOUBLE], list_transform(range(1, {L}), lambda i: soh_seq[i + 1] - soh_seq[i])) AS s4 FROM cv),
+st AS (SELECT *, list_concat(curve_stats, [thermal, "current", power, aging, list_avg(temp_mean_seq), list_stddev_pop(temp_mean_seq), list_avg(current_mean_seq), list_stddev_pop(current_mean_seq)]) AS stress FROM cs),
+raw AS (SELECT *, list_concat(list_concat([list_count(q_curve) > 0, list_count(dq) > 0], list_transform(stress, lambda x: x IS NOT NULL)), [list_count(s1) > 0, list_count(s2) > 0, list_count(s3) > 0, list_count(s4) > 0]) AS masks,
+  flatten([list_transform(state, lambda x: coalesce(x, 0)), list_transform(soh_seq, lambda x: coalesce(x - anchor_soh, 0)), list_transform(curve_stats, lambda x: coalesce(x, 0)), list_transform(stress, lambda x: coalesce(x, 0)),
+    {", ".join(summary_sql(f"s{i}") for i in (1, 2, 3, 4))}]) AS v0 FROM st)"""
+RETRIEVE_SQL = RAW_CASES_SQL + f""", marks AS (SELECT i, quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS r, stddev_pop(x) AS s FROM (SELECT i, v0[i] AS x FROM raw, unnest(range(1, {WIDTH + 1})) AS u(i) WHERE split != 'target_query') GROUP BY i),
+scaled AS (SELECT case_id, list(greatest(-8, least(8, (v0[i] - m) / CASE WHEN r > 1e-8 THEN r WHEN s > 1e-8 THEN s ELSE 1 END)) ORDER BY i) AS v FROM raw, marks GROUP BY case_id),
+e AS (SELECT raw.*, v, sqrt(list_dot_product(v, v)) AS norm FROM raw JOIN scaled ON raw.case_id = scaled.case_id), q AS (SELECT * FROM e WHERE split = 'target_query'),
+near AS (SELECT q.case_id AS query, r.case_id AS ref, list_dot_product(q.v, r.v) / (q.norm * r.norm) AS score FROM q JOIN e r ON r.split != 'target_query'),
+fetched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ref) AS rank FROM near) WHERE rank <= {FETCH}),
+coarse AS (SELECT * FROM (SELECT f.query, f.ref, f.score, row_number() OVER (PARTITION BY f.query ORDER BY f.rank) AS rank FROM fetched f JOIN q ON q.case_id = f.query JOIN e r ON r.case_id = f.ref WHERE q.cell_uid != r.cell_uid) WHERE rank <= {TOP_M})"""
+
+
+@query(RAW_CASES_SQL + f" SELECT cell_uid, window_start, (i - 1)::INTEGER AS i, round(v0[i], 6) AS value FROM raw, unnest(range(1, {WIDTH + 1})) AS u(i)")
+def stage1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_cases(spark, sf_dir).select("cell_uid", "window_start", F.posexplode("embedding").alias("i", "value")).withColumn("value", r6("value"))
 
 
-RETRIEVE_SQL = CASES_SQL + f""", e AS (SELECT *, {EMBED_SQL} AS v FROM cases),
-q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_uid ORDER BY window_start DESC) AS last FROM e WHERE split = 'target_query') WHERE last = 1),
-near AS (SELECT q.case_id AS query, r.case_id AS ref, list_dot_product(q.v, r.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(r.v, r.v))) AS score FROM q JOIN e r ON r.split != 'target_query' AND r.user_id != q.user_id),
-coarse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ref) AS rank FROM near) WHERE rank <= 40)"""
+@query(RETRIEVE_SQL + f" SELECT cell_uid, window_start, (i - 1)::INTEGER AS i, round(v[i], 6) AS value FROM e, unnest(range(1, {WIDTH + 1})) AS u(i)")
+def stage1_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedded(spark, sf_dir).select("cell_uid", "window_start", F.posexplode("embedding").alias("i", "value")).withColumn("value", r6("value"))
+
+
+SIDE = ["id", "cell", "seq", "state", "stage", "chemistry", "stress", "curve_stats", "q_curve", "dq", "masks", "temp", "amps", "thermal", "future", "anchor", "vector", "end", "split", "dataset"]
+SLIM = ["id", "cell", "end", "chemistry", "split", "future"]
+
+
+def side_of(df: DataFrame, prefix: str, columns: list[str] = SIDE) -> DataFrame:
+    names = {"id": "case_id", "cell": "cell_uid", "seq": "soh_seq", "chemistry": "chemistry_family", "temp": "temp_mean_seq", "amps": "current_mean_seq", "future": "delta", "anchor": "anchor_soh", "vector": "embedding", "end": "window_end", "dataset": "source_dataset"}
+    return df.select(*(F.col(names.get(c, c)).alias(f"{prefix}_{c}") for c in columns))
+
+
+def both_sides(df: DataFrame, pairs: DataFrame, columns: list[str] = SIDE) -> DataFrame:
+    one = lambda p, key: side_of(df, p, columns).withColumn(key, F.col(f"{p}_id"))
+    return pairs.join(one("r", "ref"), "ref").join(one("q", "query"), "query")
+
+
+def nearest(df: DataFrame, queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    side = lambda d: d.select(F.col("case_id").alias("id"), F.col("embedding").alias("vector"))
+    return op.search(side(queries), side(refs), k)
+
+
+def coarse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All cases, and of each query's nearest references the first that may serve."""
+    df = embedded(spark, sf_dir)
+    fetched = nearest(df, query_rows(df), df.where("split != 'target_query'"), FETCH)
+    return df, op.first_m(both_sides(df, fetched, SLIM), op.hard_filter(), TOP_M).select("query", "ref", "rank", "score")
 
 
 @query(RETRIEVE_SQL + " SELECT query, ref, rank, round(score, 6) AS score FROM coarse")
@@ -97,22 +159,27 @@ def coarse_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coarse(spark, sf_dir)[1].select("query", "ref", "rank", r6("score", "score"))
 
 
-SIDE = ["id", "cell", "seq", "state", "stage", "chemistry", "stress", "temp", "amps", "future", "anchor", "vector", "end", "split", "dataset"]
+@query(RETRIEVE_SQL + """, pool AS (SELECT * FROM (SELECT q.case_id AS query, r.case_id AS ref, row_number() OVER (PARTITION BY q.case_id ORDER BY list_dot_product(q.v, r.v) / (q.norm * r.norm) DESC, r.case_id) AS rank FROM e q JOIN e r ON q.split = 'source_val' AND q.user_id % 20 = 1 AND r.case_id != q.case_id) WHERE rank <= 40),
+p AS (SELECT q.case_id AS query, q.cell_uid = r.cell_uid AS own, r.window_end <= q.window_end AS past, q.chemistry_family = r.chemistry_family AS alike, r.split != 'target_query' AS served, r.split = 'source_train' AS train FROM pool JOIN e q ON q.case_id = query JOIN e r ON r.case_id = ref)
+SELECT query, count(*) FILTER (served AND NOT own) AS exclude, count(*) FILTER (served AND (NOT own OR past)) AS past_only, count(*) FILTER (served) AS allow, count(*) FILTER (served AND NOT own AND alike) AS same_chemistry, count(*) FILTER (served AND NOT own AND train) AS train_only FROM p GROUP BY query""")
+def hard_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of forty near cases each policy lets serve, own cells and target queries among them."""
+    df = embedded(spark, sf_dir)
+    pairs = both_sides(df, nearest(df, df.where("split = 'source_val' AND user_id % 20 = 1"), df, 40).select("query", "ref"), SLIM)
+    rules = {"exclude": op.hard_filter(), "past_only": op.hard_filter("past_only"), "allow": op.hard_filter("allow"), "same_chemistry": op.hard_filter(same_chemistry=True), "train_only": op.hard_filter(splits=["source_train"])}
+    return pairs.groupBy("query").agg(*(F.count(F.when(keep, 1)).alias(n) for n, keep in rules.items()))
 
 
-def side_of(df: DataFrame, prefix: str) -> DataFrame:
-    names = {"id": "case_id", "cell": "cell_uid", "seq": "soh_seq", "chemistry": "chemistry_family", "temp": "temp_mean_seq", "amps": "current_mean_seq", "future": "delta", "anchor": "anchor_soh", "vector": "embedding", "end": "window_end", "dataset": "source_dataset"}
-    return df.select(*(F.col(names.get(c, c)).alias(f"{prefix}_{c}") for c in SIDE))
+def with_components(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (query, ref) with both sides, all components of the distance and the share of features that both have."""
+    return both_sides(df, pairs.select("query", "ref")).withColumns({
+        "d_soh_state": op.soh_state_distance(L), "d_qv_shape": op.qv_distance(CURVES), "d_physics": op.physics_distance(),
+        "d_metadata": op.metadata_distance([("chemistry", 1.0), ("dataset", 0.5)], [("temp", 0.25), ("amps", 0.25)]), "available": op.availability(),
+    }).withColumn("distance", op.composite(WEIGHTS))
 
 
 def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coarse candidates with both sides and all components of the distance."""
-    df, found = coarse(spark, sf_dir)
-    both = found.select("query", "ref").join(side_of(df, "r"), F.col("ref") == F.col("r_id")).join(side_of(query_rows(df), "q"), F.col("query") == F.col("q_id"))
-    return both.withColumns({
-        "d_soh_state": op.soh_state_distance(L), "d_physics": op.physics_distance(),
-        "d_metadata": op.metadata_distance([("chemistry", 1.0), ("dataset", 0.5)], [("temp", 0.25), ("amps", 0.25)]),
-    }).withColumn("distance", op.composite({"d_soh_state": 0.85, "d_physics": 0.03, "d_metadata": 0.04}))
+    return with_components(*coarse(spark, sf_dir))
 
 
 RECENCY = "[" + ", ".join(map(str, op.recency(L))) + "]"
@@ -129,32 +196,52 @@ def ml2_sql(q: str, r: str, n: int, scale: str | None = None) -> str:
     return f"(SELECT CASE WHEN list_count(dd) > 0 THEN sqrt(list_sum(list_transform(dd, lambda x: coalesce(x * x, 0))) / list_count(dd)) ELSE 1 END FROM (SELECT list_transform(range(1, {n} + 1), lambda i: ({q}[i] - {r}[i]) / {by}) AS dd))"
 
 
-def prepared(alias: str) -> str:
-    return f"(SELECT *, [anchor_soh, slope, curvature] AS state, [thermal, \"current\", power, aging] AS stress, list_transform(soh_seq, lambda x: x - soh_seq[{L}]) AS hist, list_transform(range(1, {L}), lambda i: soh_seq[i + 1] - soh_seq[i]) AS dif FROM e) {alias}"
+PREPARED = f"(SELECT *, list_transform(soh_seq, lambda x: x - soh_seq[{L}]) AS hist, list_transform(range(1, {L}), lambda i: soh_seq[i + 1] - soh_seq[i]) AS dif FROM e)"
 
 
-PAIRS_SQL = RETRIEVE_SQL + f""", pairs AS (SELECT query, ref, q.cell_uid AS q_cell, r.cell_uid AS r_cell, q.stage AS q_stage, r.stage AS r_stage, q.chemistry_family AS q_chemistry, r.chemistry_family AS r_chemistry, q.source_dataset AS q_dataset, r.source_dataset AS r_dataset,
+def components_sql(source: str, name: str) -> str:
+    """CTEs that end with the pairs (query, ref) of a source with all components, under a name."""
+    return f""", {name}_v AS (SELECT query, ref, c, w, i, a[i] AS a, b[i] AS b FROM (SELECT query, ref, c, w, CASE c WHEN 'q' THEN q.q_curve ELSE q.dq END AS a, CASE c WHEN 'q' THEN r.q_curve ELSE r.dq END AS b FROM {source} JOIN e q ON q.case_id = query JOIN e r ON r.case_id = ref, (VALUES ('q', 0.35), ('d', 0.65)) AS t(c, w)),
+  unnest(range(1, {L + 1})) AS u(i) WHERE a[i] IS NOT NULL AND b[i] IS NOT NULL),
+{name}_m AS (SELECT query, ref, c, avg(a) AS ma, avg(b) AS mb, greatest(stddev_pop(a), 1e-4) AS sa, greatest(stddev_pop(b), 1e-4) AS sb FROM {name}_v GROUP BY query, ref, c),
+{name}_c AS (SELECT v.query, v.ref, v.c, any_value(w) AS w, 0.85 * sqrt(avg(pow((a - ma) / sa - (b - mb) / sb, 2))) + 0.15 * abs(any_value(ma) - any_value(mb)) / greatest(abs(any_value(ma)), abs(any_value(mb)), any_value(sa), any_value(sb), 1e-4) AS d FROM {name}_v v JOIN {name}_m m ON m.query = v.query AND m.ref = v.ref AND m.c = v.c GROUP BY v.query, v.ref, v.c),
+{name}_q AS (SELECT query, ref, sum(w * d) AS terms, sum(w) AS weight FROM {name}_c GROUP BY query, ref),
+{name}_p AS (SELECT s.query, s.ref, q.cell_uid AS q_cell, r.cell_uid AS r_cell, q.stage AS q_stage, r.stage AS r_stage, q.chemistry_family AS q_chemistry, r.chemistry_family AS r_chemistry, q.source_dataset AS q_dataset, r.source_dataset AS r_dataset,
   r.delta AS future, q.delta AS truth, q.slope AS q_slope, q.anchor_soh AS q_anchor, q.soh_seq AS q_seq,
   0.03 * {ml2_sql('q.state', 'r.state', 3, '[0.1, 0.01, 0.005]')} + 0.9 * {wrmse_sql('q.hist', 'r.hist', RECENCY, L, 0.015)} + 0.05 * {wrmse_sql('q.dif', 'r.dif', RECENCY_D, L - 1, 0.0008)} + 0.02 * (q.stage != r.stage)::INTEGER AS d_soh_state,
+  (coalesce(c.terms, 0) + {ml2_sql('q.curve_stats', 'r.curve_stats', 4)}) / (coalesce(c.weight, 0) + 1) AS d_qv_shape,
   {ml2_sql('q.stress', 'r.stress', 4)} AS d_physics,
-  0.4 * ((q.chemistry_family != r.chemistry_family)::INTEGER + 0.5 * (q.source_dataset != r.source_dataset)::INTEGER) / 1.5 + 0.6 * (0.25 * {ml2_sql('q.temp_mean_seq', 'r.temp_mean_seq', L)} + 0.25 * {ml2_sql('q.current_mean_seq', 'r.current_mean_seq', L)}) / 0.5 AS d_metadata
-  FROM coarse JOIN {prepared('q')} ON q.case_id = query JOIN {prepared('r')} ON r.case_id = ref),
-scored AS (SELECT *, (0.85 * d_soh_state + 0.03 * d_physics + 0.04 * d_metadata) / 0.92 AS distance FROM pairs)"""
-COMPONENTS = ["d_soh_state", "d_physics", "d_metadata", "distance"]
+  0.4 * ((q.chemistry_family != r.chemistry_family)::INTEGER + 0.5 * (q.source_dataset != r.source_dataset)::INTEGER) / 1.5 + 0.6 * (0.25 * {ml2_sql('q.temp_mean_seq', 'r.temp_mean_seq', L)} + 0.25 * {ml2_sql('q.current_mean_seq', 'r.current_mean_seq', L)}) / 0.5 AS d_metadata,
+  list_sum(list_transform(range(1, 19), lambda i: (q.masks[i] AND r.masks[i])::INTEGER)) / 18 AS available
+  FROM {source} s JOIN {PREPARED} q ON q.case_id = s.query JOIN {PREPARED} r ON r.case_id = s.ref LEFT JOIN {name}_q c ON c.query = s.query AND c.ref = s.ref),
+{name} AS (SELECT *, 0.85 * d_soh_state + 0.08 * d_qv_shape + 0.03 * d_physics + 0.04 * d_metadata AS distance FROM {name}_p)"""
 
 
-@query(PAIRS_SQL + f" SELECT query, ref, {rounds(*COMPONENTS)} FROM scored")
+PAIRS_SQL = RETRIEVE_SQL + components_sql("coarse", "scored")
+COMPONENTS = ["d_soh_state", "d_qv_shape", "d_physics", "d_metadata", "distance"]
+
+
+@query(PAIRS_SQL + f" SELECT query, ref, {rounds(*COMPONENTS, 'available')} FROM scored")
 def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs_of(spark, sf_dir).select("query", "ref", *(r6(c, c) for c in COMPONENTS))
+    return pairs_of(spark, sf_dir).select("query", "ref", *(r6(c, c) for c in [*COMPONENTS, "available"]))
+
+
+@query(PAIRS_SQL + " SELECT query, ref, round(d_qv_shape, 6) AS d_qv_shape FROM scored")
+def qv_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, found = coarse(spark, sf_dir)
+    return both_sides(df, found.select("query", "ref"), ["id", "q_curve", "dq", "curve_stats"]).select("query", "ref", r6(op.qv_distance(CURVES), "d_qv_shape"))
 
 
 def results_of(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The chosen references with weights; one case per cell at most."""
-    p = pairs_of(spark, sf_dir).withColumn("cell", F.col("r_cell"))
-    out = op.capped_topk(p, k, per="cell", cap=1).withColumn("alpha", op.alpha(temperature=2.0))
+    return chosen(pairs_of(spark, sf_dir), k)
+
+
+def chosen(pairs: DataFrame, k: int = 5) -> DataFrame:
+    out = op.capped_topk(pairs.withColumn("cell", F.col("r_cell")), k, per="cell", cap=1).withColumn("alpha", op.alpha(temperature=2.0))
     return out.withColumns({
         "future": F.col("r_future"), "same_chemistry": F.col("q_chemistry") == F.col("r_chemistry"), "same_domain": F.col("q_dataset") == F.col("r_dataset"),
-        "same_stage": F.col("q_stage") == F.col("r_stage"), "available": F.lit(1.0), "missing_penalty": F.lit(0.0),
+        "same_stage": F.col("q_stage") == F.col("r_stage"), "missing_penalty": 1 - F.col("available"),
     })
 
 
@@ -177,31 +264,31 @@ def alpha_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 AGREED_SQL = RESULTS_SQL + """, h AS (SELECT query, i, sum(alpha * future[i]) AS m, sum(alpha * future[i] * future[i]) AS s FROM results, unnest(range(1, 5)) AS u(i) GROUP BY query, i),
 agreed AS (SELECT r.query, entropy, unique_cells, n, dispersion FROM (SELECT query, CASE WHEN count(*) > 1 THEN -sum(CASE WHEN alpha > 0 THEN alpha * ln(alpha) ELSE 0 END) / ln(count(*)) ELSE 0 END AS entropy, count(DISTINCT r_cell) / count(*) AS unique_cells, count(*) AS n FROM results GROUP BY query) r
   JOIN (SELECT query, avg(sqrt(greatest(s - m * m, 0))) AS dispersion FROM h GROUP BY query) d ON d.query = r.query),
-confident AS (SELECT a.query, greatest(0, least(1, (exp(-avg(distance)) + exp(-stddev_pop(distance)) + exp(-min(distance)) + 1 + avg(same_chemistry::INTEGER) + exp(-any_value(dispersion) / 0.015) + greatest(0, least(1, 1 - 0.7 * any_value(entropy))) + any_value(unique_cells)) / 8)) AS confidence
+confident AS (SELECT a.query, greatest(0, least(1, (exp(-avg(distance)) + exp(-stddev_pop(distance)) + exp(-min(distance)) + avg(available) + avg(same_chemistry::INTEGER) + exp(-any_value(dispersion) / 0.015) + greatest(0, least(1, 1 - 0.7 * any_value(entropy))) + any_value(unique_cells)) / 8)) AS confidence
   FROM results r JOIN agreed a ON a.query = r.query GROUP BY a.query)"""
 
 
 @query(AGREED_SQL + f" SELECT query, n, {rounds('entropy', 'unique_cells', 'dispersion')} FROM agreed")
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = op.agreement(results_of(spark, sf_dir))
+    out = op.agreement(stored(results_of(spark, sf_dir), "results"))
     return out.select("query", "n", *(r6(c, c) for c in ("entropy", "unique_cells", "dispersion")))
 
 
 @query(AGREED_SQL + f" SELECT query, {rounds('confidence')} FROM confident")
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = results_of(spark, sf_dir)
+    r = stored(results_of(spark, sf_dir), "results")
     return op.confidence(r, op.agreement(r)).select("query", r6("confidence", "confidence"))
 
 
-@query(RESULTS_SQL + " SELECT query, ref, round(greatest(0, least(1, 1 - (d_soh_state + d_physics + d_metadata) / 3 + CASE WHEN same_chemistry THEN 0.1 ELSE -0.05 END + CASE WHEN same_domain THEN 0.05 ELSE 0 END + CASE WHEN same_stage THEN 0.1 ELSE -0.05 END)), 6) AS compatibility FROM results")
+@query(RESULTS_SQL + " SELECT query, ref, round(greatest(0, least(1, 1 - (d_soh_state + d_qv_shape + d_physics + d_metadata) / 4 + CASE WHEN same_chemistry THEN 0.1 ELSE -0.05 END + CASE WHEN same_domain THEN 0.05 ELSE 0 END + CASE WHEN same_stage THEN 0.1 ELSE -0.05 END - 0.2 * (1 - available))), 6) AS compatibility FROM results")
 def compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results_of(spark, sf_dir).select("query", "ref", r6(op.compatibility(["d_soh_state", "d_physics", "d_metadata"]), "compatibility"))
+    return results_of(spark, sf_dir).select("query", "ref", r6(op.compatibility(list(WEIGHTS)), "compatibility"))
 
 
 @query(AGREED_SQL + """ SELECT c.query, round(greatest(0, least(1, (0.3 + 0.7 * confidence) * (0.3 + 0.7 * exp(-dispersion / 0.004)) * (0.5 + 0.5 / (1 + exp(-(0.85 - anchor) * 20))))), 6) AS gate
 FROM confident c JOIN agreed a ON a.query = c.query JOIN (SELECT query, any_value(q_anchor) AS anchor FROM results GROUP BY query) q ON q.query = c.query""")
 def reliability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = results_of(spark, sf_dir)
+    r = stored(results_of(spark, sf_dir), "results")
     agreed = op.agreement(r)
     anchors = r.groupBy("query").agg(F.first("q_anchor").alias("anchor"))
     return op.confidence(r, agreed).join(agreed, "query").join(anchors, "query").select("query", r6(op.reliability_gate(), "gate"))
@@ -219,24 +306,27 @@ query()(mmr_select)
 
 
 def forecasts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = results_of(spark, sf_dir)
-    long = r.withColumn("q_slope", F.element_at("q_state", 2)).select(
-        "query", "rank", "alpha", "same_chemistry", "q_slope", "q_chemistry", "q_future", F.posexplode("r_future").alias("i", "x")
+    r = stored(results_of(spark, sf_dir), "results")
+    sure = op.confidence(r, op.agreement(r))
+    long = r.join(sure, "query").withColumn("q_trend", op.trend(F.col("q_seq"))).select(
+        "query", "rank", "alpha", "same_chemistry", "q_trend", "confidence", "q_chemistry", "q_future", F.posexplode("r_future").alias("i", "x")
     ).withColumn("y", F.element_at("q_future", F.col("i") + 1))
     weight = lambda c: F.sum(F.when(c, F.col("alpha") * F.col("x"))) / F.sum(F.when(c, F.col("alpha")))
-    slope = F.coalesce(F.first("q_slope"), F.lit(0.0)) * (F.col("i") + 1)
+    trend = F.coalesce(F.first("q_trend"), F.lit(0.0)) * (F.col("i") + 1)
     wide = long.groupBy("query", "i").agg(
-        F.first("y").alias("y"), F.first("q_chemistry").alias("chemistry"), weight(F.lit(True)).alias("weighted"), F.max(F.when(F.col("rank") == 1, F.col("x"))).alias("nearest"),
-        F.lit(0.0).alias("persistence"), F.coalesce(weight(F.col("same_chemistry")), weight(F.lit(True))).alias("chemistry_only"), slope.alias("trend"),
+        F.first("y").alias("y"), F.first("q_chemistry").alias("chemistry"), F.first("confidence").alias("confidence"), weight(F.lit(True)).alias("weighted"), F.max(F.when(F.col("rank") == 1, F.col("x"))).alias("nearest"),
+        F.lit(0.0).alias("persistence"), F.coalesce(weight(F.col("same_chemistry")), weight(F.lit(True))).alias("chemistry_only"), trend.alias("trend"),
     )
-    wide = wide.withColumn("blended", 0.7 * F.col("weighted") + 0.3 * F.col("trend"))
+    wide = wide.withColumn("blended", op.blended_trend(F.col("confidence"), F.col("weighted"), F.col("trend"))).drop("confidence")
     return wide.withColumn("horizon", F.col("i") + 1).drop("i").unpivot(["query", "horizon", "y", "chemistry"], ["weighted", "nearest", "persistence", "chemistry_only", "trend", "blended"], "method", "p")
 
 
-FORECASTS_SQL = RESULTS_SQL + """, wide AS (SELECT query, i AS horizon, any_value(truth[i]) AS y, any_value(q_chemistry) AS chemistry, sum(alpha * future[i]) / sum(alpha) AS weighted, max(future[i]) FILTER (rank = 1) AS nearest, 0.0::DOUBLE AS persistence,
-  coalesce(sum(alpha * future[i]) FILTER (same_chemistry) / sum(alpha) FILTER (same_chemistry), sum(alpha * future[i]) / sum(alpha)) AS chemistry_only, coalesce(any_value(q_slope), 0) * i AS trend
-  FROM results, unnest(range(1, 5)) AS u(i) GROUP BY query, i),
-forecasts AS (SELECT query, horizon, y, chemistry, method, p FROM (SELECT *, 0.7 * weighted + 0.3 * trend AS blended FROM wide) UNPIVOT (p FOR method IN (weighted, nearest, persistence, chemistry_only, trend, blended)))"""
+TREND_SQL = f"CASE WHEN list_count(q_seq) = {L} THEN list_sum(list_transform(range(1, {L + 1}), lambda i: (i - {(L + 1) / 2}::DOUBLE) * q_seq[i])) / {L * (L * L - 1) / 12}::DOUBLE END"
+FORECASTS_SQL = AGREED_SQL + f""", sure AS (SELECT r.*, {TREND_SQL} AS q_trend, confidence FROM results r JOIN confident c ON c.query = r.query),
+wide AS (SELECT query, i AS horizon, any_value(truth[i]) AS y, any_value(q_chemistry) AS chemistry, any_value(confidence) AS confidence, sum(alpha * future[i]) / sum(alpha) AS weighted, max(future[i]) FILTER (rank = 1) AS nearest, 0.0::DOUBLE AS persistence,
+  coalesce(sum(alpha * future[i]) FILTER (same_chemistry) / sum(alpha) FILTER (same_chemistry), sum(alpha * future[i]) / sum(alpha)) AS chemistry_only, coalesce(any_value(q_trend), 0) * i AS trend
+  FROM sure, unnest(range(1, {H + 1})) AS u(i) GROUP BY query, i),
+forecasts AS (SELECT query, horizon, y, chemistry, method, p FROM (SELECT * EXCLUDE (confidence), (1 - 0.6 * (1 - confidence)) * weighted + 0.6 * (1 - confidence) * trend AS blended FROM wide) UNPIVOT (p FOR method IN (weighted, nearest, persistence, chemistry_only, trend, blended)))"""
 
 
 @query(FORECASTS_SQL + " SELECT query, horizon::INTEGER AS horizon, method, round(p, 6) AS p, round(y, 6) AS y FROM forecasts")
@@ -298,11 +388,38 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 Y = ["y_first", "y_last", "y_mean", "y_change"]
 
 
-@query()
+Y_SQL = {"y_first": "delta[1]", "y_last": f"delta[{H}]", "y_mean": "list_avg(delta)", "y_change": f"delta[{H}] - delta[1]"}
+LONG_SQL = " UNION ALL ".join(f"""SELECT case_id, '{f}' AS feature, '{t}' AS target, "{f}"::DOUBLE AS x, {y} AS y FROM cases""" for f in FLAT for t, y in Y_SQL.items())
+
+
+@query(CASES_SQL + f""", l AS (SELECT * FROM ({LONG_SQL}) WHERE x IS NOT NULL AND y IS NOT NULL),
+r AS (SELECT *, rank() OVER (PARTITION BY feature, target ORDER BY x) + (count(*) OVER (PARTITION BY feature, target, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY feature, target ORDER BY y) + (count(*) OVER (PARTITION BY feature, target, y) - 1) / 2 AS ry,
+  ntile(8) OVER (PARTITION BY feature, target ORDER BY x, case_id) AS tx, ntile(8) OVER (PARTITION BY feature, target ORDER BY y, case_id) AS ty FROM l),
+c AS (SELECT feature, target, tx, ty, count(*) AS c FROM r GROUP BY feature, target, tx, ty),
+i AS (SELECT *, sum(c) OVER (PARTITION BY feature, target) AS n, sum(c) OVER (PARTITION BY feature, target, tx) AS cx, sum(c) OVER (PARTITION BY feature, target, ty) AS cy FROM c),
+m AS (SELECT feature, target, sum(c / n * ln(c * n / (cx * cy))) AS mi FROM i GROUP BY feature, target),
+p AS (SELECT feature, target, stddev_pop(x) < 1e-8 OR stddev_pop(y) < 1e-8 AS steady, corr(x, y) AS linear, corr(rx, ry) AS ranked FROM r GROUP BY feature, target)
+SELECT p.feature, p.target, round(CASE WHEN steady THEN 0 ELSE linear END, 6) AS pearson, round(CASE WHEN steady THEN 0 ELSE ranked END, 6) AS spearman, round(mi, 6) AS mutual_information FROM p JOIN m ON m.feature = p.feature AND m.target = p.target""")
 def feature_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.associations(flat_of(spark, sf_dir).withColumn("id", F.col("case_id")), FLAT, Y).select("feature", "target", r6("pearson", "pearson"), r6("spearman", "spearman"), r6("mutual_information", "mutual_information"))
 
 
+@query(CASES_SQL + """, sx AS (SELECT 1 / (1 + exp(-greatest(-20, least(20, (thermal - 35) / 5)))) AS heat, 1 / (1 + exp(-greatest(-20, least(20, ("current" - 2) / 0.75)))) AS high_current,
+  1 / (1 + exp(-greatest(-20, least(20, (0.9 - anchor_soh) / 0.05)))) AS aged, 1 / (1 + exp(-greatest(-20, least(20, ln(1 + abs(power)) - 1)))) AS high_power, stage, chemistry_family FROM cases),
+lx AS (SELECT * FROM sx UNPIVOT (x FOR concept IN (heat, high_current, aged, high_power)))
+SELECT concept, stage, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY concept), 6) AS share, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS low, round(max(x), 6) AS high FROM lx GROUP BY concept, stage""")
+def concept_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = ev.concept_scores()
+    long = cases_of(spark, sf_dir).select("stage", *(c.alias(n) for n, c in scores.items())).unpivot(["stage"], list(scores), "concept", "x")
+    return ev.category_summary(long, "concept", "stage", "x").select("concept", "stage", "n", *(r6(c, c) for c in ("share", "mean", "std", "low", "high")))
+
+
+@query(FORECASTS_SQL + """ SELECT split_part(r_dataset, ' ', 1) AS dataset, rank AS place, round(avg(alpha), 6) AS mean, round(stddev_pop(alpha), 6) AS std, count(*) AS n FROM results GROUP BY r_dataset, rank""")
+def weight_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean weight of the references by their place and dataset."""
+    return results_of(spark, sf_dir).groupBy(F.col("r_dataset").alias("dataset"), F.col("rank").alias("place")).agg(r6(F.avg("alpha")).alias("mean"), r6(F.stddev_pop("alpha")).alias("std"), F.count("*").alias("n"))
+
+
 @query(CASES_SQL + " " + " UNION ALL ".join(f"""SELECT '{c}' AS "column", round(avg(({c} IS NULL)::INTEGER), 6) AS missing, 0.0::DOUBLE AS infinite, round(avg(coalesce((abs({c}) > (SELECT quantile_cont(abs({c}), 0.99) FROM cases))::INTEGER, 0)), 6) AS beyond FROM cases""" for c in ("anchor_soh", "thermal", "power", "slope")))
 def feature_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ev.quality(cases_of(spark, sf_dir), ["anchor_soh", "thermal", "power", "slope"])

@@ -118,15 +118,15 @@ def z_sql(c: str) -> str:
     return f"coalesce(({c} - (SELECT quantile_cont({c}, 0.5) FROM cases)) / (SELECT CASE WHEN i >= 1e-6 THEN i WHEN s > 1e-6 THEN s ELSE 1 END FROM (SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS i, stddev_pop({c}) AS s FROM cases)), 0)"
 
 
-LABELS_SQL = CASES_SQL + f""", z AS (SELECT *, {z_sql('thermal')} AS zt, {z_sql('"current"')} AS zc, {z_sql('power')} AS zp, {z_sql('aging')} AS za FROM cases),
+LABELS_SQL = CASES_SQL.replace("\ncases AS (SELECT *,", "\ncases AS (SELECT *, greatest(0, 0.9 - anchor_soh) AS below,") + f""", z AS (SELECT *, {z_sql('thermal')} AS zt, {z_sql('"current"')} AS zc, {z_sql('power')} AS zp, {z_sql('aging')} AS za, {z_sql('below')} AS zb FROM cases),
 sc AS (SELECT *, 1 / (1 + exp(-greatest(-20, least(20, zt)))) AS thermal_score, 1 / (1 + exp(-greatest(-20, least(20, zc)))) AS current_score, 1 / (1 + exp(-greatest(-20, least(20, zp)))) AS power_score,
-  1 / (1 + exp(-greatest(-20, least(20, 0.7 * za + 0.8 * greatest(0, 0.9 - anchor_soh))))) AS cycle_score FROM z)"""
+  1 / (1 + exp(-greatest(-20, least(20, 0.7 * za + 0.8 * zb)))) AS cycle_score FROM z)"""
 SCORES = ["thermal_score", "current_score", "power_score", "cycle_score"]
 
 
 @query(LABELS_SQL + f""" SELECT cell_uid, window_start, {rounds(*SCORES)},
-  CASE greatest(thermal_score, current_score, power_score, cycle_score) WHEN thermal_score THEN 'thermal' WHEN current_score THEN 'current' WHEN power_score THEN 'power' ELSE 'cycle' END AS semantic_label,
-  array_to_string(list_filter([CASE WHEN thermal_score >= 0.55 THEN 'thermal' END, CASE WHEN current_score >= 0.55 THEN 'current' END, CASE WHEN power_score >= 0.55 THEN 'power' END, CASE WHEN cycle_score >= 0.55 THEN 'cycle' END], lambda x: x IS NOT NULL), ',') AS evidence FROM sc""")
+  CASE greatest(thermal_score, current_score, power_score, cycle_score) WHEN thermal_score THEN 'thermal' WHEN current_score THEN 'current' WHEN cycle_score THEN 'cycle' ELSE 'power' END AS semantic_label,
+  array_to_string(list_filter([CASE WHEN thermal_score >= 0.55 THEN 'thermal' END, CASE WHEN current_score >= 0.55 THEN 'current' END, CASE WHEN cycle_score >= 0.55 THEN 'cycle' END, CASE WHEN power_score >= 0.55 THEN 'power' END], lambda x: x IS NOT NULL), ',') AS evidence FROM sc""")
 def semantic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.semantic_labels(cases_of(spark, sf_dir)).select(*KEYS, *(r6(c, c) for c in SCORES), "semantic_label", "evidence")
 
