@@ -7,9 +7,10 @@ last level is compared in chunks and with leaders.
 
 Of each class the likeliest partner and the partner with the smallest number are confirmed on full sets. Then the groups of
 classes that sketches connect in a node, and the large nodes of the last level, are looked through for classes that
-confirmed links have not brought into one component. Groups of all trees that share classes are one; in it, these classes meet in blocks, and the pairs whose sketches allow a link are
-confirmed in rounds, the likeliest first, until none is left. What confirmed links connect is not looked at again, so a
-group of copies costs links in proportion to its size, not to its square.
+confirmed links have not brought into one component. Groups of all trees that share classes are one; in it, these classes meet
+the others in blocks of bounded size, with their full sets, and the pairs whose sketches allow a link are compared, the likeliest
+first. What confirmed links connect is not looked at again, so a group of copies costs links in proportion to its size, not to
+its square.
 
 Recall: a pair at the threshold t takes the same branch with probability t. If m is its probability of missing each other
 below a node, that of a node with b branches above is (1 - t + t * m) ** b, and at the roots the exponent is the number
@@ -55,7 +56,7 @@ class Join:
     miss: float = 1e-4  # of the pairs at the threshold, if every node is split down to the last level
     node: int = 64  # classes that are compared exhaustively
     hashes: int = 256  # two bits of each make the sketch; trees choose from them
-    block: int = 1024  # classes of a leaf that meet as many others in one piece of work
+    block: int = 512  # classes of a leaf that meet as many others in one piece of work
 
     def __post_init__(self):
         if not self.trees:
@@ -368,13 +369,14 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return table.select(*members.columns).join(several, "leaf", "left_semi")
 
 
-def across(members: DataFrame, labels: DataFrame, classes: DataFrame, join: Join, most: int, chunk: int = 256) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a leaf and whose sketches allow a link.
+def across(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, join: Join, chunk: int = 256) -> DataFrame:
+    """Links (a, b) that connect classes of different components of a leaf, as far as sketches allow them.
 
-    Each component gives its likeliest pairs of a cell, at most so many; a row of nulls says that others were left out.
+    A cell takes its candidates, the likeliest first, and compares the full sets of those that its links so far leave apart; so a
+    component costs it no more links than there are others, and no pair leaves the cell that isn't a link.
     """
 
-    def pairs(group: dict[str, list]) -> tuple[np.ndarray, np.ndarray, bool]:
+    def links(group: dict[str, list]) -> Iterator[tuple[int, int]]:
         sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group["cell"]), -1)
         nodes, sizes, parts = (np.array(group[c], np.int64) for c in ("node", "n", "part"))
         own, other = (np.flatnonzero(group[c]) for c in ("own", "other"))
@@ -385,24 +387,38 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, join: Join
             i, j = np.nonzero((est > 0) & (parts[x][:, None] != parts[other][None, :]))
             found.append((x[i], other[j], est[i, j]))
         x, y, est = (np.concatenate(c) for c in zip(*found))
-        order = np.lexsort((nodes[y], nodes[x], -est, parts[x]))
-        x, y = x[order], y[order]
-        new = np.ones(len(x), bool)
-        new[1:] = parts[x][1:] != parts[x][:-1]
-        place = np.arange(len(x))
-        taken = place - np.maximum.accumulate(np.where(new, place, 0)) < most
-        return nodes[x[taken]], nodes[y[taken]], not taken.all()
+        order = np.lexsort((nodes[y], nodes[x], -est))
+        root = {p: p for p in set(parts.tolist())}
+
+        def top(p: int) -> int:
+            while root[p] != p:
+                root[p] = p = root[root[p]]
+            return p
+
+        for i, j in zip(x[order].tolist(), y[order].tolist()):
+            u, v = top(int(parts[i])), top(int(parts[j]))
+            if u != v and linked(group["shingles"][i], group["shingles"][j], join):
+                root[max(u, v)] = min(u, v)
+                yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "cell"):
-            x, y, more = pairs(group)
-            a, b = pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))
-            if more:
-                a, b = (pa.concat_arrays([c, pa.nulls(1, pa.int64())]) for c in (a, b))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+            made = list(links(group))
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = cells(members, labels, join).join(classes.select("node", "n", "sketch"), "node").join(sets, "node")
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
-    dealt = cells(members, labels, join).join(classes.select("node", "n", "sketch"), "node")
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+
+def linked(x: bytes, y: bytes, join: Join) -> bool:
+    """Whether two classes' full sets (sorted hashes of 48 bits) are similar enough."""
+    u, v = (np.zeros((len(s) // 6, 8), np.uint8) for s in (x, y))
+    u[:, 2:], v[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6), np.frombuffer(y, np.uint8).reshape(-1, 6)
+    u, v = u.view(np.uint64).ravel(), v.view(np.uint64).ravel()
+    if len(u) > len(v):
+        u, v = v, u
+    common = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+    return 100 * common >= join.percent * (len(u) + len(v) - common)
 
 
 def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
@@ -455,9 +471,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
             if batch.column("x").null_count or batch.column("y").null_count:
                 raise ValueError("a pair without its full sets")
             for x, y in zip(batch.column("x"), batch.column("y")):
-                u, v = (np.frombuffer(s.as_buffer(), "V6") for s in (x, y))
-                common = len(set(u.tolist()).intersection(v.tolist()))
-                keep.append(100 * common >= join.percent * (len(u) + len(v) - common))
+                keep.append(linked(x.as_py(), y.as_py(), join))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], ["a", "b"])
 
@@ -562,24 +576,15 @@ def near_duplicates(df: DataFrame, join: Join = Join()) -> DataFrame:
     tried = stored(other.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "tried")
     links = stored(confirm(tried, sets, join), "links")
     labels = components(links, links.count())
-    # what these pairs have not shown: pairs across components in groups and large nodes, the likeliest first. A class is in groups of
-    # several trees; groups that share classes are looked through as one, so that a pair comes up once
+    # what these pairs have not shown: links across components in groups and large nodes. A class is in groups of several trees;
+    # groups that share classes are looked through as one, so that a pair comes up once
     apart = unsettled(found.select("leaf", "node", "first"), labels).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     apart = stored(apart, "apart")
     members = components(apart, apart.count()).select(F.col("part").alias("leaf"), "node")
-    most = 4
-    while True:
-        members = stored(unsettled(members, labels), "members")
-        found = stored(across(members, labels, classes, join, most), "across")
-        more = stored(found.where("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "tried")
-        tried = tried.unionByName(more)
-        new = stored(confirm(more, sets, join), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links, links.count())
-        if found.where("a IS NULL").isEmpty():
-            break
-        most *= 16
+    new = stored(across(members, labels, classes, sets, join), "links")
+    if not new.isEmpty():
+        links = links.unionByName(new)
+        labels = components(links, links.count())
 
     named = classes.where("n > 0").select("set", "node", "first_id").join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
     least = named.groupBy("part").agg(F.min("first_id").alias("least"))
