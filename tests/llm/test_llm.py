@@ -397,7 +397,7 @@ def test_templates(spark, empty):
 
 
 def test_lm(spark, docs):
-    shape = lm.Shape(inputs=64, every=1, rounds=2, part=200, known=50)
+    shape = lm.Shape(inputs=64, rounds=2, known=50)
     got = lm.scores(docs, RANKS, shape).collect()
     counts, n = Counter(), 0
     split = lambda t: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"]
@@ -417,20 +417,51 @@ def test_lm(spark, docs):
 
 
 def test_lm_scores_do_not_depend_on_hot_words(spark, docs):
-    run = lambda known: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in lm.scores(docs, RANKS, lm.Shape(inputs=64, every=1, rounds=1, part=10**6, known=known)).collect())
+    run = lambda known: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in lm.scores(docs, RANKS, lm.Shape(inputs=64, rounds=1, known=known)).collect())
     every, few, none = run(1 << 20), run(50), run(0)
     for other in (few, none):
         assert [i for i, _ in other] == [i for i, _ in every]
         assert [x for _, x in other] == pytest.approx([x for _, x in every], rel=1e-6)
 
 
-def test_lm_trains_on_all_windows(spark):
-    """Short documents give windows too, the same ones however the files are split into tasks."""
+def test_lm_trains_on_all_documents(spark, monkeypatch):
+    """Short documents too, in one round each, however the files are split into tasks."""
     df = spark.createDataFrame([(i, f"short text number {i}") for i in range(60)], "doc_id long, text string")
     strings = spark.sparkContext.broadcast(lm.read_ranks(RANKS))
     docs = lm._documents(df)
-    one, five = ([bytes(r["window"]) for r in lm.gather(docs.repartition(n), strings, lm.Shape()).where("kind = 2").collect()] for n in (1, 5))
+    one, five = ([bytes(r["ids"]) for r in lm.gather(docs.repartition(n), strings, lm.Shape()).where("kind = 2").collect()] for n in (1, 5))
     assert sorted(one) == sorted(five) and len(one) == docs.where("NOT held_out").count()
+    found = spark.createDataFrame([(x,) for x in one], "ids binary")
+    rounds = [found.where(F.pmod(F.xxhash64("ids"), F.lit(3)) == k).count() for k in range(3)]
+    assert sum(rounds) == len(one) and min(rounds) > 0
+
+
+def test_lm_shares_add_up_to_one(spark, docs):
+    """Over all words that begin with a class, and one type for those that training lacks."""
+    shape, tokens = lm.Shape(inputs=64), lm.read_ranks(RANKS)
+    found = lm.gather(lm._documents(docs), spark.sparkContext.broadcast(tokens), shape).collect()
+    by_id, firsts, types = (np.zeros(len(tokens) + 1) for _ in range(3))
+    words: dict[int, list] = {}
+    for r in found:
+        if r["kind"] in (1, 3):
+            (by_id if r["kind"] == 1 else firsts)[r["key"]] += r["count"]
+        elif r["kind"] == 0:
+            words.setdefault(r["key"], [r["first"], 0])[1] += r["count"]
+    for first, _ in words.values():
+        types[first] += 1
+    m = lm.Mapping(by_id, firsts, types, np.ones((shape.clustered, 2 * shape.single)), shape)
+    shares = 1 / m.word_mass
+    for first, count in words.values():
+        shares[m.output[first]] += (count + 1) / m.word_mass[m.output[first]]
+    assert shares == pytest.approx(np.ones(shape.classes))
+    assert np.bincount(m.output, np.exp(m.within), shape.classes)[np.unique(m.output)] == pytest.approx(1, rel=1e-4)
+
+
+def test_lm_keeps_equal_rows_apart(spark):
+    """Repeated rows and documents of one id are rows of their own; extra columns with the operator's names are not read."""
+    df = spark.createDataFrame([(1, "a b c", 5), (1, "a b c", 5), (1, "d", 6), (2, None, 7), (3, "word " * 9000, 8)], "doc_id long, text string, row int")
+    got = sorted((r["doc_id"], r["n_tokens"]) for r in lm.scores(df, RANKS, lm.Shape(inputs=64, known=0)).collect())
+    assert got == [(1, 2), (1, 4), (1, 4), (2, 1), (3, 9001)]
 
 
 def test_lm_gradient():

@@ -5,40 +5,43 @@ before each position and predicts a class of the next one. Classes are single fr
 keep the same company, and the rest by frequency; within a class, subwords follow their counts in the whole training
 corpus. A word's probability is that of its first class times a mixture of its share of the class in the corpus, as a
 whole word, and of its spelling in subwords. Shares are smoothed as in the base score, where all words that training lacks
-are one type. Windows overlap: each holds some subwords as context only, and every
-subword is scored once. Training is distributed: partitions of the training windows run Adam from the same weights, and
-the weights are averaged, some rounds long. All windows of all training documents are used.
+are one type: in each class those of its words and of that type add up to 1. Windows overlap: each holds some subwords as context
+only, and every subword is scored once. Training is distributed: in each round tasks run Adam from the same weights through the
+documents that are dealt to the round, piece by piece, and the weights are averaged. Each training document is in one round, with
+all its windows.
 
 Beside the model's score stands the base score, a unigram of words. The counts of words meet the documents in buckets of
 packed words, where both scores are finished; the most frequent words, a bounded number, are resolved where the documents
 are. How many these are changes no score.
 
 Defined cases: null and empty texts are one end token; a null id counts as the empty text where folds are dealt; without
-training documents all counts are 0 and the model keeps its first weights; equal rows are counted and scored each; an
+training documents all counts are 0 and the model keeps its first weights; equal rows are counted and scored each, as rows of their own; an
 empty table gives an empty table; columns other than id and text are not read. Texts are scored whole. Words and subwords
 are counted by 64-bit hashes and ids.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltrail.llm.bpe import read_ranks
-from voltrail.llm.common import pieces, stored, texts
+from voltrail.llm.common import Cache, distinct, pieces, spread, stored, texts
 from voltrail.llm.substrings import Words
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: The hash under which the end of a text is counted.
 END = 1
-#: Cached words in a Python worker.
-CACHE = 400_000
+#: MB of words that a Python worker remembers.
+CACHE_MB = 64
 
 
 @dataclass(frozen=True)
@@ -47,18 +50,17 @@ class Shape:
 
     inputs: int = 2048  # most frequent subwords with an embedding of their own
     spare: int = 64  # embeddings that the others share
-    single: int = 64  # most frequent subwords that are a class of their own
-    clusters: int = 32  # classes of subwords that keep the same company
+    single: int = 40  # most frequent subwords that are a class of their own
+    clusters: int = 20  # classes of subwords that keep the same company
     clustered: int = 8192  # most frequent subwords that are put into clusters
-    bins: int = 16  # classes of the others, by frequency
-    width: int = 16
-    context: int = 8  # subwords of a window that are context only
-    step: int = 24  # subwords that a window scores
-    every: int = 1  # of so many windows of a task one is for training; 1: all are
-    rounds: int = 3
-    batch: int = 256
+    bins: int = 4  # classes of the others, by frequency
+    width: int = 8
+    context: int = 16  # subwords of a window that are context only
+    step: int = 32  # subwords that a window scores
+    rounds: int = 3  # each trains on the documents dealt to it
+    passes: int = 1  # over the training documents
+    batch: int = 128
     rate: float = 0.01
-    part: int = 8_000  # training windows in a partition
     known: int = 1 << 20  # most frequent words whose counts are sent to the documents; the others' meet them in buckets
     whole: float = 0.9  # weight of whole words against spellings
 
@@ -87,10 +89,11 @@ class Subwords:
         self.rank = {t: i for i, t in enumerate(tokens) if t}
         self.longest = max(map(len, self.rank))
         self.end = len(tokens)
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = Cache(CACHE_MB)
 
     def split(self, word: bytes) -> bytes:
-        text, at, out, get = b" " + word, 0, [], self.rank.get
+        """The packed ids of a word with a space after it."""
+        text, at, out, get = b" " + word[:-1], 0, [], self.rank.get
         while at < len(text):
             for stop in range(min(len(text), at + self.longest), at, -1):
                 token = get(text[at:stop])
@@ -100,29 +103,33 @@ class Subwords:
                 raise ValueError("a byte is not in the vocabulary")
             out.append(token)
             at = stop
-        return np.array(out, np.int32).tobytes()
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        try:
-            return list(map(cache.__getitem__, words))
-        except KeyError:
-            for w in set(words).difference(cache):
-                cache[w] = self.split(w)
-            return list(map(cache.__getitem__, words))
-
-    def stream(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The texts' ids, an end after each; the number of ids of each text; where words and ends begin."""
-        packed = self.ids(words.norm.tobytes().split(b" ")[: len(words.stops)])
-        sizes = np.array([len(p) for p in packed], np.int64) // 4
+        return array("i", out).tobytes()
+
+
+class Stream:
+    """The subwords of several texts, an end after each, and their words and ends as entries in order."""
+
+    def __init__(self, several: list[str], splitter: Subwords):
+        words = lowered(several)
+        n, bounds = len(several), np.append(words.first, len(words.stops))
+        which, self.strings = distinct(words.norm.tobytes(), words.starts)
+        self.packed = splitter.cache.look_up(self.strings, lambda some: list(map(splitter.split, some)))
+        flat, sizes = spread(self.packed, which)
         before = np.concatenate([[0], np.cumsum(sizes)])
-        bounds = np.append(words.first, len(packed))
-        lengths = np.diff(before[bounds])
-        flat = np.insert(np.frombuffer(b"".join(packed), np.int32), before[bounds[1:]], self.end)
-        begins = np.insert(before[:-1] + words.text, bounds[1:], before[bounds[1:]] + np.arange(len(lengths)))
-        return flat, lengths + 1, begins
+        self.ids = np.insert(flat, before[bounds[1:]], splitter.end)
+        self.lengths = np.diff(before[bounds]) + 1
+        #: Of each entry: its first id's place, its text, and its word's number among the distinct ones (that of an end is the last).
+        self.begins = np.insert(before[:-1] + words.text, bounds[1:], before[bounds[1:]] + np.arange(n))
+        self.text = np.insert(words.text, bounds[1:], np.arange(n))
+        self.which = np.insert(which.astype(np.int64), bounds[1:], len(self.strings))
+
+    def hashes(self) -> np.ndarray:
+        """Of the distinct words and of the end."""
+        return np.append(Words([b"".join(self.strings).decode()]).hashes(), np.uint64(END)).view(np.int64)
+
+    def firsts(self, end: int) -> np.ndarray:
+        """The first ids of the distinct words, and the end's."""
+        return np.array([*(int.from_bytes(p[:4], "little") for p in self.packed), end], np.int64)
 
 
 def windows(flat: np.ndarray, lengths: np.ndarray, shape: Shape, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +147,6 @@ def windows(flat: np.ndarray, lengths: np.ndarray, shape: Shape, pad: int) -> tu
     number = np.arange(len(of)) - np.repeat(np.cumsum(steps) - steps, steps)
     index = (begin[of] + number * shape.step)[:, None] + np.arange(shape.span + 1)
     real = number[:, None] * shape.step + np.arange(shape.step) < lengths[of][:, None]
-    del text
     return laid[index], of, real
 
 
@@ -150,9 +156,9 @@ def windows(flat: np.ndarray, lengths: np.ndarray, shape: Shape, pad: int) -> tu
 class Mapping:
     """What counts of subwords fix: input numbers, classes, and log probabilities within classes."""
 
-    def __init__(self, counts: np.ndarray, firsts: np.ndarray, company: np.ndarray, shape: Shape):
-        """counts and firsts: of each subword, anywhere and at the beginning of words; company: of the subwords to be
-        clustered (rows, by frequency), how often they are in a window with each single one."""
+    def __init__(self, counts: np.ndarray, firsts: np.ndarray, types: np.ndarray, company: np.ndarray, shape: Shape):
+        """counts and firsts: of each subword, anywhere and at the beginning of words; types: how many different words it begins;
+        company: of the subwords to be clustered (rows, by frequency), how often they are beside each single one."""
         n = len(counts)  # vocabulary and the end
         place = frequency_places(counts)
         self.input = np.where(place < shape.inputs, place, shape.inputs + np.arange(n) % shape.spare).astype(np.int32)
@@ -166,7 +172,8 @@ class Mapping:
         mass = np.bincount(self.output, counts + 0.5, shape.classes)
         self.within = np.log((counts + 0.5) / mass[self.output]).astype(np.float32)
         self.start = np.log(mass / mass.sum() + 1e-9).astype(np.float32)
-        self.first_mass = np.maximum(np.bincount(self.output, firsts, shape.classes), 1)
+        #: Counts of the words that begin with a class, each one more, and one for all that training lacks.
+        self.word_mass = np.bincount(self.output, firsts + types, shape.classes) + 1
 
 
 def frequency_places(counts: np.ndarray) -> np.ndarray:
@@ -294,17 +301,24 @@ class Model:
             g["embed"][:, i] = np.bincount(x.ravel(), dx[:, :, i].ravel(), len(e))
         return grad
 
-    def fit(self, x: np.ndarray, classes: np.ndarray, real: np.ndarray, seed: int, rate: float) -> None:
-        """One pass of Adam over the windows."""
-        order = np.random.default_rng(seed).permutation(len(x))
-        m, v = np.zeros_like(self.vector), np.zeros_like(self.vector)
-        size = self.shape.batch
-        for t, start in enumerate(range(0, len(x), size), 1):
+
+class Adam:
+    """Steps on a model's weights."""
+
+    def __init__(self, model: Model, rate: float):
+        self.model, self.rate, self.t = model, rate, 0
+        self.m, self.v = np.zeros_like(model.vector), np.zeros_like(model.vector)
+
+    def fit(self, x: np.ndarray, classes: np.ndarray, real: np.ndarray) -> None:
+        """One pass over the windows, in drawn order."""
+        order, size = np.random.default_rng(self.t).permutation(len(x)), self.model.shape.batch
+        for start in range(0, len(x), size):
             own = order[start : start + size]
-            g = self.gradient(x[own], classes[own], real[own])
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            self.vector -= np.float32(rate) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + np.float32(1e-8))
+            g = self.model.gradient(x[own], classes[own], real[own])
+            self.t += 1
+            self.m += 0.1 * (g - self.m)
+            self.v += 0.01 * (g * g - self.v)
+            self.model.vector -= np.float32(self.rate) * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + np.float32(1e-8))
 
 
 # Spark jobs
@@ -312,7 +326,7 @@ class Model:
 
 def _documents(df: DataFrame) -> DataFrame:
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7))
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (fold == 2).alias("held_out")).withColumn("row", F.xxhash64("doc_id", "text"))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (fold == 2).alias("held_out"))
 
 
 _splitters: dict[int, Subwords] = {}
@@ -326,42 +340,49 @@ def _splitter(tokens: list[bytes]) -> Subwords:
 
 
 def gather(docs: DataFrame, shared, shape: Shape) -> DataFrame:
-    """From the training documents: counts of words (kind 0, key a hash) and of subwords (kind 1, key an id; kind 3: at the
-    beginning of words), summed per task, and training windows (kind 2)."""
+    """From the training documents: counts of words (kind 0, key a hash, first their first subword) and of subwords (kind 1, key
+    an id; kind 3: at the beginning of words), summed per task, and each document's packed subwords (kind 2)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, n = _splitter(shared.value), 0
-        words_seen: list[tuple[np.ndarray, np.ndarray]] = []
+        splitter = _splitter(shared.value)
+        seen: list[tuple[np.ndarray, ...]] = []
         ids_seen, firsts_seen = np.zeros(splitter.end + 1, np.int64), np.zeros(splitter.end + 1, np.int64)
-        for batch in pieces(batches, mb=2):
-            words = lowered(texts(batch))
-            words_seen.append(np.unique(np.append(words.hashes(), np.full(batch.num_rows, END, np.uint64)), return_counts=True))
-            flat, lengths, begins = splitter.stream(words)
-            ids_seen += np.bincount(flat, minlength=len(ids_seen))
-            firsts_seen += np.bincount(flat[begins], minlength=len(ids_seen))
-            found, _, real = windows(flat, lengths, shape, splitter.end + 1)
-            own = np.flatnonzero((np.arange(n, n + len(found)) % shape.every) == 0)
-            n += len(found)
-            packed = np.concatenate([found[own], np.where(real[own], 1, 0)], axis=1).astype(np.int32)
-            yield _kinds(2, np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), [p.tobytes() for p in packed])
-            if len(words_seen) >= 8:
-                yield _sums(words_seen)
-                words_seen = []
-        if words_seen:
-            yield _sums(words_seen)
+        for batch in pieces(batches, mb=4):
+            s = Stream(texts(batch), splitter)
+            counts, firsts = np.bincount(s.which, minlength=len(s.strings) + 1), s.firsts(splitter.end)
+            seen.append((s.hashes(), counts, firsts))
+            ids_seen += np.bincount(s.ids, minlength=len(ids_seen))
+            firsts_seen += np.bincount(firsts, counts, len(ids_seen)).astype(np.int64)
+            ends = np.cumsum(s.lengths)
+            yield _kinds(2, None, None, None, [s.ids[b - n : b].tobytes() for b, n in zip(ends, s.lengths)])
+            if len(seen) >= 8:
+                yield _sums(seen)
+                seen = []
+        if seen:
+            yield _sums(seen)
         for kind, counts in ((1, ids_seen), (3, firsts_seen)):
-            seen = np.flatnonzero(counts)
-            yield _kinds(kind, seen, counts[seen], None)
+            there = np.flatnonzero(counts)
+            yield _kinds(kind, there, counts[there], there, None)
 
-    def _sums(seen: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, inverse = np.unique(np.concatenate([k for k, _ in seen]), return_inverse=True)
-        return _kinds(0, keys.view(np.int64), np.bincount(inverse, np.concatenate([c for _, c in seen])).astype(np.int64), None)
+    def _sums(seen: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, c, f = (np.concatenate(x) for x in zip(*seen))
+        keys, place, inverse = np.unique(h, return_index=True, return_inverse=True)
+        return _kinds(0, keys, np.bincount(inverse, c).astype(np.int64), f[place], None)
 
-    def _kinds(kind: int, keys: np.ndarray, counts: np.ndarray, packed) -> pa.RecordBatch:
-        column = pa.nulls(len(keys), pa.binary()) if packed is None else pa.array(packed, pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(counts), column], ["kind", "key", "count", "window"])
+    def _kinds(kind: int, keys, counts, firsts, ids) -> pa.RecordBatch:
+        n = len(keys if ids is None else ids)
+        numbers = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (keys, counts, firsts)]
+        column = pa.nulls(n, pa.binary()) if ids is None else pa.array(ids, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *numbers, column], ["kind", "key", "count", "first", "ids"])
 
-    return docs.where("NOT held_out").select("text").mapInArrow(run, "kind int, key long, count long, window binary")
+    return docs.where("NOT held_out").select("text").mapInArrow(run, "kind int, key long, count long, first long, ids binary")
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch], mb: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The subwords of several documents in a row, and how many each has."""
+    for batch in pieces(batches, mb=mb, column="ids"):
+        several = batch.column("ids").to_pylist()
+        yield np.frombuffer(b"".join(several), np.int32), np.array([len(x) // 4 for x in several], np.int64)
 
 
 def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -377,58 +398,49 @@ def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray
     return keys[order], found[order]
 
 
-def company_of(sample: DataFrame, counts: np.ndarray, shape: Shape) -> np.ndarray:
-    """How often each of the most frequent subwords is in a training window with each single one."""
-    place = np.append(frequency_places(counts), len(counts))
-    shared = sample.sparkSession.sparkContext.broadcast(place)
+def company_of(documents: DataFrame, counts: np.ndarray, shape: Shape) -> np.ndarray:
+    """How often each of the most frequent subwords stands one or two places after, and before, each single one."""
+    shared = documents.sparkSession.sparkContext.broadcast(frequency_places(counts))
+    width = 2 * shape.single
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((shape.clustered, shape.single), np.int64)
-        for batch in batches:
-            packed = np.frombuffer(b"".join(batch.column("window").to_pylist()), np.int32).reshape(batch.num_rows, -1)
-            ids = shared.value[packed[:, : shape.span + 1]]
-            line, at = np.nonzero(ids < shape.single)
-            single = np.zeros((len(ids), shape.single), np.int64)
-            np.add.at(single, (line, ids[line, at]), 1)
-            line, at = np.nonzero((ids >= shape.single) & (ids < shape.clustered))
-            np.add.at(sums, ids[line, at], single[line])
-        row, column = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(column), pa.array(sums[row, column])], ["row", "column", "n"])
-
-    table = sample.mapInArrow(run, "row long, column long, n long").groupBy("row", "column").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((shape.clustered, shape.single))
-    out[table.column("row").to_numpy(), table.column("column").to_numpy()] = table.column("n").to_numpy()
-    return out
-
-
-def train(spark: SparkSession, sample: DataFrame, mapping: Mapping, shape: Shape) -> np.ndarray:
-    """The weights after some rounds of passes in parallel, averaged after each."""
+        sums = np.zeros(shape.clustered * width, np.int64)
+        for flat, lengths in _unpacked(batches, 4):
+            place, text = shared.value[flat], np.repeat(np.arange(len(lengths)), lengths)
+            for step in (1, 2):
+                a, b, one = place[:-step], place[step:], text[:-step] == text[step:]
+                for x, y, shift in ((a, b, 0), (b, a, shape.single)):
+                    own = one & (x < shape.single) & (y >= shape.single) & (y < shape.clustered)
+                    sums += np.bincount(y[own] * width + x[own] + shift, minlength=len(sums))
+        there = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(sums[there])], ["place", "n"])
+
+    table = documents.select("ids").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # of the model's size
+    out = np.zeros(shape.clustered * width)
+    out[table.column("place").to_numpy()] = table.column("n").to_numpy()
+    return out.reshape(shape.clustered, width)
+
+
+def train(spark: SparkSession, documents: DataFrame, mapping: Mapping, shape: Shape) -> np.ndarray:
+    """The weights after some rounds in parallel, averaged after each. documents: ids."""
     model = Model(shape, mapping.start)
-    total = sample.count()
-    if total == 0:
-        return model.vector
-    parts = max(1, round(total / shape.part))
-    # dealt by content: a task that runs again gets the same windows
-    dealt = stored(sample.repartition(parts, F.xxhash64("window")).sortWithinPartitions("window"), "windows")
     blocks = 64
     width = -(-len(model.vector) // blocks)
-    for number in range(shape.rounds):
+    for number in range(shape.rounds * shape.passes):
         shared = spark.sparkContext.broadcast((mapping, model.vector))
-        rate = shape.rate * (1 - number / shape.rounds)
+        rate = shape.rate * (1 - number / (shape.rounds * shape.passes))
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared, rate=rate, number=number) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
             mapping, vector = shared.value
-            rows = [w for b in batches for w in b.column("window").to_pylist()]
-            if not rows:
-                return
-            packed = np.frombuffer(b"".join(rows), np.int32).reshape(len(rows), -1)
-            ids, real = packed[:, : shape.span + 1], packed[:, shape.span + 1 :] > 0
-            own = Model(shape, mapping.start, vector)
-            targets = np.minimum(ids[:, shape.context + 1 :], len(mapping.output) - 1)
-            own.fit(mapping.input[ids[:, :-1]], mapping.output[targets], real, number, rate)
-            padded = np.zeros(blocks * width, np.float32)
-            padded[: len(own.vector)] = own.vector
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([b.tobytes() for b in padded.reshape(blocks, width)], pa.binary()), pa.array([len(rows)] * blocks, pa.int64())], ["block", "weights", "n"])
+            adam, n, pad = Adam(Model(shape, mapping.start, vector.copy()), rate), 0, len(mapping.output)
+            for flat, lengths in _unpacked(batches, 1):
+                ids, _, real = windows(flat, lengths, shape, pad)
+                adam.fit(mapping.input[ids[:, :-1]], mapping.output[np.minimum(ids[:, shape.context + 1 :], pad - 1)], real)
+                n += len(ids)
+            if n:
+                padded = np.zeros(blocks * width, np.float32)
+                padded[: len(vector)] = adam.model.vector
+                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([b.tobytes() for b in padded.reshape(blocks, width)], pa.binary()), pa.array([n] * blocks, pa.int64())], ["block", "weights", "n"])
 
         def mean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
@@ -439,54 +451,54 @@ def train(spark: SparkSession, sample: DataFrame, mapping: Mapping, shape: Shape
                     have[1] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(s / n).astype(np.float32).tobytes() for s, n in sums.values()], pa.binary())], ["block", "weights"])
 
-        trained = dealt.select("window").repartition(parts, F.xxhash64("window")).sortWithinPartitions("window").mapInArrow(run, "block int, weights binary, n long")
-        averaged = trained.repartition("block").sortWithinPartitions("block", "weights").mapInArrow(mean, "block int, weights binary")
+        own = documents.where(F.pmod(F.xxhash64("ids"), F.lit(shape.rounds)) == number % shape.rounds)
+        trained = own.select("ids").mapInArrow(run, "block int, weights binary, n long")
+        averaged = trained.repartition("block").sortWithinPartitions("block", "n", "weights").mapInArrow(mean, "block int, weights binary")
         rows = sorted(averaged.collect())  # the model's own size
-        model = Model(shape, mapping.start, np.frombuffer(b"".join(bytes(r["weights"]) for r in rows), np.float32)[: len(model.vector)].copy())
+        if rows:
+            model = Model(shape, mapping.start, np.frombuffer(b"".join(bytes(r["weights"]) for r in rows), np.float32)[: len(model.vector)].copy())
     return model.vector
 
 
 def model_scores(docs: DataFrame, shared, shape: Shape, buckets: int) -> DataFrame:
-    """Per document: row (its hash), doc_id, held_out, n_tokens, score (whose words that are not hot lack their mixture); and
+    """Per document: row (a number of its own), doc_id, held_out, n_tokens, score (whose words that are not hot lack their mixture); and
     of the hot words, hot_known and hot_logs. Beside them, rows of the words that are not hot: bucket (of their hash), packed.
 
-    shared: the subwords' strings, the mapping, the weights, the hot words' hashes (in order) and counts, and by how much
-    adding one to all words' counts adds to their sum.
+    shared: the subwords' strings, the mapping, the weights, and the hot words' hashes (in order) and counts.
     """
     names = ["row", "doc_id", "held_out", "n_tokens", "score", "hot_known", "hot_logs", "bucket", "packed"]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, mapping, vector, hot, counts, smoothing = shared.value
+        tokens, mapping, vector, hot, counts = shared.value
         splitter, model = _splitter(tokens), Model(shape, mapping.start, vector)
-        score = model.scorer()
+        score, next_row = model.scorer(), TaskContext.get().partitionId() << 36
         within, output = np.append(mapping.within, np.float32(0)), np.append(mapping.output, 0)
         for batch in pieces(batches, mb=1):
-            words, n = lowered(texts(batch)), batch.num_rows
-            flat, lengths, begins = splitter.stream(words)
-            ids, _, real = windows(flat, lengths, shape, splitter.end + 1)
-            classes = []
+            n = batch.num_rows
+            s = Stream(texts(batch), splitter)
+            ids, _, real = windows(s.ids, s.lengths, shape, splitter.end + 1)
+            logs = []
             for start in range(0, len(ids), 64):  # what fits in a core's cache
                 some = ids[start : start + 64]
-                logs = score(mapping.input[some[:, :-1]], output[some[:, shape.context + 1 :]])
-                classes.append(logs[real[start : start + 64]])
-            classes = np.concatenate(classes).astype(np.float64)  # of each id, in order
-            first = classes[begins]
-            spelled = np.add.reduceat(classes + within[flat], begins) - first
-            h, text = hashed(words, n)
-            order = np.argsort(text, kind="stable")  # words of each text, then its end
-            h, text = h[order], text[order]
-            which, place = _among(hot, h)
-            mass = mapping.first_mass[output[flat[begins]]] * smoothing
-            first[which] += mixture(counts[place[which]], mass[which], spelled[which], shape)
-            scores = np.bincount(text, first, n)
-            n_words = np.diff(np.append(words.first, len(words.stops))) + 1
-            known = np.bincount(text[which], counts[place[which]] > 0, n).astype(np.int64)
-            sums = np.bincount(text[which], np.log10(counts[place[which]] + 1.0), n)
-            columns = [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n_words, pa.int64()), pa.array(scores / np.log(10)), pa.array(known), pa.array(sums, pa.float64())]
+                found = score(mapping.input[some[:, :-1]], output[some[:, shape.context + 1 :]])
+                logs.append(found[real[start : start + 64]])
+            classes = np.concatenate(logs).astype(np.float64)  # of each id, in order
+            first = classes[s.begins]
+            spelled = np.add.reduceat(classes + within[s.ids], s.begins) - first
+            h = s.hashes()
+            known, place = _among(hot, h)  # of the distinct words
+            times = np.where(known, counts[place] if len(counts) else 0, 0)
+            mass = mapping.word_mass[output[s.firsts(splitter.end)]]
+            which, times, mass = known[s.which], times[s.which], mass[s.which]
+            first[which] += mixture(times[which], mass[which], spelled[which], shape)
+            of = s.text[which]
+            row = next_row + np.arange(n)
+            next_row += n
+            columns = [pa.array(row), batch.column("doc_id"), batch.column("held_out"), pa.array(np.bincount(s.text, minlength=n)), pa.array(np.bincount(s.text, first, n) / np.log(10)), pa.array(np.bincount(of, times[which] > 0, n).astype(np.int64)), pa.array(np.bincount(of, np.log10(times[which] + 1.0), n), pa.float64())]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, k) for k in kinds[7:])], names)
-            row, training = batch.column("row").to_numpy(), ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            full, packs = _bucketed(*(x[~which] for x in (h, text, mass, spelled)), row, training, buckets)
+            training = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+            full, packs = _bucketed(h[s.which][~which], s.text[~which], mass[~which], spelled[~which], row, training, buckets)
             if packs:
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(len(packs), k) for k in kinds[:7]), pa.array(full, pa.int64()), pa.array(packs, pa.binary())], names)
 
@@ -508,11 +520,6 @@ def _bucketed(h: np.ndarray, text: np.ndarray, mass: np.ndarray, spelled: np.nda
     return full, [_pack(*(x[cuts[b] : cuts[b + 1]] for x in (h, text, mass, spelled)), row, training) for b in full]
 
 
-def hashed(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words and ends of n texts, and which text each is of."""
-    return np.concatenate([words.hashes(), np.full(n, END, np.uint64)]).view(np.int64), np.concatenate([words.text, np.arange(n)])
-
-
 def _among(hot: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each hash is among the hot ones (in order), and where."""
     if not len(hot):
@@ -597,23 +604,24 @@ def scores(df: DataFrame, ranks: str, shape: Shape = Shape()) -> DataFrame:
     tokens = read_ranks(ranks)
     strings = spark.sparkContext.broadcast(tokens)  # a vocabulary of fixed size
     found = stored(gather(docs, strings, shape), "lm-gathered")
-    counts = stored(found.where("kind = 0").groupBy("key").agg(F.sum("count").alias("count")), "lm-words")
+    counts = stored(found.where("kind = 0").groupBy("key").agg(F.sum("count").alias("count"), F.min("first").alias("first")), "lm-words")
     n, v = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    hot, hot_counts = frequent_words(counts, shape.known)
-    by_id, firsts = np.zeros(len(tokens) + 1), np.zeros(len(tokens) + 1)
+    hot, hot_counts = frequent_words(counts.select("key", "count"), shape.known)
+    by_id, firsts, types = (np.zeros(len(tokens) + 1) for _ in range(3))
     for r in found.where("kind IN (1, 3)").groupBy("kind", "key").agg(F.sum("count").alias("count")).collect():  # of the vocabulary's size
         (by_id if r["kind"] == 1 else firsts)[r["key"]] = r["count"]
-    mapping = Mapping(by_id, firsts, company_of(found.where("kind = 2").select("window"), by_id, shape), shape)
-    vector = train(spark, found.where("kind = 2").select("window"), mapping, shape)
-    shared = spark.sparkContext.broadcast((tokens, mapping, vector, hot, hot_counts, (n + v + 1) / max(n, 1)))
+    for r in counts.groupBy("first").agg(F.count("*").alias("types")).collect():  # of the vocabulary's size
+        types[r["first"]] = r["types"]
+    documents = found.where("kind = 2").select("ids")
+    mapping = Mapping(by_id, firsts, types, company_of(documents, by_id, shape), shape)
+    vector = train(spark, documents, mapping, shape)
+    shared = spark.sparkContext.broadcast((tokens, mapping, vector, hot, hot_counts))
     made = stored(model_scores(docs, shared, shape, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "lm-scored")
     scored = made.where("bucket IS NULL").drop("bucket", "packed")
-    first = [F.first(c).alias(c) for c in scored.columns if c != "row"]
-    scored = scored.groupBy("row").agg(*first, F.count("*").alias("copies"))
     sums = rest_sums(made.where("bucket IS NOT NULL").select("bucket", "packed"), shape)
-    both = scored.join(sums, "row", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    known = F.col("hot_known") + F.coalesce(F.col("n_known") / F.col("copies"), F.lit(0)).cast("long")
-    logs = F.col("hot_logs") + F.coalesce(F.col("logs") / F.col("copies"), F.lit(0))
-    score = F.col("score") + F.coalesce(F.col("mixed") / F.col("copies"), F.lit(0))
+    both = scored.join(sums, "row", "left")
+    known = F.col("hot_known") + F.coalesce("n_known", F.lit(0))
+    logs = F.col("hot_logs") + F.coalesce("logs", F.lit(0.0))
+    score = F.col("score") + F.coalesce("mixed", F.lit(0.0))
     base = logs - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
     return both.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(int(n)).alias("train_tokens"), base.alias("base_score"), score.alias("score"))
