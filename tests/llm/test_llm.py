@@ -293,6 +293,32 @@ def test_token_tables(spark, docs, empty):
     assert token_tables.round_trip(empty, path).count() == 0
 
 
+def test_flat_files_refuse_wrong_end_ids(docs, tmp_path):
+    for end in (5, 70_000):
+        with pytest.raises(ValueError, match="end id"):
+            separator_scan.write_flat(docs, f"file://{tmp_path}", RANKS, PATTERN, end)
+
+
+def test_token_table_files(spark, docs, tmp_path):
+    """Encodings, row groups and page indexes of the files; and reads of single columns and ids."""
+    import pyarrow.parquet as pq
+
+    folder = f"{tmp_path}/tokens"
+    token_tables.write_tokens(docs.withColumn("part", F.lit("extra")), f"file://{folder}", public_tokenizers.path("word_bpe_49k.json"))
+    files = [f for f in Path(folder).glob("*.parquet") if pq.read_metadata(f).num_rows]
+    assert files
+    for f in files:
+        meta = pq.read_metadata(f)
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(i).path_in_schema: meta.row_group(g).column(i) for i in range(meta.num_columns)}
+            tokens = next(c for n, c in columns.items() if n.startswith("tokens"))
+            assert "RLE_DICTIONARY" in tokens.encodings and "DELTA_BINARY_PACKED" in columns["part_start"].encodings
+            assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+    read = spark.read.parquet(f"file://{folder}")
+    plan = read.where("doc_id = 7").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "tokens:array" not in plan.split("ReadSchema")[1] and "EqualTo(doc_id,7)" in plan
+
+
 def test_separator_scan(spark, docs, reference, empty, tmp_path):
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"]) for r in separator_scan.count_tokens(docs, RANKS, PATTERN).collect())
     assert got == sorted((-1 if i is None else i, len(reference.encode_ordinary(t or ""))) for i, t, *_ in awkward())
@@ -363,6 +389,31 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_reads_other_writers_archives(tmp_path):
+    """A compressed dictionary, info and request records, ids of other kinds, any case of header names, continued lines."""
+    import io
+
+    import zstandard
+
+    def block(kind, body, *more, http=True):
+        head = ["WARC/1.0", f"WARC-TYPE: {kind}", "warc-record-id: <urn:uuid:1-2-3>", f"content-length:{len(body)}", *(["Content-Type: application/http;msgtype=" + kind] if http else []), *more]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    page = b"HTTP/1.1 200 OK\r\ncontent-LENGTH: 5\r\nX: a\r\n b\r\n\r\nhello"
+    sha = hashlib.sha1(b"hello").hexdigest()
+    records = [block("warcinfo", b"software: x", http=False), block("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"), block("response", page, f"WARC-Payload-Digest: sha1:{sha}"), block("revisit", page[:-5], "WARC-Profile: http://p", f"WARC-Payload-Digest: sha1:{sha}"), block("metadata", b"", http=False)]
+    content = b"".join(records)[:600]
+    packed = zstandard.compress(content)
+    codec = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content))
+    archive = (0x184D2A5D).to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed + b"".join(map(codec.compress, records))
+    got = [warc.parse(c) for _, c in warc.frames(io.BytesIO(archive), chunk=11)]
+    assert [(g["record_type"], g["page_id"], g["payload_bytes"]) for g in got] == [("warcinfo", None, 11), ("request", None, 0), ("response", None, 5), ("revisit", None, 5), ("metadata", None, 0)]
+    assert got[2]["payload_digest"] == got[3]["payload_digest"] == sha
+    for wrong in (block("response", page, "WARC-Payload-Digest: sha1:" + "0" * 40), block("response", page + b"x"), block("response", page, "WARC-Block-Digest: sha1:" + "0" * 40), block("revisit", page), block("response", page)[:-1], block("response", b"no header"), block("response", page, "no colon")):
+        with pytest.raises(ValueError):
+            warc.parse(wrong)
+
+
 def test_warc_finds_damage(tmp_path):
     writer = warc.ArchiveWriter(f"file://{tmp_path}", "x", 1)
     payload = b"hello" * 50
@@ -528,3 +579,84 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     last = corpus_pipeline.run(spark, SF)
     assert last.columns == ["doc_id", "lang", "source", "n_tokens", "tokens"]
     assert {r["doc_id"] for r in last.select("doc_id").collect()} <= set(cut)
+
+
+def test_extra_columns_and_long_texts(spark):
+    """Columns with the operators' own names, and a text of over a million characters, through every text operator and stage."""
+    long = " ".join(f"word{i % 5000}" for i in range(160_000)) + "."
+    odd = ["n", "n_words", "n_removed", "text_hash", "_id", "_hash", "_hit", "rest", "set", "node", "kept", "id", "tokens", "part", "row", "bucket", "spans"]
+    rows = [(1, long), (2, "a b c " * 30), (3, None), (2, "a b c " * 30), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = df.withColumns({c: F.lit(9) for c in odd})
+    bench = spark.createDataFrame([(1, "nothing of this is anywhere in these texts at all here")], "item_id long, text string").withColumns({"doc_id": F.lit(1), "n": F.lit(1)})
+    path = public_tokenizers.path("word_bpe_49k.json")
+    same = lambda f, *keys: sorted(map(str, f(wide).select(*keys).collect())) == sorted(map(str, f(df).select(*keys).collect()))
+    assert same(lambda d: bpe.digests(d, RANKS, PATTERN), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert same(substrings.digests, "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert same(lines.judged, "doc_id", "n_words", "kept")
+    assert same(lambda d: token_tables.round_trip(d, path), "doc_id", "start", "n_tokens", "ids_crc32")
+    assert same(lambda d: separator_scan.count_tokens(d, RANKS, PATTERN), "doc_id", "n_tokens")
+    assert same(lambda d: templates.contaminated(d, bench), "doc_id")
+    assert same(near_dups.near_duplicates, "doc_id", "n_shingles", "component_id", "kept")
+    kept = near_dups.kept_documents(wide, near_dups.Join(shingle=5))
+    assert kept.columns == wide.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, None} and {r["rest"] for r in kept.collect()} == {9}
+    clean = templates.without_contaminated(wide, bench)
+    assert clean.columns == wide.columns and clean.count() == 5
+    cut = substrings.remove_repeats(wide)
+    assert cut.columns == wide.columns and cut.count() == 5 and {r["n_words"] for r in cut.collect()} == {9}
+
+
+def brute_templates(docs, items, window=8, least=5, share=0.3):
+    """Pairs of documents and items by comparing every window of each with every window of the other, as tuples of tokens."""
+    lexicon = templates.Lexicon()
+
+    def tokens(text):
+        t = templates.Tokens([text or ""], lexicon)
+        literal = [t.value(i) if k == templates.LITERAL else k for i, k in enumerate(t.kind.tolist())]
+        return literal, t
+
+    found = set()
+    for item, text in items:
+        a, ta = tokens(text)
+        n = min(window, len(a))
+        own = [i for i in range(len(a) - n + 1) if sum(isinstance(x, bytes) for x in a[i : i + n]) * 2 > n] if n >= least else []
+        for doc, body in docs:
+            b, tb = tokens(body)
+            best = 0
+            for shift in range(-len(a), len(b)):
+                there, back, good = {}, {}, 0
+                for i in own:
+                    if 0 <= i + shift and i + shift + n <= len(b) and a[i : i + n] == b[i + shift : i + shift + n]:
+                        slots = [(a[j], ta.value(j), tb.value(j + shift)) for j in range(i, i + n) if not isinstance(a[j], bytes)]
+                        if all(there.get((k, v), w) == w and back.get((k, w), v) == v for k, v, w in slots):
+                            good += 1
+                            there |= {(k, v): w for k, v, w in slots}
+                            back |= {(k, w): v for k, v, w in slots}
+                best = max(best, good)
+            if own and best and best >= share * len(own):
+                found.add((doc, item))
+    return found
+
+
+def test_templates_against_brute_force(spark):
+    r = random.Random(8)
+    words = [f"{a}{b}" for a in ("plan", "store", "river", "walk", "green", "train") for b in ("", "s", "ed")]
+    sentence = lambda: " ".join(r.choice([r.choice(words), r.choice(words), str(r.randint(2, 99)), r.choice(["km", "hours", "dollars"]), r.choice(["Anna", "Berta"])]) for _ in range(r.randint(4, 25))) + "."
+    items = [(i, " ".join(sentence() for _ in range(r.randint(1, 3)))) for i in range(25)]
+    docs = []
+    for d in range(60):
+        parts = [sentence() for _ in range(3)]
+        if d % 2:
+            text = r.choice(items)[1]
+            if d % 4 == 1:  # other numbers and names, the same ones each time or not
+                text = re.sub(r"\d+", lambda m: str(int(m[0]) + 1) if d % 8 == 1 else str(r.randint(2, 99)), text).replace("Anna", "Carla")
+            parts.insert(1, text)
+        docs.append((d, " ".join(parts)))
+    docs += [(100, None), (101, ""), (1, docs[1][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items + [(99, None)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in templates.contaminated(df, bench).collect()}
+    want = brute_templates(docs, items)
+    assert got == want and len(want) > 15
+    left = sorted(x["doc_id"] for x in templates.without_contaminated(df, bench).collect())
+    assert left == sorted(d for d, _ in docs if d not in {x for x, _ in want})

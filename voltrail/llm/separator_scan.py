@@ -27,6 +27,9 @@ from voltrail.llm.common import open_fs, pieces, shared_dir, stored, texts
 def write_flat(df: DataFrame, folder: str, ranks: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes flat files of 16-bit ids, one per task. Returns what was written: path, ordinal and id of each document,
     and a row with ordinal -1 and the size in bytes of each file. Tasks that run again write files of their own."""
+    size_of_vocabulary = len(bpe.vocabulary(ranks).tokens)
+    if not size_of_vocabulary <= end_id < 1 << 16:
+        raise ValueError("the end id must lie beyond the vocabulary and fit in 16 bits, as must the vocabulary")
     encoding = bpe.encoding(df, ranks, pattern)
     kind = df.schema[id_col].dataType.simpleString()
     one = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -77,8 +80,7 @@ def scan(files: DataFrame, end_id: int, width: int = 2, block_tokens: int = 4_00
                     ["path", "block", "k", "at", "gap"],
                 )
 
-    n = max(1, blocks.count())
-    ends = stored(blocks.repartition(n).mapInArrow(run, "path string, block long, k long, at long, gap long"), "flat-ends")
+    ends = stored(blocks.repartition("path", "block").mapInArrow(run, "path string, block long, k long, at long, gap long"), "flat-ends")
     summary = ends.groupBy("path", "block").agg(F.count(F.when(F.col("k") >= 0, 1)).alias("ends"), F.max(F.when(F.col("k") >= 0, F.col("at"))).alias("last"))
     earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     carried = summary.select("path", "block", F.coalesce(F.sum("ends").over(earlier), F.lit(0)).alias("base"), F.coalesce(F.max("last").over(earlier), F.lit(-1)).alias("from"))

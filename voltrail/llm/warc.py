@@ -136,8 +136,11 @@ def frames(stream, chunk: int = 4 << 20) -> Iterator[tuple[int, bytes]]:
     if len(head) < 8 or int.from_bytes(head[:4], "little") != DICTIONARY_MAGIC:
         raise ValueError("no dictionary frame")
     content = stream.read(int.from_bytes(head[4:], "little"))
+    end = 8 + len(content)
+    if int.from_bytes(content[:4], "little") == FRAME_MAGIC:  # the dictionary may itself be compressed
+        content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
     codec = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content))
-    offset, data, at = 8 + len(content), b"", 0
+    offset, data, at = end, b"", 0
     while True:
         size = frame_length(memoryview(data)[at:])
         if size == 0:
@@ -148,33 +151,80 @@ def frames(stream, chunk: int = 4 << 20) -> Iterator[tuple[int, bytes]]:
                 return
             data, at = data[at:] + more, 0
             continue
-        yield offset, codec.decompress(data[at : at + size])
+        yield offset, codec.decompressobj().decompress(data[at : at + size])
         at += size
         offset += size
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with white space goes on with the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon:
+            raise ValueError(f"a header line without a colon: {line[:40]!r}")
+        name = name.strip().lower()
+        out[name] = value.strip()
+    return out
+
+
+def _sha1(digest: str | None) -> str | None:
+    """The hex form of a sha1 digest in base32 or hex; None for none and for other kinds."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+
+
 def parse(content: bytes) -> dict:
-    """A record's type, page_id, refers_to, payload size and payload digest, checked."""
+    """A record's type, page_id, refers_to, payload size and payload digest, checked.
+
+    Any record of WARC 1.0 or 1.1 is read. The payload is what follows the HTTP header of responses, requests and revisits, and the
+    whole block of others; its size is that of the HTTP header's Content-Length where a revisit leaves it out. page_id and refers_to
+    are null unless the ids are those of ``record``. A sha1 digest that the record gives must hold (not for revisits, whose payload
+    is elsewhere); without one it is computed.
+    """
     head, cut, rest = content.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not cut or lines[0] not in ("WARC/1.0", "WARC/1.1"):
+    if not cut or head.split(b"\r\n", 1)[0] not in (b"WARC/1.0", b"WARC/1.1"):
         raise ValueError("no WARC header")
-    fields = dict(line.split(": ", 1) for line in lines[1:])
-    size = int(fields["Content-Length"])
+    fields = _fields(head)
+    missing = [n for n in ("warc-type", "warc-record-id", "content-length") if n not in fields]
+    if missing or not fields["content-length"].isdigit():
+        raise ValueError(f"no {', '.join(missing) or 'length'} in the header")
+    size = int(fields["content-length"])
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise ValueError("the block's length is wrong")
-    http, cut, payload = rest[:size].partition(b"\r\n\r\n")
-    http_fields = dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])
-    payload_bytes = int(http_fields["Content-Length"])
-    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    kind = fields["WARC-Type"]
-    if kind == "response":
-        if len(payload) != payload_bytes or hashlib.sha1(payload).hexdigest() != digest:
+    kind, block, said = fields["warc-type"].lower(), rest[:size], _sha1(fields.get("warc-payload-digest"))
+    http = {}
+    payload = block
+    if fields.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        top, cut, payload = block.partition(b"\r\n\r\n")
+        if not cut:
+            raise ValueError("no end of the HTTP header")
+        http = _fields(top)
+    stated = int(http["content-length"]) if http.get("content-length", "").isdigit() else len(payload)
+    if kind == "revisit":
+        if "warc-profile" not in fields:
+            raise ValueError("a revisit without a profile")
+        payload_bytes, digest = stated if not payload else len(payload), said
+    else:
+        payload_bytes, digest = len(payload), hashlib.sha1(payload).hexdigest()
+        if said not in (None, digest) or (kind == "response" and stated != payload_bytes and "transfer-encoding" not in http):
             raise ValueError("the payload is not what its headers say")
-    elif kind != "revisit" or payload or fields["WARC-Profile"] != REVISIT_PROFILE:
-        raise ValueError("neither a response nor a revisit")
-    number = lambda v: int(v.strip("<>").removeprefix(PAGE_URN)) if v and v != f"<{PAGE_URN}>" else None
-    return {"page_id": number(fields["WARC-Record-ID"]), "payload_bytes": payload_bytes, "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("WARC-Refers-To"))}
+    block_digest = _sha1(fields.get("warc-block-digest"))
+    if block_digest not in (None, hashlib.sha1(block).hexdigest()):
+        raise ValueError("the block is not what its digest says")
+
+    def number(v: str | None) -> int | None:
+        own = (v or "").strip("<>")
+        tail = own.removeprefix(PAGE_URN) if own.startswith(PAGE_URN) else ""
+        return int(tail) if tail.lstrip("-").isdigit() else None
+
+    return {"page_id": number(fields["warc-record-id"]), "payload_bytes": payload_bytes, "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("warc-refers-to"))}
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -201,7 +251,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"{path}: {got} records, not {expected}")
                 yield pa.RecordBatch.from_pylist(found, fields)
 
-    return manifest.repartition(max(1, manifest.count())).mapInArrow(run, schema)
+    return manifest.repartition("path").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
