@@ -56,7 +56,7 @@ class Join:
     miss: float = 1e-4  # of the pairs at the threshold, if every node is split down to the last level
     node: int = 64  # classes that are compared exhaustively
     hashes: int = 256  # two bits of each make the sketch; trees choose from them
-    block: int = 512  # classes of a leaf that meet as many others in one piece of work
+    block: int = 1024  # classes of a leaf that meet as many others in one piece of work
 
     def __post_init__(self):
         if not self.trees:
@@ -406,7 +406,8 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: Data
             made = list(links(group))
             yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    dealt = cells(members, labels, join).join(classes.select("node", "n", "sketch"), "node").join(sets, "node")
+    known = sets.join(classes.select("node", "n", "sketch"), "node")
+    dealt = cells(members, labels, join).join(known, "node")
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
