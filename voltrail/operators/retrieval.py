@@ -137,7 +137,7 @@ def first_m(pairs: DataFrame, keep: Column, m: int) -> DataFrame:
 def resampled(seq: Column, points: int) -> Column:
     """Linear interpolation of a sequence at so many equal steps; unknown elements are 0."""
     n = F.size(seq)
-    at = lambda i: F.coalesce(F.element_at(seq, i.cast("int") + 1), F.lit(0.0))
+    at = lambda i: F.coalesce(F.get(seq, i.cast("int")), F.lit(0.0))
 
     def value(i: Column) -> Column:
         place = i * (n - 1) / F.lit(max(points - 1, 1)) if points > 1 else F.lit(0.0)
@@ -157,7 +157,7 @@ def summary(seq: Column) -> Column:
 def stage1_embedding(state: Column, history: Column, curve_stats: Column, stress: Column, sequences: Sequence[Column], points: int = 16) -> Column:
     """State, the resampled history less its last value, curve statistics, stress features, and summaries of sequences."""
     zero = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(0.0)))
-    anchored = F.transform(history, lambda x: x - F.element_at(history, -1))
+    anchored = F.transform(history, lambda x: x - F.try_element_at(history, F.lit(-1)))
     return F.concat(zero(state), bound(anchored, lambda h: resampled(h, points)), zero(curve_stats), zero(stress), *map(summary, sequences))
 
 

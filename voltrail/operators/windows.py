@@ -32,12 +32,12 @@ def sliding(df: DataFrame, columns: Sequence[str], lookback: int, horizon: int,
 
 def usable(cases: DataFrame, column: str = "soh") -> DataFrame:
     """Cases whose anchor and whole future are known; gaps within the lookback are allowed."""
-    return cases.where(F.element_at(f"{column}_seq", -1).isNotNull() & ~F.exists(f"{column}_future", lambda x: x.isNull()))
+    return cases.where(F.try_element_at(f"{column}_seq", F.lit(-1)).isNotNull() & ~F.exists(f"{column}_future", lambda x: x.isNull()))
 
 
 def deltas(column: str = "soh") -> Column:
     """The future less the anchor."""
-    anchor = F.element_at(f"{column}_seq", -1)
+    anchor = F.try_element_at(f"{column}_seq", F.lit(-1))
     return F.transform(f"{column}_future", lambda x: x - anchor)
 
 
@@ -46,14 +46,14 @@ def recent_slope(seq: Column | str, last: int = 5) -> Column:
     seq = F.col(seq) if isinstance(seq, str) else seq
     tail = F.slice(seq, -(last + 1), last + 1)
     whole = ~F.exists(tail, lambda x: x.isNull())
-    return F.when(whole, (F.element_at(tail, -1) - F.element_at(tail, 1)) / (F.size(tail) - 1))
+    return F.when(whole, (F.try_element_at(tail, F.lit(-1)) - F.try_element_at(tail, F.lit(1))) / (F.size(tail) - 1))
 
 
 def curvature(seq: Column | str) -> Column:
     """Mean second difference; null if an element is."""
     seq = F.col(seq) if isinstance(seq, str) else seq
     n = F.size(seq)
-    at = lambda i: F.element_at(seq, i)
+    at = lambda i: F.try_element_at(seq, F.lit(i))
     return F.when(~F.exists(seq, lambda x: x.isNull()) & (n > 2), ((at(-1) - at(-2)) - (at(2) - at(1))) / (n - 2))
 
 
@@ -66,7 +66,7 @@ def future_operation(column: str, mode: str, horizon: int) -> tuple[Column, Colu
     if mode == "known":
         c = F.col(f"{column}_future")
         return F.transform(c, lambda x: F.coalesce(x, F.lit(0.0))), F.transform(c, lambda x: x.isNotNull().cast("int"))
-    last = F.coalesce(F.element_at(f"{column}_seq", -1), F.lit(0.0)) if mode == "repeat_last" else F.lit(0.0)
+    last = F.coalesce(F.try_element_at(f"{column}_seq", F.lit(-1)), F.lit(0.0)) if mode == "repeat_last" else F.lit(0.0)
     return F.array_repeat(last, horizon), F.array_repeat(F.lit(1 if mode == "repeat_last" else 0), horizon)
 
 

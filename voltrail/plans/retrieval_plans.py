@@ -118,9 +118,9 @@ fetched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER
 coarse AS (SELECT * FROM (SELECT f.query, f.ref, f.score, row_number() OVER (PARTITION BY f.query ORDER BY f.rank) AS rank FROM fetched f JOIN q ON q.case_id = f.query JOIN e r ON r.case_id = f.ref WHERE q.cell_uid != r.cell_uid) WHERE rank <= {TOP_M})"""
 
 
-@query(RAW_CASES_SQL + f" SELECT cell_uid, window_start, (i - 1)::INTEGER AS i, round(v0[i], 6) AS value FROM raw, unnest(range(1, {WIDTH + 1})) AS u(i)")
+@query(RAW_CASES_SQL + f" SELECT cell_uid, window_start, (i - 1)::INTEGER AS i, round(v0[i], 9) AS value FROM raw, unnest(range(1, {WIDTH + 1})) AS u(i)")
 def stage1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_cases(spark, sf_dir).select("cell_uid", "window_start", F.posexplode("embedding").alias("i", "value")).withColumn("value", r6("value"))
+    return raw_cases(spark, sf_dir).select("cell_uid", "window_start", F.posexplode("embedding").alias("i", "value")).withColumn("value", F.round("value", 9))
 
 
 @query(RETRIEVE_SQL + f" SELECT cell_uid, window_start, (i - 1)::INTEGER AS i, round(v[i], 6) AS value FROM e, unnest(range(1, {WIDTH + 1})) AS u(i)")
