@@ -48,12 +48,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of several texts, one space after each, with their places, hashes and texts."""
+    """The words of several texts, one space after each, with their places, hashes and texts. outside: which bytes are no part
+    of a word."""
 
-    def __init__(self, several: list[str]):
+    def __init__(self, several: list[str], outside: np.ndarray = SPACES):
         encoded = [t.encode() for t in several]
         data = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
-        space = SPACES[data]
+        space = outside[data]
         before = np.concatenate([[True], space[:-1]])[: len(space)]
         begins = np.flatnonzero(~space & before)
         self.text = np.searchsorted(np.cumsum([0, *(len(e) + 1 for e in encoded)]), begins, "right") - 1
