@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import bpe, chat, lexical, lines, lm, near_dups, separator_scan, substrings, templates, token_tables, turn_repair, warc
+from voltrail.llm import bpe, chat, lexical, lines, lm, near_dups, packing, separator_scan, substrings, templates, token_tables, turn_repair, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op11_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op12_presence_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +68,6 @@ def op13_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repaired(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_super_kmers, op3_line_rules, op4_token_tables, op5_attention_lm, op6_chat, op7_separator_scan, op8_warc, op9_templates, op10_chosen_path, op12_presence_masks, op13_grammar_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_super_kmers, op3_line_rules, op4_token_tables, op5_attention_lm, op6_chat, op7_separator_scan, op8_warc, op9_templates, op10_chosen_path, op11_linear_grouping, op12_presence_masks, op13_grammar_repair)}
 
 ORACLES: dict[str, str] = {"op2_super_kmers": substrings.ORACLE, "op3_line_rules": lines.ORACLE, "op6_chat": chat.ORACLE, "op8_warc": warc.ORACLE, "op12_presence_masks": lexical.ORACLE, "op13_grammar_repair": turn_repair.ORACLE}

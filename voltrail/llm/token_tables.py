@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -128,6 +128,13 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def coded_writer(df: DataFrame, row_group_mb: int = 16) -> DataFrameWriter:
+    """Parquet with dictionary-coded tokens, delta-coded numbers, bounded row groups and pages."""
+    writer = df.write.option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.block.size", row_group_mb << 20)
+    writer = writer.option("parquet.page.row.count.limit", 2000).option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#tokens.list.element", "true")
+    return writer.option("parquet.dictionary.page.size", 1 << 20)
+
+
 def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", row_group_mb: int = 16) -> None:
     """Encodes df's texts with the tokenizer file, appends the end id to each and writes the files in folder."""
     with open(tokenizer, encoding="utf-8") as f:
@@ -152,9 +159,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id
             )
 
     coded = one.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, f"doc_id {kind}, part int, part_start long, n_tokens long, tokens array<int>")
-    writer = coded.write.option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.block.size", row_group_mb << 20)
-    writer = writer.option("parquet.page.row.count.limit", 2000).option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#tokens.list.element", "true")
-    writer.option("parquet.dictionary.page.size", 1 << 20).parquet(folder)
+    coded_writer(coded, row_group_mb).parquet(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
