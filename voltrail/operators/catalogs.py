@@ -107,18 +107,19 @@ def split_by_predicate(cells: DataFrame, source: Column, target: Column, val_fra
     n = F.count("*").over(W.partitionBy("_side", "source_dataset"))
     rank = F.row_number().over(W.partitionBy("_side", "source_dataset").orderBy(*draw(seed, "cell_uid")))
     n_val = F.when((n > 1) & F.lit(val_frac > 0), F.greatest(F.lit(1), F.least(n - 1, F.bround(n * F.lit(val_frac)).cast("long")))).otherwise(0)
-    overall = F.row_number().over(W.partitionBy("_side").orderBy(*draw(seed, "cell_uid")))
-    df = df.withColumns({"_rank": rank, "_val": n_val, "_all": overall})
+    # few by their parameter: each task sends so many at most
+    chosen = df.where("_side = 'target'").orderBy(*draw(seed, "cell_uid")).limit(few_shot).select("cell_uid", F.lit(True).alias("_few"))
+    df = df.withColumns({"_rank": rank, "_val": n_val}).join(F.broadcast(chosen), "cell_uid", "left")
     if require:
         have = {r["_side"] for r in df.select("_side").distinct().collect()}
         if not {"source", "target"} <= have:
             raise ValueError("a side of the split is empty")
     split = (
         F.when(F.col("_side") == "source", F.when(F.col("_rank") <= F.col("_val"), "source_val").otherwise("source_train"))
-        .when(F.col("_side") == "target", F.when(F.col("_all") <= few_shot, "target_support").otherwise("target_query"))
+        .when(F.col("_side") == "target", F.when(F.col("_few"), "target_support").otherwise("target_query"))
         .otherwise("unassigned")
     )
-    return df.withColumn("split", split).drop("_side", "_rank", "_val", "_all")
+    return df.withColumn("split", split).drop("_side", "_rank", "_val", "_few")
 
 
 #: Cells for training, validation and support in strata of at least so many cells.

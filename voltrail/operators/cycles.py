@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltrail.functions.columns import EARLIEST, by_cell, median, ranked, whole_cell
+from voltrail.functions.columns import EARLIEST, by_cell, median, whole_cell
+from voltrail.functions.ranks import numbered
 
 NUMERIC = (
     "capacity soh voltage_mean voltage_max voltage_min current_mean current_abs_mean current_max current_min temp_mean temp_max temp_min "
@@ -188,10 +189,9 @@ def repair_capacity(df: DataFrame, column: str = "capacity", window: int = 7, fl
 
 
 def assign_ids(df: DataFrame, keys: list[str], prefix: str = "cell") -> DataFrame:
-    """One row per cell with cell_uid, numbered by the keys. Cells of one first key (a dataset) are numbered together, behind those of smaller
-    ones, so no task sorts all cells."""
-    cells = ranked(df.select(*keys).distinct(), F.col(keys[0]), keys)
-    return cells.withColumn("cell_uid", F.concat(F.lit(prefix + "_"), F.lpad((F.col("rank") + 1).cast("string"), 5, "0"))).drop("rank")
+    """One row per cell with cell_uid, numbered by the keys over ranges of them, so that no task sorts all cells."""
+    cells = numbered(df.select(*keys).distinct(), [F.asc_nulls_first(k) for k in keys])
+    return cells.withColumn("cell_uid", F.concat(F.lit(prefix + "_"), F.lpad((F.col("place") + 1).cast("string"), 5, "0"))).drop("place")
 
 
 # protocol texts

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltrail.functions.columns import sigmoid
+from voltrail.functions.ranks import ranked_within, summaries
 
 
 def errors(y: str = "y", p: str = "p") -> list[Column]:
@@ -57,34 +58,38 @@ def lifecycle(cases: DataFrame, predictions: DataFrame, seq: str = "soh_seq", fu
 
 
 def associations(df: DataFrame, features: Sequence[str], targets: Sequence[str], bins: int = 8) -> DataFrame:
-    """Per feature and target: Pearson (0 for constants), Spearman (mean ranks of ties) and mutual information of bins."""
+    """Per feature and target: Pearson (0 for constants), Spearman (mean ranks of ties) and mutual information of bins. Ranks come from
+    ranges of the values, so no task holds a pair's rows."""
     pairs = [F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), F.col(f).cast("double").alias("x"), F.col(t).cast("double").alias("y")) for f in features for t in targets]
     long = df.select("id", F.explode(F.array(*pairs)).alias("p")).select("id", "p.*").where("x IS NOT NULL AND y IS NOT NULL")
     key = ["feature", "target"]
-
-    def mean_rank(c: str) -> Column:
-        ties = F.count("*").over(W.partitionBy(*key, c))
-        return F.rank().over(W.partitionBy(*key).orderBy(c)) + (ties - 1) / 2
-
-    tile = lambda c: F.ntile(bins).over(W.partitionBy(*key).orderBy(c, "id"))
-    long = long.withColumns({"rx": mean_rank("x"), "ry": mean_rank("y"), "bx": tile("x"), "by": tile("y")})
+    long = ranked_within(ranked_within(long, key, "x", "id", bins), key, "y", "id", bins)
     steady = (F.stddev_pop("x") < 1e-8) | (F.stddev_pop("y") < 1e-8)
-    linear = long.groupBy(*key).agg(F.when(steady, 0.0).otherwise(F.corr("x", "y")).alias("pearson"), F.when(steady, 0.0).otherwise(F.corr("rx", "ry")).alias("spearman"))
-    cells = long.groupBy(*key, "bx", "by").agg(F.count("*").alias("c"))
+    linear = long.groupBy(*key).agg(F.when(steady, 0.0).otherwise(F.corr("x", "y")).alias("pearson"), F.when(steady, 0.0).otherwise(F.corr("x_rank", "y_rank")).alias("spearman"))
+    cells = long.groupBy(*key, "x_tile", "y_tile").agg(F.count("*").alias("c"))
     total = lambda *by: F.sum("c").over(W.partitionBy(*key, *by))
-    cells = cells.withColumns({"n": total(), "cx": total("bx"), "cy": total("by")})
+    cells = cells.withColumns({"n": total(), "cx": total("x_tile"), "cy": total("y_tile")})
     mi = cells.groupBy(*key).agg(F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("n") / (F.col("cx") * F.col("cy")))).alias("mutual_information"))
     return linear.join(mi, key)
 
 
-def quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: shares that are missing, infinite, and above the 99th percentile of absolute values."""
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("p")).select("p.*")
-    infinite = F.abs("x") == F.lit(float("inf"))
-    marks = long.groupBy("column").agg(F.percentile(F.abs("x"), F.lit(0.99)).alias("q"))
-    both = long.join(F.broadcast(marks), "column")  # a row per column
+def strongest(found: DataFrame, n: int = 20) -> DataFrame:
+    """The pairs of ``associations`` with the largest absolute correlations."""
+    return found.orderBy(F.desc(F.abs("pearson")), "feature", "target").limit(n)
+
+
+def correlation_matrix(found: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """A row per feature, a column of Pearson correlations per target; 0 where there is none."""
+    return found.groupBy("feature").pivot("target", list(targets)).agg(F.first("pearson")).fillna(0.0)
+
+
+def quality(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """Per column: shares that are missing, infinite, and above the 99th percentile of absolute values (exact, or with an accuracy approximate)."""
+    marks = summaries(df, {c: F.abs(F.col(c).cast("double")) for c in columns}, (0.99,), accuracy)
+    one = lambda c: F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"), F.lit(marks[c].quantiles[0] if c in marks else None).cast("double").alias("q"))
+    long = df.select(F.explode(F.array(*map(one, columns))).alias("p")).select("p.*")
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    return both.groupBy("column").agg(share(F.col("x").isNull() | F.isnan("x")).alias("missing"), share(infinite).alias("infinite"), share(F.abs("x") > F.col("q")).alias("beyond"))
+    return long.groupBy("column").agg(share(F.col("x").isNull() | F.isnan("x")).alias("missing"), share(F.abs("x") == float("inf")).alias("infinite"), share(F.abs("x") > F.col("q")).alias("beyond"))
 
 
 def gram(df: DataFrame, features: Sequence[str], targets: Sequence[str], weight: str | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltrail.functions.columns import array_mean, array_std, bound, clip01
+from voltrail.functions.ranks import exact, sketched
 
 
 def search(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", cells: int | None = None) -> DataFrame:
@@ -163,16 +164,16 @@ def stage1_embedding(state: Column, history: Column, curve_stats: Column, stress
 
 def robust_scaled(df: DataFrame, bank: Column, column: str, width: int, accuracy: int | None = None, limit: float = 8.0) -> DataFrame:
     """df with the column's dimensions less their medians by their interquartile ranges, both of the bank's rows; where a range is nothing
-    the deviation stands in, then 1. Unknown values are 0; all are cut at the limit. With an accuracy the percentiles are
-    approximate, with an error of one by it, and need bounded memory however large the bank."""
-    at = lambda i: F.element_at(column, i + 1)
-    cut = (lambda c, q: F.percentile_approx(c, q, accuracy)) if accuracy else (lambda c, q: F.percentile(c, F.lit(q)))
-    parts = [F.struct(cut(at(i), 0.5).alias("m"), (cut(at(i), 0.75) - cut(at(i), 0.25)).alias("i"), F.stddev_pop(at(i)).alias("s")) for i in range(width)]
-    marks = df.where(bank).agg(F.array(*parts).alias("_marks"))  # one row
-    scale = lambda m: F.when(m["i"] > 1e-8, m["i"]).when(m["s"] > 1e-8, m["s"]).otherwise(1.0)
+    the deviation stands in, then 1. Unknown values are 0; all are cut at the limit. Percentiles are exact, by counting in bins,
+    or with an accuracy approximate, in one pass."""
+    long = df.where(bank).select(F.posexplode(column).alias("key", "x"))
+    found = sketched(long, "key", "x", (0.25, 0.5, 0.75), accuracy) if accuracy else exact(long, "key", "x", (0.25, 0.5, 0.75))
+    marks = [found.get(i) for i in range(width)]
+    middles = [m.quantiles[1] if m else 0.0 for m in marks]
+    scales = [1.0 if m is None else high - low if (high := m.quantiles[2]) - (low := m.quantiles[0]) > 1e-8 else m.std if m.std > 1e-8 else 1.0 for m in marks]
+    literal = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in zip(middles, scales)))
     inside = lambda z: F.when(z.isNull() | F.isnan(z), 0.0).otherwise(F.greatest(F.lit(-limit), F.least(F.lit(limit), z)))
-    out = F.zip_with(column, "_marks", lambda x, m: inside((x - m["m"]) / scale(m)))
-    return df.crossJoin(F.broadcast(marks)).withColumn(column, out).drop("_marks")
+    return df.withColumn(column, F.zip_with(column, literal, lambda x, m: inside((x - m["m"]) / m["s"])))
 
 
 # distances of pairs; q and r are arrays or columns of either side

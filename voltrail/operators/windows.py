@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltrail.functions.columns import array_count, array_mean, array_std, clip01, median, ranked, sigmoid
+from voltrail.functions.columns import array_count, array_mean, array_std, clip01, sigmoid
+from voltrail.functions.ranks import exact, numbered, sketched, summaries
 
 
 def sliding(df: DataFrame, columns: Sequence[str], lookback: int, horizon: int, stride: int, carry: Sequence[str] = (), order: str = "cycle_idx") -> DataFrame:
@@ -75,15 +76,14 @@ def availability(seq: str) -> Column:
     return array_count(F.col(seq)) / F.size(seq)
 
 
-def robust_z(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """df with x_z: by the median and the interquartile range of all rows; missing is 0."""
-    parts = []
+def robust_z(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """df with x_z: by the median and the interquartile range of all rows; missing is 0. Quantiles are exact, found by counting in
+    bins, or with an accuracy approximate, in one pass."""
+    marks = summaries(df, {c: F.col(c) for c in columns}, (0.25, 0.5, 0.75), accuracy)
     for c in columns:
-        parts += [median(c).alias(f"{c}_m"), (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias(f"{c}_i"), F.stddev_pop(c).alias(f"{c}_s")]
-    df = df.crossJoin(F.broadcast(df.agg(*parts)))  # one row
-    for c in columns:
-        scale = F.when(F.col(f"{c}_i") >= 1e-6, F.col(f"{c}_i")).when(F.col(f"{c}_s") > 1e-6, F.col(f"{c}_s")).otherwise(1.0)
-        df = df.withColumn(f"{c}_z", F.coalesce((F.col(c) - F.col(f"{c}_m")) / scale, F.lit(0.0))).drop(f"{c}_m", f"{c}_i", f"{c}_s")
+        low, middle, high = marks[c].quantiles if c in marks else (0.0, 0.0, 0.0)
+        spread = high - low if high - low >= 1e-6 else marks[c].std if c in marks and marks[c].std > 1e-6 else 1.0
+        df = df.withColumn(f"{c}_z", F.coalesce((F.col(c) - middle) / spread, F.lit(0.0)))
     return df
 
 
@@ -105,28 +105,28 @@ def semantic_labels(df: DataFrame) -> DataFrame:
     return df.withColumns({"semantic_label": label, "evidence": evidence})
 
 
-def normalization_stats(cases: DataFrame, blocks: Sequence[str], fit: Column) -> DataFrame:
-    """Per block of arrays: mean, population deviation (1 if none) and quantiles of its known elements over the fit rows."""
+def normalization_stats(cases: DataFrame, blocks: Sequence[str], fit: Column, accuracy: int | None = None) -> DataFrame:
+    """Per block of arrays: mean, population deviation (1 if none) and quantiles of its known elements over the fit rows, exact or with an accuracy approximate."""
     long = cases.where(fit).select(F.explode(F.array(*(F.struct(F.lit(b).alias("block"), F.col(b).alias("x")) for b in blocks))).alias("b")).select("b.block", F.explode("b.x").alias("x"))
-    long = long.where(F.col("x").isNotNull())
-    std = F.stddev_pop("x")
-    return long.groupBy("block").agg(
-        F.avg("x").alias("mean"), F.when(std <= 1e-8, 1.0).otherwise(std).alias("std"),
-        *(F.percentile("x", F.lit(q / 100)).alias(f"q{q:02d}") for q in (5, 50, 95)),
-    )
+    marks = sketched(long, "block", "x", (0.05, 0.5, 0.95), accuracy) if accuracy else exact(long, "block", "x", (0.05, 0.5, 0.95))
+    rows = [(b, m.mean, m.std if m.std > 1e-8 else 1.0, *m.quantiles) for b, m in marks.items()]  # a row per block
+    return cases.sparkSession.createDataFrame(rows, "block string, mean double, std double, q05 double, q50 double, q95 double")
 
 
-def factor_scores(df: DataFrame, train: Column) -> DataFrame:
+def factor_scores(df: DataFrame, train: Column, accuracy: int | None = None) -> DataFrame:
     """Scores in [0, 1] of heat, current, power and cycling, scaled by the training rows' 50th to 90th percentiles."""
-    marks = df.where(train).agg(*(F.percentile(c, F.lit(q)).alias(f"{c}_{int(q * 100)}") for c in ("current", "power") for q in (0.5, 0.9)))
-    df = df.crossJoin(F.broadcast(marks))  # one row
-    scaled = lambda c: clip01((F.col(c) - F.col(f"{c}_50")) / F.greatest(F.col(f"{c}_90") - F.col(f"{c}_50"), F.lit(1e-6)))
+    marks = summaries(df.where(train), {c: F.col(c) for c in ("current", "power")}, (0.5, 0.9), accuracy)
+
+    def scaled(c: str) -> Column:
+        low, high = marks[c].quantiles if c in marks else (None, None)
+        return clip01((F.col(c) - low) / max(high - low, 1e-6)) if c in marks else F.lit(None).cast("double")
+
     scores = {
         "temp_score": clip01((F.col("thermal") - 30) / 15), "current_score": scaled("current"), "power_score": scaled("power"),
         "cycle_score": clip01(F.greatest(F.col("aging"), (0.9 - F.col("anchor_soh")) / 0.15)),
     }
     df = df.withColumns(scores)
-    return df.withColumns({k.replace("score", "active"): F.col(k) >= 0.5 for k in scores}).drop("current_50", "current_90", "power_50", "power_90")
+    return df.withColumns({k.replace("score", "active"): F.col(k) >= 0.5 for k in scores})
 
 
 def encode_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -138,10 +138,10 @@ def encode_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def folds(df: DataFrame, k: int, prefix: int = 9) -> DataFrame:
-    """df with fold: the place of its cell among the sorted cells, modulo k. Cells are sorted bucket by bucket of their ids' first letters."""
-    cells = ranked(df.select("cell_uid").distinct(), F.substring("cell_uid", 1, prefix), ["cell_uid"])
-    return df.join(cells.select("cell_uid", (F.col("rank") % k).alias("fold")), "cell_uid")
+def folds(df: DataFrame, k: int) -> DataFrame:
+    """df with fold: the place of its cell among the sorted cells, modulo k. Cells are sorted by ranges of their ids."""
+    cells = numbered(df.select("cell_uid").distinct(), ["cell_uid"], "fold")
+    return df.join(cells.withColumn("fold", F.col("fold") % k), "cell_uid")
 
 
 def residual_stats(df: DataFrame, target: str, baseline: str) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voltrail.functions.columns import r6, ranked, sigmoid
+from voltrail.functions.columns import r6, sigmoid
+from voltrail.functions.ranks import numbered
 from voltrail.operators import retrieval as op
 from voltrail.plans.registry import query
 from voltrail.plans.retrieval_plans import PAIRS_SQL, RESULTS_SQL, chosen, coarse, components_sql, pairs_of, query_rows, results_of, with_components
 from voltrail.plans.window_plans import CASES_SQL, H, L, cases_of
-from voltrail.sources.files import stored
+from voltrail.functions.storage import stored
 
 
 @query(CASES_SQL + """, sel AS (SELECT cell_uid, window_start, split, chemistry_family, cycle_idx / n_cycles AS life, list_stddev_pop(soh_seq) + list_max(soh_seq) - list_min(soh_seq) + abs(soh_seq[16] - soh_seq[1]) AS score FROM cases),
@@ -121,7 +122,7 @@ def random_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     real = chosen(with_components(df, found)).select(F.lit("retrieved").alias("how"), "query", "distance", "alpha", "r_future", "q_future")
     digest = F.md5(F.concat(F.col("case_id").cast("string"), F.lit("|1")))
     refs = df.where("split != 'target_query'").select("case_id", digest.alias("digest"))
-    refs = ranked(refs, F.substring("digest", 1, 2), ["digest", "case_id"], "place").select(F.col("case_id").alias("ref"), "place")
+    refs = numbered(refs, ["digest", "case_id"]).select(F.col("case_id").alias("ref"), "place")
     n = refs.agg(F.count("*").alias("n"))  # one row
     asked = query_rows(df).select(F.col("case_id").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")).crossJoin(F.broadcast(n))
     pairs = asked.withColumn("place", (F.col("query") * 7919 + F.col("j")) % F.col("n")).join(refs, "place").select("query", "ref")

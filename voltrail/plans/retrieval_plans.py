@@ -11,7 +11,7 @@ from voltrail.operators import retrieval as op
 from voltrail.plans.cycle_plans import rounds
 from voltrail.plans.registry import query
 from voltrail.plans.window_plans import CASES_SQL, FLAT, H, L, cases_of, flat_of
-from voltrail.sources.files import stored
+from voltrail.functions.storage import stored
 from voltrail.sources.roles import table
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 from collections.abc import Sequence
-from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltrail.functions.columns import known, text_or_unknown
+from voltrail.functions.ranks import numbered
 
 CHEMISTRY_OF_FOLDER = {"Dataset_1_NCA_battery": "NCA", "Dataset_2_NCM_battery": "NCM", "Dataset_3_NCM_NCA_battery": "NCM_NCA"}
 
@@ -111,18 +111,32 @@ def mit_cycles(summary: DataFrame, stats: DataFrame) -> DataFrame:
 READERS = {"hust": read_hust, "tju": read_tju, "xjtu": read_xjtu, "mit": read_mit}
 
 
-def wide_series(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """A wide table as (series, position, value): the named columns, or the numeric ones but the first column."""
+def wide_series(df: DataFrame, columns: Sequence[str] | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """A wide table as (series, position, value): the named columns, or the numeric ones but the first column. Positions are 0, 1, ... over
+    all partitions, by the columns of the order and then as the files have the rows: by path, block and row."""
     numeric = [c for c, t in df.dtypes[1:] if t in ("double", "float", "int", "bigint")]
     chosen = list(columns or numeric)
-    return df.select(F.monotonically_increasing_id().alias("position"), *(F.col(c).cast("double") for c in chosen)).unpivot(["position"], chosen, "series", "value")
+    try:
+        places = df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")})
+    except AnalysisException:  # not as read from files
+        places = df.withColumns({"_file": F.lit(""), "_block": F.lit(0)})
+    places = numbered(places.withColumn("_row", F.monotonically_increasing_id()), [*order, "_file", "_block", "_row"], "position")
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return places.select("position", *(quoted(c).cast("double").alias(c) for c in chosen)).unpivot(["position"], [quoted(c) for c in chosen], "series", "value")
 
 
 def union_cycles(parts: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
-    """All parts' cycles in one order of columns; what a part lacks is null."""
+    """All parts' cycles in one order of columns; what a part lacks is null, of the type that the others have. Numbers of several types
+    become double, other mixtures text; a column that no part has is a null double."""
+    kinds: dict[str, str] = {}
+    numbers = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    for p in parts:
+        for c, t in p.dtypes:
+            if (have := kinds.setdefault(c, t)) != t:
+                kinds[c] = "double" if {have, t} <= numbers else "string"
     out = None
     for p in parts:
-        one = p.select(*(F.col(c) if c in p.columns else F.lit(None).cast("double").alias(c) for c in columns))
+        one = p.select(*((F.col(f"`{c}`") if c in p.columns else F.lit(None)).cast(kinds.get(c, "double")).alias(c) for c in columns))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -148,16 +162,3 @@ def write_results(results: DataFrame, path: str, config: dict) -> str:
     target = f"{path}/config_hash={config_hash(config)}"
     results.write.mode("overwrite").parquet(target)
     return target
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that the cluster names in spark.checkpoint.dir, so that what reads it several times does not make it
-    several times, whatever executors are lost. Only where the setting is missing (tests, one machine) a temporary folder takes its place."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
