@@ -437,33 +437,3 @@ def plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(1 / (1 + exp(-greatest(-20, least(20, (0.9 - anchor_soh) / 0.05)))), 6) AS aged, round(1 / (1 + exp(-greatest(-20, least(20, ln(1 + abs(power)) - 1)))), 6) AS high_power FROM cases""")
 def concept_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases_of(spark, sf_dir).select("cell_uid", "window_start", *(r6(c, n) for n, c in ev.concept_scores().items()))
-
-
-def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per group of features: ridge fitted on training cases, errors of the last step on validation cases."""
-    flat = flat_of(spark, sf_dir).select("case_id", "split", *FLAT, "temp_mean", "temp_std", "slope", *Y).withColumn("one", F.lit(1.0))
-    groups = {"state": ["anchor_soh", "slope"], "operation": ["thermal", "current", "power"], "thermal": ["temp_mean", "temp_std", "thermal"], "all": [*FLAT, "temp_mean", "temp_std", "slope"]}
-    out = None
-    for name, names in groups.items():
-        w = ev.ridge(flat.where("split = 'source_train'"), ["one", *names], Y)
-        held = flat.where("split = 'source_val'").select(F.lit(name).alias("group"), F.col("y_last").alias("y"), ev.predicted(w, ["one", *names], 1).alias("p"))
-        out = held if out is None else out.unionByName(held)
-    return out
-
-
-@query()
-def ridge_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_errors(ablation(spark, sf_dir).groupBy("group").agg(*ev.errors()), "group")
-
-
-@query()
-def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = flat_of(spark, sf_dir).select("case_id", "split", *FLAT, *Y).withColumn("one", F.lit(1.0))
-    names = ["one", *FLAT]
-    w = ev.ridge(flat.where("split = 'source_train'"), names, Y)
-    held, out = flat.where("split = 'source_val'"), None
-    for f in ["-", *FLAT]:
-        dealt = held if f == "-" else ev.permuted(held, f, "case_id", 1)
-        one = dealt.select(F.lit(f).alias("feature"), F.col("y_last").alias("y"), ev.predicted(w, names, 1).alias("p"))
-        out = one if out is None else out.unionByName(one)
-    return rounded_errors(out.groupBy("feature").agg(*ev.errors()), "feature")
