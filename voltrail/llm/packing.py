@@ -29,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -39,7 +40,7 @@ from voltrail.llm.common import list_array, pieces, rows, shared_dir, stored, te
 from voltrail.llm.token_tables import BYTES, coded_writer
 
 #: Rows of a table that goes to every task; with more, the tables are joined by shuffling.
-SENT_ROWS = 2_000_000
+SENT_ROWS = 500_000
 
 
 #: Characters whose class differs between Unicode versions, in ranges that hold them: texts with these go to the library itself.
@@ -65,12 +66,19 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.encoder = vocabulary and Encoder(vocabulary, pattern)
         controls = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.control = re.compile("|".join(controls) or r"\Z.").search
         # characters that Unicode added of late belong to no class yet in one of the two libraries
-        self.control = re.compile("|".join([*controls, LATE])).search
+        self.late = re.compile(LATE).search
 
     def encode_flat(self, several: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids (int32) of all texts in a row, and how many each has."""
-        odd = [i for i, t in enumerate(several) if self.encoder is None or self.control(t)]
+        whole = "".join(several)
+        if self.encoder is None:
+            odd = list(range(len(several)))
+        elif self.control(whole) or np.frombuffer(whole.encode(), np.uint8).max(initial=0) >= 0xD5:  # as the first byte of U+0540 on
+            odd = [i for i, t in enumerate(several) if self.control(t) or not t.isascii() and self.late(t)]
+        else:
+            odd = []
         if not odd:
             return self.encoder.encode_flat(several)
         found = dict(zip(odd, (np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([several[i] for i in odd], add_special_tokens=False))))
@@ -103,8 +111,23 @@ def vocabulary_of(definition: str) -> Vocabulary | None:
 _encoders: dict[tuple, TextEncoder] = {}
 
 
+def squeezed(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """The ids of each piece, in two bytes each if they fit, compressed; a byte ahead tells how many."""
+    width = 2 if ids.max(initial=0) < 1 << 16 else 4
+    data, ends = memoryview(ids.astype(f"<u{width}").view(np.uint8)), np.cumsum(lengths) * width
+    press = zstandard.ZstdCompressor(level=1).compress
+    return [bytes([width]) + press(data[b - n : b]) for b, n in zip(ends.tolist(), (lengths * width).tolist())]
+
+
+def released(tokens: Iterable[bytes]) -> np.ndarray:
+    """The ids (int32) of pieces, in a row."""
+    out = zstandard.ZstdDecompressor().decompress
+    parts = [np.frombuffer(out(memoryview(t)[1:]), f"<u{t[0]}").astype(np.int32) for t in tokens]
+    return np.concatenate(parts) if parts else np.empty(0, np.int32)
+
+
 def cut(df: DataFrame, tokenizer: str, pattern: str, how: Packing) -> DataFrame:
-    """Stored pieces: doc_id, piece, start (its document's ids before it), length, tokens (packed ids), the task that made it
+    """Stored pieces: doc_id, piece, start (its document's ids before it), length, tokens (packed and compressed ids), the task that made it
     and how many pieces of this length came before it there. The first piece of a document that is cut may be shorter."""
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
@@ -120,7 +143,7 @@ def cut(df: DataFrame, tokenizer: str, pattern: str, how: Packing) -> DataFrame:
         part, seen = TaskContext.get().partitionId(), np.zeros(how.capacity + 1, np.int64)
         for batch in pieces(batches, mb=4):
             ids, sizes = _encoders[key].encode_flat(texts(batch))
-            flat = np.insert(ids, np.cumsum(sizes), how.end_id).astype("<u4")
+            flat = np.insert(ids, np.cumsum(sizes), how.end_id)
             sizes = sizes + 1
             many = -(-sizes // how.capacity)
             doc = np.repeat(np.arange(len(sizes)), many)
@@ -134,14 +157,13 @@ def cut(df: DataFrame, tokenizer: str, pattern: str, how: Packing) -> DataFrame:
             before = np.empty(len(length), np.int64)
             before[order] = np.arange(len(length)) - np.searchsorted(ordered, ordered) + seen[ordered]
             seen += np.bincount(length, minlength=how.capacity + 1)
-            offsets = np.append(0, np.cumsum(length * 4)).astype(np.int32)
-            tokens = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes())])
+            tokens = pa.array(squeezed(flat, length), pa.binary())
             columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), tokens, pa.array(np.full(len(doc), part, np.int32)), pa.array(before)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     made = one.mapInArrow(run, f"doc_id {kind}, piece int, start long, length int, tokens binary, part int, before long")
     path = shared_dir(df.sparkSession, "pieces")
-    made.write.option("compression", "zstd").parquet(path)
+    made.write.parquet(path)
     return df.sparkSession.read.schema(made.schema).parquet(path)
 
 
@@ -312,9 +334,7 @@ def assembled(pieces: DataFrame) -> DataFrame:
         before = np.cumsum(length) - length
         sizes = np.add.reduceat(length, begins)
         many = np.diff(np.append(begins, len(seq)))
-        data = batch.column("tokens")
-        offsets = np.frombuffer(data.buffers()[1], np.int32 if pa.types.is_binary(data.type) else np.int64)[data.offset : data.offset + len(data) + 1]
-        flat = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u4").astype(np.int32)
+        flat = released(batch.column("tokens").to_pylist())
         columns = {c: batch.column(c) for c in fields[:4]} | {"offset": pa.array(before - np.repeat(before[begins], many), pa.int64())}
         inner = pa.StructArray.from_arrays([columns[f] for f in fields], fields)
         held = pa.ListArray.from_arrays(pa.array(np.append(begins, len(seq)).astype(np.int32)), inner)
