@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from voltrail.catalog import QUERIES
-from voltrail.plans import retrieval_plans, window_plans
+from voltrail.plans import retrieval_plans
 from voltrail.sources.roles import cycles, raw_samples
 
 SF = "/root/testdata/sf0.001"
@@ -199,40 +199,3 @@ def test_mmr_select(spark):
             score = lambda r: -0.75 * r["distance"] - 0.25 * max((float(unit(r["r_vector"]) @ unit(c["r_vector"])) for c in chosen), default=0)
             chosen.append(max(free, key=lambda r: (round(score(r), 12), -r["distance"], -r["ref"])))
         assert got[q] == [c["ref"] for c in chosen]
-
-
-def flat_rows(spark):
-    return window_plans.flat_of(spark, SF).collect()
-
-
-def fitted(rows, names, targets=("y_first", "y_last", "y_mean", "y_change")):
-    number = lambda r, c: 1.0 if c == "one" else (r[c] if r[c] is not None and not math.isnan(r[c]) else 0.0)
-    x = np.array([[number(r, c) for c in names] for r in rows])
-    y = np.array([[number(r, c) for c in targets] for r in rows])
-    return np.linalg.solve(x.T @ x + np.eye(len(names)), x.T @ y)[:, 1], x, y[:, 1]
-
-
-def test_ridge_ablation(spark):
-    rows = flat_rows(spark)
-    groups = {"state": ["anchor_soh", "slope"], "operation": ["thermal", "current", "power"], "thermal": ["temp_mean", "temp_std", "thermal"], "all": ["anchor_soh", "thermal", "current", "power", "aging", "temp_mean", "temp_std", "slope"]}
-    got = result(spark, "ridge_ablation", "group")
-    assert {g for (g,) in got} == set(groups)
-    for g, names in groups.items():
-        w, _, _ = fitted([r for r in rows if r["split"] == "source_train"], ["one", *names])
-        _, x, y = fitted([r for r in rows if r["split"] == "source_val"], ["one", *names])
-        e = x @ w - y
-        assert same(got[g,]["mae"], np.abs(e).mean(), 1e-5) and same(got[g,]["rmse"], math.sqrt((e * e).mean()), 1e-5) and got[g,]["n"] == len(y)
-
-
-def test_permutation_importance(spark):
-    """The values dealt anew are the same values, and the error without dealing is that of the fit."""
-    rows = flat_rows(spark)
-    names = ["one", *window_plans.FLAT]
-    w, _, _ = fitted([r for r in rows if r["split"] == "source_train"], names)
-    _, x, y = fitted([r for r in rows if r["split"] == "source_val"], names)
-    got = result(spark, "permutation_importance", "feature")
-    assert {f for (f,) in got} == {"-", *window_plans.FLAT} and same(got["-",]["mae"], np.abs(x @ w - y).mean(), 1e-5)
-    for f in window_plans.FLAT:
-        c = names.index(f)
-        shift = np.abs(w[c]) * (x[:, c].max() - x[:, c].min())
-        assert got[f,]["n"] == len(y) and abs(got[f,]["mae"] - got["-",]["mae"]) <= shift + 1e-6

@@ -58,6 +58,6 @@ def test_same_as_sql(spark, duck, name):
 
 
 def test_the_others_have_plain_tests():
-    """Queries without SQL are compared row by row in test_plain."""
-    text = (Path(__file__).parent / "test_plain.py").read_text()
+    """Queries without SQL are compared row by row in test_plain and test_regress."""
+    text = "".join((Path(__file__).parent / f).read_text() for f in ("test_plain.py", "test_regress.py"))
     assert [n for n in sorted(set(QUERIES) - set(ORACLES)) if f'"{n}"' not in text] == []
