@@ -25,6 +25,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -60,16 +61,21 @@ class TextEncoder:
     """A byte-level definition of the tokenizers library, encoded segment by segment."""
 
     def __init__(self, definition: str, vocabulary: Vocabulary | None, pattern: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        self.tokenizer = Tokenizer.from_str(definition)
+        self.definition = definition
         self.encoder = vocabulary and Encoder(vocabulary, pattern)
-        controls = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        controls = [re.escape(t["content"]) for t in json.loads(definition)["added_tokens"]]
         self.control = re.compile("|".join(controls) or r"\Z.").search
         # characters that Unicode added of late belong to no class yet in one of the two libraries
         self.late = re.compile(LATE).search
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own, made only where a text asks for it."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        return Tokenizer.from_str(self.definition)
+
     def encode_flat(self, several: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids (int32) of all texts in a row, and how many each has."""
         whole = "".join(several)
@@ -111,23 +117,28 @@ def vocabulary_of(definition: str) -> Vocabulary | None:
 _encoders: dict[tuple, TextEncoder] = {}
 
 
-def squeezed(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """The ids of each piece, in two bytes each if they fit, compressed; a byte ahead tells how many."""
+def as_bytes(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """The ids of each piece, in two bytes each if they fit; a byte ahead tells how many."""
     width = 2 if ids.max(initial=0) < 1 << 16 else 4
     data, ends = memoryview(ids.astype(f"<u{width}").view(np.uint8)), np.cumsum(lengths) * width
-    press = zstandard.ZstdCompressor(level=1).compress
-    return [bytes([width]) + press(data[b - n : b]) for b, n in zip(ends.tolist(), (lengths * width).tolist())]
+    return [bytes([width]) + data[b - n : b] for b, n in zip(ends.tolist(), (lengths * width).tolist())]
+
+
+def squeezed(tokens: Iterable[bytes]) -> list[bytes]:
+    """The same, compressed, for the shuffle."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    return [t[:1] + press(memoryview(t)[1:]) for t in tokens]
 
 
 def released(tokens: Iterable[bytes]) -> np.ndarray:
-    """The ids (int32) of pieces, in a row."""
+    """The ids (int32) of compressed pieces, in a row."""
     out = zstandard.ZstdDecompressor().decompress
     parts = [np.frombuffer(out(memoryview(t)[1:]), f"<u{t[0]}").astype(np.int32) for t in tokens]
     return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
 
 def cut(df: DataFrame, tokenizer: str, pattern: str, how: Packing) -> DataFrame:
-    """Stored pieces: doc_id, piece, start (its document's ids before it), length, tokens (packed and compressed ids), the task that made it
+    """Stored pieces: doc_id, piece, start (its document's ids before it), length, tokens (packed ids), the task that made it
     and how many pieces of this length came before it there. The first piece of a document that is cut may be shorter."""
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
@@ -141,7 +152,7 @@ def cut(df: DataFrame, tokenizer: str, pattern: str, how: Packing) -> DataFrame:
         if key not in _encoders:
             _encoders[key] = TextEncoder(*shared.value, pattern)
         part, seen = TaskContext.get().partitionId(), np.zeros(how.capacity + 1, np.int64)
-        for batch in pieces(batches, mb=4):
+        for batch in pieces(batches, mb=2):
             ids, sizes = _encoders[key].encode_flat(texts(batch))
             flat = np.insert(ids, np.cumsum(sizes), how.end_id)
             sizes = sizes + 1
@@ -157,13 +168,13 @@ def cut(df: DataFrame, tokenizer: str, pattern: str, how: Packing) -> DataFrame:
             before = np.empty(len(length), np.int64)
             before[order] = np.arange(len(length)) - np.searchsorted(ordered, ordered) + seen[ordered]
             seen += np.bincount(length, minlength=how.capacity + 1)
-            tokens = pa.array(squeezed(flat, length), pa.binary())
+            tokens = pa.array(as_bytes(flat, length), pa.binary())
             columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), tokens, pa.array(np.full(len(doc), part, np.int32)), pa.array(before)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     made = one.mapInArrow(run, f"doc_id {kind}, piece int, start long, length int, tokens binary, part int, before long")
     path = shared_dir(df.sparkSession, "pieces")
-    made.write.parquet(path)
+    made.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary#tokens", "false").parquet(path)
     return df.sparkSession.read.schema(made.schema).parquet(path)
 
 
@@ -316,8 +327,10 @@ def placed(cuts: DataFrame, how: Packing) -> DataFrame:
     kind = cuts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.append_column("sequence_id", pa.array(shared.value.of(batch.column("rank").to_numpy()), pa.int64()))
+        for batch in rows(batches, 2000):
+            columns = {c: batch.column(c) for c in batch.schema.names} | {"tokens": pa.array(squeezed(batch.column("tokens").to_pylist()), pa.binary())}
+            columns["sequence_id"] = pa.array(shared.value.of(batch.column("rank").to_numpy()), pa.int64())
+            yield pa.RecordBatch.from_pydict(columns)
 
     return ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length int, tokens binary, rank long, sequence_id long")
 
