@@ -584,7 +584,7 @@ def test_pipeline_by_brute_force(spark, tmp_path):
 def test_extra_columns_and_long_texts(spark):
     """Columns with the operators' own names, and a text of over a million characters, through every text operator and stage."""
     long = " ".join(f"word{i % 5000}" for i in range(160_000)) + "."
-    odd = ["n", "n_words", "n_removed", "text_hash", "_id", "_hash", "_hit", "rest", "set", "node", "kept", "id", "tokens", "part", "row", "bucket", "spans"]
+    odd = ["n", "n_words", "n_removed", "text_hash", "_id", "_hash", "_hit", "rest", "set", "node", "kept", "id", "tokens", "part", "row", "bucket", "spans", "_0", "_1", "a.b", "wei`rd", "n_chars"]
     rows = [(1, long), (2, "a b c " * 30), (3, None), (2, "a b c " * 30), (None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     wide = df.withColumns({c: F.lit(9) for c in odd})
@@ -602,8 +602,16 @@ def test_extra_columns_and_long_texts(spark):
     assert kept.columns == wide.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, None} and {r["rest"] for r in kept.collect()} == {9}
     clean = templates.without_contaminated(wide, bench)
     assert clean.columns == wide.columns and clean.count() == 5
-    cut = substrings.remove_repeats(wide)
-    assert cut.columns == wide.columns and cut.count() == 5 and {r["n_words"] for r in cut.collect()} == {9}
+    with pytest.raises(ValueError, match="there already"):
+        substrings.remove_repeats(wide)
+    cut = substrings.remove_repeats(wide, counts=("words", "removed"))
+    assert cut.columns == [*wide.columns, "words", "removed"] and cut.count() == 5 and {r["n_words"] for r in cut.collect()} == {9}
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide.withColumn("n_chars", F.length("text").cast("long")), SF)
+        assert out.columns == wide.columns and {r["a.b"] for r in out.collect()} <= {9}, name
+    assert lm._splitter([b"a", b"b"]) is not lm._splitter([b"a", b"c"])
 
 
 def brute_templates(docs, items, window=8, least=5, share=0.3):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltrail.llm.common import SPACES, Cache, distinct, list_array, pieces, rows, spread, texts
+from voltrail.llm.common import SPACES, Cache, column, distinct, list_array, pieces, rows, spread, texts, together
 
 #: White space of Unicode (property White_Space), as the tokenizers' patterns understand it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -303,9 +303,7 @@ def encoding(df: DataFrame, path: str, pattern: str) -> Callable[[list[str]], li
 def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row (id, tokens array<int>, and the columns to carry) per row of df."""
     shared = _share(df, path)
-    kind = df.schema[id_col].dataType
-    rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
-    one = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
+    one = df.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"), together(list(carry)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(shared, pattern).encode_flat
@@ -313,8 +311,9 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
             ids, sizes = encode(texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column("id"), list_array(ids, sizes, pa.int32()), batch.column("rest")], ["id", "tokens", "rest"])
 
-    out = one.mapInArrow(run, f"id {kind.simpleString()}, tokens array<int>, rest {one.schema['rest'].dataType.simpleString()}")
-    return out.select(F.col("id").alias(id_col), "tokens", *(F.col(f"rest.`{c}`").alias(c) for c in carry))
+    schema = one.select("id").schema.add("tokens", "array<int>").add(one.schema["rest"])
+    out = one.mapInArrow(run, schema)
+    return out.select(F.col("id").alias(id_col), "tokens", *(F.col("rest").getField(c).alias(c) for c in carry))
 
 
 def decode_documents(df: DataFrame, path: str, tokens_col: str = "tokens", into: str = "decoded") -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterable, Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from voltrail.functions.storage import shared_dir, stored
+
+__all__ = ["shared_dir", "stored"]
 
 #: A word is a run without ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -20,25 +23,14 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's address under the folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a
-    temporary folder of this machine takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+def column(name: str) -> Column:
+    """The column of this very name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def together(columns: list[str]) -> Column:
+    """The columns as one struct, rest; null if there are none."""
+    return (F.struct(*map(column, columns)) if columns else F.lit(None).cast("string")).alias("rest")
 
 
 def open_fs(uri: str):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltrail.llm.common import WORD, pieces, texts
+from voltrail.llm.common import WORD, column, pieces, texts, together
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SHOUTS = re.compile(r"[!?]{2,}")
@@ -108,9 +108,7 @@ def repeat_words(words: list[str]) -> int:
 
 def clean_lines(df: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of df: id, the counts, base_failed, kept, text without the failing lines, and the columns to carry."""
-    kind = df.schema[id_col].dataType.simpleString()
-    rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
-    one = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
+    one = df.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"), together(list(carry)))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "text"]
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()]
 
@@ -119,9 +117,12 @@ def clean_lines(df: DataFrame, rules: LineRules = LineRules(), id_col: str = "do
             found = zip(*map(rules.judge, texts(batch)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rest"), *(pa.array(x, k) for x, k in zip(found, kinds))], ["id", "rest", *names])
 
-    schema = f"id {kind}, rest {one.schema['rest'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, text string"
+    schema = one.select("id", "rest").schema
+    for name in names[:5]:
+        schema = schema.add(name, "long")
+    schema = schema.add("base_failed", "boolean").add("kept", "boolean").add("text", "string")
     out = one.mapInArrow(run, schema)
-    return out.select(F.col("id").alias(id_col), *names, *(F.col(f"rest.`{c}`").alias(c) for c in carry))
+    return out.select(F.col("id").alias(id_col), *names, *(F.col("rest").getField(c).alias(c) for c in carry))
 
 
 def judged(df: DataFrame) -> DataFrame:

@@ -333,10 +333,12 @@ _splitters: dict[int, Subwords] = {}
 
 
 def _splitter(tokens: list[bytes]) -> Subwords:
-    if len(tokens) not in _splitters:
+    """The splitter of this vocabulary, by its content; a worker keeps one."""
+    key = hash(tuple(tokens))
+    if key not in _splitters:
         _splitters.clear()
-        _splitters[len(tokens)] = Subwords(tokens)
-    return _splitters[len(tokens)]
+        _splitters[key] = Subwords(tokens)
+    return _splitters[key]
 
 
 def gather(docs: DataFrame, shared, shape: Shape) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltrail.llm.common import pieces, rows, stored, texts
+from voltrail.llm.common import pieces, rows, stored, texts, together
 from voltrail.llm.substrings import Words, mixed
 
 
@@ -542,11 +542,11 @@ def kept_documents(df: DataFrame, join: Join) -> DataFrame:
     """The rows of df whose id is their component's. Columns other than doc_id and text may have any names."""
     kept = near_duplicates(df, join).where("kept").select("doc_id", "text_hash").distinct()
     rest = [c for c in df.columns if c not in ("doc_id", "text")]
-    one = df.select("doc_id", "text", F.struct(*rest).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
+    one = df.select("doc_id", "text", together(rest))
     one = one.withColumn("text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     same = one["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (one["text_hash"] == kept["text_hash"])
     left = one.join(kept, same, "left_semi")
-    return left.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in df.columns))
+    return left.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in df.columns))
 
 
 def near_duplicates(df: DataFrame, join: Join = Join()) -> DataFrame:

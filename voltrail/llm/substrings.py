@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltrail.llm.common import SPACES, pieces, texts
+from voltrail.llm.common import SPACES, column, pieces, texts, together
 
 #: An odd factor and its inverse modulo 2**64: hashes of words from sums over a text.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -236,17 +236,20 @@ def covered_words(df: DataFrame, window: int, run: int, buckets: int) -> DataFra
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, text_hash long, start int, n int")
 
 
-def remove_repeats(df: DataFrame, window: int = 13, run: int = 2, joined: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's columns with the kept text in place of the text, and n_words and n_removed.
+def remove_repeats(df: DataFrame, window: int = 13, run: int = 2, joined: bool = False, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, ...] = ("n_words", "n_removed")) -> DataFrame:
+    """df's columns with the kept text in place of the text, and the numbers of words and of removed words under the names in counts (or
+    without them, if there are none); a name that df has already is an error. Other columns may have any names.
 
     The kept text has its white space as it was, without that after removed words; if joined, one space between words.
     A run of ``run`` words is hashed for minimisers; the buckets are a few per shuffle partition.
     """
+    if set(counts) & set(df.columns):
+        raise ValueError(f"columns {counts} are there already")
     spark = df.sparkSession
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = [c for c in df.columns if c not in (id_col, text_col)]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), (F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))).alias("text_hash"), F.struct(*rest).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    keyed = df.select(column(id_col).cast("long").alias("doc_id"), text.alias("text"), (F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))).alias("text_hash"), together(rest))
     spans = covered_words(keyed, window, run, buckets)
     # the spans of a document are no more than its windows
     grouped = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash")
@@ -262,8 +265,8 @@ def remove_repeats(df: DataFrame, window: int = 13, run: int = 2, joined: bool =
 
     out = both.select("doc_id", "rest", "text", "spans").mapInArrow(cut, schema)
     columns = {id_col: F.col("doc_id").cast(df.schema[id_col].dataType), text_col: F.col("text")}
-    named = [columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in df.columns]
-    return out.select(*named, *(c for c in ("n_words", "n_removed") if c not in df.columns))
+    named = [(columns[c] if c in columns else F.col("rest").getField(c)).alias(c) for c in df.columns]
+    return out.select(*named, *(F.col(own).alias(c) for own, c in zip(("n_words", "n_removed"), counts)))
 
 
 def _cut(text: str, spans: list[dict] | None, joined: bool) -> tuple[str, int, int]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltrail.llm.common import pieces, stored, texts
+from voltrail.llm.common import pieces, stored, texts, together
 from voltrail.llm.substrings import Words, mixed
 
 UNITS = frozenset(
@@ -230,6 +230,6 @@ def without_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of df whose document is not contaminated. Columns other than doc_id and text may have any names."""
     hits = stored(contaminated(df, benchmark).select("doc_id").distinct(), "contaminated")
     rest = [c for c in df.columns if c != "doc_id"]
-    one = df.select("doc_id", F.struct(*rest).alias("rest"))
+    one = df.select("doc_id", together(rest))
     left = one.join(hits, one["doc_id"].cast("long").eqNullSafe(hits["doc_id"]), "left_anti")
-    return left.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"rest.`{c}`").alias(c) for c in df.columns))
+    return left.select(*(F.col("doc_id") if c == "doc_id" else F.col("rest").getField(c).alias(c) for c in df.columns))
