@@ -204,11 +204,11 @@ def test_near_duplicates_in_a_crowd(spark):
 
 def test_near_duplicates_by_blocks(spark):
     """A large leaf is dealt to cells of bounded size that bring all pairs across components together."""
-    join = near_dups.Join(trees=3, depth=1, node=16, block=8)
-    members = spark.createDataFrame([(1, i) for i in range(100)] + [(2, i) for i in range(5)], "leaf long, node long")
+    join = near_dups.Join(trees=3, depth=1, node=16, block=8, cell_bytes=2000)
+    members = spark.createDataFrame([(70, i, 1) for i in range(100)] + [(2, 2, 1)], "main long, node long, weight int")
     labels = spark.createDataFrame([(i, min(i, 70)) for i in range(60, 100)], "node long, part long")  # 70 to 99 are one component
     held, met = {}, set()
-    for r in near_dups.cells(members, labels, join).collect():
+    for r in near_dups.cells(members, labels, 8).collect():
         held.setdefault(r["cell"], []).append(r)
     for rows in held.values():
         assert len(rows) <= 6 * join.block

@@ -7,10 +7,10 @@ last level is compared in chunks and with leaders.
 
 Of each class the likeliest partner and the partner with the smallest number are confirmed on full sets. Then the groups of
 classes that sketches connect in a node, and the large nodes of the last level, are looked through for classes that
-confirmed links have not brought into one component. Groups of all trees that share classes are one; in it, these classes meet
-the others in blocks of bounded size, with their full sets, and the pairs whose sketches allow a link are compared, the likeliest
-first. What confirmed links connect is not looked at again, so a group of copies costs links in proportion to its size, not to
-its square.
+confirmed links have not brought into one component. Groups of all trees whose largest component is the same are one; in it, the classes
+outside that component meet the others in blocks of bounded size: first by sketches alone, then those that sketches may link
+with their full sets, the likeliest pairs first. What confirmed links connect is not looked at again, so a group of copies costs links in
+proportion to its size, not to its square.
 
 Recall: a pair at the threshold t takes the same branch with probability t. If m is its probability of missing each other
 below a node, that of a node with b branches above is (1 - t + t * m) ** b, and at the roots the exponent is the number
@@ -56,7 +56,8 @@ class Join:
     miss: float = 1e-4  # of the pairs at the threshold, if every node is split down to the last level
     node: int = 64  # classes that are compared exhaustively
     hashes: int = 256  # two bits of each make the sketch; trees choose from them
-    block: int = 1024  # classes of a leaf that meet as many others in one piece of work
+    block: int = 4096  # classes of a group whose sketches meet as many others in one piece of work
+    cell_bytes: int = 16_000_000  # of sets that meet as many others
 
     def __post_init__(self):
         if not self.trees:
@@ -177,9 +178,8 @@ def candidates(sketches: np.ndarray, sizes: np.ndarray, others: np.ndarray, othe
 #: A class in a node: the node's key, the place of its next branches in the tree, the class, its size, sketch and tokens.
 TREE_ROW = "leaf long, at int, node long, n long, sketch binary, path binary"
 NAMES = [x.split()[0] for x in TREE_ROW.split(", ")]
-#: What a node has found: kind 0, a class of a group (leaf) with its likeliest and its smallest partner, and one class for the
-#: whole group; kind 1, a row one level deeper.
-STEP = f"kind int, best long, est double, least long, first long, {TREE_ROW}"
+#: What a node has found: kind 0, a class of a group (leaf) with its likeliest and its smallest partner; kind 1, a row one level deeper.
+STEP = f"kind int, best long, est double, least long, {TREE_ROW}"
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -245,18 +245,18 @@ def _deeper(r: _Rows, join: Join) -> pa.RecordBatch:
     d = r[which]
     none = pa.nulls(len(d), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.ones(len(d), np.int32)), none, pa.nulls(len(d), pa.float64()), none, none, pa.array(key.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(d.node), pa.array(d.n), _binary(d.sketch), _binary(d.path)],
-        ["kind", "best", "est", "least", "first", *NAMES],
+        [pa.array(np.ones(len(d), np.int32)), none, pa.nulls(len(d), pa.float64()), none, pa.array(key.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(d.node), pa.array(d.n), _binary(d.sketch), _binary(d.path)],
+        ["kind", "best", "est", "least", *NAMES],
     )
 
 
-def _found(group: np.ndarray, first: np.ndarray, node: np.ndarray, best: np.ndarray, est: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+def _found(group: np.ndarray, node: np.ndarray, best: np.ndarray, est: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
     """Classes of groups with their partners; an estimate of -1 stands for none."""
     none, lost = est < 0, len(node)
     empty = [pa.nulls(lost, k) for k in (pa.int32(), pa.int64(), pa.binary(), pa.binary())]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.zeros(lost, np.int32)), pa.array(best, mask=none), pa.array(est, mask=none), pa.array(least, mask=none), pa.array(first), pa.array(group), empty[0], pa.array(node), empty[1], empty[2], empty[3]],
-        ["kind", "best", "est", "least", "first", *NAMES],
+        [pa.array(np.zeros(lost, np.int32)), pa.array(best, mask=none), pa.array(est, mask=none), pa.array(least, mask=none), pa.array(group), empty[0], pa.array(node), empty[1], empty[2], empty[3]],
+        ["kind", "best", "est", "least", *NAMES],
     )
 
 
@@ -286,7 +286,7 @@ def _compared(r: _Rows, begins: np.ndarray, sizes: np.ndarray, join: Join) -> It
             group = mixed(r.leaf[at].view(np.uint64) + (label.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             best = est.argmax(axis=2)
             least = np.where(near, node[:, None, :], _NONE).min(axis=2)
-            yield _found(group[has], np.take_along_axis(node, label, 1)[has], node[has], np.take_along_axis(node, best, 1)[has], est.max(axis=2)[has], least[has])
+            yield _found(group[has], node[has], np.take_along_axis(node, best, 1)[has], est.max(axis=2)[has], least[has])
 
 
 def _led(r: _Rows, leaders: _Rows | None, join: Join) -> tuple[pa.RecordBatch, _Rows]:
@@ -296,7 +296,7 @@ def _led(r: _Rows, leaders: _Rows | None, join: Join) -> tuple[pa.RecordBatch, _
     est = candidates(r.sketch, r.n, others.sketch, others.n, join)
     est[r.node[:, None] == others.node] = -1
     best, least = est.argmax(axis=1), np.where(est > 0, others.node, _NONE).min(axis=1)
-    found = _found(mixed(r.leaf.view(np.uint64)).view(np.int64), np.full(len(r), others.node[0]), r.node, others.node[best], est.max(axis=1), least)
+    found = _found(mixed(r.leaf.view(np.uint64)).view(np.int64), r.node, others.node[best], est.max(axis=1), least)
     if leaders is None:
         return found, r
     far = est[:, : len(leaders)].max(axis=1) < (1 + join.cut) / 2
@@ -339,54 +339,78 @@ def node_step(table: DataFrame, join: Join, last: bool) -> DataFrame:
     return table.repartition("leaf").sortWithinPartitions("leaf", "node").mapInArrow(run, STEP)
 
 
-def cells(members: DataFrame, labels: DataFrame, join: Join) -> DataFrame:
-    """The leaves' classes dealt to cells, in which each class of a component other than the leaf's largest meets each class.
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
+
+
+def unsettled(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """main and node: the classes of groups (leaf, node) that hold classes of several components. Groups are one if confirmed links have
+    made their largest component (main) the same, and not if they merely share classes, so groups don't chain."""
+    table = _placed(found.select("leaf", "node"), labels)
+    leaves = table.groupBy("leaf", "part").agg(F.count("*").alias("k")).groupBy("leaf").agg(F.count("*").alias("parts"), F.max(F.struct("k", "part"))["part"].alias("main"))
+    return table.join(leaves.where("parts > 1"), "leaf").select("main", "node").distinct()
+
+
+def cells(members: DataFrame, labels: DataFrame, room: int) -> DataFrame:
+    """The groups' classes (main, node, weight) dealt to cells, in which each class of a component other than the main one meets each class.
 
-    A leaf has a cell per block of the former and block of all, so a class is in as many cells as needed, and none is large.
+    A group has a cell per block of the former and block of all, so a class is in as many cells as needed, and a block's weight is about
+    the room at most.
     """
-    table = _placed(members, labels)
-    leaves = table.groupBy("leaf", "part").agg(F.count("*").alias("k")).groupBy("leaf").agg(F.sum("k").alias("k"), F.max(F.struct("k", "part")).alias("main"))
-    blocks = lambda k: F.ceil(k / F.lit(join.block))
-    leaves = leaves.where("k > main.k").select("leaf", F.col("main.part").alias("main"), blocks(F.col("k") - F.col("main.k")).alias("downs"), blocks(F.col("k")).alias("acrosses"))
-    own = F.col("part") != F.col("main")
+    table = _placed(members, labels).withColumn("own", F.col("part") != F.col("main"))
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / F.lit(room)))
+    weight = F.sum(F.when(F.col("own"), F.col("weight")))
+    groups = table.groupBy("main").agg(blocks(weight).alias("downs"), blocks(F.sum("weight")).alias("acrosses"), weight.alias("some")).where("some IS NOT NULL").drop("some")
     down, aside = F.pmod(F.xxhash64("node", F.lit(1)), "downs"), F.pmod(F.xxhash64("node", F.lit(2)), "acrosses")
     cell = lambda i, j, own, other: F.struct(i.alias("i"), j.alias("j"), own.alias("own"), other.alias("other"))
+    own = F.col("own")
     as_other = F.transform(F.sequence(F.lit(0).cast("long"), F.col("downs") - 1), lambda i: cell(i, aside, own & (i == down), F.lit(True)))
     rest = F.filter(F.sequence(F.lit(0).cast("long"), F.col("acrosses") - 1), lambda j: own & (j != aside))
     as_own = F.transform(rest, lambda j: cell(down, j, F.lit(True), F.lit(False)))
-    dealt = table.join(leaves, "leaf").select("leaf", "node", "part", F.explode(F.concat(as_other, as_own)).alias("c"))
-    return dealt.select(F.xxhash64("leaf", "c.i", "c.j").alias("cell"), "node", "part", "c.own", "c.other")
+    dealt = table.join(groups, "main").select("main", "node", "part", F.explode(F.concat(as_other, as_own)).alias("c"))
+    return dealt.select(F.xxhash64("main", "c.i", "c.j").alias("cell"), "main", "node", "part", "c.own", "c.other")
 
 
-def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
+def _near(group: dict[str, list], join: Join, chunk: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a cell: the pairs of classes of different components whose sketches allow a link, as places, with their estimates."""
+    sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group["cell"]), -1)
+    sizes, parts = (np.array(group[c], np.int64) for c in ("n", "part"))
+    own, other = (np.flatnonzero(group[c]) for c in ("own", "other"))
+    found = [(own[:0], own[:0], np.empty(0))]
+    for start in range(0, len(own), chunk):
+        x = own[start : start + chunk]
+        for at in range(0, len(other), 4096):
+            y = other[at : at + 4096]
+            est = candidates(sketches[x], sizes[x], sketches[y], sizes[y], join)
+            i, j = np.nonzero((est > 0) & (parts[x][:, None] != parts[y][None, :]))
+            found.append((x[i], y[j], est[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
 
+def likely(members: DataFrame, labels: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """Of the groups' classes those that sketches may link with one of another component; no set is read for it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "cell"):
+            x, y, _ = _near(group, join)
+            some = np.unique(np.concatenate([x, y]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(group[c], np.int64)[some]) for c in ("main", "node")], ["main", "node"])
 
-def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of members (leaf, node and others) of leaves with classes of several components."""
-    table = _placed(members, labels)
-    several = table.groupBy("leaf").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("leaf")
-    return table.select(*members.columns).join(several, "leaf", "left_semi")
+    dealt = cells(members.withColumn("weight", F.lit(1)), labels, join.block).join(classes.select("node", "n", "sketch"), "node")
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "main long, node long").distinct()
 
 
-def across(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, join: Join, chunk: int = 256) -> DataFrame:
-    """Links (a, b) that connect classes of different components of a leaf, as far as sketches allow them.
+def across(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """Links (a, b) that connect classes of different components of a group, as far as sketches allow them.
 
-    A cell takes its candidates, the likeliest first, and compares the full sets of those that its links so far leave apart; so a
-    component costs it no more links than there are others, and no pair leaves the cell that isn't a link.
+    Only classes with such a pair meet with their sets, in cells bounded by the sets' bytes. A cell takes its pairs, the likeliest first, and
+    compares the full sets of those that its links so far leave apart; so a component costs it no more links than there are others, and
+    no pair leaves the cell that isn't a link.
     """
 
     def links(group: dict[str, list]) -> Iterator[tuple[int, int]]:
-        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group["cell"]), -1)
-        nodes, sizes, parts = (np.array(group[c], np.int64) for c in ("node", "n", "part"))
-        own, other = (np.flatnonzero(group[c]) for c in ("own", "other"))
-        found = [(own[:0], own[:0], np.empty(0))]
-        for start in range(0, len(own), chunk):
-            x = own[start : start + chunk]
-            est = candidates(sketches[x], sizes[x], sketches[other], sizes[other], join)
-            i, j = np.nonzero((est > 0) & (parts[x][:, None] != parts[other][None, :]))
-            found.append((x[i], other[j], est[i, j]))
-        x, y, est = (np.concatenate(c) for c in zip(*found))
+        nodes, parts = (np.array(group[c], np.int64) for c in ("node", "part"))
+        x, y, est = _near(group, join)
         order = np.lexsort((nodes[y], nodes[x], -est))
         root = {p: p for p in set(parts.tolist())}
 
@@ -406,9 +430,10 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: Data
             made = list(links(group))
             yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    known = sets.join(classes.select("node", "n", "sketch"), "node")
-    dealt = cells(members, labels, join).join(known, "node")
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    some = stored(likely(members, labels, classes, join), "likely").join(classes.select("node", "n", "sketch"), "node")
+    dealt = cells(some.select("main", "node", (F.col("n") * 6 + 100).alias("weight")), labels, join.cell_bytes)
+    known = sets.join(classes.select("node", "n", "sketch"), "node").join(some.select("node").distinct(), "node", "left_semi")
+    return dealt.join(known, "node").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
 def linked(x: bytes, y: bytes, join: Join) -> bool:
@@ -562,7 +587,7 @@ def near_duplicates(df: DataFrame, join: Join = Join()) -> DataFrame:
     steps = []
     for depth in range(1, join.depth + 1):
         step = stored(node_step(level, join, depth == join.depth), "nodes")
-        steps.append(step.where("kind = 0").select("leaf", "node", "best", "est", "least", "first"))
+        steps.append(step.where("kind = 0").select("leaf", "node", "best", "est", "least"))
         level = step.where("kind = 1").select(*NAMES)
         if depth < join.depth and level.isEmpty():
             break
@@ -577,11 +602,8 @@ def near_duplicates(df: DataFrame, join: Join = Join()) -> DataFrame:
     tried = stored(other.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "tried")
     links = stored(confirm(tried, sets, join), "links")
     labels = components(links, links.count())
-    # what these pairs have not shown: links across components in groups and large nodes. A class is in groups of several trees;
-    # groups that share classes are looked through as one, so that a pair comes up once
-    apart = unsettled(found.select("leaf", "node", "first"), labels).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    apart = stored(apart, "apart")
-    members = components(apart, apart.count()).select(F.col("part").alias("leaf"), "node")
+    # what these pairs have not shown: links across components in groups and large nodes
+    members = stored(unsettled(found, labels), "members")
     new = stored(across(members, labels, classes, sets, join), "links")
     if not new.isEmpty():
         links = links.unionByName(new)
