@@ -169,13 +169,15 @@ def test_packing_nothing(spark):
 
 def test_encoder_equals_the_library(library):
     definition = open(JSON, encoding="utf-8").read()
-    encoder = packing.TextEncoder(definition, packing.vocabulary_of(definition), public_tokenizers.PATTERN)
+    encoder = packing.TextEncoder(definition, public_tokenizers.PATTERN)
+    assert encoder.by_segment
     r = random.Random(9)
     letters = "abcXYZ  \n\t.,'s<|endoftext|>é漢字　\xa0\x85٣１Ⅷ²½ǅʰ́🙂0123456789_-#'ll࢏՘"
     odd = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["", "<|endoftext|>"]
     ids, sizes = encoder.encode_flat(odd)
     assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in library.encode_batch(odd, add_special_tokens=False)]
-    assert packing.TextEncoder(definition, None, "").encode_flat(["a b", ""])[0].tolist() == library.encode("a b").ids
+    whole = packing.TextEncoder(definition.replace('"use_regex":true', '"use_regex":false').replace('"use_regex": true', '"use_regex": false'), public_tokenizers.PATTERN)
+    assert not whole.by_segment and whole.encode_flat(["ab", "", "a b"])[1].tolist()[1] == 0
 
 
 # ranked search

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from voltrail.llm.common import SPACES, Cache, column, distinct, list_array, pieces, rows, spread, texts, together
 
@@ -179,14 +180,13 @@ LETTERS, MARKS = (np.array([bool(re.match(f"[{c}]", chr(i))) for i in range(256)
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
-class Encoder:
+class Segmented:
     """Encodes texts segment by segment: white space, and words with the space before them. Each distinct segment of a batch
-    is looked up once; those that are new are split into pieces, and new pieces go through the prefix table."""
+    is looked up once; ``_learn`` gives the packed ids of those that are new."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
+    def __init__(self, pattern: str):
         import regex
 
-        self.vocabulary = vocabulary
         self.split = regex.compile(pattern).findall
         segments = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
         # in a pattern that the probes agree with, no match crosses the borders of segments
@@ -194,30 +194,10 @@ class Encoder:
         # nor does one cross the border of an ASCII letter and a sign after it
         self.by_letters = self.by_segment and all(self.split(t) == [p for s in re.split(_BORDER, t) for p in self.split(s)] for t in PROBE)
         self.segments = segments if self.by_segment else self.split
-        self.packed = [np.int32(i).tobytes() for i in range(len(vocabulary.tokens))]
-        self.cache, self.pieces = Cache(SEGMENTS_MB), Cache(PIECES_MB)
-        self.strings = pa.array(vocabulary.tokens, pa.binary())
-        self.decimals = pa.array([f"{i},".encode() for i in range(len(vocabulary.tokens))], pa.binary())
-
-    def _learn_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The pieces' ids. They are taken in order, so that one table keeps the common prefixes."""
-        rank, packed = self.vocabulary.rank.get, self.packed
-        table, found = PrefixTable(self.vocabulary), {}
-        for piece in sorted(pieces):
-            data = piece.encode()
-            token = rank(data)
-            if token is not None:
-                found[piece] = packed[token]
-            else:
-                table.become(data)
-                found[piece] = b"".join([packed[t] for t in table.tokens()])
-        return [found[p] for p in pieces]
+        self.cache = Cache(SEGMENTS_MB)
 
     def _learn(self, segments: list[bytes]) -> list[bytes]:
-        split = [self.split(s.decode()) for s in segments]
-        pieces = list(set(chain.from_iterable(split)))
-        found = dict(zip(pieces, self.pieces.look_up(pieces, self._learn_pieces)))
-        return [found[ps[0]] if len(ps) == 1 else b"".join([found[p] for p in ps]) for ps in split]
+        raise NotImplementedError
 
     def _cut(self, several: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The texts as bytes, where their segments begin, and how many each text has."""
@@ -258,6 +238,38 @@ class Encoder:
         ends = np.cumsum(sizes)
         return [ids[b - n : b] for b, n in zip(ends, sizes)]
 
+
+class Encoder(Segmented):
+    """New segments are split into pieces, and new pieces go through the prefix table."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        super().__init__(pattern)
+        self.vocabulary = vocabulary
+        self.packed = [np.int32(i).tobytes() for i in range(len(vocabulary.tokens))]
+        self.pieces = Cache(PIECES_MB)
+        self.strings = pa.array(vocabulary.tokens, pa.binary())
+        self.decimals = pa.array([f"{i},".encode() for i in range(len(vocabulary.tokens))], pa.binary())
+
+    def _learn_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The pieces' ids. They are taken in order, so that one table keeps the common prefixes."""
+        rank, packed = self.vocabulary.rank.get, self.packed
+        table, found = PrefixTable(self.vocabulary), {}
+        for piece in sorted(pieces):
+            data = piece.encode()
+            token = rank(data)
+            if token is not None:
+                found[piece] = packed[token]
+            else:
+                table.become(data)
+                found[piece] = b"".join([packed[t] for t in table.tokens()])
+        return [found[p] for p in pieces]
+
+    def _learn(self, segments: list[bytes]) -> list[bytes]:
+        split = [self.split(s.decode()) for s in segments]
+        pieces = list(set(chain.from_iterable(split)))
+        found = dict(zip(pieces, self.pieces.look_up(pieces, self._learn_pieces)))
+        return [found[ps[0]] if len(ps) == 1 else b"".join([found[p] for p in ps]) for ps in split]
+
     def joined(self, strings: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> list[memoryview]:
         """Of each text, the joined strings of its ids."""
         taken = strings.take(pa.array(ids))
@@ -311,7 +323,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
             ids, sizes = encode(texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column("id"), list_array(ids, sizes, pa.int32()), batch.column("rest")], ["id", "tokens", "rest"])
 
-    schema = one.select("id").schema.add("tokens", "array<int>").add(one.schema["rest"])
+    schema = one.select("id").schema.add("tokens", ArrayType(IntegerType())).add(one.schema["rest"])
     out = one.mapInArrow(run, schema)
     return out.select(F.col("id").alias(id_col), "tokens", *(F.col("rest").getField(c).alias(c) for c in carry))
 

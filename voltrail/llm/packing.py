@@ -22,6 +22,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -30,13 +31,14 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltrail.llm.bpe import Encoder, Vocabulary
+from voltrail.llm.bpe import Segmented
 from voltrail.llm.common import list_array, pieces, rows, shared_dir, stored, texts
 from voltrail.llm.token_tables import BYTES, coded_writer
 
@@ -44,10 +46,6 @@ from voltrail.llm.token_tables import BYTES, coded_writer
 SENT_ROWS = 500_000
 
 
-#: Characters whose class differs between Unicode versions, in ranges that hold them: texts with these go to the library itself.
-LATE = "[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7f1\uab6c\uab6d\U00010780-\U00011fff\U00012400-\U000187ff\U00018c00-\U0001d6a6\U0001df00-\U0001e7ff\U0002b700-\U0003fffd]"
-
-
 @dataclass(frozen=True)
 class Packing:
     capacity: int = 2048
@@ -57,61 +55,64 @@ class Packing:
     columns: int = 3000  # configurations tried at most
 
 
-class TextEncoder:
-    """A byte-level definition of the tokenizers library, encoded segment by segment."""
+class TextEncoder(Segmented):
+    """A byte-level definition of the tokenizers library. Where no match crosses the borders of segments, each new segment is
+    encoded once, by the ranks of its merges if these follow the order of the ids; texts that hold a control string, and all texts
+    under another kind of definition, go to the library whole."""
 
-    def __init__(self, definition: str, vocabulary: Vocabulary | None, pattern: str):
+    def __init__(self, definition: str, pattern: str):
+        super().__init__(pattern)
         self.definition = definition
-        self.encoder = vocabulary and Encoder(vocabulary, pattern)
-        controls = [re.escape(t["content"]) for t in json.loads(definition)["added_tokens"]]
-        self.control = re.compile("|".join(controls) or r"\Z.").search
-        # characters that Unicode added of late belong to no class yet in one of the two libraries
-        self.late = re.compile(LATE).search
+        d = json.loads(definition)
+        before, ranks = d["pre_tokenizer"] or {}, ranks_of(d)
+        self.by_segment &= ranks is not None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not d["normalizer"]
+        if self.by_segment:
+            self.coded = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.control = re.compile("|".join(re.escape(t["content"]) for t in d["added_tokens"]) or r"\Z.").search
 
     @cached_property
-    def tokenizer(self):
-        """The library's own, made only where a text asks for it."""
+    def library(self):
+        """The library's own encoder, made only where a text asks for it."""
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         return Tokenizer.from_str(self.definition)
 
+    def _encoded(self, several: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(several, add_special_tokens=False)]
+
+    def _learn(self, segments: list[bytes]) -> list[bytes]:
+        coded = self.coded
+        return [array("i", coded(s.decode())).tobytes() for s in segments]
+
     def encode_flat(self, several: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids (int32) of all texts in a row, and how many each has."""
-        whole = "".join(several)
-        if self.encoder is None:
+        if not self.by_segment:
             odd = list(range(len(several)))
-        elif self.control(whole) or np.frombuffer(whole.encode(), np.uint8).max(initial=0) >= 0xD5:  # as the first byte of U+0540 on
-            odd = [i for i, t in enumerate(several) if self.control(t) or not t.isascii() and self.late(t)]
         else:
-            odd = []
+            odd = [i for i, t in enumerate(several) if self.control(t)] if self.control("".join(several)) else []
         if not odd:
-            return self.encoder.encode_flat(several)
-        found = dict(zip(odd, (np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([several[i] for i in odd], add_special_tokens=False))))
+            return super().encode_flat(several)
+        found = dict(zip(odd, self._encoded([several[i] for i in odd])))
         rest = [i for i in range(len(several)) if i not in found]
         if rest:
-            ids, sizes = self.encoder.encode_flat([several[i] for i in rest])
+            ids, sizes = super().encode_flat([several[i] for i in rest])
             found.update(zip(rest, np.split(ids, np.cumsum(sizes)[:-1])))
         each = [found[i] for i in range(len(several))]
         return np.concatenate(each).astype(np.int32), np.array([len(e) for e in each], np.int64)
 
 
-def vocabulary_of(definition: str) -> Vocabulary | None:
-    """The tokens by rank, if the definition is byte-level, merges pairs in the order of their ids and changes nothing else."""
-    d = json.loads(definition)
-    model, before = d["model"], d["pre_tokenizer"] or {}
-    if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or d["normalizer"]:
+def ranks_of(d: dict) -> dict[bytes, int] | None:
+    """The tokens' ranks, if the definition merges byte pairs in the order of their ids."""
+    model = d["model"]
+    if model["type"] != "BPE" or model.get("ignore_merges"):
         return None
     byte = {chr(c): b for b, c in BYTES.items()} | {chr(b): b for b in range(256) if b not in BYTES}
     ids = model["vocab"]
-    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    made = [ids["".join(m)] for m in merges]
-    if made != sorted(made) or model.get("ignore_merges") or len(ids) != len(merges) + 256:
+    made = [ids["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if made != sorted(made) or len(ids) != len(made) + 256 or not all(c in byte for t in ids for c in t):
         return None
-    tokens = [b""] * (1 + max(ids.values()))
-    for t, i in ids.items():
-        tokens[i] = bytes(byte[c] for c in t)
-    return Vocabulary(tokens)
+    return {bytes(byte[c] for c in t): i for t, i in ids.items()}
 
 
 _encoders: dict[tuple, TextEncoder] = {}
@@ -142,17 +143,17 @@ def cut(df: DataFrame, tokenizer: str, pattern: str, how: Packing) -> DataFrame:
     and how many pieces of this length came before it there. The first piece of a document that is cut may be shorter."""
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
-    shared = df.sparkSession.sparkContext.broadcast((definition, vocabulary_of(definition)))  # a vocabulary, not data
+    shared = df.sparkSession.sparkContext.broadcast(definition)  # a vocabulary, not data
     one = df.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = one.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "tokens", "part", "before"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (hash(shared.value[0]), pattern)
+        key = (hash(shared.value), pattern)
         if key not in _encoders:
-            _encoders[key] = TextEncoder(*shared.value, pattern)
+            _encoders[key] = TextEncoder(shared.value, pattern)
         part, seen = TaskContext.get().partitionId(), np.zeros(how.capacity + 1, np.int64)
-        for batch in pieces(batches, mb=2):
+        for batch in pieces(batches, mb=4):
             ids, sizes = _encoders[key].encode_flat(texts(batch))
             flat = np.insert(ids, np.cumsum(sizes), how.end_id)
             sizes = sizes + 1
