@@ -100,6 +100,40 @@ def test_search_against_brute_force(spark, metric):
     assert retrieval.search(df.limit(0), df, 3).count() == 0 and retrieval.search(df, df.limit(0), 3).count() == 0
 
 
+def test_search_far_vectors(spark):
+    """Distances of vectors far from 0 and from each other are those of their differences, and ranks follow them."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(60, 3)) * 1e-3 + shift for shift in (1e6, -1e6, 0.0)])
+    v[:3] = [[1e6, 1.0, 0.0], [1e6, 1.001, 0.0], [1e6, 1.003, 0.0]]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>").repartition(4)
+    d = ((v[:, None] - v[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    for cells in (1, 6):
+        got = retrieval.search(df, df, 5, "l2", cells).orderBy("query", "rank").collect()
+        for i in range(len(v)):
+            own = [r for r in got if r["query"] == i]
+            order = sorted(range(len(v)), key=lambda j: (d[i, j], j))[:5]
+            assert [r["ref"] for r in own] == order and [r["score"] for r in own] == pytest.approx([d[i, j] for j in order], rel=1e-9)
+
+
+def test_search_leaves_out_what_is_no_vector(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 0.0]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    for metric in ("cosine", "l2"):
+        got = retrieval.search(df, df, 9, metric).collect()
+        assert {(r["query"], r["ref"]) for r in got} == {(a, b) for a in (1, 2, 7) for b in (1, 2, 7) if a != b}
+
+
+def test_search_cells_are_bounded(spark, monkeypatch):
+    """With little room for the queries of a cell the grid grows, and finds the same."""
+    v = np.random.default_rng(2).normal(size=(500, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    want = retrieval.search(df, df, 7, "l2", 1).orderBy("query", "rank").collect()
+    monkeypatch.setattr(retrieval, "CELL_MB", 0.001)
+    got = retrieval.search(df, df, 7, "l2", 1)
+    assert got.orderBy("query", "rank").collect() == want
+
+
 def test_caps_weights_and_mmr(spark):
     rows = [(1, i, float(i), "c" if i < 4 else f"d{i}", "x", [1.0, float(i)]) for i in range(7)]
     df = spark.createDataFrame(rows, "query long, ref long, distance double, cell string, domain string, vector array<double>")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.plans import catalog_plans, comparison_plans, curve_plans, cycle_plans, feature_plans, retrieval_plans, window_plans  # noqa: F401
+from voltrail.plans import catalog_plans, comparison_plans, curve_plans, cycle_plans, feature_plans, retrieval_plans, summary_plans, window_plans  # noqa: F401
 from voltrail.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -46,6 +46,47 @@ def retrieval_summary(results: DataFrame, distances: Sequence[str]) -> DataFrame
     return results.groupBy("query").agg(*parts, F.avg(F.col("same_chemistry").cast("double")).alias("chemistry_match"), F.count("*").alias("n"))
 
 
+def summary_by_group(results: DataFrame, sure: DataFrame, distances: Sequence[str], groups: Sequence[str]) -> DataFrame:
+    """``retrieval_summary`` with the match of domains and the confidence of each query, averaged by each of the groups (columns q_… of the results; domain
+    is the dataset) in one pass of grouping sets."""
+    named = {"split": "q_split", "chemistry": "q_chemistry", "domain": "q_dataset"}
+    parts = [f(c).alias(f"{c}_{n}") for c in distances for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    rates = [F.avg(F.col(c).cast("double")).alias(n) for c, n in (("same_chemistry", "chemistry_match"), ("same_domain", "domain_match"))]
+    each = results.groupBy("query").agg(*(F.first(named[g]).alias(g) for g in groups), *parts, *rates).join(sure.select("query", "confidence"), "query")
+    numbers = [c for c in each.columns if c not in ("query", *groups)]
+    return each.groupingSets([[F.col(g)] for g in groups], *groups).agg(F.count("*").alias("queries"), *(F.avg(c).alias(c) for c in numbers))
+
+
+def weakest(groups: DataFrame, by: Sequence[str], measure: str, n: int) -> DataFrame:
+    """by, value, the measure and place: of each grouping the n values with the largest measure."""
+    out = None
+    for g in by:
+        top = groups.where(F.col(g).isNotNull()).orderBy(F.desc(measure), g).limit(n)  # as few rows as groups
+        one = top.select(F.lit(g).alias("by"), F.col(g).alias("value"), measure, F.row_number().over(W.orderBy(F.desc(measure), g)).cast("long").alias("place"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def missing_matrix(df: DataFrame, group: str, array: str, names: Sequence[str]) -> DataFrame:
+    """Per group: the share of missing values of each element of the array."""
+    return df.groupBy(group).agg(*(F.round(F.avg(F.get(array, F.lit(i)).isNull().cast("double")), 6).alias(n) for i, n in enumerate(names)))
+
+
+def policy_texts(df: DataFrame, full: Column) -> DataFrame:
+    """df (currents, temperatures and voltages of a window) with the current that was active and texts for reports."""
+
+    def text(c: str, digits: int, unit: str) -> Column:
+        return F.when(F.col(c).isNull(), "unknown").otherwise(F.format_string(f"%.{digits}f {unit}", F.round(c, digits)))
+
+    both = F.concat(text("voltage_min", 3, "V"), F.lit(" to "), text("voltage_max", 3, "V"))
+    return df.withColumns({
+        "active_current": F.coalesce("current_abs_max", "current_abs_mean"),
+        "current_text": F.concat(F.lit("max "), text("current_abs_max", 3, "A"), F.lit(", mean "), text("current_abs_mean", 3, "A"), F.lit(", std "), text("current_abs_std", 3, "A")),
+        "temperature_text": F.concat(F.lit("mean "), text("temperature_mean", 2, "degC"), F.lit(", max "), text("temperature_max", 2, "degC"), F.lit(", std "), text("temperature_std", 2, "degC")),
+        "voltage_text": F.when(F.col("voltage_min").isNull(), "unknown").otherwise(both), "full_text": full,
+    })
+
+
 def lifecycle(cases: DataFrame, predictions: DataFrame, seq: str = "soh_seq", future: str = "soh_future") -> DataFrame:
     """Per cell and cycle: the truth (mean over all windows that hold it), and mean, deviation and votes of the predictions."""
     long = cases.select("cell_uid", "window_start", F.posexplode(F.concat(seq, future)).alias("i", "x")).where(F.col("x").isNotNull())
@@ -71,9 +112,18 @@ def associations(df: DataFrame, features: Sequence[str], targets: Sequence[str],
     return linear.join(mi, key)
 
 
+def correlations(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """Pearson's correlation per feature and target (0 for constants) of the rows that know both: one aggregation, combined before its shuffle."""
+    number = lambda c: F.col(c).cast("double")
+    each = lambda names, key, value: F.explode(F.array(*(F.struct(F.lit(n).alias(key), number(n).alias(value)) for n in names)))
+    long = df.select(each(features, "feature", "x").alias("f"), *targets).select("f.*", each(targets, "target", "y").alias("t")).select("feature", "x", "t.*")
+    steady = (F.stddev_pop("x") < 1e-8) | (F.stddev_pop("y") < 1e-8)
+    return long.where("x IS NOT NULL AND y IS NOT NULL").groupBy("feature", "target").agg(F.when(steady, 0.0).otherwise(F.corr("x", "y")).alias("pearson"))
+
+
 def strongest(found: DataFrame, n: int = 20) -> DataFrame:
     """The pairs of ``associations`` with the largest absolute correlations."""
-    return found.orderBy(F.desc(F.abs("pearson")), "feature", "target").limit(n)
+    return found.orderBy(F.desc(F.round(F.abs("pearson"), 9)), "feature", "target").limit(n)
 
 
 def correlation_matrix(found: DataFrame, targets: Sequence[str]) -> DataFrame:

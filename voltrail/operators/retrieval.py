@@ -11,24 +11,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltrail.functions.columns import array_mean, array_std, bound, clip01
+from voltrail.functions.columns import array_count, array_mean, array_std, bound, clip01
 from voltrail.functions.ranks import exact, sketched
 
 
+#: MB that the queries of a cell and what is kept for them may take.
+CELL_MB = 96
+
+
 def search(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", cells: int | None = None) -> DataFrame:
     """query, ref, score and rank of the k best references of each query.
 
-    Both sides: id (long), vector, and optionally group, until, kind (long). References of a query's own id or group, those
-    that end after the query (until) and those of another kind are left out before the choice. Blocks of queries and blocks of
-    references meet in a grid of about so many cells (unless given, as many as shuffle partitions); each cell keeps its k best, of equals
-    the smaller ids, and the best of a query's cells follow from these.
+    Both sides: id (long, unique), vector, and optionally group, until, kind (long). References of a query's own id or group, those
+    that end after the query (until) and those of another kind are left out before the choice; so are rows of either side whose vector is
+    missing or has an element that is missing or not finite. Blocks of queries and blocks of references meet in a grid of about
+    so many cells (unless given, as many as shuffle partitions, and more if a cell's queries would take more than CELL_MB); each cell
+    keeps its k best, of equals the smaller ids, and the best of a query's cells follow from these. Distances (l2: squared) are
+    those of the elements' differences, however far the vectors lie from 0.
     """
     extra = [c for c in ("group", "until", "kind") if c in queries.columns]
+    whole = lambda df: df.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.forall(F.col("vector").cast("array<double>"), lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
+    queries, refs = whole(queries), whole(refs)
     cells = cells or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    down = max(1, round(sqrt(cells)))
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    fit = max(64, int(CELL_MB * 1e6 / (16 * k + 8 * (size["width"] or 1))))
+    down = max(1, round(sqrt(cells)), ceil(size["n"] / fit))
     aside = max(1, ceil(cells / down))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    everywhere = lambda n: F.explode(F.array(*(F.lit(x).cast("long") for x in range(n))))
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     side = lambda df, number: df.select(F.lit(number).alias("side"), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *(F.col(c).cast("long").alias(c) for c in extra))
     left = side(queries, 0).withColumns({"i": own(down), "j": everywhere(aside)})
     right = side(refs, 1).withColumns({"i": everywhere(down), "j": own(aside)})
@@ -39,40 +49,65 @@ def search(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine",
     return ranked.where(F.col("rank") <= k)
 
 
-def _nearest(k: int, metric: str, extra: list[str], tile: int = 512):
-    def prepared(v: np.ndarray) -> np.ndarray:
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if metric == "cosine" else v
+class _Kept:
+    """For each query of a cell its k best references so far. References come by ascending id, so of equal scores those that came first stay."""
 
-    def distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-        if metric == "cosine":
-            return -(q @ r.T)
-        return np.maximum((q * q).sum(axis=1)[:, None] + (r * r).sum(axis=1) - 2 * (q @ r.T), 0)
-
-    def bad(q: dict, r: dict) -> np.ndarray:
-        out = q["id"][:, None] == r["id"]
-        if "group" in q:
-            out |= q["group"][:, None] == r["group"]
-        if "until" in q:
-            out |= q["until"][:, None] < r["until"]
-        if "kind" in q:
-            out |= q["kind"][:, None] != r["kind"]
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, given: dict[str, np.ndarray], k: int, metric: str):
+        self.ids, self.given, self.k, self.metric = ids, given, k, metric
+        self.vectors, self.norms = vectors, (vectors * vectors).sum(axis=1)
+        self.score, self.ref = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, np.int64)
+
+    def _barred(self, q: slice, r: dict[str, np.ndarray]) -> np.ndarray:
+        out = self.ids[q, None] == r["id"]
+        if "group" in r:
+            out |= self.given["group"][q, None] == r["group"]
+        if "until" in r:
+            out |= self.given["until"][q, None] < r["until"]
+        if "kind" in r:
+            out |= self.given["kind"][q, None] != r["kind"]
         return out
 
-    def merged(*parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The k best of each row, of (row, score, ref)."""
-        row, score, ref = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((ref, score, row))
-        row, score, ref = row[order], score[order], ref[order]
-        begin = np.searchsorted(row, row)
-        keep = np.arange(len(row)) - begin < k
-        return row[keep], score[keep], ref[keep]
+    def meet(self, q: slice, r: dict[str, np.ndarray], vectors: np.ndarray) -> None:
+        products = self.vectors[q] @ vectors.T
+        if self.metric == "cosine":
+            d = -products
+        else:  # those that rounding may have put too far are computed anew
+            norms = (vectors * vectors).sum(axis=1)
+            d = self.norms[q, None] + norms - 2 * products
+        d[self._barred(q, r)] = np.inf
+        if self.metric != "cosine":
+            slack = 8 * np.finfo(float).eps * vectors.shape[1] * (self.norms[q] + norms.max())[:, None]
+            near = np.minimum(np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k] if d.shape[1] > self.k else np.inf, self.score[q].max(axis=1, keepdims=True))
+            row, column = np.nonzero((d <= near + 2 * slack) & np.isfinite(d))
+            exact = np.full(d.shape, np.inf)
+            for start in range(0, len(row), 65_536):
+                i, j = row[start : start + 65_536], column[start : start + 65_536]
+                exact[i, j] = ((self.vectors[q][i] - vectors[j]) ** 2).sum(axis=1)
+            d = exact
+        both = np.concatenate([self.score[q], d], axis=1)
+        last = np.partition(both, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+        less, equal = both < last, both == last
+        keep = less | (equal & (np.cumsum(equal, axis=1) <= self.k - less.sum(axis=1, keepdims=True)))  # k of each row, in order
+        refs = np.concatenate([self.ref[q], np.broadcast_to(r["id"], d.shape)], axis=1)
+        self.score[q], self.ref[q] = both[keep].reshape(-1, self.k), refs[keep].reshape(-1, self.k)
+
+    def rows(self, q: slice) -> pa.RecordBatch:
+        row, column = np.nonzero(np.isfinite(self.score[q]))
+        score = self.score[q][row, column]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q][row]), pa.array(self.ref[q][row, column]), pa.array(-score if self.metric == "cosine" else score)], ["query", "ref", "score"])
+
+
+def _nearest(k: int, metric: str, extra: list[str], tile: int = 512):
+    def matrix(column: pa.Array) -> np.ndarray:
+        v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if metric == "cosine" else v
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, asked, best = None, [], None
+        now, asked, kept = None, [], None
 
-        def closed() -> pa.RecordBatch:
-            row, score, ref = best
-            return pa.RecordBatch.from_arrays([pa.array(asked["id"][row]), pa.array(ref), pa.array(-score if metric == "cosine" else score)], ["query", "ref", "score"])
+        def closed() -> Iterator[pa.RecordBatch]:
+            for start in range(0, len(kept.ids) if kept else 0, tile):
+                yield kept.rows(slice(start, start + tile))
 
         for batch in batches:
             place = batch.column("i").to_numpy() << 32 | batch.column("j").to_numpy() << 1 | batch.column("side").to_numpy()
@@ -82,27 +117,21 @@ def _nearest(k: int, metric: str, extra: list[str], tile: int = 512):
                     continue
                 some = batch.slice(a, b - a)
                 given = {c: some.column(c).to_numpy() for c in ("id", *extra)}
-                vectors = prepared(some.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1))
+                vectors = matrix(some.column("vector"))
                 cell, is_ref = int(place[a]) >> 1, bool(place[a] & 1)
                 if cell != now:
-                    if best is not None:
-                        yield closed()
-                    now, asked, best = cell, None, None
+                    yield from closed()
+                    now, asked, kept = cell, [], None
                 if not is_ref:  # queries come before references
-                    one = given | {"vectors": vectors}
-                    asked = one if asked is None else {c: np.concatenate([asked[c], one[c]]) for c in one}
-                elif asked is not None:
-                    for start in range(0, len(asked["id"]), tile):
-                        q = {c: x[start : start + tile] for c, x in asked.items()}
-                        for at in range(0, b - a, 4 * tile):
-                            r = {c: x[at : at + 4 * tile] for c, x in given.items()}
-                            d = np.where(bad(q, r), np.inf, distances(q["vectors"], vectors[at : at + 4 * tile]))
-                            last = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
-                            row, column = np.nonzero((d <= last) & np.isfinite(d))
-                            part = (row + start, d[row, column], r["id"][column])
-                            best = merged(part) if best is None else merged(best, part)
-        if best is not None:
-            yield closed()
+                    asked.append((given, vectors))
+                    continue
+                if kept is None and asked:
+                    one = {c: np.concatenate([g[c] for g, _ in asked]) for c in given}
+                    kept, asked = _Kept(one["id"], np.concatenate([v for _, v in asked]), one, k, metric), []
+                for start in range(0, len(kept.ids) if kept else 0, tile):
+                    for at in range(0, b - a, 4 * tile):
+                        kept.meet(slice(start, start + tile), {c: x[at : at + 4 * tile] for c, x in given.items()}, vectors[at : at + 4 * tile])
+        yield from closed()
 
     return run
 
@@ -179,6 +208,19 @@ def robust_scaled(df: DataFrame, bank: Column, column: str, width: int, accuracy
 # distances of pairs; q and r are arrays or columns of either side
 
 
+def history_slope(seq: str) -> Column:
+    """Least-squares slope over all known points of a sequence; 0 with fewer than three."""
+    points = F.filter(F.transform(seq, lambda x, i: F.struct(i.cast("double").alias("t"), x.alias("x"))), lambda p: p["x"].isNotNull())
+    total = lambda ps, f: F.aggregate(ps, F.lit(0.0), lambda a, p: a + f(p))
+
+    def slope(ps: Column) -> Column:
+        n = F.size(ps)
+        middle = F.struct((total(ps, lambda p: p["t"]) / n).alias("t"), (total(ps, lambda p: p["x"]) / n).alias("x"))
+        return bound(middle, lambda m: total(ps, lambda p: (p["t"] - m["t"]) * (p["x"] - m["x"])) / total(ps, lambda p: (p["t"] - m["t"]) * (p["t"] - m["t"])))
+
+    return F.when(array_count(F.col(seq)) >= 3, bound(points, slope)).otherwise(0.0)
+
+
 def recency(n: int, power: float = 1.5) -> list[float]:
     w = [((i + 1) / n) ** power for i in range(n)]
     return [x / (sum(w) / n) for x in w]

@@ -160,6 +160,30 @@ def extend_horizon(cases: DataFrame, length: int, column: str = "soh") -> DataFr
     return found.where(F.size("f") == length).select("cell_uid", "window_start", F.col("f.x").alias(f"{column}_future"))
 
 
+def extended(cases: DataFrame, length: int, column: str, operations: Sequence[str]) -> DataFrame:
+    """Cases whose next cycles are all known for so long: future, an array of structs of the column, the operations and a mask.
+
+    Each cell's cycles are rebuilt as means over all windows that hold them; operations of a cycle count where one of them is known, the
+    others as 0, and where no window knows any, the last ones of the case's history stand in, with mask 0. Runs of consecutive
+    cycles are islands of equal cycle less place, so a case needs its first cycle's run alone, and is matched with its cycles only if they suffice.
+    """
+    whole = [column, *operations]
+    zipped = F.arrays_zip(*(F.concat(f"{c}_seq", f"{c}_future").alias(c) for c in whole))
+    long = cases.select("cell_uid", "window_start", F.posexplode(zipped).alias("i", "z")).select("cell_uid", (F.col("window_start") + F.col("i")).alias("cycle"), "z.*")
+    some = F.coalesce(*(F.col(c) for c in operations)).isNotNull()
+    means = [F.avg(column).alias(column), *(F.avg(F.when(some, F.coalesce(c, F.lit(0.0)))).alias(c) for c in operations)]
+    cycles = long.groupBy("cell_uid", "cycle").agg(*means)
+    known = cycles.where(F.col(column).isNotNull())
+    island = F.col("cycle") - F.row_number().over(W.partitionBy("cell_uid").orderBy("cycle"))
+    runs = known.withColumn("_run", island).withColumn("_end", F.max("cycle").over(W.partitionBy("cell_uid", "_run")))
+    enough = runs.where(F.col("_end") - F.col("cycle") + 1 >= length).select("cell_uid", F.col("cycle").alias("window_end"))
+    last = [F.coalesce(F.element_at(f"{c}_seq", -1), F.lit(0.0)).alias(f"_{c}") for c in operations]
+    fit = cases.join(enough, ["cell_uid", "window_end"]).select("cell_uid", "window_start", "anchor_soh", *last, F.explode(F.sequence(F.col("window_end"), F.col("window_end") + length - 1)).alias("cycle"))
+    found = F.col(operations[0]).isNotNull()
+    step = F.struct("cycle", column, *(F.when(found, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in operations), found.cast("int").alias("mask"))
+    return fit.join(cycles, ["cell_uid", "cycle"]).groupBy("cell_uid", "window_start", "anchor_soh").agg(F.sort_array(F.collect_list(step)).alias("future"))
+
+
 def embedding(columns: Sequence[str], eps: float = 1e-8) -> Column:
     """Mean, deviation, minimum, maximum, last and slope of each window, by statistic; what is not finite is 0."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))

@@ -159,13 +159,13 @@ def coarse_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coarse(spark, sf_dir)[1].select("query", "ref", "rank", r6("score", "score"))
 
 
-@query(RETRIEVE_SQL + """, pool AS (SELECT * FROM (SELECT q.case_id AS query, r.case_id AS ref, row_number() OVER (PARTITION BY q.case_id ORDER BY list_dot_product(q.v, r.v) / (q.norm * r.norm) DESC, r.case_id) AS rank FROM e q JOIN e r ON q.split = 'source_val' AND q.user_id % 20 = 1 AND r.case_id != q.case_id) WHERE rank <= 40),
+@query(RETRIEVE_SQL + """, pool AS (SELECT * FROM (SELECT q.case_id AS query, r.case_id AS ref, row_number() OVER (PARTITION BY q.case_id ORDER BY list_dot_product(q.v, r.v) / (q.norm * r.norm) DESC, r.case_id) AS rank FROM e q JOIN e r ON q.split = 'source_val' AND r.case_id != q.case_id) WHERE rank <= 40),
 p AS (SELECT q.case_id AS query, q.cell_uid = r.cell_uid AS own, r.window_end <= q.window_end AS past, q.chemistry_family = r.chemistry_family AS alike, r.split != 'target_query' AS served, r.split = 'source_train' AS train FROM pool JOIN e q ON q.case_id = query JOIN e r ON r.case_id = ref)
 SELECT query, count(*) FILTER (served AND NOT own) AS exclude, count(*) FILTER (served AND (NOT own OR past)) AS past_only, count(*) FILTER (served) AS allow, count(*) FILTER (served AND NOT own AND alike) AS same_chemistry, count(*) FILTER (served AND NOT own AND train) AS train_only FROM p GROUP BY query""")
 def hard_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of forty near cases each policy lets serve, own cells and target queries among them."""
     df = embedded(spark, sf_dir)
-    pairs = both_sides(df, nearest(df, df.where("split = 'source_val' AND user_id % 20 = 1"), df, 40).select("query", "ref"), SLIM)
+    pairs = both_sides(df, nearest(df, df.where("split = 'source_val'"), df, 40).select("query", "ref"), SLIM)
     rules = {"exclude": op.hard_filter(), "past_only": op.hard_filter("past_only"), "allow": op.hard_filter("allow"), "same_chemistry": op.hard_filter(same_chemistry=True), "train_only": op.hard_filter(splits=["source_train"])}
     return pairs.groupBy("query").agg(*(F.count(F.when(keep, 1)).alias(n) for n, keep in rules.items()))
 
