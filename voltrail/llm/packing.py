@@ -5,7 +5,8 @@ a bounded table, whatever the corpus. Large pieces, by falling length, fall into
 long as its group's longest. For these few sizes, configurations of a sequence are optimised by column generation: a linear
 program over the configurations found so far, whose prices a knapsack uses to find a better one. Whole numbers of
 configurations are taken; their places are given to the actual pieces of the groups by rank, and the room that these leave follows
-from the table. What is left over and the small pieces then go, by falling length, where they fit best.
+from the table. Sequences that would keep much room are dissolved again. What is left over and the small pieces then go, by falling length,
+where they fit best.
 
 The plan says, for ranges of ranks, which sequences they go to. A piece's rank is its place by falling length, then by the task that made
 it and its place there, so every task finds its pieces' sequences alone. Pieces meet by sequence, of at most the capacity each, and
@@ -50,7 +51,7 @@ SENT_ROWS = 500_000
 class Packing:
     capacity: int = 2048
     end_id: int = 0
-    groups: int = 128  # of large pieces
+    groups: int = 64  # of large pieces
     small: int = 8  # a piece of at most a so-manieth of the capacity is small
     columns: int = 3000  # configurations tried at most
 
@@ -250,13 +251,13 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, how: Packing) -> list[
 
 
 def planned(counts: np.ndarray, how: Packing) -> Plan:
-    """The plan for so many pieces of each length (0 to the capacity)."""
+    """The plan for so many pieces of each length (0 to the capacity): the one with the fewest sequences, of several limits to the room that a
+    configuration may leave when actual pieces stand in for its sizes. Sequences with more room are dissolved, and their pieces go where they fit best."""
     c = how.capacity
     by_rank = np.arange(c, -1, -1)  # lengths by falling length
     upto = np.cumsum(counts[by_rank])  # ranks behind each of them
     length_at = lambda rank: by_rank[np.searchsorted(upto, rank, "right")]
-    ranges = [(0, 0, 1)] if counts[c] else []  # begin, first sequence, pieces of each
-    sequences = full = int(counts[c])
+    full = int(counts[c])
     large = int(upto[c - c // how.small - 1]) - full
     # groups of equal cardinality, as long as their longest; those of one length are one size
     size = -(-large // how.groups) or 1
@@ -264,36 +265,50 @@ def planned(counts: np.ndarray, how: Packing) -> Plan:
     sizes, first = np.unique(-length_at(begins), return_index=True) if large else (np.empty(0, np.int64), np.empty(0, np.int64))
     sizes, start = -sizes, begins[first] if large else begins
     demand = np.diff(np.append(start, full + large))
-    room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by room left: sequences from one on, so many
+    blocks: list[tuple[int, int, list[tuple[int, int]]]] = []  # room left, sequences, and of each size the first rank and pieces of a sequence
     taken = start.copy()
     for config, times in configurations(sizes, demand, how):
         which = np.flatnonzero(config)
         cuts = {0, times}
         for i in which:  # where the lengths of actual pieces change, the room that is left does
             a, e = int(taken[i]), int(config[i])
-            ranges.append((a, sequences, e))
             ends = upto[np.searchsorted(upto, a, "right") : np.searchsorted(upto, a + times * e, "left")] - a
             cuts |= {int(v) for v in ends // e} | {int(v) for v in -(-ends // e)}
         cuts = sorted(cuts)
         for a, b in zip(cuts, cuts[1:]):
-            held = sum(int(length_at(taken[i] + a * config[i] + np.arange(config[i])).sum()) for i in which)
-            room[c - held].append((sequences + a, b - a))
+            filled = sum(int(length_at(taken[i] + a * config[i] + np.arange(config[i])).sum()) for i in which)
+            blocks.append((c - filled, b - a, [(int(taken[i] + a * config[i]), int(config[i])) for i in which]))
         taken[which] += times * config[which]
+    rest = [*zip(taken.tolist(), np.append(start, full + large)[1:].tolist()), (full + large, int(upto[-1]))]  # large ones left over, and small ones
+    plans = [_filled(blocks, rest, limit, full, upto, length_at, c) for limit in dict.fromkeys([c, *(c >> k for k in (4, 5, 6, 7, 8, 10)), 0])]
+    return min(plans, key=lambda p: p.sequences)
+
+
+def _filled(blocks: list, rest: list[tuple[int, int]], limit: int, full: int, upto: np.ndarray, length_at, c: int) -> Plan:
+    """The plan that keeps the blocks with no more room than the limit; all other pieces go, by falling length, where they fit best."""
+    ranges = [(0, 0, 1)] if full else []  # begin, first sequence, pieces of each
+    sequences, loose = full, list(rest)
+    room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by room left: sequences from one on, so many
+    for left, times, parts in blocks:
+        if left > limit:
+            loose += [(a, a + times * e) for a, e in parts]
+            continue
+        ranges += [(a, sequences, e) for a, e in parts]
+        room[left].append((sequences, times))
         sequences += times
-    # what is left of the large ones, by length, then the small ones
     runs = []
-    for a, b in [*zip(taken.tolist(), np.append(start, full + large)[1:].tolist()), (full + large, int(upto[-1]))]:
+    for a, b in loose:
         while a < b:
             stop = min(b, int(upto[np.searchsorted(upto, a, "right")]))
             runs.append((int(length_at(a)), a, stop - a))
             a = stop
     free = np.zeros(c + 1, bool)
-    free[[r for r in room]] = True
+    free[list(room)] = True
     for length, a, n in sorted(runs, key=lambda r: (-r[0], r[1])):
         while n:
-            fits = np.flatnonzero(free[length:])
-            if len(fits):
-                r = length + int(fits[0])
+            at = int(free[length:].argmax())
+            if free[length + at]:
+                r = length + at
                 begin, many = room[r].pop()
                 free[r] = bool(room[r])
             else:
@@ -302,9 +317,9 @@ def planned(counts: np.ndarray, how: Packing) -> Plan:
             e = min(r // length, n)  # the room that is left of a sequence stays the smallest one that fits
             use = min(many, n // e)
             ranges.append((a, begin, e))
-            for left, at, count in ((r - e * length, begin, use), (r, begin + use, many - use)):
+            for left, first, count in ((r - e * length, begin, use), (r, begin + use, many - use)):
                 if count:
-                    room[left].append((at, count))
+                    room[left].append((first, count))
                     free[left] = True
             a, n = a + use * e, n - use * e
     ranges.sort()
