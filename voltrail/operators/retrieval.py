@@ -461,3 +461,25 @@ def blended_trend(confidence: Column, weighted: Column, trend: Column, share: fl
     """A forecast from references and a trend: the less confidence, the more of the trend."""
     b = share * (1 - clip01(confidence))
     return (1 - b) * weighted + b * trend
+
+
+def training_arrays(results: DataFrame, bank: DataFrame, k: int, arrays: dict[str, int]) -> DataFrame:
+    """Rows of fixed shape: a query's own arrays, and side by side those of its k references, by rank.
+
+    bank: case_id and the arrays, each with its length; bucketed by case_id it stays where it is, and only the results move. Unknown elements are 0.
+    Where there are fewer references, ids are -1, weights and elements 0, and the mask is 0.
+    """
+    filled = [F.transform(c, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias(c) for c in arrays]
+    side = bank.select("case_id", *filled)
+    named = lambda key: side.withColumnsRenamed({"case_id": key})
+    refs = results.select("query", "rank", "ref", "alpha").join(named("ref"), "ref")
+    rows = refs.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "ref", "alpha", *arrays))).alias("_refs"))  # k at most
+    places = F.sequence(F.lit(0), F.lit(k - 1))
+    at = lambda j: F.get("_refs", j)
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    columns = {
+        "ref_ids": F.transform(places, lambda j: F.coalesce(at(j)["ref"], F.lit(-1).cast("long"))),
+        "ref_alpha": F.transform(places, lambda j: F.coalesce(at(j)["alpha"], F.lit(0.0))),
+        "ref_mask": F.transform(places, lambda j: at(j).isNotNull().cast("int")),
+    } | {f"ref_{c}": F.transform(places, lambda j, c=c, n=n: F.coalesce(at(j)[c], zeros(n))) for c, n in arrays.items()}
+    return rows.withColumns(columns).drop("_refs").join(named("query"), "query")

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltrail.functions.columns import array_count, array_mean, array_std, r6
-from voltrail.functions.storage import stored
+from voltrail.functions.storage import shared_dir, stored
 from voltrail.operators import evaluate as ev
 from voltrail.operators import retrieval as rt
 from voltrail.operators import windows as op
 from voltrail.plans.cycle_plans import rounds
 from voltrail.plans.feature_plans import FEATURES, VIEWS, _sql, feature_table
 from voltrail.plans.registry import query
-from voltrail.plans.retrieval_plans import AGREED_SQL, FORECASTS_SQL, RAW_CASES_SQL, WEIGHTS, forecasts_of, raw_cases, results_of
+from voltrail.plans.retrieval_plans import AGREED_SQL, COSINE, FORECASTS_SQL, RAW_CASES_SQL, RESULTS_SQL, VECTORS_SQL, WEIGHTS, forecasts_of, raw_cases, results_of, vectors
 from voltrail.plans.window_plans import CASES_SQL, H, KEYS, L, cases_of
+from voltrail.sources.files import bucketed, cached_results
 
 DISTANCES = [*WEIGHTS, "distance"]
 GROUPED = ["split", "chemistry", "domain"]
@@ -153,3 +154,40 @@ def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = raw_cases(spark, sf_dir).where("split = 'target_query'").withColumns(columns)
     full = F.when(array_count(F.col("capacity_seq")) == L, "full").when(F.col("qv_ratio") >= 0.5, "not confirmed").otherwise("unknown")
     return ev.policy_texts(df, full).select("case_id", *(r6(c, c) for c in [*columns, "active_current"]), "current_text", "temperature_text", "voltage_text", "full_text")
+
+
+# rows for training, and results that are kept
+
+
+ARRAYS = {"soh_seq": L, "delta": H}
+
+
+def arrays_of(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    bank = bucketed(cases_of(spark, sf_dir).select("case_id", *ARRAYS), "cases", "case_id")
+    return rt.training_arrays(results_of(spark, sf_dir, 3), bank, k, ARRAYS)
+
+
+@query(RESULTS_SQL + f""", own AS (SELECT case_id, list_transform(soh_seq, lambda x: coalesce(x, 0)) AS seq, delta AS ahead FROM cases),
+side AS (SELECT query, rank, ref, alpha, seq, ahead FROM results JOIN own ON case_id = ref WHERE rank <= 3), asked AS (SELECT DISTINCT query FROM side),
+flat AS (SELECT a.query, j, coalesce(ref, -1) AS ref, coalesce(alpha, 0) AS alpha, (ref IS NOT NULL)::INTEGER AS mask, coalesce(s.seq, [0.0 FOR x IN range({L})]) AS seq, coalesce(s.ahead, [0.0 FOR x IN range({H})]) AS ahead, o.seq AS q_seq
+  FROM asked a JOIN range(0, 5) AS u(j) ON true LEFT JOIN side s ON s.query = a.query AND s.rank = j + 1 JOIN own o ON o.case_id = a.query),
+weights AS (SELECT query, sum(exp(-distance / 2)) AS total FROM results WHERE rank <= 3 GROUP BY query)
+SELECT f.query, j::INTEGER AS j, ref, mask, round(CASE WHEN mask = 1 THEN exp(-r.distance / 2) / total ELSE 0 END, 6) AS alpha, i::INTEGER AS i, round(f.seq[i + 1], 6) AS soh, round(q_seq[i + 1], 6) AS own, round(CASE WHEN i < {H} THEN f.ahead[i + 1] END, 6) AS ahead
+FROM flat f JOIN weights w ON w.query = f.query LEFT JOIN results r ON r.query = f.query AND r.ref = f.ref, unnest(range(0, {L})) AS v(i)""")
+def training_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with three references in rows for five, element by element: ids, masks, weights and sequences side by side."""
+    each = F.posexplode(F.arrays_zip("ref_ids", "ref_mask", "ref_alpha", "ref_soh_seq", "ref_delta")).alias("j", "r")
+    wide = arrays_of(spark, sf_dir).select("query", "soh_seq", each)
+    long = wide.select("query", "j", F.col("r.ref_ids").alias("ref"), F.col("r.ref_mask").alias("mask"), r6("r.ref_alpha", "alpha"), "r.ref_delta", "soh_seq", F.posexplode("r.ref_soh_seq").alias("i", "x"))
+    return long.select("query", "j", "ref", "mask", "alpha", "i", r6("x", "soh"), r6(F.get("soh_seq", "i"), "own"), r6(F.get("ref_delta", "i"), "ahead"))
+
+
+@query(VECTORS_SQL.format(COSINE, "", "DESC") + " SELECT query, ref, rank, round(score, 6) AS score FROM k WHERE rank <= 5")
+def cached_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors, asked for in two calls under the same settings: the second computes what the first has not."""
+    v, folder = vectors(spark, sf_dir).drop("label"), shared_dir(spark, "results-cache")
+    asked = v.where("id % 10 = 0").select(F.col("id").alias("query"))
+    compute = lambda missing: rt.search(v.join(missing, F.col("id") == F.col("query")).drop("query"), v, 5)
+    settings = {"metric": "cosine", "k": 5}
+    cached_results(asked.where("query % 20 = 0"), folder, settings, compute)
+    return cached_results(asked, folder, settings, compute).withColumn("score", r6("score"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -162,3 +163,39 @@ def write_results(results: DataFrame, path: str, config: dict) -> str:
     target = f"{path}/config_hash={config_hash(config)}"
     results.write.mode("overwrite").parquet(target)
     return target
+
+
+def cached_results(queries: DataFrame, path: str, config: dict, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The results (a column query and others) of the queries (a column query) under these settings.
+
+    What is missing in the settings' folder is computed, from the missing queries alone, and kept there: the queries asked, their results,
+    and last an entry in the manifest, so that a write that broke off counts as none. Queries without results are known to have none.
+    """
+    spark, folder = queries.sparkSession, f"{path}/config_hash={config_hash(config)}"
+
+    def committed(kind: str) -> DataFrame | None:
+        try:
+            parts = [r["part"] for r in spark.read.schema("part string, config string").parquet(f"{folder}/manifest/*").collect()]  # a row per write
+        except AnalysisException:  # nothing there yet
+            return None
+        return spark.read.parquet(*(f"{folder}/{kind}/{p}" for p in sorted(parts))) if parts else None
+
+    asked, known = queries.select("query").distinct(), committed("asked")
+    missing = asked if known is None else asked.join(known, "query", "left_anti")
+    part = uuid4().hex
+    missing.write.parquet(f"{folder}/asked/{part}")
+    missing = spark.read.schema(asked.schema).parquet(f"{folder}/asked/{part}")
+    if known is None or not missing.isEmpty():
+        compute(missing).write.parquet(f"{folder}/results/{part}")
+        entry = spark.createDataFrame([(part, json.dumps(config, sort_keys=True))], "part string, config string")
+        entry.coalesce(1).write.parquet(f"{folder}/manifest/{part}")
+    return committed("results").join(asked, "query", "left_semi")
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """df as a table of the warehouse, in buckets by the key: joins on the key move the other side alone. Its name gets an ending of its own."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
