@@ -152,7 +152,7 @@ def test_sequences_hold_their_tokens(spark, library, tmp_path):
     df = spark.createDataFrame([(i, f"document number {i} " * (i + 1)) for i in range(12)], "doc_id long, text string")
     packing.pack(df, str(tmp_path / "s"), JSON, public_tokenizers.PATTERN, packing.Packing(capacity=64, end_id=50256))
     whole = {}
-    for r in spark.read.parquet(str(tmp_path / "s")).collect():
+    for r in packing.unpacked(spark.read.parquet(str(tmp_path / "s"))).collect():
         assert r["n_tokens"] == len(r["tokens"]) == sum(p["length"] for p in r["pieces"])
         for p in r["pieces"]:
             whole.setdefault(p["doc_id"], {})[p["start"]] = r["tokens"][p["offset"] : p["offset"] + p["length"]]

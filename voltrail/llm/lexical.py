@@ -204,7 +204,7 @@ def search(df: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = asked.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    blocks = -(-size // (ITEMS_MB * 1_000_000)) or 1
+    blocks = -(-size // int(ITEMS_MB * 1_000_000)) or 1
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("item_id", F.monotonically_increasing_id()), F.lit(blocks)))
     dealt = dealt if blocks == 1 else stored(dealt, "items")
     parts = [_searched(docs, dealt.where(F.col("block") == b).orderBy("item_id", "text").collect(), k) for b in range(blocks)]

@@ -38,10 +38,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from voltrail.llm.bpe import Segmented
 from voltrail.llm.common import list_array, pieces, rows, shared_dir, stored, texts
-from voltrail.llm.token_tables import BYTES, coded_writer
+from voltrail.llm.token_tables import BYTES
 
 #: Rows of a table that goes to every task; with more, the tables are joined by shuffling.
 SENT_ROWS = 500_000
@@ -133,10 +134,10 @@ def squeezed(tokens: Iterable[bytes]) -> list[bytes]:
 
 
 def released(tokens: Iterable[bytes]) -> np.ndarray:
-    """The ids (int32) of compressed pieces, in a row."""
+    """The ids (little-endian, 32 bits) of compressed pieces, in a row."""
     out = zstandard.ZstdDecompressor().decompress
-    parts = [np.frombuffer(out(memoryview(t)[1:]), f"<u{t[0]}").astype(np.int32) for t in tokens]
-    return np.concatenate(parts) if parts else np.empty(0, np.int32)
+    parts = [np.frombuffer(out(memoryview(t)[1:]), f"<u{t[0]}").astype("<u4") for t in tokens]
+    return np.concatenate(parts) if parts else np.empty(0, "<u4")
 
 
 def cut(df: DataFrame, tokenizer: str, pattern: str, how: Packing) -> DataFrame:
@@ -352,7 +353,8 @@ def placed(cuts: DataFrame, how: Packing) -> DataFrame:
 
 
 def assembled(pieces: DataFrame) -> DataFrame:
-    """sequence_id, n_tokens, tokens and pieces (doc_id, piece, start, length, offset) of each sequence, longest piece first."""
+    """sequence_id, n_tokens, tokens (little-endian 32-bit ids, packed) and pieces (doc_id, piece, start, length, offset) of each sequence,
+    longest piece first."""
     kind = pieces.schema["doc_id"].dataType.simpleString()
     fields = ["doc_id", "piece", "start", "length", "offset"]
 
@@ -364,10 +366,12 @@ def assembled(pieces: DataFrame) -> DataFrame:
         sizes = np.add.reduceat(length, begins)
         many = np.diff(np.append(begins, len(seq)))
         flat = released(batch.column("tokens").to_pylist())
+        offsets = np.append(0, np.cumsum(sizes * 4)).astype(np.int32)
+        tokens = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
         columns = {c: batch.column(c) for c in fields[:4]} | {"offset": pa.array(before - np.repeat(before[begins], many), pa.int64())}
         inner = pa.StructArray.from_arrays([columns[f] for f in fields], fields)
         held = pa.ListArray.from_arrays(pa.array(np.append(begins, len(seq)).astype(np.int32)), inner)
-        yield pa.RecordBatch.from_arrays([pa.array(seq[begins]), pa.array(sizes), list_array(flat, sizes, pa.int32()), held], ["sequence_id", "n_tokens", "tokens", "pieces"])
+        yield pa.RecordBatch.from_arrays([pa.array(seq[begins]), pa.array(sizes), tokens, held], ["sequence_id", "n_tokens", "tokens", "pieces"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the rows of a sequence that may go on
@@ -385,12 +389,26 @@ def assembled(pieces: DataFrame) -> DataFrame:
 
     one = pieces.repartition("sequence_id").sortWithinPartitions("sequence_id", "rank").select("doc_id", "piece", "start", "length", "tokens", "sequence_id")
     inner = f"struct<doc_id:{kind},piece:int,start:bigint,length:int,offset:bigint>"
-    return one.mapInArrow(run, f"sequence_id long, n_tokens long, tokens array<int>, pieces array<{inner}>")
+    return one.mapInArrow(run, f"sequence_id long, n_tokens long, tokens binary, pieces array<{inner}>")
+
+
+def unpacked(sequences: DataFrame) -> DataFrame:
+    """The sequences with their tokens as arrays."""
+    schema = StructType([StructField("tokens", ArrayType(IntegerType())) if f.name == "tokens" else f for f in sequences.schema])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches, 500):
+            flat = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<i4")
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            yield pa.RecordBatch.from_pydict(columns | {"tokens": list_array(flat, columns["n_tokens"].to_numpy(), pa.int32())})
+
+    return sequences.mapInArrow(run, schema)
 
 
 def pack(df: DataFrame, folder: str, tokenizer: str, pattern: str, how: Packing = Packing()) -> None:
     """Packs df's texts (doc_id, text) and writes the sequences in folder: sequence_id, n_tokens, tokens and their pieces."""
-    coded_writer(assembled(placed(cut(df, tokenizer, pattern, how), how))).parquet(folder)
+    made = assembled(placed(cut(df, tokenizer, pattern, how), how))
+    made.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary#tokens", "false").parquet(folder)
 
 
 def read_pieces(sequences: DataFrame) -> DataFrame:
@@ -399,8 +417,8 @@ def read_pieces(sequences: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 500):
-            tokens, inner = batch.column("tokens"), batch.column("pieces")
-            data = memoryview(np.ascontiguousarray(tokens.flatten().to_numpy(zero_copy_only=False), "<u4").view(np.uint8))
+            inner = batch.column("pieces")
+            data = memoryview(b"".join(batch.column("tokens").to_pylist()))
             at = pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(inner).to_numpy()))
             flat = inner.flatten()
             get = lambda c, flat=flat: pc.struct_field(flat, c)
