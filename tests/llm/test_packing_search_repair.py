@@ -271,7 +271,7 @@ def plain_repair(rows):
         nonlocal best
         if best is not None and (cost, audit) > best[:2] and cost >= best[0] or len(audit) > len(rows) + 3:
             return
-        initials = "".join(r[:1] for r, _ in out)
+        initials = "".join(r[:1] or "?" for r, _ in out)  # an empty role fits nowhere
         if not re.fullmatch("(s?(ua)*u?)?", initials):
             return
         if i == len(rows) and re.fullmatch("(s?(ua)+)?", initials):

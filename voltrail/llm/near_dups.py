@@ -58,6 +58,7 @@ class Join:
     hashes: int = 256  # two bits of each make the sketch; trees choose from them
     block: int = 4096  # classes of a group whose sketches meet as many others in one piece of work
     cell_bytes: int = 16_000_000  # of sets that meet as many others
+    cell_classes: int = 1024  # and these sets' classes
 
     def __post_init__(self):
         if not self.trees:
@@ -371,20 +372,19 @@ def cells(members: DataFrame, labels: DataFrame, room: int) -> DataFrame:
     return dealt.select(F.xxhash64("main", "c.i", "c.j").alias("cell"), "main", "node", "part", "c.own", "c.other")
 
 
-def _near(group: dict[str, list], join: Join, chunk: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a cell: the pairs of classes of different components whose sketches allow a link, as places, with their estimates."""
+def _near(group: dict[str, list], join: Join, chunk: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a cell, piece by piece: the pairs of classes of different components whose sketches allow a link, as places, with their estimates."""
     sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group["cell"]), -1)
     sizes, parts = (np.array(group[c], np.int64) for c in ("n", "part"))
     own, other = (np.flatnonzero(group[c]) for c in ("own", "other"))
-    found = [(own[:0], own[:0], np.empty(0))]
     for start in range(0, len(own), chunk):
         x = own[start : start + chunk]
-        for at in range(0, len(other), 4096):
-            y = other[at : at + 4096]
+        for at in range(0, len(other), 2048):
+            y = other[at : at + 2048]
             est = candidates(sketches[x], sizes[x], sketches[y], sizes[y], join)
             i, j = np.nonzero((est > 0) & (parts[x][:, None] != parts[y][None, :]))
-            found.append((x[i], y[j], est[i, j]))
-    return tuple(np.concatenate(c) for c in zip(*found))
+            if len(i):
+                yield x[i], y[j], est[i, j]
 
 
 def likely(members: DataFrame, labels: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
@@ -392,8 +392,9 @@ def likely(members: DataFrame, labels: DataFrame, classes: DataFrame, join: Join
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "cell"):
-            x, y, _ = _near(group, join)
-            some = np.unique(np.concatenate([x, y]))
+            some = np.zeros(len(group["cell"]), bool)
+            for x, y, _ in _near(group, join):
+                some[x] = some[y] = True
             yield pa.RecordBatch.from_arrays([pa.array(np.array(group[c], np.int64)[some]) for c in ("main", "node")], ["main", "node"])
 
     dealt = cells(members.withColumn("weight", F.lit(1)), labels, join.block).join(classes.select("node", "n", "sketch"), "node")
@@ -403,15 +404,13 @@ def likely(members: DataFrame, labels: DataFrame, classes: DataFrame, join: Join
 def across(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """Links (a, b) that connect classes of different components of a group, as far as sketches allow them.
 
-    Only classes with such a pair meet with their sets, in cells bounded by the sets' bytes. A cell takes its pairs, the likeliest first, and
-    compares the full sets of those that its links so far leave apart; so a component costs it no more links than there are others, and
+    Only classes with such a pair meet with their sets, in cells bounded by the sets' bytes and the classes' number. A cell takes its pairs piece
+    by piece, the likeliest of a piece first, and compares the full sets of those that its links so far leave apart; so a component costs it no more links than there are others, and
     no pair leaves the cell that isn't a link.
     """
 
     def links(group: dict[str, list]) -> Iterator[tuple[int, int]]:
         nodes, parts = (np.array(group[c], np.int64) for c in ("node", "part"))
-        x, y, est = _near(group, join)
-        order = np.lexsort((nodes[y], nodes[x], -est))
         root = {p: p for p in set(parts.tolist())}
 
         def top(p: int) -> int:
@@ -419,11 +418,16 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: Data
                 root[p] = p = root[root[p]]
             return p
 
-        for i, j in zip(x[order].tolist(), y[order].tolist()):
-            u, v = top(int(parts[i])), top(int(parts[j]))
-            if u != v and linked(group["shingles"][i], group["shingles"][j], join):
-                root[max(u, v)] = min(u, v)
-                yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
+        for x, y, est in _near(group, join):
+            now = np.array([top(p) for p in parts.tolist()], np.int64)
+            apart = now[x] != now[y]
+            x, y, est = x[apart], y[apart], est[apart]
+            order = np.lexsort((nodes[y], nodes[x], -est))
+            for i, j in zip(x[order].tolist(), y[order].tolist()):
+                u, v = top(int(parts[i])), top(int(parts[j]))
+                if u != v and linked(group["shingles"][i], group["shingles"][j], join):
+                    root[max(u, v)] = min(u, v)
+                    yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "cell"):
@@ -431,7 +435,7 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: Data
             yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     some = stored(likely(members, labels, classes, join), "likely").join(classes.select("node", "n", "sketch"), "node")
-    dealt = cells(some.select("main", "node", (F.col("n") * 6 + 100).alias("weight")), labels, join.cell_bytes)
+    dealt = cells(some.select("main", "node", F.greatest(F.col("n") * 6, F.lit(join.cell_bytes // join.cell_classes)).alias("weight")), labels, join.cell_bytes)
     known = sets.join(classes.select("node", "n", "sketch"), "node").join(some.select("node").distinct(), "node", "left_semi")
     return dealt.join(known, "node").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
