@@ -476,10 +476,10 @@ def training_arrays(results: DataFrame, bank: DataFrame, k: int, arrays: dict[st
     rows = refs.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "ref", "alpha", *arrays))).alias("_refs"))  # k at most
     places = F.sequence(F.lit(0), F.lit(k - 1))
     at = lambda j: F.get("_refs", j)
-    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    side_by_side = lambda c, n: F.transform(places, lambda j: F.coalesce(at(j)[c], F.array_repeat(F.lit(0.0), n)))
     columns = {
         "ref_ids": F.transform(places, lambda j: F.coalesce(at(j)["ref"], F.lit(-1).cast("long"))),
         "ref_alpha": F.transform(places, lambda j: F.coalesce(at(j)["alpha"], F.lit(0.0))),
         "ref_mask": F.transform(places, lambda j: at(j).isNotNull().cast("int")),
-    } | {f"ref_{c}": F.transform(places, lambda j, c=c, n=n: F.coalesce(at(j)[c], zeros(n))) for c, n in arrays.items()}
+    } | {f"ref_{c}": side_by_side(c, n) for c, n in arrays.items()}
     return rows.withColumns(columns).drop("_refs").join(named("query"), "query")
