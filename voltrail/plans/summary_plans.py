@@ -172,7 +172,7 @@ side AS (SELECT query, rank, ref, alpha, seq, ahead FROM results JOIN own ON cas
 flat AS (SELECT a.query, j, coalesce(ref, -1) AS ref, coalesce(alpha, 0) AS alpha, (ref IS NOT NULL)::INTEGER AS mask, coalesce(s.seq, [0.0 FOR x IN range({L})]) AS seq, coalesce(s.ahead, [0.0 FOR x IN range({H})]) AS ahead, o.seq AS q_seq
   FROM asked a JOIN range(0, 5) AS u(j) ON true LEFT JOIN side s ON s.query = a.query AND s.rank = j + 1 JOIN own o ON o.case_id = a.query),
 weights AS (SELECT query, sum(exp(-distance / 2)) AS total FROM results WHERE rank <= 3 GROUP BY query)
-SELECT f.query, j::INTEGER AS j, f.ref, mask, round(CASE WHEN mask = 1 THEN exp(-r.distance / 2) / total ELSE 0 END, 6) AS alpha, i::INTEGER AS i, round(f.seq[i + 1], 6) AS soh, round(q_seq[i + 1], 6) AS own, round(CASE WHEN i < {H} THEN f.ahead[i + 1] END, 6) AS ahead
+SELECT f.query, j::INTEGER AS j, f.ref, mask, round(CASE WHEN mask = 1 THEN exp(-r.distance / 2) / total ELSE 0 END, 6) AS alpha, i::INTEGER AS i, round(f.seq[i + 1], 6) AS soh, round(f.q_seq[i + 1], 6) AS own, round(CASE WHEN i < {H} THEN f.ahead[i + 1] END, 6) AS ahead
 FROM flat f JOIN weights w ON w.query = f.query LEFT JOIN results r ON r.query = f.query AND r.ref = f.ref, unnest(range(0, {L})) AS v(i)""")
 def training_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries with three references in rows for five, element by element: ids, masks, weights and sequences side by side."""
