@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltrail.functions import curves as fn
-from voltrail.operators import catalogs, curves, cycles, evaluate, retrieval, windows
+from voltrail.operators import catalogs, curves, cycles, evaluate, regress, retrieval, windows
 from voltrail.sources import files
 
 
@@ -292,12 +292,12 @@ def test_rerank_by_curves(spark):
     assert spark.range(1).select(retrieval.blended_trend(F.lit(0.5), F.lit(1.0), F.lit(2.0))).first()[0] == pytest.approx(0.7 + 0.6)
 
 
-def test_places_by_bucket(spark):
-    from voltrail.functions.columns import ranked
+def test_places_of_names(spark):
+    from voltrail.functions.ranks import numbered
 
     names = [f"{a}{b}" for a in "bac" for b in range(5)] + [None]
     df = spark.createDataFrame([(n,) for n in names], "name string").repartition(3)
-    got = {r["name"]: r["rank"] for r in ranked(df, F.substring("name", 1, 1), [F.asc_nulls_first("name")]).collect()}
+    got = {r["name"]: r["place"] for r in numbered(df, [F.asc_nulls_first("name")]).collect()}
     assert got == {n: i for i, n in enumerate(sorted(names, key=lambda n: (n is not None, n or "")))}
 
 
@@ -310,8 +310,8 @@ def test_charge_mask_takes_discharge_unless_strict(spark):
 def test_ridge_recovers_weights(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 2))
-    df = spark.createDataFrame([(float(a), float(b), float(2 * a - b)) for a, b in x], "a double, b double, y double").repartition(3)
-    assert evaluate.ridge(df, ["a", "b"], ["y"], reg=1e-6)[:, 0] == pytest.approx([2, -1], abs=1e-4)
+    df = spark.createDataFrame([(float(a), float(b), float(2 * a - b)) for a, b in x], "a double, b double, y double").repartition(3).withColumn("k", F.lit("all"))
+    assert regress.grams(df, ["a", "b"], ["y"], "k")["all"].ridge(["a", "b"], reg=1e-6)[:, 0] == pytest.approx([2, -1], abs=1e-4)
 
 
 def test_readers(spark, tmp_path):
