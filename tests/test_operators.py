@@ -333,3 +333,13 @@ def test_bank_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, None, "a"), (2, "x", "b")], "id long, name string, split string")
     files.write_bank(df, str(tmp_path / "bank"))
     assert {(r["id"], r["name"], r["split"]) for r in files.read_bank(spark, str(tmp_path / "bank")).collect()} == {(1, "unknown", "a"), (2, "x", "b")}
+
+
+def test_ids_of_more_than_five_digits_are_whole(spark):
+    from voltrail.sources.roles import cell_uid, cell_uid_sql
+
+    keys = [7, 12345, 100000, 1000001, None]
+    want = ["cell_00007", "cell_12345", "cell_100000", "cell_1000001", None]
+    assert [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(cell_uid("k")).collect()] == want
+    duckdb = pytest.importorskip("duckdb")
+    assert [duckdb.execute(f"SELECT {cell_uid_sql('k')} FROM (SELECT ?::BIGINT AS k)", [k]).fetchone()[0] for k in keys] == want

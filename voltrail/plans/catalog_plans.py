@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voltrail.functions.columns import r6
 from voltrail.operators import catalogs as op
 from voltrail.plans.registry import query
-from voltrail.sources.roles import CYCLES_SQL, cycles, pick, table
+from voltrail.sources.roles import CYCLES_SQL, cell_uid, cell_uid_sql, cycles, pick, table
 
 META = ["source_dataset", "chemistry_family"]
 
@@ -19,8 +19,8 @@ def cell_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Customers as cells: the nation is the dataset, the market segment the condition.
-CELLS_SQL = """WITH cells AS (
-  SELECT 'cell_' || lpad(c_custkey::VARCHAR, 5, '0') AS cell_uid, c_custkey, (['tju', 'xjtu', 'hust', 'mit', 'other'])[c_nationkey % 5 + 1] AS source_dataset,
+CELLS_SQL = f"""WITH cells AS (
+  SELECT {cell_uid_sql("c_custkey")} AS cell_uid, c_custkey, (['tju', 'xjtu', 'hust', 'mit', 'other'])[c_nationkey % 5 + 1] AS source_dataset,
     (['LFP', 'NCM', '', 'NCA'])[c_custkey % 4 + 1] AS chemistry_family, (['fastcharge', 'multistage', 'random_walk', 'regular', ''])[c_custkey % 5 + 1] AS discharge_policy_family,
     (['full', 'partial', ' '])[c_custkey % 3 + 1] AS full_or_partial, n_name AS folder, r_name AS region,
     CASE c_nationkey % 5 WHEN 0 THEN n_name || '/' || c_mktsegment || '-#' || c_custkey WHEN 1 THEN c_mktsegment || '_battery-' || c_custkey ELSE (c_custkey % 9) || '-' || c_custkey END AS raw_cell_id,
@@ -35,7 +35,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("c_nationkey") % 5 == 0, F.concat("n_name", F.lit("/"), "c_mktsegment", F.lit("-#"), key))
     raw = raw.when(F.col("c_nationkey") % 5 == 1, F.concat("c_mktsegment", F.lit("_battery-"), key)).otherwise(F.concat((k % 9).cast("string"), F.lit("-"), key))
     return both.select(
-        F.concat(F.lit("cell_"), F.lpad(key, 5, "0")).alias("cell_uid"), k, pick(F.col("c_nationkey"), ["tju", "xjtu", "hust", "mit", "other"]).alias("source_dataset"),
+        cell_uid("c_custkey").alias("cell_uid"), k, pick(F.col("c_nationkey"), ["tju", "xjtu", "hust", "mit", "other"]).alias("source_dataset"),
         pick(k, ["LFP", "NCM", "", "NCA"]).alias("chemistry_family"), pick(k, ["fastcharge", "multistage", "random_walk", "regular", ""]).alias("discharge_policy_family"),
         pick(k, ["full", "partial", " "]).alias("full_or_partial"), F.col("n_name").alias("folder"), F.col("r_name").alias("region"), raw.alias("raw_cell_id"),
         F.concat("n_name", F.lit("/"), "c_name", F.lit(".csv")).alias("file_path"), pick(k, ["cold", "room", None]).alias("temperature_bucket"), pick(k, ["low", None]).alias("charge_rate_bucket"),
