@@ -238,3 +238,22 @@ def test_flat_table_without_rows(spark):
     assert regress.scored(empty, [regress.Model(("g",), "source_val", ["anchor_soh"], np.ones((1, 4)))], plan.DELTAS, "split").collect() == []
     grown = forest.grow(empty, "case_id", {"g": ["anchor_soh"]}, plan.DELTAS, forest.Growth(trees=2, depth=2))
     assert (grown.feature == -1).all() and (grown.value == 0).all()
+
+
+def test_features_are_those_of_the_sql_to_the_last_digit(spark):
+    """Halves at a result's last digit are not left to the noise of sums."""
+    from pathlib import Path
+
+    import duckdb
+
+    from voltrail.catalog import ORACLES, QUERIES
+
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    for p in Path(sf).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    keys = ["cell_uid", "window_start"]
+    got, want = (t.sort_values(keys).reset_index(drop=True) for t in (QUERIES["flat_table"](spark, sf).toPandas(), con.execute(ORACLES["flat_table"]).df()))
+    numbers = [c for c in want.columns if want[c].dtype.kind == "f"]
+    assert len(got) == len(want) > 1000
+    for c in numbers:
+        np.testing.assert_allclose(got[c].astype(float), want[c], rtol=1e-12, atol=0, err_msg=c)

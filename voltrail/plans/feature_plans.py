@@ -52,20 +52,21 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("case_id", *KEYS, role.alias("split"), "chemistry_family", F.col("source_dataset").alias("domain_label"), *(columns[c].alias(c) for c in [*FEATURES, *DELTAS, *VIEWS]))
 
 
-def _sql(c: str) -> str:
+def _sql(c: str, digits: int = 9) -> str:
+    """Means over 4 or 16 steps of numbers with up to five decimals have nine; with fewer digits, noise decides which way a half is rounded."""
     gaps = lambda seq, n: f"coalesce(list_sum({seq}), 0) / {n}"
     known = {
         "anchor_soh": "anchor_soh", "recent_soh_slope": "slope", "qv_map_mean": "list_avg(q_curve)", "qv_map_std": "list_stddev_pop(q_curve)", "partial_charge_mean": "list_avg(dq)",
         "partial_charge_std": "list_stddev_pop(dq)", "future_delta_h1": "delta[1]", "future_delta_last": f"delta[{H}]", "future_delta_mean": "list_avg(delta)", "future_slope": f"delta[{H}] - delta[1]",
     } | {f"cycle_{x}": f"{x}_seq[{L}]" for x in CYCLE} | {x: f"curve_stats[{i + 1}]" for i, x in enumerate(CURVE)} | {x: f"stress[{i + 1}]" for i, x in enumerate(STRESS)}
     known |= {f"operation_{x}": gaps(f"{x}_seq", L) for x in OPERATION} | {f"future_operation_{x}": gaps(f"{x}_future", H) for x in OPERATION}
-    return f"round({known[c]}, 6) AS {c}"
+    return f"round({known[c]}, {digits}) AS {c}"
 
 
 @query(RAW_CASES_SQL + f""" SELECT cell_uid, window_start, CASE WHEN split = 'target_query' AND (user_id // 10) % 2 = 1 THEN 'target_support' ELSE split END AS split,
   {", ".join(map(_sql, [*FEATURES, *VIEWS]))} FROM raw""")
 def flat_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_table(spark, sf_dir).select(*KEYS, "split", *(r6(c, c) for c in [*FEATURES, *VIEWS]))
+    return feature_table(spark, sf_dir).select(*KEYS, "split", *(F.round(c, 9).alias(c) for c in [*FEATURES, *VIEWS]))
 
 
 def _rounded(df: DataFrame, *keys: str) -> DataFrame:

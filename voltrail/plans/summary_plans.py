@@ -58,7 +58,7 @@ def forecast_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 # features
 
 
-EXPLORED_SQL = RAW_CASES_SQL + f""", flat AS (SELECT split, {", ".join(_sql(c).replace(", 6) AS", ", 15) AS") for c in [*FEATURES, *VIEWS])} FROM raw WHERE split IN ('source_train', 'source_val')),
+EXPLORED_SQL = RAW_CASES_SQL + f""", flat AS (SELECT split, {", ".join(_sql(c, 15) for c in [*FEATURES, *VIEWS])} FROM raw WHERE split IN ('source_train', 'source_val')),
 long AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, '{t}' AS target, {f}::DOUBLE AS x, {t} AS y FROM flat" for f in FEATURES for t in VIEWS)}),
 pearson AS (SELECT feature, target, CASE WHEN stddev_pop(x) < 1e-8 OR stddev_pop(y) < 1e-8 THEN 0 ELSE corr(x, y) END AS r FROM long WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY feature, target)"""
 
