@@ -343,3 +343,12 @@ def test_ids_of_more_than_five_digits_are_whole(spark):
     assert [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(cell_uid("k")).collect()] == want
     duckdb = pytest.importorskip("duckdb")
     assert [duckdb.execute(f"SELECT {cell_uid_sql('k')} FROM (SELECT ?::BIGINT AS k)", [k]).fetchone()[0] for k in keys] == want
+
+
+def test_policy_texts_round_halves_up_whatever_the_noise(spark):
+    numbers = {"current_abs_max": 0.12349999999999999, "current_abs_mean": 0.1235, "current_abs_std": 0.12350000000000001, "temperature_mean": 20.124999999999996, "temperature_max": 20.125, "temperature_std": 0.124999999, "voltage_min": None, "voltage_max": 3.2}
+    df = spark.createDataFrame([tuple(numbers.values())], ", ".join(f"{c} double" for c in numbers))
+    r = evaluate.policy_texts(df, F.lit("full")).first()
+    assert r["current_text"] == "max 0.124 A, mean 0.124 A, std 0.124 A"
+    assert r["temperature_text"] == "mean 20.13 degC, max 20.13 degC, std 0.12 degC"
+    assert r["voltage_text"] == "unknown"

@@ -73,10 +73,11 @@ def missing_matrix(df: DataFrame, group: str, array: str, names: Sequence[str])
 
 
 def policy_texts(df: DataFrame, full: Column) -> DataFrame:
-    """df (currents, temperatures and voltages of a window) with the current that was active and texts for reports."""
+    """df (currents, temperatures and voltages of a window) with the current that was active and texts for reports. Texts round halves up;
+    nine digits come first, so that the noise of a mean does not decide what is a half."""
 
     def text(c: str, digits: int, unit: str) -> Column:
-        return F.when(F.col(c).isNull(), "unknown").otherwise(F.format_string(f"%.{digits}f {unit}", F.round(c, digits)))
+        return F.when(F.col(c).isNull(), "unknown").otherwise(F.format_string(f"%.{digits}f {unit}", F.round(F.round(c, 9), digits)))
 
     both = F.concat(text("voltage_min", 3, "V"), F.lit(" to "), text("voltage_max", 3, "V"))
     return df.withColumns({

@@ -10,7 +10,6 @@ from voltrail.functions.storage import shared_dir, stored
 from voltrail.operators import evaluate as ev
 from voltrail.operators import retrieval as rt
 from voltrail.operators import windows as op
-from voltrail.plans.cycle_plans import rounds
 from voltrail.plans.feature_plans import FEATURES, VIEWS, _sql, feature_table
 from voltrail.plans.registry import query
 from voltrail.plans.retrieval_plans import AGREED_SQL, COSINE, FORECASTS_SQL, RAW_CASES_SQL, RESULTS_SQL, VECTORS_SQL, WEIGHTS, forecasts_of, raw_cases, results_of, vectors
@@ -138,11 +137,11 @@ POLICY_SQL = {
     "temperature_mean": "list_avg(temp_mean_seq)", "temperature_std": "list_stddev_pop(temp_mean_seq)", "temperature_max": "list_avg(temp_max_seq)",
     "voltage_min": "list_min(voltage_mean_seq)", "voltage_max": "list_max(voltage_mean_seq)", "qv_ratio": f"list_count(dq) / {L - 1}", "qv_peak_value": "curve_stats[1]", "qv_peak_voltage": "curve_stats[2]", "qv_area": "curve_stats[3]",
 }
-_text = lambda c, digits, unit: f"CASE WHEN {c} IS NULL THEN 'unknown' ELSE format('{{:.{digits}f}} {unit}', round({c}, {digits})) END"
+_text = lambda c, digits, unit: f"CASE WHEN {c} IS NULL THEN 'unknown' ELSE format('{{:.{digits}f}} {unit}', round({c}::DECIMAL(18, 9), {digits})::DOUBLE) END"
 
 
 @query(RAW_CASES_SQL + f""", pol AS (SELECT case_id, list_count(capacity_seq) = {L} AS complete, {", ".join(f"{e} AS {n}" for n, e in POLICY_SQL.items())} FROM raw WHERE split = 'target_query')
-SELECT case_id, {rounds(*POLICY_SQL)}, round(coalesce(current_abs_max, current_abs_mean), 6) AS active_current,
+SELECT case_id, {", ".join(f"round({c}, 9) AS {c}" for c in POLICY_SQL)}, round(coalesce(current_abs_max, current_abs_mean), 9) AS active_current,
   'max ' || {_text("current_abs_max", 3, "A")} || ', mean ' || {_text("current_abs_mean", 3, "A")} || ', std ' || {_text("current_abs_std", 3, "A")} AS current_text,
   'mean ' || {_text("temperature_mean", 2, "degC")} || ', max ' || {_text("temperature_max", 2, "degC")} || ', std ' || {_text("temperature_std", 2, "degC")} AS temperature_text,
   CASE WHEN voltage_min IS NULL THEN 'unknown' ELSE {_text("voltage_min", 3, "V")} || ' to ' || {_text("voltage_max", 3, "V")} END AS voltage_text,
@@ -153,7 +152,7 @@ def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = _policy_columns()
     df = raw_cases(spark, sf_dir).where("split = 'target_query'").withColumns(columns)
     full = F.when(array_count(F.col("capacity_seq")) == L, "full").when(F.col("qv_ratio") >= 0.5, "not confirmed").otherwise("unknown")
-    return ev.policy_texts(df, full).select("case_id", *(r6(c, c) for c in [*columns, "active_current"]), "current_text", "temperature_text", "voltage_text", "full_text")
+    return ev.policy_texts(df, full).select("case_id", *(F.round(c, 9).alias(c) for c in [*columns, "active_current"]), "current_text", "temperature_text", "voltage_text", "full_text")
 
 
 # rows for training, and results that are kept
