@@ -352,3 +352,18 @@ def test_policy_texts_round_halves_up_whatever_the_noise(spark):
     assert r["current_text"] == "max 0.124 A, mean 0.124 A, std 0.124 A"
     assert r["temperature_text"] == "mean 20.13 degC, max 20.13 degC, std 0.12 degC"
     assert r["voltage_text"] == "unknown"
+
+
+@pytest.mark.parametrize("cells", [1, 9])
+def test_found_lists_bring_tags_and_serve_by_them(spark, cells):
+    """Lists of more than a chunk; of each query's nearest, those of its own cell (and -1) are left out after the choice, by what came along."""
+    rng = np.random.default_rng(5)
+    v, tags = rng.normal(size=(260, 6)), rng.integers(-1, 6, 260)
+    v[200:] = v[:60]  # equals: the smaller id comes first
+    df = spark.createDataFrame([(i, x.tolist(), int(t)) for i, (x, t) in enumerate(zip(v, tags))], "id long, vector array<double>, tag long")
+    got = {}
+    for r in retrieval.servable(retrieval.search_lists(df.where("id % 10 = 0"), df, 150, "l2", cells), 40).orderBy("rank").collect():
+        got.setdefault(r["query"], []).append(r["ref"])
+    for q in range(0, 260, 10):
+        near = sorted((i for i in range(260) if i != q), key=lambda i: (((v[i] - v[q]) ** 2).sum(), i))[:150]
+        assert got[q] == [i for i in near if tags[i] >= 0 and tags[i] != tags[q]][:40]

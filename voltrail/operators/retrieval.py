@@ -16,99 +16,138 @@ from voltrail.functions.ranks import exact, sketched
 
 
 #: MB that the queries of a cell and what is kept for them may take.
-CELL_MB = 96
+CELL_MB = 160
 
 
 def search(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", cells: int | None = None) -> DataFrame:
-    """query, ref, score and rank of the k best references of each query.
+    """query, ref, score and rank of the k best references of each query; as ``search_lists``, a row for each."""
+    found = search_lists(queries, refs, k, metric, cells)
+    return found.select("query", F.posexplode("found").alias("_at", "_f")).select("query", "_f.ref", "_f.score", (F.col("_at") + 1).alias("rank"))
 
-    Both sides: id (long, unique), vector, and optionally group, until, kind (long). References of a query's own id or group, those
-    that end after the query (until) and those of another kind are left out before the choice; so are rows of either side whose vector is
-    missing or has an element that is missing or not finite. Blocks of queries and blocks of references meet in a grid of about
+
+def search_lists(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", cells: int | None = None) -> DataFrame:
+    """query, its tag, and found: an array of ref, score and tag of its k best references, best first.
+
+    Both sides: id (long, unique), vector, and optionally group, until, kind, tag (long; a tag only comes along). References of a query's own
+    id or group, those that end after the query (until) and those of another kind are left out before the choice; so are rows of either side whose
+    vector is missing or has an element that is missing or not finite. Blocks of queries and blocks of references meet in a grid of about
     so many cells (unless given, as many as shuffle partitions, and more if a cell's queries would take more than CELL_MB); each cell
-    keeps its k best, of equals the smaller ids, and the best of a query's cells follow from these. Distances (l2: squared) are
-    those of the elements' differences, however far the vectors lie from 0.
+    keeps its k best, of equals the smaller ids, and the best of a query's cells follow from these. The grid is such that the copies of the references
+    and the lists of the cells take about as much room. Distances (l2: squared) are those of the elements' differences, however far the vectors lie from 0.
     """
     extra = [c for c in ("group", "until", "kind") if c in queries.columns]
     whole = lambda df: df.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.forall(F.col("vector").cast("array<double>"), lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
-    queries, refs = whole(queries), whole(refs)
+    tagged = lambda df: df if "tag" in df.columns else df.withColumn("tag", F.lit(0))
+    queries, refs = tagged(whole(queries)), tagged(whole(refs))
     cells = cells or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
-    fit = max(64, int(CELL_MB * 1e6 / (16 * k + 8 * (size["width"] or 1))))
-    down = max(1, round(sqrt(cells)), ceil(size["n"] / fit))
+    size, many = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first(), refs.count()
+    width = size["width"] or 1
+    fit = max(64, int(CELL_MB * 1e6 / (24 * (k + 2 * TILE) + 8 * width)))
+    even = sqrt(cells * max(1, size["n"] * 24 * k) / max(1, many * 8 * width))
+    down = max(1, round(min(even, cells)), ceil(size["n"] / fit))
     aside = max(1, ceil(cells / down))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     everywhere = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    side = lambda df, number: df.select(F.lit(number).alias("side"), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *(F.col(c).cast("long").alias(c) for c in extra))
+    side = lambda df, number: df.select(F.lit(number).alias("side"), F.col("id").cast("long").alias("id"), F.col("tag").cast("long").alias("tag"), F.col("vector").cast("array<double>").alias("vector"), *(F.col(c).cast("long").alias(c) for c in extra))
     left = side(queries, 0).withColumns({"i": own(down), "j": everywhere(aside)})
     right = side(refs, 1).withColumns({"i": everywhere(down), "j": own(aside)})
     dealt = left.unionByName(right).repartition("i", "j").sortWithinPartitions("i", "j", "side", "id")
-    found = dealt.mapInArrow(_nearest(k, metric, extra), "query long, ref long, score double")
-    best = F.desc("score") if metric == "cosine" else F.asc("score")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(best, "ref")))
-    return ranked.where(F.col("rank") <= k)
+    found = dealt.mapInArrow(_nearest(k, metric, extra), LISTS).repartition("query").sortWithinPartitions("query").mapInArrow(_merged(k, metric), LISTS)
+    return found.select("query", "tag", F.arrays_zip(F.col("refs").alias("ref"), F.col("scores").alias("score"), F.col("tags").alias("tag")).alias("found"))
+
+
+#: Rows between the two steps of a search, and the references that a row may have there.
+LISTS, CHUNK = "query long, tag long, refs array<long>, scores array<double>, tags array<long>", 100
+#: References that meet a slice of a cell's queries at once, and the queries of a slice.
+TILE, SLICE = 256, 1024
+
+
+def _lists(query: np.ndarray, tag: np.ndarray, sizes: np.ndarray, refs: np.ndarray, scores: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
+    """A row for each query, which has the next so many of the references."""
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (refs, scores, tags)]
+    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(tag), *lists], ["query", "tag", "refs", "scores", "tags"])
 
 
 class _Kept:
-    """For each query of a cell its k best references so far. References come by ascending id, so of equal scores those that came first stay."""
+    """For each query of a cell its k best references so far, and those that came since they were last told apart. References come by ascending
+    id, so of equal scores those that came first stay. Scores are such that less is better; limit is a query's k-th one."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, given: dict[str, np.ndarray], k: int, metric: str):
         self.ids, self.given, self.k, self.metric = ids, given, k, metric
         self.vectors, self.norms = vectors, (vectors * vectors).sum(axis=1)
-        self.score, self.ref = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, np.int64)
+        shape = (len(ids), k + 2 * TILE)
+        self.score, self.ref, self.tag = np.full(shape, np.inf), np.full(shape, -1, np.int64), np.zeros(shape, np.int64)
+        self.filled, self.limit = np.zeros(len(ids), np.int64), np.full(len(ids), np.inf)
 
-    def _barred(self, q: slice, r: dict[str, np.ndarray]) -> np.ndarray:
-        out = self.ids[q, None] == r["id"]
+    def _free(self, q: np.ndarray, r: dict[str, np.ndarray], j: np.ndarray) -> np.ndarray:
+        """Whether the references may serve the queries, pair by pair."""
+        out = self.ids[q] != r["id"][j]
         if "group" in r:
-            out |= self.given["group"][q, None] == r["group"]
+            out &= self.given["group"][q] != r["group"][j]
         if "until" in r:
-            out |= self.given["until"][q, None] < r["until"]
+            out &= self.given["until"][q] >= r["until"][j]
         if "kind" in r:
-            out |= self.given["kind"][q, None] != r["kind"]
+            out &= self.given["kind"][q] == r["kind"][j]
         return out
 
     def meet(self, q: slice, r: dict[str, np.ndarray], vectors: np.ndarray) -> None:
-        products = self.vectors[q] @ vectors.T
+        """At most TILE references."""
+        limit, d = self.limit[q], self.vectors[q] @ vectors.T
         if self.metric == "cosine":
-            d = -products
+            np.negative(d, out=d)
+            i, j = np.nonzero(d < limit[:, None])
+            score = d[i, j]
         else:  # those that rounding may have put too far are computed anew
             norms = (vectors * vectors).sum(axis=1)
-            d = self.norms[q, None] + norms - 2 * products
-        d[self._barred(q, r)] = np.inf
-        if self.metric != "cosine":
-            slack = 8 * np.finfo(float).eps * vectors.shape[1] * (self.norms[q] + norms.max())[:, None]
-            near = np.minimum(np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k] if d.shape[1] > self.k else np.inf, self.score[q].max(axis=1, keepdims=True))
-            row, column = np.nonzero((d <= near + 2 * slack) & np.isfinite(d))
-            exact = np.full(d.shape, np.inf)
-            for start in range(0, len(row), 65_536):
-                i, j = row[start : start + 65_536], column[start : start + 65_536]
-                exact[i, j] = ((self.vectors[q][i] - vectors[j]) ** 2).sum(axis=1)
-            d = exact
-        both = np.concatenate([self.score[q], d], axis=1)
-        last = np.partition(both, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-        less, equal = both < last, both == last
-        keep = less | (equal & (np.cumsum(equal, axis=1) <= self.k - less.sum(axis=1, keepdims=True)))  # k of each row, in order
-        refs = np.concatenate([self.ref[q], np.broadcast_to(r["id"], d.shape)], axis=1)
-        self.score[q], self.ref[q] = both[keep].reshape(-1, self.k), refs[keep].reshape(-1, self.k)
-
-    def rows(self, q: slice) -> pa.RecordBatch:
-        row, column = np.nonzero(np.isfinite(self.score[q]))
-        score = self.score[q][row, column]
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[q][row]), pa.array(self.ref[q][row, column]), pa.array(-score if self.metric == "cosine" else score)], ["query", "ref", "score"])
-
-
-def _nearest(k: int, metric: str, extra: list[str], tile: int = 512):
+            slack = 16 * np.finfo(float).eps * vectors.shape[1] * (self.norms[q] + norms.max())
+            i, j = np.nonzero(self.norms[q, None] + norms - 2 * d <= (limit + slack)[:, None])
+            score, own = np.empty(len(i)), self.vectors[q]
+            for start in range(0, len(i), 65_536):
+                at = slice(start, start + 65_536)
+                score[at] = ((own[i[at]] - vectors[j[at]]) ** 2).sum(axis=1)
+        keep = self._free(q.start + i, r, j) & (score < limit[i])
+        row, j, score = q.start + i[keep], j[keep], score[keep]
+        if not len(row):
+            return
+        new = np.bincount(row - q.start, minlength=len(limit))
+        place = self.filled[row] + np.arange(len(row)) - np.repeat(np.cumsum(new) - new, new)
+        self.score[row, place], self.ref[row, place], self.tag[row, place] = score, r["id"][j], r["tag"][j]
+        self.filled[q.start : q.start + len(new)] += new
+        self._told(q.start + np.flatnonzero(self.filled[q] > self.k + TILE))
+
+    def _told(self, rows: np.ndarray) -> None:
+        """Of the rows that have more than k, the k best stay, in the order in which they came."""
+        if not len(rows):
+            return
+        s = self.score[rows]
+        last = np.partition(s, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+        less, equal = s < last, s == last
+        keep = less | (equal & (np.cumsum(equal, axis=1) <= self.k - less.sum(axis=1, keepdims=True)))  # k of each row
+        for x in (self.ref, self.tag):
+            x[rows, : self.k] = x[rows][keep].reshape(-1, self.k)
+        self.score[rows, : self.k], self.score[rows, self.k :] = s[keep].reshape(-1, self.k), np.inf
+        self.filled[rows], self.limit[rows] = self.k, last[:, 0]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(self.ids), TILE):
+            self._told(start + np.flatnonzero(self.filled[start : start + TILE] > self.k))
+            for at in range(0, int(self.filled[start : start + TILE].max()), CHUNK):
+                sizes = np.clip(self.filled[start : start + TILE] - at, 0, CHUNK)
+                some = start + np.flatnonzero(sizes)
+                take = np.arange(at, min(at + CHUNK, self.k)) < self.filled[some, None]
+                flat = lambda x: x[some, at : min(at + CHUNK, self.k)][take]  # noqa: B023, E731
+                score = flat(self.score)
+                yield _lists(self.ids[some], self.given["tag"][some], sizes[sizes > 0], flat(self.ref), -score if self.metric == "cosine" else score, flat(self.tag))
+
+
+def _nearest(k: int, metric: str, extra: list[str]):
     def matrix(column: pa.Array) -> np.ndarray:
         v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if metric == "cosine" else v
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, asked, kept = None, [], None
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            for start in range(0, len(kept.ids) if kept else 0, tile):
-                yield kept.rows(slice(start, start + tile))
-
         for batch in batches:
             place = batch.column("i").to_numpy() << 32 | batch.column("j").to_numpy() << 1 | batch.column("side").to_numpy()
             cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
@@ -116,11 +155,12 @@ def _nearest(k: int, metric: str, extra: list[str], tile: int = 512):
                 if a == b:
                     continue
                 some = batch.slice(a, b - a)
-                given = {c: some.column(c).to_numpy() for c in ("id", *extra)}
+                given = {c: some.column(c).to_numpy() for c in ("id", "tag", *extra)}
                 vectors = matrix(some.column("vector"))
                 cell, is_ref = int(place[a]) >> 1, bool(place[a] & 1)
                 if cell != now:
-                    yield from closed()
+                    if kept:
+                        yield from kept.rows()
                     now, asked, kept = cell, [], None
                 if not is_ref:  # queries come before references
                     asked.append((given, vectors))
@@ -128,14 +168,51 @@ def _nearest(k: int, metric: str, extra: list[str], tile: int = 512):
                 if kept is None and asked:
                     one = {c: np.concatenate([g[c] for g, _ in asked]) for c in given}
                     kept, asked = _Kept(one["id"], np.concatenate([v for _, v in asked]), one, k, metric), []
-                for start in range(0, len(kept.ids) if kept else 0, tile):
-                    for at in range(0, b - a, 4 * tile):
-                        kept.meet(slice(start, start + tile), {c: x[at : at + 4 * tile] for c, x in given.items()}, vectors[at : at + 4 * tile])
-        yield from closed()
+                for start in range(0, len(kept.ids) if kept else 0, SLICE):
+                    for at in range(0, b - a, TILE):
+                        kept.meet(slice(start, start + SLICE), {c: x[at : at + TILE] for c, x in given.items()}, vectors[at : at + TILE])
+        if kept:
+            yield from kept.rows()
 
     return run
 
 
+def _merged(k: int, metric: str):
+    """Of each query's lists, which come one after the other, the k best, of equals the smaller ids."""
+
+    def best(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        flat = lambda c: np.concatenate([p.column(c).flatten().to_numpy() for p in parts])
+        refs, scores, tags = flat("refs"), flat("scores"), flat("tags")
+        top = np.lexsort((refs, -scores if metric == "cosine" else scores))[:k]
+        one = lambda c: parts[0].column(c).to_numpy()[:1]
+        return _lists(one("query"), one("tag"), np.array([len(top)]), refs[top], scores[top], tags[top])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            query = batch.column("query").to_numpy()
+            cuts = [0, *(np.flatnonzero(query[1:] != query[:-1]) + 1).tolist(), len(query)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if query[a] != now and parts:
+                    yield best(parts)
+                    parts = []
+                now = query[a]
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield best(parts)
+
+    return run
+
+
+def servable(found: DataFrame, m: int) -> DataFrame:
+    """query, ref, score and rank of the first m of each query's found references (``search_lists``) that may serve: tags are cells, -1 for those that
+    never may, and a query's own cell does not serve it."""
+    may = F.filter("found", lambda x: (x["tag"] >= 0) & (x["tag"] != F.col("tag")) & (x["ref"] != F.col("query")))
+    return found.select("query", F.posexplode(F.slice(may, 1, m)).alias("_at", "_f")).select("query", "_f.ref", "_f.score", (F.col("_at") + 1).alias("rank"))
+
+
 def hard_filter(same_cell: str = "exclude", same_chemistry: bool = False, splits: Sequence[str] = ()) -> Column:
     """Whether a reference may serve a query (columns q_… and r_… of id, cell, end, chemistry, split, future).
 

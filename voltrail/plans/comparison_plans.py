@@ -9,7 +9,7 @@ from voltrail.functions.columns import r6, sigmoid
 from voltrail.functions.ranks import numbered
 from voltrail.operators import retrieval as op
 from voltrail.plans.registry import query
-from voltrail.plans.retrieval_plans import PAIRS_SQL, RESULTS_SQL, chosen, coarse, components_sql, pairs_of, query_rows, results_of, with_components
+from voltrail.plans.retrieval_plans import PAIRS_SQL, RESULTS_SQL, TOLD, both_sides, chosen, coarse, components_sql, pairs_of, query_rows, results_of, with_components
 from voltrail.plans.window_plans import CASES_SQL, H, L, cases_of
 from voltrail.functions.storage import stored
 
@@ -50,12 +50,14 @@ k AS (SELECT *, row_number() OVER (PARTITION BY setting, query ORDER BY d, ref)
 
 def settings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The components are computed once; each setting only weighs them anew."""
-    pairs = pairs_of(spark, sf_dir).select("query", "ref", "r_cell", "q_dataset", "q_chemistry", "r_chemistry", "q_future", "r_future", "d_soh_state", "d_qv_shape", "d_physics", "d_metadata")
+    df, found = coarse(spark, sf_dir)
+    pairs = with_components(df, found).select("query", "ref", "r_cell", "d_soh_state", "d_qv_shape", "d_physics", "d_metadata")
     each = F.array(*(F.struct(F.lit(n).alias("setting"), op.composite(w).alias("d")) for n, w in PRESETS.items()))
     long = pairs.withColumn("s", F.explode(each)).select("*", "s.*").drop("s")
     order = ["d", "ref"]
     one = long.withColumn("_c", F.row_number().over(Window.partitionBy("setting", "query", "r_cell").orderBy(*order))).where("_c = 1").drop("_c")
-    return one.withColumn("rank", F.row_number().over(Window.partitionBy("setting", "query").orderBy(*order))).where("rank <= 3")
+    best = one.withColumn("rank", F.row_number().over(Window.partitionBy("setting", "query").orderBy(*order))).where("rank <= 3")
+    return both_sides(df, best.drop("r_cell"), ["id", "cell", "dataset", "chemistry", "future"])
 
 
 @query(SETTINGS_SQL + " SELECT setting, query, ref, rank, round(d, 6) AS distance FROM top3")
@@ -119,7 +121,7 @@ def random_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     References stand in the order of their digests; a query takes those from a place of its own on, so that all can be drawn and no
     query meets them all."""
     df, found = coarse(spark, sf_dir)
-    real = chosen(with_components(df, found)).select(F.lit("retrieved").alias("how"), "query", "distance", "alpha", "r_future", "q_future")
+    real = chosen(df, with_components(df, found)).select(F.lit("retrieved").alias("how"), "query", "distance", "alpha", "r_future", "q_future")
     digest = F.md5(F.concat(F.col("case_id").cast("string"), F.lit("|1")))
     refs = df.where("split != 'target_query'").select("case_id", digest.alias("digest"))
     refs = numbered(refs, ["digest", "case_id"]).select(F.col("case_id").alias("ref"), "place")
@@ -171,7 +173,7 @@ one AS (SELECT *, row_number() OVER (PARTITION BY query, r_cell ORDER BY d, ref)
 SELECT query, ref, rank, round(d, 6) AS distance, round(distance, 6) AS base_distance FROM k WHERE rank <= 5""")
 def curve_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dataset's queries order their candidates by the distance blended with that of the curves."""
-    pairs = pairs_of(spark, sf_dir).withColumns({"cell": F.col("r_cell"), "d": F.when(F.col("r_stage") != "end", F.col("d_qv_shape"))})
+    pairs = pairs_of(spark, sf_dir).select(*TOLD).withColumns({"cell": F.col("r_cell"), "d": F.when(F.col("r_stage") != "end", F.col("d_qv_shape"))})
     out = op.capped_topk(op.blended_rerank(pairs, F.col("q_dataset") == "hust", extra="d"), 5, per="cell", cap=2)
     return out.select("query", "ref", "rank", r6("distance", "distance"), r6("base_distance", "base_distance"))
 
