@@ -367,3 +367,12 @@ def test_found_lists_bring_tags_and_serve_by_them(spark, cells):
     for q in range(0, 260, 10):
         near = sorted((i for i in range(260) if i != q), key=lambda i: (((v[i] - v[q]) ** 2).sum(), i))[:150]
         assert got[q] == [i for i in near if tags[i] >= 0 and tags[i] != tags[q]][:40]
+
+
+def test_future_operations_make_their_windows_once(spark):
+    """One scan of the events for the windows (and one for nominal capacities), not one for each mode."""
+    from voltrail.plans import window_plans
+
+    sf = "/root/testdata/sf0.001"
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert 0 < scans(window_plans.future_ops(spark, sf)) == scans(window_plans.windows_of(spark, sf, ["soh"], []))
