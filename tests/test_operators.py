@@ -376,3 +376,10 @@ def test_future_operations_make_their_windows_once(spark):
     sf = "/root/testdata/sf0.001"
     scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
     assert 0 < scans(window_plans.future_ops(spark, sf)) == scans(window_plans.windows_of(spark, sf, ["soh"], []))
+
+
+@pytest.mark.parametrize("stride", [1, 3, 7, 30])
+def test_windows_of_any_stride(spark, stride):
+    df = series(spark, [float(i) for i in range(53)]).withColumnRenamed("capacity", "soh")
+    got = windows.sliding(df, ["soh"], 16, 4, stride).orderBy("window_start").collect()
+    assert [r["soh_seq"] + r["soh_future"] for r in got] == [[float(i) for i in range(s, s + 20)] for s in range(0, 53 - 19, stride)]
