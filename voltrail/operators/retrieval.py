@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from math import ceil, sqrt
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from voltrail.functions.columns import array_count, array_mean, array_std, bound, clip01
 from voltrail.functions.ranks import exact, sketched
+from voltrail.functions.storage import in_order, streamed
 
 
 #: MB that the queries of a cell and what is kept for them may take.
@@ -25,41 +26,39 @@ def search(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine",
     return found.select("query", F.posexplode("found").alias("_at", "_f")).select("query", "_f.ref", "_f.score", (F.col("_at") + 1).alias("rank"))
 
 
-def search_lists(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", cells: int | None = None) -> DataFrame:
-    """query, its tag, and found: an array of ref, score and tag of its k best references, best first.
+def search_lists(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", cells: int | None = None, serve: int | None = None) -> DataFrame:
+    """query, its tag, and found: an array of ref, score and tag of its k best references, best first; with serve, of these only as many as hold the
+    first so many that may serve (``servable``).
 
     Both sides: id (long, unique), vector, and optionally group, until, kind, tag (long; a tag only comes along). References of a query's own
     id or group, those that end after the query (until) and those of another kind are left out before the choice; so are rows of either side whose
-    vector is missing or has an element that is missing or not finite. Blocks of queries and blocks of references meet in a grid of about
-    so many cells (unless given, as many as shuffle partitions, and more if a cell's queries would take more than CELL_MB); each cell
-    keeps its k best, of equals the smaller ids, and the best of a query's cells follow from these. The grid is such that the copies of the references
-    and the lists of the cells take about as much room. Distances (l2: squared) are those of the elements' differences, however far the vectors lie from 0.
+    vector is missing or has an element that is missing or not finite. References are stored once, in order of their ids, and stream through the cells: a cell has a
+    block of queries and meets all of them or, where queries are too few for about so many cells (unless given, as many as shuffle partitions), a part. There are more
+    cells if a cell's queries would take more than CELL_MB. Only lists of parts are shuffled and merged. A cell keeps its k best, of equals the smaller ids.
+    Scores (l2: squared distances) are those of the elements themselves, however far the vectors lie from 0; products of blocks only choose which pairs are computed.
     """
     extra = [c for c in ("group", "until", "kind") if c in queries.columns]
     whole = lambda df: df.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.forall(F.col("vector").cast("array<double>"), lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
     tagged = lambda df: df if "tag" in df.columns else df.withColumn("tag", F.lit(0))
-    queries, refs = tagged(whole(queries)), tagged(whole(refs))
+    side = lambda df: tagged(whole(df)).select(F.col("id").cast("long").alias("id"), F.col("tag").cast("long").alias("tag"), F.col("vector").cast("array<double>").alias("vector"), *(F.col(c).cast("long").alias(c) for c in extra))
     cells = cells or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size, many = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first(), refs.count()
-    width = size["width"] or 1
-    fit = max(64, int(CELL_MB * 1e6 / (24 * (k + 2 * TILE) + 8 * width)))
-    even = sqrt(cells * max(1, size["n"] * 24 * k) / max(1, many * 8 * width))
-    down = max(1, round(min(even, cells)), ceil(size["n"] / fit))
-    aside = max(1, ceil(cells / down))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    everywhere = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    side = lambda df, number: df.select(F.lit(number).alias("side"), F.col("id").cast("long").alias("id"), F.col("tag").cast("long").alias("tag"), F.col("vector").cast("array<double>").alias("vector"), *(F.col(c).cast("long").alias(c) for c in extra))
-    left = side(queries, 0).withColumns({"i": own(down), "j": everywhere(aside)})
-    right = side(refs, 1).withColumns({"i": everywhere(down), "j": own(aside)})
-    dealt = left.unionByName(right).repartition("i", "j").sortWithinPartitions("i", "j", "side", "id")
-    found = dealt.mapInArrow(_nearest(k, metric, extra), LISTS).repartition("query").sortWithinPartitions("query").mapInArrow(_merged(k, metric), LISTS)
+    asked, files = side(queries), in_order(side(refs), "references", "id", cells)
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    fit = max(64, int(CELL_MB * 1e6 / (24 * (k + 2 * TILE) + 12 * (size["width"] or 1))))
+    down = max(1, ceil(size["n"] / fit), min(cells, ceil(size["n"] / SLICE)))
+    aside = min(max(1, ceil(cells / down)), max(1, len(files)))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(aside - 1)))
+    dealt = asked.withColumn("part", parts).withColumn("cell", (F.pmod(F.xxhash64("id"), F.lit(down)) * aside + F.col("part")).cast("int"))
+    found = dealt.repartitionById(down * aside, "cell").drop("cell").mapInArrow(_nearest(k, metric, extra, files, aside, serve), LISTS)
+    if aside > 1:
+        found = found.repartition("query").sortWithinPartitions("query").mapInArrow(_merged(k, metric), LISTS)
     return found.select("query", "tag", F.arrays_zip(F.col("refs").alias("ref"), F.col("scores").alias("score"), F.col("tags").alias("tag")).alias("found"))
 
 
-#: Rows between the two steps of a search, and the references that a row may have there.
-LISTS, CHUNK = "query long, tag long, refs array<long>, scores array<double>, tags array<long>", 100
-#: References that meet a slice of a cell's queries at once, and the queries of a slice.
-TILE, SLICE = 256, 1024
+#: Rows between the two steps of a search.
+LISTS = "query long, tag long, refs array<long>, scores array<double>, tags array<long>"
+#: References that meet a slice of a cell's queries at once, the queries of a slice, and the references that a query may gain before its best are told apart.
+BLOCK, SLICE, TILE = 2048, 1024, 256
 
 
 def _lists(query: np.ndarray, tag: np.ndarray, sizes: np.ndarray, refs: np.ndarray, scores: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
@@ -74,8 +73,9 @@ class _Kept:
     id, so of equal scores those that came first stay. Scores are such that less is better; limit is a query's k-th one."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, given: dict[str, np.ndarray], k: int, metric: str):
-        self.ids, self.given, self.k, self.metric = ids, given, k, metric
-        self.vectors, self.norms = vectors, (vectors * vectors).sum(axis=1)
+        self.ids, self.given, self.k, self.metric, self.vectors = ids, given, k, metric, vectors
+        self.norms = (vectors * vectors).sum(axis=1)
+        self.rough = -vectors.astype(np.float32) if metric == "cosine" else vectors
         shape = (len(ids), k + 2 * TILE)
         self.score, self.ref, self.tag = np.full(shape, np.inf), np.full(shape, -1, np.int64), np.zeros(shape, np.int64)
         self.filled, self.limit = np.zeros(len(ids), np.int64), np.full(len(ids), np.inf)
@@ -92,25 +92,42 @@ class _Kept:
         return out
 
     def meet(self, q: slice, r: dict[str, np.ndarray], vectors: np.ndarray) -> None:
-        """At most TILE references."""
-        limit, d = self.limit[q], self.vectors[q] @ vectors.T
-        if self.metric == "cosine":
-            np.negative(d, out=d)
-            i, j = np.nonzero(d < limit[:, None])
-            score = d[i, j]
-        else:  # those that rounding may have put too far are computed anew
+        """A block of references. Those that rounding may have put too far are computed anew."""
+        limit, own = self.limit[q], self.vectors[q]
+        if len(vectors) > TILE and not np.isfinite(limit).all():  # while nothing bounds them, all are computed
+            for at in range(0, len(vectors), TILE):
+                self.meet(q, {c: x[at : at + TILE] for c, x in r.items()}, vectors[at : at + TILE])
+            return
+        if self.metric == "cosine":  # of unit vectors, in single precision
+            d = self.rough[q] @ vectors.astype(np.float32).T
+            edge = limit + 4 * np.finfo(np.float32).eps * (vectors.shape[1] + 8)
+        else:
             norms = (vectors * vectors).sum(axis=1)
-            slack = 16 * np.finfo(float).eps * vectors.shape[1] * (self.norms[q] + norms.max())
-            i, j = np.nonzero(self.norms[q, None] + norms - 2 * d <= (limit + slack)[:, None])
-            score, own = np.empty(len(i)), self.vectors[q]
-            for start in range(0, len(i), 65_536):
-                at = slice(start, start + 65_536)
-                score[at] = ((own[i[at]] - vectors[j[at]]) ** 2).sum(axis=1)
-        keep = self._free(q.start + i, r, j) & (score < limit[i])
-        row, j, score = q.start + i[keep], j[keep], score[keep]
-        if not len(row):
+            d = self.norms[q, None] + norms - 2 * (self.rough[q] @ vectors.T)
+            edge = limit + 16 * np.finfo(float).eps * vectors.shape[1] * (self.norms[q] + norms.max())
+        i, j = np.divmod(np.flatnonzero(d <= edge.astype(d.dtype)[:, None]), len(vectors))
+        free = self._free(q.start + i, r, j)
+        i, j = i[free], j[free]
+        score = np.empty(len(i))
+        for start in range(0, len(i), 65_536):
+            at = slice(start, start + 65_536)
+            a, b = own[i[at]], vectors[j[at]]
+            score[at] = -(a * b).sum(axis=1) if self.metric == "cosine" else ((a - b) ** 2).sum(axis=1)
+        keep = score < limit[i]
+        i, j, score = i[keep], j[keep], score[keep]
+        if not len(i):
+            return
+        if np.bincount(i).max() <= TILE:
+            self._add(q, i, j, score, r)
             return
-        new = np.bincount(row - q.start, minlength=len(limit))
+        for start in range(0, len(vectors), TILE):
+            some = (j >= start) & (j < start + TILE) & (score < self.limit[q][i])
+            if some.any():
+                self._add(q, i[some], j[some], score[some], r)
+
+    def _add(self, q: slice, i: np.ndarray, j: np.ndarray, score: np.ndarray, r: dict[str, np.ndarray]) -> None:
+        """At most TILE references for each query, in order of the queries and then of the references."""
+        row, new = q.start + i, np.bincount(i)
         place = self.filled[row] + np.arange(len(row)) - np.repeat(np.cumsum(new) - new, new)
         self.score[row, place], self.ref[row, place], self.tag[row, place] = score, r["id"][j], r["tag"][j]
         self.filled[q.start : q.start + len(new)] += new
@@ -129,50 +146,40 @@ class _Kept:
         self.score[rows, : self.k], self.score[rows, self.k :] = s[keep].reshape(-1, self.k), np.inf
         self.filled[rows], self.limit[rows] = self.k, last[:, 0]
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def rows(self, serve: int | None) -> Iterator[pa.RecordBatch]:
+        """A list for each query that found any, best first, which ends with the last that is needed."""
         for start in range(0, len(self.ids), TILE):
             self._told(start + np.flatnonzero(self.filled[start : start + TILE] > self.k))
-            for at in range(0, int(self.filled[start : start + TILE].max()), CHUNK):
-                sizes = np.clip(self.filled[start : start + TILE] - at, 0, CHUNK)
-                some = start + np.flatnonzero(sizes)
-                take = np.arange(at, min(at + CHUNK, self.k)) < self.filled[some, None]
-                flat = lambda x: x[some, at : min(at + CHUNK, self.k)][take]  # noqa: B023, E731
-                score = flat(self.score)
-                yield _lists(self.ids[some], self.given["tag"][some], sizes[sizes > 0], flat(self.ref), -score if self.metric == "cosine" else score, flat(self.tag))
+            some = start + np.flatnonzero(self.filled[start : start + TILE])
+            order = np.argsort(self.score[some, : self.k], axis=1, kind="stable")
+            score, ref, tag = (np.take_along_axis(x[some, : self.k], order, axis=1) for x in (self.score, self.ref, self.tag))
+            take = np.arange(self.k) < self.filled[some, None]
+            if serve is not None:
+                may = (tag >= 0) & (tag != self.given["tag"][some, None]) & (ref != self.ids[some, None])
+                take &= np.cumsum(may, axis=1) - may < serve
+            yield _lists(self.ids[some], self.given["tag"][some], take.sum(axis=1), ref[take], -score[take] if self.metric == "cosine" else score[take], tag[take])
 
 
-def _nearest(k: int, metric: str, extra: list[str]):
+def _nearest(k: int, metric: str, extra: list[str], files: list[str], aside: int, serve: int | None):
+    names = ["id", "tag", *extra]
+
     def matrix(column: pa.Array) -> np.ndarray:
         v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if metric == "cosine" else v
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, asked, kept = None, [], None
-        for batch in batches:
-            place = batch.column("i").to_numpy() << 32 | batch.column("j").to_numpy() << 1 | batch.column("side").to_numpy()
-            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                some = batch.slice(a, b - a)
-                given = {c: some.column(c).to_numpy() for c in ("id", "tag", *extra)}
-                vectors = matrix(some.column("vector"))
-                cell, is_ref = int(place[a]) >> 1, bool(place[a] & 1)
-                if cell != now:
-                    if kept:
-                        yield from kept.rows()
-                    now, asked, kept = cell, [], None
-                if not is_ref:  # queries come before references
-                    asked.append((given, vectors))
-                    continue
-                if kept is None and asked:
-                    one = {c: np.concatenate([g[c] for g, _ in asked]) for c in given}
-                    kept, asked = _Kept(one["id"], np.concatenate([v for _, v in asked]), one, k, metric), []
-                for start in range(0, len(kept.ids) if kept else 0, SLICE):
-                    for at in range(0, b - a, TILE):
-                        kept.meet(slice(start, start + SLICE), {c: x[at : at + TILE] for c, x in given.items()}, vectors[at : at + TILE])
-        if kept:
-            yield from kept.rows()
+        asked = [b for b in batches if b.num_rows]
+        if not asked:
+            return
+        part = asked[0].column("part")[0].as_py()  # a task has one cell
+        given = {c: np.concatenate([b.column(c).to_numpy() for b in asked]) for c in names}
+        kept = _Kept(given["id"], np.concatenate([matrix(b.column("vector")) for b in asked]), given, k, metric)
+        del asked
+        for batch in streamed(files[part * len(files) // aside : (part + 1) * len(files) // aside], [*names, "vector"], BLOCK):
+            r, vectors = {c: batch.column(c).to_numpy() for c in names}, matrix(batch.column("vector"))
+            for start in range(0, len(kept.ids), SLICE):
+                kept.meet(slice(start, start + SLICE), r, vectors)
+        yield from kept.rows(serve)
 
     return run
 
