@@ -383,3 +383,36 @@ def test_windows_of_any_stride(spark, stride):
     df = series(spark, [float(i) for i in range(53)]).withColumnRenamed("capacity", "soh")
     got = windows.sliding(df, ["soh"], 16, 4, stride).orderBy("window_start").collect()
     assert [r["soh_seq"] + r["soh_future"] for r in got] == [[float(i) for i in range(s, s + 20)] for s in range(0, 53 - 19, stride)]
+
+
+def test_a_search_sends_final_lists_alone(spark, monkeypatch):
+    """Where queries are enough for all cells, nothing is shuffled but the queries; a list ends with the last reference that is needed."""
+    monkeypatch.setattr(retrieval, "SLICE", 16)
+    rng = np.random.default_rng(7)
+    v, tags = rng.normal(size=(300, 5)), rng.integers(-1, 4, 300)
+    df = spark.createDataFrame([(i, x.tolist(), int(t)) for i, (x, t) in enumerate(zip(v, tags))], "id long, vector array<double>, tag long")
+    found = retrieval.search_lists(df, df, 120, "cosine", 4, serve=10)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = retrieval.servable(retrieval.search_lists(df, df, 120, "cosine", 4), 10)
+    assert sorted(map(tuple, retrieval.servable(found, 10).collect())) == sorted(map(tuple, want.collect()))
+    for r in found.collect():
+        may = [x["tag"] >= 0 and x["tag"] != r["tag"] for x in r["found"]]
+        assert sum(may) <= 10 and (may[-1] or len(may) == 120)
+
+
+@pytest.mark.parametrize("held", [3, 1000])
+def test_sides_and_vectors_are_found_where_pairs_are(spark, monkeypatch, held):
+    """The same as joins, for any number of pairs that a task holds; sides are not shuffled with pairs."""
+    monkeypatch.setattr(retrieval, "PAIRS", held)
+    rng = np.random.default_rng(8)
+    cases = spark.createDataFrame([(i, f"c{i % 7}", [float(i), None] if i % 5 else None) for i in range(90)], "id long, cell string, seq array<double>").repartition(3)
+    pairs = spark.createDataFrame([(q, int(r), float(d)) for q in range(0, 90, 4) for r, d in zip(rng.permutation(100)[:12], rng.random(12))], "query long, ref long, distance double")
+    side = lambda p: cases.toDF(*(f"{p}_{c}" for c in cases.columns))
+    want = pairs.join(side("q"), F.col("query") == F.col("q_id")).join(side("r"), F.col("ref") == F.col("r_id")).drop("q_id", "r_id")
+    got = retrieval.with_sides(pairs, cases)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(100, 4)))], "id long, vector array<double>")
+    named = pairs.withColumns({"cell": F.concat(F.lit("c"), (F.col("ref") % 5).cast("string")), "domain": (F.col("ref") % 3).cast("string")})
+    want = retrieval.mmr_select(named.join(vectors, F.col("ref") == F.col("id")), 4, cap=1)
+    assert sorted(map(tuple, retrieval.mmr_select(named, 4, cap=1, vectors=vectors).collect())) == sorted(map(tuple, want.collect()))

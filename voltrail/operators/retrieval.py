@@ -220,6 +220,56 @@ def servable(found: DataFrame, m: int) -> DataFrame:
     return found.select("query", F.posexplode(F.slice(may, 1, m)).alias("_at", "_f")).select("query", "_f.ref", "_f.score", (F.col("_at") + 1).alias("rank"))
 
 
+#: Pairs, and queries among them, that a task holds while the cases stream by.
+PAIRS, ASKED = 500_000, 8192
+
+
+def with_sides(pairs: DataFrame, cases: DataFrame) -> DataFrame:
+    """pairs (query, ref and other numbers) with the columns of their two cases, as q_… and r_…; cases: id (long, unique) and columns.
+
+    The cases are stored once in order of their ids. A task holds some of its pairs, looks up their queries and lets the cases stream by, so that neither pairs nor
+    what they carry are shuffled. Pairs should come query by query, as a search gives them.
+    """
+    names = [c for c in cases.columns if c != "id"]
+    files = in_order(cases.withColumn("id", F.col("id").cast("long")), "sides", "id", int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    schema = ", ".join([f"`{c}` {t}" for c, t in pairs.dtypes] + [f"`{p}_{c}` {t}" for p in "qr" for c, t in cases.dtypes if c != "id"])
+
+    def told(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        query, ref = held.column("query").to_numpy(), held.column("ref").to_numpy()
+        asked, order = np.unique(query), np.argsort(ref, kind="stable")
+        sought, parts = ref[order], []
+        for batch in streamed(files, ["id", *names], 4096):
+            own = np.isin(batch.column("id").to_numpy(), asked)
+            if own.any():
+                parts.append(batch.filter(pa.array(own)))
+        if not parts:
+            return
+        left = pa.Table.from_batches(parts).combine_chunks()
+        known = left.column("id").to_numpy()
+        for batch in streamed(files, ["id", *names], 4096):
+            ids = batch.column("id").to_numpy()
+            for low in range(int(np.searchsorted(sought, ids[0])), stop := int(np.searchsorted(sought, ids[-1], "right")), 4096):
+                at = order[low : min(low + 4096, stop)]
+                i, j = np.searchsorted(known, query[at]).clip(max=len(known) - 1), np.searchsorted(ids, ref[at])
+                both = (known[i] == query[at]) & (ids[j] == ref[at])
+                rows = [held.take(at[both]), left.select(names).take(i[both]), pa.Table.from_batches([batch]).select(names).take(j[both])]
+                columns = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for t in rows for c in t.columns]
+                yield pa.RecordBatch.from_arrays(columns, [*held.column_names, *(f"{p}_{c}" for p in "qr" for c in names)])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, queries = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            n, queries = n + batch.num_rows, queries + len(np.unique(batch.column("query").to_numpy()))
+            if n >= PAIRS or queries >= ASKED:
+                yield from told(pa.Table.from_batches(held).combine_chunks())
+                held, n, queries = [], 0, 0
+        if n:
+            yield from told(pa.Table.from_batches(held).combine_chunks())
+
+    return pairs.where("query IS NOT NULL AND ref IS NOT NULL").mapInArrow(run, schema)
+
+
 def hard_filter(same_cell: str = "exclude", same_chemistry: bool = False, splits: Sequence[str] = ()) -> Column:
     """Whether a reference may serve a query (columns q_… and r_… of id, cell, end, chemistry, split, future).
 
@@ -422,41 +472,85 @@ def capped_topk(pairs: DataFrame, k: int, per: str | None = None, cap: int = 2,
     """The k nearest references of each query, at most ``cap`` of one cell (or domain)."""
     order = [F.asc_nulls_last(distance), F.col("ref")]
     if per:
+        pairs = pairs.repartition("query")  # moved once for both ranks
         pairs = pairs.withColumn("_c", F.row_number().over(W.partitionBy("query", per).orderBy(*order))).where(F.col("_c") <= cap).drop("_c")
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def mmr_select(pairs: DataFrame, k: int, cap: int = 2, trade: float = 0.75, max_domain: int | None = None) -> DataFrame:
+def mmr_select(pairs: DataFrame, k: int, cap: int = 2, trade: float = 0.75, max_domain: int | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Greedy choice by nearness and distance from what is chosen, with caps on cells and domains.
 
-    pairs: query, ref, distance, cell, domain, vector (of the reference). Queries have few candidates (the coarse cut).
+    pairs: query, ref, distance, cell, domain, vector (of the reference). Queries have few candidates (the coarse cut). With vectors (id, vector) of all references these are
+    stored once in order of their ids and let pass by for some queries at a time, so that pairs move without them.
     """
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([("distance", "ascending"), ("ref", "ascending")])
+    def select(table: pa.Table, v: np.ndarray) -> tuple[np.ndarray, list[float]]:
+        """Places and diversity of the chosen of a query's pairs, which come by distance and then by ref."""
         d = table.column("distance").to_numpy()
         if len(d) <= k:
-            chosen, diversity = list(range(len(d))), [0.0] * len(d)
-        else:
-            v = np.array(table.column("vector").to_pylist(), np.float64)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            cells, domains = table.column("cell").to_pylist(), table.column("domain").to_pylist()
-            chosen, diversity, left = [], [], list(range(len(d)))
-            while left and len(chosen) < k:
-                free = [i for i in left if sum(cells[j] == cells[i] for j in chosen) < cap and (max_domain is None or sum(domains[j] == domains[i] for j in chosen) < max_domain)]
-                if not free:
-                    break
-                near = (v[free] @ v[chosen].T).max(axis=1) if chosen else np.zeros(len(free))
-                best = int(np.argmax(-trade * d[free] - (1 - trade) * near))
-                chosen.append(free[best])
-                diversity.append(float(near[best]))
-                left.remove(free[best])
-            if not chosen:
-                chosen, diversity = list(range(k)), [0.0] * k
+            return np.arange(len(d)), [0.0] * len(d)
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        cells, domains = table.column("cell").to_pylist(), table.column("domain").to_pylist()
+        chosen, diversity, left = [], [], list(range(len(d)))
+        while left and len(chosen) < k:
+            free = [i for i in left if sum(cells[j] == cells[i] for j in chosen) < cap and (max_domain is None or sum(domains[j] == domains[i] for j in chosen) < max_domain)]
+            if not free:
+                break
+            near = (v[free] @ v[chosen].T).max(axis=1) if chosen else np.zeros(len(free))
+            best = int(np.argmax(-trade * d[free] - (1 - trade) * near))
+            chosen.append(free[best])
+            diversity.append(float(near[best]))
+            left.remove(free[best])
+        return (np.array(chosen), diversity) if chosen else (np.arange(k), [0.0] * k)
+
+    names, schema = ["query", "ref", "distance", "rank", "diversity"], "query long, ref long, distance double, rank int, diversity double"
+
+    def result(table: pa.Table, chosen: np.ndarray, diversity: list[float]) -> pa.Table:
         out = table.take(chosen)
-        return pa.table({"query": out.column("query"), "ref": out.column("ref"), "distance": out.column("distance"), "rank": pa.array(range(1, len(chosen) + 1), pa.int32()), "diversity": pa.array(diversity, pa.float64())})
-
-    return pairs.select("query", "ref", "distance", "cell", "domain", "vector").groupBy("query").applyInArrow(run, "query long, ref long, distance double, rank int, diversity double")
+        return pa.table([out.column("query"), out.column("ref"), out.column("distance"), pa.array(range(1, len(chosen) + 1), pa.int32()), pa.array(diversity, pa.float64())], names)
+
+    order = ["distance", "ref"]
+    if vectors is None:
+
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            table = table.sort_by([(c, "ascending") for c in order])
+            return result(table, *select(table, np.array(table.column("vector").to_pylist(), np.float64)))
+
+        return pairs.select("query", *order, "cell", "domain", "vector").groupBy("query").applyInArrow(run, schema)
+    side = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    files = in_order(side, "vectors", "id", int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def told(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        refs, at = np.unique(held.column("ref").to_numpy(), return_inverse=True)
+        parts = []
+        for batch in streamed(files, ["id", "vector"], 4096):
+            own = np.isin(batch.column("id").to_numpy(), refs)
+            if own.any():
+                some = batch.filter(pa.array(own)).column("vector")
+                parts.append(some.flatten().to_numpy().reshape(len(some), -1))
+        v, query = np.concatenate(parts), held.column("query").to_numpy()
+        cuts = [0, *(np.flatnonzero(query[1:] != query[:-1]) + 1).tolist(), len(query)]
+        made = [result(part, *select(part, v[at[a:b]])) for a, b in zip(cuts, cuts[1:]) for part in [held.slice(a, b - a)]]
+        yield from pa.concat_tables(made).combine_chunks().to_batches()
+
+    def run_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if n >= PAIRS // 2:
+                table = pa.Table.from_batches(held).combine_chunks()
+                query = table.column("query").to_numpy()
+                whole = int(np.searchsorted(query, query[-1]))  # the last one may go on
+                if whole:
+                    yield from told(table.slice(0, whole))
+                    held = table.slice(whole).to_batches()
+                    n = table.num_rows - whole
+            held.append(batch)
+            n += batch.num_rows
+        if n:
+            yield from told(pa.Table.from_batches(held).combine_chunks())
+
+    moved = pairs.select("query", *order, "cell", "domain").repartition("query").sortWithinPartitions("query", *order)
+    return moved.mapInArrow(run_all, schema)
 
 
 def alpha(distance: str = "distance", temperature: float = 0.1) -> Column:
