@@ -42,7 +42,9 @@ def inferred_time(df: DataFrame, column: str, into: str = "minutes", keys: tuple
     name, seconds = column.lower(), 3600.0 if per_hour else 60.0
     df = df.withColumns({"_m": F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")), "_at": F.row_number().over(ordered)})
     known = F.when(F.col("_m").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_m").alias("m")))
-    df = df.withColumns({"_a": F.last(known, True).over(ordered.rowsBetween(W.unboundedPreceding, 0)), "_b": F.first(known, True).over(ordered.rowsBetween(0, W.unboundedFollowing))})
+    df = df.withColumns({"_a": F.last(known, True).over(ordered.rowsBetween(W.unboundedPreceding, 0))})
+    # from the end on, as a frame that ends there is gone through anew for each row
+    df = df.withColumn("_b", F.last(known, True).over(w.orderBy(F.desc("_at")).rowsBetween(W.unboundedPreceding, 0)))
     a, b = F.col("_a"), F.col("_b")
     filled = F.when(a["at"] == b["at"], a["m"]).otherwise(a["m"] + (F.col("_at") - a["at"]) / (b["at"] - a["at"]) * (b["m"] - a["m"]))
     filled = F.coalesce(filled, a["m"], b["m"])
@@ -120,19 +122,31 @@ def _cycles(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, dict[
             yield int(cell[begin]), int(cycle[begin]), {c: a[begin:end] for c, a in arrays.items()}
 
 
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow array of values of a kind; a list of lists comes as a matrix."""
+    if not (pa.types.is_list(kind) and pa.types.is_list(kind.value_type)):
+        return pa.array(values, kind)
+    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    flat = pa.array(np.concatenate([v.ravel() for v in values]) if values else np.zeros(0))
+    return pa.ListArray.from_arrays(ends([len(v) for v in values]), pa.ListArray.from_arrays(ends([v.shape[1] for v in values for _ in v]), flat))
+
+
 def _per_cycle(raw: DataFrame, columns: Sequence[str], f, kinds: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
     """Rows of cell, cycle and what f makes of the arrays of a cycle's samples, in order. Cycles are spread over the tasks, which
     take them one by one. kinds: the columns that f makes, with their types."""
     names, schema = ["cell", "cycle", *kinds], pa.schema([("cell", pa.int64()), ("cycle", pa.int64()), *((c, k) for c, (_, k) in kinds.items())])
 
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_column([x[i] for x in out], schema.field(c).type) for i, c in enumerate(names)], schema=schema)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for cell, cycle, g in _cycles(batches):
-            out.append(dict(zip(names, (cell, cycle, *f(g)))))
+            out.append((cell, cycle, *f(g)))
             if len(out) >= 500:
-                yield pa.RecordBatch.from_pylist(out, schema)
+                yield made(out)
                 out = []
-        yield pa.RecordBatch.from_pylist(out, schema)
+        yield made(out)
 
     one = raw.select(F.col("cell").cast("long").alias("cell"), F.col("cycle").cast("long").alias("cycle"), "sample", *columns)
     ddl = "cell long, cycle long, " + ", ".join(f"{c} {t}" for c, (t, _) in kinds.items())
@@ -142,19 +156,20 @@ def _per_cycle(raw: DataFrame, columns: Sequence[str], f, kinds: dict[str, tuple
 NUMBERS = ("array<double>", pa.list_(pa.float64()))
 
 
-def discharge_maps(raw: DataFrame, size: int = 100, skip_first: Column | None = None) -> DataFrame:
-    """Per cell and cycle: channels on the voltage grid, masks and statistics. raw: cell, cycle, sample, hours, voltage,
+def discharge_maps(raw: DataFrame, size: int = 100, skip_first: Column | None = None, whole: bool = True) -> DataFrame:
+    """Per cell and cycle: channels on the voltage grid and masks (unless whole is false), and statistics. raw: cell, cycle, sample, hours, voltage,
     current, capacity, temperature, discharging, low, high. Of the cells of skip_first (those of a lab that calibrates in the first
     cycle) the first cycle counts as one without samples."""
     if skip_first is not None:
         first = F.col("cycle") == F.min("cycle").over(W.partitionBy("cell"))
         raw = raw.withColumn("discharging", F.col("discharging") & ~(first & F.coalesce(skip_first, F.lit(False))))
-    kinds = {"channels": ("array<array<double>>", pa.list_(pa.list_(pa.float64()))), "masks": NUMBERS} | {f"qv_{s}": ("double", pa.float64()) for s in fn.STATS}
+    maps = {"channels": ("array<array<double>>", pa.list_(pa.list_(pa.float64()))), "masks": NUMBERS} if whole else {}
+    kinds = maps | {f"qv_{s}": ("double", pa.float64()) for s in fn.STATS}
     raw = raw.withColumn("discharging", F.coalesce("discharging", F.lit(False)).cast("int"))
 
     def made(g: dict[str, np.ndarray]) -> tuple:
         c, m, s = fn.discharge_map(g["hours"], g["voltage"], g["current"], g["capacity"], g["temperature"], g["discharging"], g["low"][0], g["high"][0], size)
-        return c.tolist(), m.tolist(), *s.tolist()
+        return *((c, m) if whole else ()), *s.tolist()
 
     return _per_cycle(raw, ["hours", "voltage", "current", "capacity", "temperature", "discharging", "low", "high"], made, kinds)
 
@@ -164,7 +179,7 @@ def charge_curves(raw: DataFrame, size: int = 50) -> DataFrame:
 
     def made(g: dict[str, np.ndarray]) -> tuple:
         q = fn.partial_charge(g["minutes"], g["voltage"], g["current"], g["charging"], size)
-        return (None if q is None else q.tolist(),)
+        return (q,)
 
     raw = raw.withColumn("charging", F.coalesce("charging", F.lit(False)).cast("int"))
     return _per_cycle(raw, ["minutes", "voltage", "current", "charging"], made, {"curve": NUMBERS})
@@ -176,7 +191,7 @@ def dqdv_curves(raw: DataFrame, **sizes) -> DataFrame:
 
     def made(g: dict[str, np.ndarray]) -> tuple:
         curve = fn.charge_dqdv(g["voltage"], g["capacity"], g["charging"], **sizes)
-        return (None, None) if curve is None else tuple(x.tolist() for x in curve)
+        return (None, None) if curve is None else curve
 
     raw = raw.withColumn("charging", F.coalesce("charging", F.lit(False)).cast("int"))
     return _per_cycle(raw, ["voltage", "capacity", "charging"], made, {"grid": NUMBERS, "dqdv": NUMBERS})

@@ -43,14 +43,14 @@ def spectral_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cell_uid", "cycle_idx", *(r6(f"{c}_fft_{k}_16", f"{c}_{k}") for c in names for k in ("entropy", "low_ratio")))
 
 
-def maps_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def maps_of(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
     raw = op.inferred_time(raw_samples(spark, sf_dir), "clock", "hours").withColumns({"discharging": op.discharge_mask(), "low": F.lit(2.8), "high": F.lit(3.6)})
-    return op.discharge_maps(raw, skip_first=F.col("cell") % 4 == 3)
+    return op.discharge_maps(raw, skip_first=F.col("cell") % 4 == 3, whole=whole)
 
 
 @query()
 def qv_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maps_of(spark, sf_dir).select("cell", "cycle", *(r6(f"qv_{s}", f"qv_{s}") for s in STATS))
+    return maps_of(spark, sf_dir, False).select("cell", "cycle", *(r6(f"qv_{s}", f"qv_{s}") for s in STATS))
 
 
 @query()
