@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltrail.functions import curves as fn
@@ -418,6 +419,46 @@ def test_sides_and_vectors_are_found_where_pairs_are(spark, monkeypatch, held):
     assert sorted(map(tuple, retrieval.mmr_select(named, 4, cap=1, vectors=vectors).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_choice_comes_before_pairs_move(spark, monkeypatch):
+    """The same choice as with ranks over all pairs, of which only those that may be chosen are shuffled, wherever a query's pairs are and with NaN and null among the distances."""
+    rng = np.random.default_rng(4)
+    d = [None if x < 0.1 else float("nan") if x < 0.2 else round(x, 1) for x in rng.random(900).tolist()]
+    df = spark.createDataFrame([(i % 9, i, f"c{rng.integers(12)}" if i % 11 else None, d[i]) for i in range(900)], "query long, ref long, cell string, distance double").repartition(3, "ref")
+    order = [F.asc_nulls_last("distance"), "ref"]
+    for per, cap, held in (("cell", 1, 500_000), ("cell", 2, 200), ("cell", 1, 50), (None, 2, 120)):
+        monkeypatch.setattr(retrieval, "PAIRS", held)
+        want = df.withColumn("_c", F.row_number().over(W.partitionBy("query", per or "ref").orderBy(*order))).where(F.col("_c") <= cap).drop("_c")
+        want = want.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).where("rank <= 5")
+        assert sorted(map(str, retrieval.capped_topk(df, 5, per, cap).collect())) == sorted(map(str, want.collect()))
+        assert held == 50 or retrieval.foremost(df, ["query"], 5, per, cap).count() <= 9 * 5 * 3
+    together = df.coalesce(1).withColumns({"domain": F.lit("d"), "cell": F.coalesce("cell", F.lit("-"))}).where("distance IS NOT NULL AND NOT isnan(distance)")
+    files = retrieval.references(spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(900)], "id long, vector array<double>"))
+    got = retrieval.mmr_select(together, 4, vectors=files, together=True)
+    assert "hashpartitioning(query" not in got._jdf.queryExecution().executedPlan().toString() and sorted(map(str, got.collect())) == sorted(map(str, retrieval.mmr_select(together, 4, vectors=files).collect()))
+
+
+def test_retrieval_stores_cases_and_references_alone(spark):
+    """Cycles move once and cases are stored once, and neither values nor sides are stored anew; lists are merged only where queries are too few for the tasks."""
+    from pathlib import Path
+
+    from voltrail.functions import storage
+    from voltrail.plans import retrieval_plans
+
+    storage.shared_dir(spark, "any")
+    own = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / storage._own[spark.sparkContext.applicationId]
+    before = set(own.glob("*"))
+    chosen = retrieval_plans.results_of(spark, "/root/testdata/sf0.001")
+    assert sorted(f.name.split("-")[0] for f in set(own.glob("*")) - before) == ["cases", "references"]
+    assert "ShuffledHashJoin" not in chosen._jdf.queryExecution().executedPlan().toString()
+    assert retrieval_plans.raw_cases(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # and once more, narrow, for the first capacities
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(5000).select("id", F.array(F.rand(1), F.rand(2)).alias("vector"))
+        assert retrieval.search_lists(df, df, 3)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_maps_run_through_cycles_once(spark):
     """No frame that ends with the partition (each row would go through the rest of its cycle), and statistics alone where maps are not asked for; medians as numpy has them."""
     from voltrail.functions.curves import smooth

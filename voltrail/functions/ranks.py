@@ -82,11 +82,13 @@ def sketched(long: DataFrame, key: str, value: str, probabilities: Sequence[floa
     return {r[key]: Summary(r["n"], r["mean"], r["std"], list(r["q"])) for r in known.groupBy(key).agg(*parts).collect()}  # a row per key
 
 
-def exact(long: DataFrame, key: str, value: str, probabilities: Sequence[float], few: int = FEW, bins: int = BINS) -> dict[object, Summary]:
+def exact(long: DataFrame, key: str, value: str, probabilities: Sequence[float], few: int = FEW, bins: int = BINS, again: bool = False) -> dict[object, Summary]:
     """Per key: a summary with exact quantiles, interpolated between neighbours. There may be many rows, but only as many keys as
-    the driver can hold (names of columns, dimensions); a key without known values is missing. Infinities count at the ends."""
+    the driver can hold (names of columns, dimensions); a key without known values is missing. Infinities count at the ends. The values are stored for
+    the passes to come, or each pass makes them again, which takes no disk and suits rows that come from a stored table."""
     double = F.col(value).cast("double")
-    values = stored(long.select(F.col(key).alias("key"), double.alias("x")).where(double.isNotNull() & ~F.isnan(double)), "values")
+    values = long.select(F.col(key).alias("key"), double.alias("x")).where(double.isNotNull() & ~F.isnan(double))
+    values = values if again else stored(values, "values")
     inf = float("inf")
     finite = F.when(F.abs("x") < inf, F.col("x"))
     parts = [F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count(F.when(F.col("x") == -inf, 1)).alias("low"), F.count(finite).alias("m"), F.min(finite).alias("a"), F.max(finite).alias("b")]

@@ -7,13 +7,14 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltrail.functions.columns import array_count, array_mean, array_std, bound, clip01
 from voltrail.functions.ranks import exact, sketched
-from voltrail.functions.storage import in_order, streamed
+from voltrail.functions.storage import in_order, stored, streamed
 
 
 #: MB that the queries of a cell and what is kept for them may take.
@@ -26,27 +27,37 @@ def search(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine",
     return found.select("query", F.posexplode("found").alias("_at", "_f")).select("query", "_f.ref", "_f.score", (F.col("_at") + 1).alias("rank"))
 
 
-def search_lists(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", cells: int | None = None, serve: int | None = None) -> DataFrame:
+def references(refs: DataFrame, cells: int | None = None) -> list[str]:
+    """The files of a search's references, stored in order of their ids (``search_lists``)."""
+    return in_order(_side(refs), "references", "id", cells or int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _side(df: DataFrame) -> DataFrame:
+    extra = [c for c in ("group", "until", "kind") if c in df.columns]
+    whole = df.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.forall(F.col("vector").cast("array<double>"), lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
+    tagged = whole if "tag" in df.columns else whole.withColumn("tag", F.lit(0))
+    return tagged.select(F.col("id").cast("long").alias("id"), F.col("tag").cast("long").alias("tag"), F.col("vector").cast("array<double>").alias("vector"), *(F.col(c).cast("long").alias(c) for c in extra))
+
+
+def search_lists(queries: DataFrame, refs: DataFrame | list[str], k: int, metric: str = "cosine", cells: int | None = None, serve: int | None = None) -> DataFrame:
     """query, its tag, and found: an array of ref, score and tag of its k best references, best first; with serve, of these only as many as hold the
     first so many that may serve (``servable``).
 
     Both sides: id (long, unique), vector, and optionally group, until, kind, tag (long; a tag only comes along). References of a query's own
     id or group, those that end after the query (until) and those of another kind are left out before the choice; so are rows of either side whose
-    vector is missing or has an element that is missing or not finite. References are stored once, in order of their ids, and stream through the cells: a cell has a
-    block of queries and meets all of them or, where queries are too few for about so many cells (unless given, as many as shuffle partitions), a part. There are more
-    cells if a cell's queries would take more than CELL_MB. Only lists of parts are shuffled and merged. A cell keeps its k best, of equals the smaller ids.
+    vector is missing or has an element that is missing or not finite. References are stored once, in order of their ids (or come as the files of ``references``), and stream
+    through the cells: a cell has a block of queries and meets all of them or, where queries are too few for about so many cells (unless given, as many as the tasks that run at
+    once), a part. There are more cells if a cell's queries would take more than CELL_MB. Only lists of parts are shuffled and merged, so there are no more parts than tasks need. A cell keeps its k best, of equals the smaller ids.
     Scores (l2: squared distances) are those of the elements themselves, however far the vectors lie from 0; products of blocks only choose which pairs are computed.
     """
-    extra = [c for c in ("group", "until", "kind") if c in queries.columns]
-    whole = lambda df: df.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.forall(F.col("vector").cast("array<double>"), lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
-    tagged = lambda df: df if "tag" in df.columns else df.withColumn("tag", F.lit(0))
-    side = lambda df: tagged(whole(df)).select(F.col("id").cast("long").alias("id"), F.col("tag").cast("long").alias("tag"), F.col("vector").cast("array<double>").alias("vector"), *(F.col(c).cast("long").alias(c) for c in extra))
+    asked, files = _side(queries), refs if isinstance(refs, list) else references(refs, cells)
+    extra = asked.columns[3:]
+    spare = cells or queries.sparkSession.sparkContext.defaultParallelism
     cells = cells or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked, files = side(queries), in_order(side(refs), "references", "id", cells)
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
     fit = max(64, int(CELL_MB * 1e6 / (24 * (k + 2 * TILE) + 12 * (size["width"] or 1))))
     down = max(1, ceil(size["n"] / fit), min(cells, ceil(size["n"] / SLICE)))
-    aside = min(max(1, ceil(cells / down)), max(1, len(files)))
+    aside = min(max(1, ceil(spare / down)), max(1, len(files)))
     parts = F.explode(F.sequence(F.lit(0), F.lit(aside - 1)))
     dealt = asked.withColumn("part", parts).withColumn("cell", (F.pmod(F.xxhash64("id"), F.lit(down)) * aside + F.col("part")).cast("int"))
     found = dealt.repartitionById(down * aside, "cell").drop("cell").mapInArrow(_nearest(k, metric, extra, files, aside, serve), LISTS)
@@ -224,34 +235,37 @@ def servable(found: DataFrame, m: int) -> DataFrame:
 PAIRS, ASKED = 500_000, 8192
 
 
-def with_sides(pairs: DataFrame, cases: DataFrame) -> DataFrame:
-    """pairs (query, ref and other numbers) with the columns of their two cases, as q_… and r_…; cases: id (long, unique) and columns.
+def with_sides(pairs: DataFrame, cases: DataFrame, key: str = "id", files: Sequence[str] | None = None) -> DataFrame:
+    """pairs (query, ref and other numbers) with the columns of their two cases, as q_… and r_…; cases: a key (long, unique) and columns.
 
-    The cases are stored once in order of their ids. A task holds some of its pairs, looks up their queries and lets the cases stream by, so that neither pairs nor
+    The cases are stored once, in any order; if they are already, in files that have these columns, nothing is stored. A task holds some of its pairs, looks up their queries and lets the cases stream by, so that neither pairs nor
     what they carry are shuffled. Pairs should come query by query, as a search gives them.
     """
-    names = [c for c in cases.columns if c != "id"]
-    files = in_order(cases.withColumn("id", F.col("id").cast("long")), "sides", "id", int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    schema = ", ".join([f"`{c}` {t}" for c, t in pairs.dtypes] + [f"`{p}_{c}` {t}" for p in "qr" for c, t in cases.dtypes if c != "id"])
+    names = [c for c in cases.columns if c != key]
+    files = sorted(files or stored(cases.withColumn(key, F.col(key).cast("long")), "sides").inputFiles())
+    schema = ", ".join([f"`{c}` {t}" for c, t in pairs.dtypes] + [f"`{p}_{c}` {t}" for p in "qr" for c, t in cases.dtypes if c != key])
 
     def told(held: pa.Table) -> Iterator[pa.RecordBatch]:
         query, ref = held.column("query").to_numpy(), held.column("ref").to_numpy()
         asked, order = np.unique(query), np.argsort(ref, kind="stable")
         sought, parts = ref[order], []
-        for batch in streamed(files, ["id", *names], 4096):
-            own = np.isin(batch.column("id").to_numpy(), asked)
+        for batch in streamed(files, [key, *names], 4096):
+            own = np.isin(batch.column(key).to_numpy(), asked)
             if own.any():
                 parts.append(batch.filter(pa.array(own)))
         if not parts:
             return
-        left = pa.Table.from_batches(parts).combine_chunks()
-        known = left.column("id").to_numpy()
-        for batch in streamed(files, ["id", *names], 4096):
-            ids = batch.column("id").to_numpy()
-            for low in range(int(np.searchsorted(sought, ids[0])), stop := int(np.searchsorted(sought, ids[-1], "right")), 4096):
-                at = order[low : min(low + 4096, stop)]
-                i, j = np.searchsorted(known, query[at]).clip(max=len(known) - 1), np.searchsorted(ids, ref[at])
-                both = (known[i] == query[at]) & (ids[j] == ref[at])
+        left = pa.Table.from_batches(parts).combine_chunks().sort_by(key)
+        known = left.column(key).to_numpy()
+        for batch in streamed(files, [key, *names], 4096):
+            low, high = (np.searchsorted(sought, batch.column(key).to_numpy(), side) for side in ("left", "right"))
+            found, upto = high - low, np.cumsum(high - low)
+            for start in range(0, int(upto[-1]), 4096):
+                n = np.arange(start, min(start + 4096, int(upto[-1])))  # of the batch's pairs
+                j = np.searchsorted(upto, n, "right")
+                at = order[low[j] + n - (upto[j] - found[j])]
+                i = np.searchsorted(known, query[at]).clip(max=len(known) - 1)
+                both = known[i] == query[at]
                 rows = [held.take(at[both]), left.select(names).take(i[both]), pa.Table.from_batches([batch]).select(names).take(j[both])]
                 columns = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for t in rows for c in t.columns]
                 yield pa.RecordBatch.from_arrays(columns, [*held.column_names, *(f"{p}_{c}" for p in "qr" for c in names)])
@@ -325,12 +339,12 @@ def stage1_embedding(state: Column, history: Column, curve_stats: Column, stress
     return F.concat(zero(state), bound(anchored, lambda h: resampled(h, points)), zero(curve_stats), zero(stress), *map(summary, sequences))
 
 
-def robust_scaled(df: DataFrame, bank: Column, column: str, width: int, accuracy: int | None = None, limit: float = 8.0) -> DataFrame:
+def robust_scaled(df: DataFrame, bank: Column, column: str, width: int, accuracy: int | None = None, limit: float = 8.0, again: bool = False) -> DataFrame:
     """df with the column's dimensions less their medians by their interquartile ranges, both of the bank's rows; where a range is nothing
     the deviation stands in, then 1. Unknown values are 0; all are cut at the limit. Percentiles are exact, by counting in bins,
-    or with an accuracy approximate, in one pass."""
+    or with an accuracy approximate, in one pass; again: df is a stored table that each pass may read (``ranks.exact``)."""
     long = df.where(bank).select(F.posexplode(column).alias("key", "x"))
-    found = sketched(long, "key", "x", (0.25, 0.5, 0.75), accuracy) if accuracy else exact(long, "key", "x", (0.25, 0.5, 0.75))
+    found = sketched(long, "key", "x", (0.25, 0.5, 0.75), accuracy) if accuracy else exact(long, "key", "x", (0.25, 0.5, 0.75), again=again)
     marks = [found.get(i) for i in range(width)]
     middles = [m.quantiles[1] if m else 0.0 for m in marks]
     scales = [1.0 if m is None else high - low if (high := m.quantiles[2]) - (low := m.quantiles[0]) > 1e-8 else m.std if m.std > 1e-8 else 1.0 for m in marks]
@@ -471,17 +485,64 @@ def composite(weights: dict[str, float]) -> Column:
 def capped_topk(pairs: DataFrame, k: int, per: str | None = None, cap: int = 2, distance: str = "distance") -> DataFrame:
     """The k nearest references of each query, at most ``cap`` of one cell (or domain)."""
     order = [F.asc_nulls_last(distance), F.col("ref")]
+    pairs = foremost(pairs, ["query"], k, per, cap, distance)  # what moves is what may be chosen
     if per:
         pairs = pairs.repartition("query")  # moved once for both ranks
         pairs = pairs.withColumn("_c", F.row_number().over(W.partitionBy("query", per).orderBy(*order))).where(F.col("_c") <= cap).drop("_c")
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def mmr_select(pairs: DataFrame, k: int, cap: int = 2, trade: float = 0.75, max_domain: int | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def foremost(pairs: DataFrame, by: Sequence[str], k: int, per: str | None = None, cap: int = 2, distance: str = "distance") -> DataFrame:
+    """pairs without those that can't be among the k nearest of their group (``capped_topk``), as other pairs of their task show; nothing is shuffled.
+
+    What a choice from some of the pairs leaves out, a choice from all of them leaves out too.
+    """
+    columns = pairs.columns
+
+    def code(column: pa.ChunkedArray) -> np.ndarray:
+        return pc.fill_null(column.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+
+    def place(keys: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+        """Of rows in an order that begins with the keys: the place within rows of equal keys."""
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in keys], axis=0)
+        first = np.flatnonzero(new)
+        return np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+
+    def best(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        d = table.column(distance)
+        near = [table.column("ref").to_numpy(), d.cast(pa.float64()).to_numpy(), d.is_null().to_numpy()]  # NaN, then null come last
+        groups, left = [code(table.column(c)) for c in by], np.arange(table.num_rows)
+        capped = [([*groups, code(table.column(per))], cap)] if per else []
+        for keys, most in [*capped, (groups, k)]:
+            order = np.lexsort([x[left] for x in [*near, *keys]])
+            left = left[order[place([x[left] for x in keys], order) < most]]
+        return table.take(np.sort(left)).combine_chunks().to_batches()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PAIRS:
+                held = best(held)
+                n = sum(b.num_rows for b in held)
+                if n > PAIRS // 2:  # groups are many, or have few pairs each
+                    yield from held
+                    held, n = [], 0
+        if n:
+            yield from best(held)
+
+    return pairs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes)).select(*columns)
+
+
+def mmr_select(pairs: DataFrame, k: int, cap: int = 2, trade: float = 0.75, max_domain: int | None = None, vectors: DataFrame | list[str] | None = None, together: bool = False) -> DataFrame:
     """Greedy choice by nearness and distance from what is chosen, with caps on cells and domains.
 
     pairs: query, ref, distance, cell, domain, vector (of the reference). Queries have few candidates (the coarse cut). With vectors (id, vector) of all references these are
-    stored once in order of their ids and let pass by for some queries at a time, so that pairs move without them.
+    stored once (or come as files of ``references``) and let pass by for some queries at a time, so that pairs move without them; together: a query's pairs are in one task, as a
+    search gives them, and do not move.
     """
 
     def select(table: pa.Table, v: np.ndarray) -> tuple[np.ndarray, list[float]]:
@@ -517,18 +578,19 @@ def mmr_select(pairs: DataFrame, k: int, cap: int = 2, trade: float = 0.75, max_
             return result(table, *select(table, np.array(table.column("vector").to_pylist(), np.float64)))
 
         return pairs.select("query", *order, "cell", "domain", "vector").groupBy("query").applyInArrow(run, schema)
-    side = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    files = in_order(side, "vectors", "id", int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    side = lambda v: v.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    files = vectors if isinstance(vectors, list) else sorted(stored(side(vectors), "vectors").inputFiles())
 
     def told(held: pa.Table) -> Iterator[pa.RecordBatch]:
         refs, at = np.unique(held.column("ref").to_numpy(), return_inverse=True)
-        parts = []
+        ids, parts = [], []
         for batch in streamed(files, ["id", "vector"], 4096):
             own = np.isin(batch.column("id").to_numpy(), refs)
             if own.any():
-                some = batch.filter(pa.array(own)).column("vector")
-                parts.append(some.flatten().to_numpy().reshape(len(some), -1))
-        v, query = np.concatenate(parts), held.column("query").to_numpy()
+                some = batch.filter(pa.array(own))
+                ids.append(some.column("id").to_numpy())
+                parts.append(some.column("vector").flatten().to_numpy().reshape(len(some), -1))
+        v, query = np.concatenate(parts)[np.argsort(np.concatenate(ids))], held.column("query").to_numpy()
         cuts = [0, *(np.flatnonzero(query[1:] != query[:-1]) + 1).tolist(), len(query)]
         made = [result(part, *select(part, v[at[a:b]])) for a, b in zip(cuts, cuts[1:]) for part in [held.slice(a, b - a)]]
         yield from pa.concat_tables(made).combine_chunks().to_batches()
@@ -549,7 +611,8 @@ def mmr_select(pairs: DataFrame, k: int, cap: int = 2, trade: float = 0.75, max_
         if n:
             yield from told(pa.Table.from_batches(held).combine_chunks())
 
-    moved = pairs.select("query", *order, "cell", "domain").repartition("query").sortWithinPartitions("query", *order)
+    needed = pairs.select("query", *order, "cell", "domain")
+    moved = (needed if together else needed.repartition("query")).sortWithinPartitions("query", *order)
     return moved.mapInArrow(run_all, schema)
 
 
