@@ -299,6 +299,14 @@ def test_flat_files_refuse_wrong_end_ids(docs, tmp_path):
             separator_scan.write_flat(docs, f"file://{tmp_path}", RANKS, PATTERN, end)
 
 
+def test_words_are_learnt_in_small_letters():
+    """Words up to Latin-1 are looked up in small letters beside texts in other scripts too, and ids are the library's."""
+    encoder = token_tables.WordEncoder(Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
+    several = ["The the THE, Éa éA Straße x1 don't", "漢字 İstanbul ǅ The\u0301 ТЕКСТ the", "", "Zebra-zebra ÄÖ%% <|a|>"]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in encoder.encode_batch(several)] == [encoder._ids(t) for t in several]
+    assert not any(w.isascii() and w != w.lower() for w in encoder.cache.young)
+
+
 def test_token_table_files(spark, docs, tmp_path):
     """Encodings, row groups and page indexes of the files; and reads of single columns and ids."""
     import pyarrow.parquet as pq

@@ -15,6 +15,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,9 @@ BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
+_packed = Struct("=I").pack
+
+
 class WordEncoder:
     """Encodes by words where the tokenizer drops white space, as its encodings of words don't depend on neighbours."""
 
@@ -54,8 +58,9 @@ class WordEncoder:
         self.by_word = by_word == [self._ids(t) for t in probe]
         by_part = [np.frombuffer(b"".join(self._part(p) for w in WORD.findall(t) for p in regex.findall(SPLIT, w.lower())), np.uint32).tolist() for t in probe]
         self.by_part = self.by_word and by_part == by_word
-        controls = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.control = re.compile("|".join(controls) or r"\Z.").search
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.control = re.compile("|".join(map(re.escape, added)) or r"\Z.").search
+        self.by_letters = self.by_part and not any(t.isalpha() for t in added)  # then letters alone are a part and hold no control string
         self.split = regex.compile(SPLIT).findall
         self.cache, self.parts = Cache(WORDS_MB), Cache(PARTS_MB)
 
@@ -75,6 +80,22 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> list[bytes]:
         """The ids of words or of parts of words; spaces after them don't count."""
+        if not self.by_letters:
+            return self._learn_parts(words)
+        # most are small letters alone: such a part is not looked up again
+        tokenize, out, rest = self.tokenizer.model.tokenize, [], []
+        for w in words:
+            w = w.rstrip(b" ")
+            if w.isalpha() and w.islower():
+                found = tokenize(w.decode())
+                out.append(_packed(found[0].id) if len(found) == 1 else array("I", [t.id for t in found]).tobytes())
+            else:
+                out.append(None)
+                rest.append(w)
+        others = iter(self._learn_parts(rest))
+        return [next(others) if x is None else x for x in out]
+
+    def _learn_parts(self, words: list[bytes]) -> list[bytes]:
         plain = PLAIN.match if self.by_part else (lambda w: None)
         control = self.control if self.control(b"".join(words).decode()) else (lambda w: None)
         split, rest = [], []
@@ -106,8 +127,13 @@ class WordEncoder:
         data, starts, first = words.norm, words.starts, np.append(words.first, len(words.stops))
         if self.by_part and not self.control(data.tobytes().decode()):
             # letters and the signs after them are parts of their own, so they are looked up one by one, in lower case
-            if len(data) and data.max() < 0xC4:  # up to Latin-1 no character depends on its neighbours
-                data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+            capital = np.flatnonzero((data >= 65) & (data <= 90))
+            if len(capital):  # in words up to Latin-1 no character depends on its neighbours
+                if data.max() >= 0xC4:
+                    high = np.maximum.reduceat(data, starts) >= 0xC4
+                    capital = capital[~high[np.searchsorted(starts, capital, "right") - 1]]
+                data = data.copy()
+                data[capital] += np.uint8(32)
             cut = np.flatnonzero(LETTERS[data[:-1]] & MARKS[data[1:]]) + 1
             at = np.concatenate([starts, cut])
             at.sort(kind="stable")
