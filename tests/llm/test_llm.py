@@ -357,6 +357,36 @@ def test_chat_cannot_be_forged(spark):
     assert chat.formatted(df.limit(0)).count() == 1  # the forger alone
 
 
+def test_chat_writes_and_reads_whole_examples(spark):
+    """Every example's text is written whole, turns that no example has behind them, and reading finds what is missing or changed."""
+    from voltrail.functions.storage import streamed
+
+    said = [(c, i, role, f"{role} {i} <|im_end|>") for c, roles in ((1, "uauau"), (2, "uu"), (3, "aua"), (None, "sua")) for i, role in enumerate({"u": "user", "a": "assistant", "s": "system"}[x] for x in roles)]
+    turns = chat.render(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    files = chat.write_examples(turns)
+    rows = [r for f in files for b in streamed([f], chat.EXPANDED, 2) for r in b.to_pylist()]
+    texts = {}
+    for r in rows:
+        texts[r["conv_id"], r["target"]] = texts.get((r["conv_id"], r["target"]), "") + r["rendered"]
+    assert {k: t for k, t in texts.items() if k[1] is not None} == {(r["conv_id"], r["target"]): r["text"] for r in chat.expand(turns, chat.examples(turns)).collect()}
+    assert sorted((str(r["conv_id"]), r["position"]) for r in rows if r["target"] is None) == [("1", 4), ("2", 0), ("2", 1)]
+    key = lambda r: str(r["conv_id"])
+    assert sorted(chat.read_examples(spark, files).collect(), key=key) == sorted(chat.read_back(turns, chat.examples(turns)).collect(), key=key)
+    own = [r for r in rows if r["conv_id"] == 1]  # targets 1 (two rows) and 3 (four rows), then turn 4
+
+    def read(rows):
+        reader = chat._Reader(1)
+        for r in rows:
+            reader.take(*(r[c] for c in chat.EXPANDED[1:]))
+        return reader.closed()
+
+    assert read(own)[1] == 5
+    changed = own[:2] + [own[2] | {"rendered": own[2]["rendered"].replace("user 0", "user 9")}] + own[3:]
+    for wrong in (own[:1] + own[2:], own[:3] + own[4:], own[:5] + own[6:], own[:2] + own, changed, [r | {"length": 9} if r["target"] == 3 else r for r in own], own[:-1] + [own[-1] | {"position": 5}]):
+        with pytest.raises(ValueError):
+            read(wrong)
+
+
 def test_chat_keeps_conversations_apart(spark):
     """Ids beyond 2**53 beside a null one, equal turn numbers, null turns, extra columns; and each example's prefix."""
     big = 2**53
