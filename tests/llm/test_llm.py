@@ -572,6 +572,36 @@ def test_lm_gradient():
         assert (loss(model.vector + step) - loss(model.vector - step)) / 2e-2 == pytest.approx(float(g[i]), rel=0.1, abs=2e-3)
 
 
+def test_lm_scores_need_no_bound():
+    """Large weights: probabilities of the classes add up to 1 and are those of ``forward``, however large the scores are; no score is cut."""
+    shape = lm.Shape(inputs=8, spare=2, single=4, clusters=2, clustered=8, bins=2, width=4, context=3, step=5)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 11, (70, 8))  # more than a block
+    for size, beyond in ((0.1, False), (30.0, True)):
+        model = lm.Model(shape, np.zeros(shape.classes))
+        model.vector *= size
+        ready, (_, _, logits) = model.ready(), model.forward(x, model.tables())
+        assert (ready.steep and ready.wide) == beyond
+        each = [model.scorer()(x, np.full((70, 5), c)) for c in range(shape.classes)]
+        assert np.exp(each).sum(axis=0) == pytest.approx(np.ones((70, 5)), rel=1e-4)
+        exact = logits.astype(np.float64)
+        exact = exact - exact.max(axis=1, keepdims=True)
+        exact -= np.log(np.exp(exact).sum(axis=1, keepdims=True))
+        assert np.stack(each, axis=-1).reshape(exact.shape) == pytest.approx(exact, rel=1e-3, abs=1e-3 * size)
+
+
+def test_lm_splits_alike():
+    """Many words at once are split as each alone, by longest match: short and long ones, bytes beyond ASCII, and with a vocabulary that lacks bytes."""
+    splitter = lm.Subwords(lm.read_ranks(RANKS))
+    words = [w.encode() + b" " for w in ("the", "tokenization", "größe", "数据", "x" * 63, "x" * 64, "ab" * 400, "[UNK]", "\u2603", "\x00", "a\u00a0b")]
+    found = splitter.split_all(words)
+    assert splitter.model and found == list(map(splitter.split, words))
+    back = {i: t for t, i in splitter.rank.items()}
+    assert [b"".join(back[i] for i in np.frombuffer(p, np.int32).tolist()) for p in found] == [b" " + w[:-1] for w in words]
+    few = lm.Subwords([b" ", b"a", b"ab"])
+    assert not few.model and few.split_all([b"aba "]) == [np.array([0, 2, 1], np.int32).tobytes()]
+
+
 def test_lm_beats_unigrams_on_held_out_text(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = lm.scores(df, RANKS).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()

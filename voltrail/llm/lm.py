@@ -25,6 +25,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers.models import WordPiece
 
 from voltrail.llm.bpe import read_ranks
 from voltrail.llm.common import Cache, distinct, pieces, spread, stored, texts
@@ -42,6 +44,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 END = 1
 #: MB of words that a Python worker remembers.
 CACHE_MB = 64
+#: Bytes that a short word has at most, and a name that no token has, as it is no byte's character.
+SHORT, UNKNOWN = 64, "\u2603"
 
 
 @dataclass(frozen=True)
@@ -90,6 +94,16 @@ class Subwords:
         self.longest = max(map(len, self.rank))
         self.end = len(tokens)
         self.cache = Cache(CACHE_MB)
+        #: The same match in the tokenizers library, for words of few bytes (a byte is a character there); it needs all bytes to be known.
+        whole = all(bytes([b]) in self.rank for b in range(256))
+        self.model = whole and WordPiece({t.decode("latin-1"): i for t, i in self.rank.items()} | {UNKNOWN: self.end}, unk_token=UNKNOWN, max_input_chars_per_word=SHORT, continuing_subword_prefix="")
+
+    def split_all(self, words: list[bytes]) -> list[bytes]:
+        """As ``split``, of several words."""
+        if not self.model:
+            return list(map(self.split, words))
+        match = self.model.tokenize
+        return [self.split(w) if len(w) > SHORT else array("i", [x.id for x in match(" " + w[:-1].decode("latin-1"))]).tobytes() for w in words]
 
     def split(self, word: bytes) -> bytes:
         """The packed ids of a word with a space after it."""
@@ -113,7 +127,7 @@ class Stream:
         words = lowered(several)
         n, bounds = len(several), np.append(words.first, len(words.stops))
         which, self.strings = distinct(words.norm.tobytes(), words.starts)
-        self.packed = splitter.cache.look_up(self.strings, lambda some: list(map(splitter.split, some)))
+        self.packed = splitter.cache.look_up(self.strings, splitter.split_all)
         flat, sizes = spread(self.packed, which)
         before = np.concatenate([[0], np.cumsum(sizes)])
         self.ids = np.insert(flat, before[bounds[1:]], splitter.end)
@@ -195,6 +209,22 @@ def cluster(company: np.ndarray, k: int, turns: int = 12) -> np.ndarray:
     return near
 
 
+#: Scores that can't be farther from 0 need no shift before their exponentials are summed; windows whose arrays a core's cache holds.
+LIMIT, CACHED = 60.0, 64
+
+
+class Ready(NamedTuple):
+    """Tables by input number, the scores of distances, and whether scores of pairs and of classes may be beyond the limit (``Model.ready``)."""
+
+    query: np.ndarray
+    key: np.ndarray
+    value: np.ndarray
+    skip: np.ndarray
+    bias: np.ndarray
+    steep: bool
+    wide: bool
+
+
 class Model:
     """One layer of causal self-attention; all weights in one vector."""
 
@@ -242,63 +272,85 @@ class Model:
         flat = hidden.reshape(-1, self.shape.width)
         return scores, flat, flat @ self.w["out"] + self.w["bias"]
 
+    def ready(self) -> Ready:
+        """What ``scorer`` and ``gradient`` need of the weights: tables instead of projections, with a column of ones beside the values that gives the
+        sums, and whether scores can be so large that they must be shifted by their largest."""
+        q, k, v, r = self.tables()
+        q, near = q * np.float32(self.shape.width**-0.5), self.w["near"]
+        top = np.maximum(v.max(axis=0) + r.max(axis=0), 0)  # of the hidden states, as values are averaged
+        steep = float(np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max() + np.abs(near).max())
+        wide = float((top @ np.abs(self.w["out"]) + np.abs(self.w["bias"])).max())
+        return Ready(q, k, np.hstack([v, np.ones((len(v), 1), np.float32)]), r, near[self.distance] + self.mask, not steep <= LIMIT, not wide <= LIMIT)
+
+    def attend(self, t: Ready, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of input numbers (windows, span): attention before it is divided by its sums, these, what it averages, hidden states, and the
+        scores of the classes; with the gathered keys, values and queries. It computes what ``forward`` does."""
+        own = x[:, self.shape.context :]
+        kx, vx, qo = t.key.take(x, axis=0), t.value.take(x, axis=0), t.query.take(own, axis=0)
+        att = np.matmul(qo, kx.transpose(0, 2, 1))
+        att += t.bias
+        if t.steep:
+            att -= att.max(axis=2, keepdims=True)
+        np.exp(att, out=att)
+        mixed = np.matmul(att, vx)
+        total = mixed[:, :, -1:]
+        mean = mixed[:, :, :-1] / total
+        hidden = t.skip.take(own, axis=0)
+        hidden += mean
+        np.maximum(hidden, 0, out=hidden)
+        hidden = hidden.reshape(-1, self.shape.width)
+        logits = hidden @ self.w["out"]
+        logits += self.w["bias"]
+        if t.wide:
+            logits -= logits.max(axis=1, keepdims=True)
+        return kx, vx, qo, att, total, mean, hidden, logits
+
     def scorer(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
         """A function of input numbers (windows, span) and classes (windows, step): natural logs of the probabilities of the
-        classes. It computes what ``forward`` does, with tables instead of projections, and with scores bounded instead of
-        shifted; a column of ones gives the sums."""
-        q, k, v, r = self.tables()
-        q, v = q * np.float32(self.shape.width**-0.5), np.hstack([v, np.ones((len(v), 1), np.float32)])
-        bias, out, ones = self.w["near"][self.distance] + self.mask, self.w["out"], np.ones(self.shape.classes, np.float32)
-        limit = np.float32(60)
+        classes."""
+        t, ones = self.ready(), np.ones(self.shape.classes, np.float32)
 
         def score(x: np.ndarray, classes: np.ndarray) -> np.ndarray:
-            own = x[:, self.shape.context :]
-            scores = np.matmul(q[own], k[x].transpose(0, 2, 1))
-            scores += bias
-            np.exp(np.minimum(scores, limit, out=scores), out=scores)
-            mixed = np.matmul(scores, v[x])
-            hidden = mixed[:, :, :-1] / mixed[:, :, -1:]
-            hidden += r[own]
-            np.maximum(hidden, 0, out=hidden)
-            logits = hidden.reshape(-1, self.shape.width) @ out
-            logits += self.w["bias"]
-            np.minimum(logits, limit, out=logits)
-            chosen = logits[np.arange(len(logits)), classes.ravel()]
+            logits = self.attend(t, x)[-1]
+            chosen = logits.ravel().take(np.arange(len(logits)) * self.shape.classes + classes.ravel())
             np.exp(logits, out=logits)
             return (chosen - np.log(logits @ ones)).reshape(classes.shape)
 
         return score
 
     def gradient(self, x: np.ndarray, classes: np.ndarray, real: np.ndarray) -> np.ndarray:
-        """Of the mean loss over the real targets."""
-        s, w = self.shape, self.w
-        e, scale = w["embed"], np.float32(s.width**-0.5)
-        att, hidden, logits = self.forward(x, self.tables())
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        logits[np.arange(len(logits)), classes.ravel()] -= 1
-        logits *= (real.reshape(-1, 1) / max(1, real.sum())).astype(np.float32)
-        grad = np.zeros_like(self.vector)
+        """Of the mean loss over the real targets; some windows at a time, as many as a core's cache holds."""
+        s, w, t = self.shape, self.w, self.ready()
+        e, width, ones = w["embed"], s.width, np.ones(s.classes, np.float32)
+        weights = (real / max(1, real.sum())).astype(np.float32)
+        grad, near, parts = np.zeros_like(self.vector), np.zeros_like(t.bias), []
         g = self.views(grad)
-        g["out"][:] = hidden.T @ logits
-        g["bias"][:] = logits.sum(axis=0)
-        dh = ((logits @ w["out"].T) * (hidden > 0)).reshape(len(x), s.step, s.width)
-        own = x[:, s.context :]
-        ex, eo = e[x], e[own]
-        q, k, v = eo @ w["query"], ex @ w["key"], ex @ w["value"]
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = att * (da - (da * att).sum(axis=2, keepdims=True))
-        g["near"][:] = np.bincount(self.distance.ravel(), ds.sum(axis=0).ravel(), s.span + 1)
+        for start in range(0, len(x), CACHED):
+            some = slice(start, start + CACHED)
+            kx, vx, qo, att, total, mean, hidden, odds = self.attend(t, x[some])
+            np.exp(odds, out=odds)
+            weight = weights[some].ravel()
+            odds *= (weight / (odds @ ones))[:, None]
+            odds.ravel()[np.arange(len(odds)) * s.classes + classes[some].ravel()] -= weight
+            g["out"] += hidden.T @ odds
+            g["bias"] += np.ones(len(odds), np.float32) @ odds
+            dh = ((odds @ w["out"].T) * (hidden > 0)).reshape(mean.shape)
+            part = dh / total
+            dv = np.matmul(att.transpose(0, 2, 1), part)
+            # the mean's share stands in the column of ones, so that one product gives what the attention is multiplied by
+            att *= np.matmul(np.concatenate([part, -(part * mean).sum(axis=2, keepdims=True)], axis=2), vx.transpose(0, 2, 1))
+            near += att.sum(axis=0)
+            parts.append((np.matmul(att, kx) * np.float32(width**-0.5), np.matmul(att.transpose(0, 2, 1), qo), dv, dh))
+        dq, dk, dv, dh = (np.concatenate(p).reshape(-1, width) for p in zip(*parts))
+        ex, eo = e.take(x.ravel(), axis=0), e.take(x[:, s.context :].ravel(), axis=0)
+        g["near"][:] = np.bincount(self.distance.ravel(), near.ravel(), s.span + 1)
         g["near"][s.span] = 0
-        dq, dk, dv = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q) * scale, np.matmul(att.transpose(0, 2, 1), dh)
-        flat = lambda a: a.reshape(-1, s.width)
-        g["query"][:], g["skip"][:] = flat(eo).T @ flat(dq), flat(eo).T @ flat(dh)
-        g["key"][:], g["value"][:] = flat(ex).T @ flat(dk), flat(ex).T @ flat(dv)
+        g["query"][:], g["skip"][:] = eo.T @ dq, eo.T @ dh
+        g["key"][:], g["value"][:] = ex.T @ dk, ex.T @ dv
         dx = dk @ w["key"].T + dv @ w["value"].T
-        dx[:, s.context :] += dq @ w["query"].T + dh @ w["skip"].T
-        for i in range(s.width):
-            g["embed"][:, i] = np.bincount(x.ravel(), dx[:, :, i].ravel(), len(e))
+        dx.reshape(len(x), s.span, width)[:, s.context :] += (dq @ w["query"].T + dh @ w["skip"].T).reshape(len(x), s.step, width)
+        for i in range(width):
+            g["embed"][:, i] = np.bincount(x.ravel(), dx[:, i], len(e))
         return grad
 
 
@@ -481,10 +533,10 @@ def model_scores(docs: DataFrame, shared, shape: Shape, buckets: int) -> DataFra
             s = Stream(texts(batch), splitter)
             ids, _, real = windows(s.ids, s.lengths, shape, splitter.end + 1)
             logs = []
-            for start in range(0, len(ids), 64):  # what fits in a core's cache
-                some = ids[start : start + 64]
+            for start in range(0, len(ids), CACHED):
+                some = ids[start : start + CACHED]
                 found = score(mapping.input[some[:, :-1]], output[some[:, shape.context + 1 :]])
-                logs.append(found[real[start : start + 64]])
+                logs.append(found[real[start : start + CACHED]])
             classes = np.concatenate(logs).astype(np.float64)  # of each id, in order
             first = classes[s.begins]
             spelled = np.add.reduceat(classes + within[s.ids], s.begins) - first
