@@ -234,10 +234,12 @@ def map_curves(maps: DataFrame, least: float = 3.2, points: int = 20) -> DataFra
 
 
 def life_curves(cycles: DataFrame, key: str = "cell_uid") -> DataFrame:
-    """Per cell: capacities by cycle, relative to the first."""
+    """Per cell: capacities by cycle, relative to the first; as they are if that is nothing."""
     rows = F.sort_array(F.collect_list(F.struct("cycle_idx", "capacity")))
     one = cycles.where("capacity IS NOT NULL").groupBy(key).agg(rows.alias("r"))
-    return one.select(key, F.transform("r.capacity", lambda x: x / F.element_at("r.capacity", 1)).alias("life"))
+    first = F.element_at("r.capacity", 1)
+    base = F.when(F.abs(first) > 1e-6, first).otherwise(1.0)
+    return one.select(key, F.transform("r.capacity", lambda x: x / base).alias("life"))
 
 
 def life_distances(pairs: DataFrame, lives: DataFrame, key: str = "cell_uid") -> DataFrame:
