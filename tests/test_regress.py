@@ -257,3 +257,15 @@ def test_features_are_those_of_the_sql_to_the_last_digit(spark):
     assert len(got) == len(want) > 1000
     for c in numbers:
         np.testing.assert_allclose(got[c].astype(float), want[c], rtol=1e-12, atol=0, err_msg=c)
+
+
+def test_forest_moves_no_sums(spark):
+    """What is shuffled does not grow with the rows times the nodes of all trees."""
+    status = spark.sparkContext._jsc.sc().statusStore()
+    moved = lambda: sum(status.executorList(False).apply(i).totalShuffleWrite() for i in range(status.executorList(False).size()))
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, *map(float, r.normal(size=4))) for i in range(3000)], "id long, a double, b double, c double, y double").repartition(4)
+    before = moved()
+    forest.grow(df, "id", {"g": ["a", "b", "c"]}, ["y"], forest.Growth(trees=40, depth=6))
+    spark.range(1).count()
+    assert moved() - before < 1_000_000

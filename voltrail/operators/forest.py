@@ -1,27 +1,27 @@
 """Regression forests grown level by level from histograms.
 
 Features are cut into bins at quantiles. How often a row counts in a tree is drawn from a Poisson distribution by a hash of the row and the
-tree, so that no resampled table is made. For each level one aggregation adds up, for each (tree, node, feature, bin), the weights and the
-weighted targets; each node's best cut is chosen where its sums meet, and only the cuts come to the driver. All trees
-of all feature groups grow together: a level is one scan and one shuffle, whatever the number of trees.
+tree, so that no resampled table is made. For each level the weights and the weighted targets are added up for each (tree, node, feature, bin).
+A task has the sums of some trees and lets all rows, stored once as bins, stream by: no sums are moved, and only the cuts come to the driver. All trees
+of all feature groups grow together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from math import exp, factorial
+from math import ceil, exp, factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltrail.functions.ranks import summaries
-from voltrail.functions.storage import stored
+from voltrail.functions.storage import stored, streamed
 
-#: MB of sums that a task gathers before it sends them.
-HELD_MB = 64
+#: MB of sums that a task holds, or those of one tree, and rows that meet them at once.
+HELD_MB, ROWS = 64, 16_384
 _POISSON = np.cumsum([exp(-1) / factorial(k) for k in range(12)])
 
 
@@ -49,7 +49,7 @@ class Forests:
     gain: np.ndarray
 
     def binned(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(e, x[:, i], "left") for i, e in enumerate(self.edges)]).astype(np.uint8)
+        return _binned(x, self.edges)
 
     def node(self, tree: int, bins: np.ndarray, depth: int) -> np.ndarray:
         """The node of each row after at most so many cuts."""
@@ -76,6 +76,10 @@ class Forests:
         return out
 
 
+def _binned(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
+    return np.column_stack([np.searchsorted(e, x[:, i], "left") for i, e in enumerate(edges)]).astype(np.uint8)
+
+
 def weights(row: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """How often each row (by its hash) counts in a tree."""
     h = row.view(np.uint64) ^ np.uint64(((tree + 1) * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03) % (1 << 64))
@@ -107,10 +111,18 @@ def grow(df: DataFrame, id_col: str, groups: Mapping[str, Sequence[str]], target
     trees, nodes, h = how.trees * len(groups), 2 ** (how.depth + 1) - 1, len(targets)
     members = [[place[f] for f in names] for names in groups.values()]
     out = Forests(list(groups), members, features, edges, np.full((trees, nodes), -1, np.int16), np.zeros((trees, nodes), np.uint8), np.zeros((trees, nodes, h)), np.zeros((trees, nodes)))
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _binned(np.column_stack([batch.column(c).to_numpy() for c in features]), edges)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([r.tobytes() for r in x], pa.binary()), *(batch.column(c) for c in targets)], ["row", "bins", *targets])
+
+    files = sorted(stored(rows.mapInArrow(packed, ", ".join(["row long, bins binary", *(f"`{c}` double" for c in targets)])), "forest-bins").inputFiles())
     open_ = np.zeros((trees, nodes), bool)
     open_[:, 0] = True
     for depth in range(how.depth):
-        cuts = _level(rows, out, open_, targets, depth, how).collect()  # a row per node of the level
+        cuts = _level(df.sparkSession, files, out, open_, targets, depth, how).collect()  # a row per node of the level
         open_[:] = False
         for r in cuts:
             t, i = r["tree"], r["node"]
@@ -128,75 +140,53 @@ def grow(df: DataFrame, id_col: str, groups: Mapping[str, Sequence[str]], target
     return out
 
 
-def _level(rows: DataFrame, forests: Forests, open_: np.ndarray, targets: Sequence[str], depth: int, how: Growth) -> DataFrame:
+def _level(spark: SparkSession, files: Sequence[str], forests: Forests, open_: np.ndarray, targets: Sequence[str], depth: int, how: Growth) -> DataFrame:
     """The best cut of each open node."""
-    shared = rows.sparkSession.sparkContext.broadcast((forests, open_.copy()))  # as large as the forests may grow
-    bins, h = how.bins, len(targets)
-
-    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forests, open_ = shared.value
-        held: dict[tuple[int, int], np.ndarray] = {}
-        size = 0
-
-        def sent() -> pa.RecordBatch:
-            keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.int32()) for i in (0, 1)] + [pa.array([held.pop(k).tobytes() for k in keys], pa.binary())], ["tree", "node", "sums"])
-
-        for batch in batches:
-            row = batch.column("row").to_numpy()
-            x = np.column_stack([batch.column(c).to_numpy() for c in forests.features])
-            y = np.column_stack([np.ones(len(row)), *(batch.column(c).to_numpy() for c in targets)])
-            binned = forests.binned(x)
-            for t in np.flatnonzero(open_.any(axis=1)):
-                w, at = weights(row, int(t), how.seed), forests.node(t, binned, depth)
+    bins, many = how.bins, 1 + len(targets)
+    group = np.arange(len(open_)) * len(forests.groups) // len(open_)
+    size = open_.sum(axis=1) * np.array([len(own) for own in forests.members])[group] * bins * many * 8
+    order = np.argsort(-size, kind="stable")[: np.count_nonzero(size)]
+    spare = spark.sparkContext.defaultParallelism
+    parts = min(len(order), spare * ceil(size.sum() / max(HELD_MB * 1e6, 1) / spare))
+    shared = spark.sparkContext.broadcast((forests, open_.copy(), [order[p::parts] for p in range(parts)]))  # as large as the forests may grow
+
+    def cuts(trees: np.ndarray, forests: Forests, open_: np.ndarray) -> Iterator[tuple]:
+        members = [np.array(own) for own in forests.members]
+        place = {t: np.cumsum(open_[t]) - 1 for t in trees}  # of an open node among those of its tree
+        held = {t: np.zeros((many, (place[t][-1] + 1) * len(members[group[t]]) * bins)) for t in trees}
+        for batch in streamed(files, ["row", "bins", *targets], ROWS):
+            row, wide = batch.column("row").to_numpy(), batch.column("bins").cast(pa.binary(len(forests.features)))
+            binned = np.frombuffer(wide.buffers()[1], np.uint8, len(row) * wide.type.byte_width, wide.offset * wide.type.byte_width).reshape(len(row), -1)
+            y = [batch.column(c).to_numpy() for c in targets]
+            coded = {g: np.arange(len(members[g])) * bins + binned[:, members[g]] for g in set(group[trees])}
+            for t in trees:
+                w, at, own = weights(row, int(t), how.seed), forests.node(t, binned, depth), members[group[t]]
                 use = np.flatnonzero((w > 0) & open_[t, at])
                 if not len(use):
                     continue
-                own = forests.members[t * len(forests.groups) // len(open_)]
-                nodes, which = np.unique(at[use], return_inverse=True)
-                flat = ((which[:, None] * len(own) + np.arange(len(own))) * bins + binned[use][:, own]).ravel()
-                shape = (len(nodes), len(own), bins)
-                parts = [np.bincount(flat, np.repeat(w[use] * y[use, j], len(own)), int(np.prod(shape))).reshape(shape) for j in range(1 + h)]
-                for i, s in zip(nodes.tolist(), np.stack(parts, axis=-1)):
-                    have = held.get((int(t), i))
-                    if have is None:
-                        held[int(t), i] = s
-                        size += s.nbytes
-                    else:
-                        have += s
-                if size > HELD_MB * 1_000_000:
-                    yield sent()
-                    size = 0
-        yield sent()
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forests, _ = shared.value
-        now, total, found = None, None, []
-
-        def closed() -> tuple:
-            own = forests.members[now[0] * len(forests.groups) // len(forests.feature)]
-            gain, f, b, left, right = best_cut(total.reshape(len(own), bins, 1 + h))
-            if gain < 0:  # all rows in one bin of each feature
-                whole = total.reshape(len(own), bins, 1 + h)[0].sum(axis=0)
-                left, right = whole, np.zeros(1 + h)
-            return (*now, own[f], b, gain, left.tolist(), right.tolist())
+                flat = (coded[group[t]][use] + (place[t][at[use]] * len(own) * bins)[:, None]).ravel()
+                for j, x in enumerate([w[use], *(w[use] * v[use] for v in y)]):
+                    held[t][j] += np.bincount(flat, np.repeat(x, len(own)), held[t].shape[1])
+        for t in trees:
+            own, sums = members[group[t]], np.moveaxis(held.pop(t).reshape(many, -1, len(members[group[t]]), bins), 0, -1)
+            for node, s in zip(np.flatnonzero(open_[t]).tolist(), sums):
+                whole = s[0].sum(axis=0)
+                if whole[0] == 0:
+                    continue
+                gain, f, b, left, right = best_cut(s)
+                if gain < 0:  # all rows in one bin of each feature
+                    left, right = whole, np.zeros(many)
+                yield int(t), node, int(own[f]), b, gain, left.tolist(), right.tolist()
 
-        for batch in batches:
-            for tree, node, packed in zip(batch.column("tree").to_pylist(), batch.column("node").to_pylist(), batch.column("sums")):
-                part = np.frombuffer(packed.as_buffer(), np.float64)
-                if (tree, node) != now:
-                    if now is not None:
-                        found.append(closed())
-                    now, total = (tree, node), part.copy()
-                else:
-                    total += part
-        if now is not None:
-            found.append(closed())
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forests, open_, dealt = shared.value
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["tree", "node", "feature", "bin", "gain", "left", "right"])
+        for batch in batches:
+            for part in batch.column("id").to_pylist():
+                found = list(cuts(dealt[part], forests, open_))
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["tree", "node", "feature", "bin", "gain", "left", "right"])
 
-    sent = rows.mapInArrow(sums, "tree int, node int, sums binary")
-    return sent.repartition("tree", "node").sortWithinPartitions("tree", "node").mapInArrow(cut, "tree int, node int, feature int, bin int, gain double, left array<double>, right array<double>")
+    return spark.range(0, parts, 1, parts).mapInArrow(run, "tree int, node int, feature int, bin int, gain double, left array<double>, right array<double>")
 
 
 def scored(df: DataFrame, forests: Forests, targets: Sequence[str], depth: int) -> DataFrame:
