@@ -5,9 +5,12 @@ from __future__ import annotations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voltrail.catalog import ORACLES, QUERIES
-from voltrail.operators import curves
+from voltrail.functions.storage import stored
+from voltrail.operators import curves, retrieval
+from voltrail.plans import retrieval_plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +48,34 @@ def test_life_that_begins_with_nothing(spark):
     assert got == {"a": [0.0, *(5.0 + i for i in range(2, 13))], "b": [float(i) for i in range(1, 13)]}
     pairs = spark.createDataFrame([("a", "b")], "a string, b string")
     assert curves.life_distances(pairs, lives).first()["rmse"] > 0
+
+
+def test_numbers_of_pairs_are_those_on_columns(spark):
+    """Gaps, constants, NaN, what one side lacks, and lists that are unknown throughout give what the operators on columns give; pairs are not computed row by row in Spark."""
+    rng = np.random.default_rng(6)
+    n, length = 40, retrieval_plans.L
+    some = lambda size, gaps=0.2: [None if x < gaps else float(v) for x, v in zip(rng.random(size), rng.normal(1, 0.3, size))]
+    rows = []
+    for i in range(n):
+        seq = [*some(length - 1), 1.0]
+        if i % 9 == 0:
+            seq = [1.0] * length
+        q = [None] * length if i % 11 == 0 else [float("nan")] * 3 + some(length - 3) if i % 13 == 0 else some(length)
+        text = lambda names: None if rng.random() < 0.1 else str(rng.choice(names))
+        rows.append((i, f"c{i}", seq, [1.0, None if i % 3 else 0.1, None if i % 2 else 0.2], text(["mid", "end"]), text(["LFP", "unknown"]), [*some(3, 0.4), 1.0], q, (rng.random(18) < 0.8).tolist(), some(length, 0.9), some(length), text(["hust", "mit"])))
+    schema = "case_id long, cell_uid string, soh_seq array<double>, state array<double>, stage string, chemistry_family string, curve_stats array<double>, q_curve array<double>, masks array<boolean>, temp_mean_seq array<double>, current_mean_seq array<double>, source_dataset string"
+    cases = stored(spark.createDataFrame(rows, schema), "cases")
+    pairs = spark.createDataFrame([(a, b) for a in range(n) for b in range(n) if a != b], "query long, ref long")
+    got = retrieval_plans.with_components(cases, pairs)
+    assert "zip_with" not in got._jdf.queryExecution().executedPlan().toString()
+    both = retrieval_plans.found_sides(cases, pairs, retrieval_plans.NEEDED)
+    both = retrieval_plans.changes(both).withColumns({f"{p}_stress": F.col(f"{p}_curve_stats") for p in "qr"})
+    want = both.withColumns({
+        "d_soh_state": retrieval.soh_state_distance(length), "d_qv_shape": retrieval.qv_distance(retrieval_plans.CURVES), "d_physics": retrieval.physics_distance(),
+        "d_metadata": retrieval.metadata_distance([("chemistry", 1.0), ("dataset", 0.5)], [("temp", 0.25), ("amps", 0.25)]), "available": retrieval.availability(),
+    }).withColumn("distance", retrieval.composite(retrieval_plans.WEIGHTS))
+    names = ["query", "ref", *retrieval_plans.NUMBERS]
+    got, want = (x.select(names).toPandas().sort_values(["query", "ref"]).to_numpy(float) for x in (got, want))
+    assert got.shape == (n * (n - 1), len(names)) and np.isnan(got).any()
+    for c, name in enumerate(names):
+        assert np.allclose(got[:, c], want[:, c], rtol=1e-9, atol=1e-7, equal_nan=True), (name, [(a[:2], a[c], b[c]) for a, b in zip(got, want) if not np.isclose(a[c], b[c], equal_nan=True)][:6])

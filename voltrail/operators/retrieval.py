@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -231,51 +232,71 @@ def servable(found: DataFrame, m: int) -> DataFrame:
     return found.select("query", F.posexplode(F.slice(may, 1, m)).alias("_at", "_f")).select("query", "_f.ref", "_f.score", (F.col("_at") + 1).alias("rank"))
 
 
-#: Pairs, and queries among them, that a task holds while the cases stream by.
+#: Pairs, and queries among them, that a task holds; four times as many while the cases stream by, as each time reads all of them.
 PAIRS, ASKED = 500_000, 8192
 
 
-def with_sides(pairs: DataFrame, cases: DataFrame, key: str = "id", files: Sequence[str] | None = None) -> DataFrame:
+class Made(NamedTuple):
+    """Numbers of pairs that the task that finds their sides makes in place of these: what is prepared of some cases (columns as a table), the numbers
+    of pairs of prepared cases (places in both), and their names."""
+
+    prepare: Callable[[pa.Table], object]
+    compare: Callable[[object, np.ndarray, object, np.ndarray], Sequence[np.ndarray]]
+    names: Sequence[str]
+
+
+def with_sides(pairs: DataFrame, cases: DataFrame, key: str = "id", files: Sequence[str] | None = None, made: Made | None = None, kept: Sequence[str] | None = None) -> DataFrame:
     """pairs (query, ref and other numbers) with the columns of their two cases, as q_… and r_…; cases: a key (long, unique) and columns.
 
     The cases are stored once, in any order; if they are already, in files that have these columns, nothing is stored. A task holds some of its pairs, looks up their queries and lets the cases stream by, so that neither pairs nor
-    what they carry are shuffled. Pairs should come query by query, as a search gives them.
+    what they carry are shuffled. Pairs should come query by query, as a search gives them. Of the sides' columns only those kept come out, if they are named, and numbers made of both sides come after them.
     """
-    names = [c for c in cases.columns if c != key]
+    names, types = [c for c in cases.columns if c != key], dict(cases.dtypes)
+    kept = [f"{p}_{c}" for p in "qr" for c in names] if kept is None else list(kept)
     files = sorted(files or stored(cases.withColumn(key, F.col(key).cast("long")), "sides").inputFiles())
-    schema = ", ".join([f"`{c}` {t}" for c, t in pairs.dtypes] + [f"`{p}_{c}` {t}" for p in "qr" for c, t in cases.dtypes if c != key])
+    schema = ", ".join([f"`{c}` {t}" for c, t in pairs.dtypes] + [f"`{c}` {types[c[2:]]}" for c in kept] + [f"`{c}` double" for c in (made.names if made else ())])
+    own = {p: [c[2:] for c in kept if c[0] == p] for p in "qr"}
 
     def told(held: pa.Table) -> Iterator[pa.RecordBatch]:
         query, ref = held.column("query").to_numpy(), held.column("ref").to_numpy()
         asked, order = np.unique(query), np.argsort(ref, kind="stable")
         sought, parts = ref[order], []
         for batch in streamed(files, [key, *names], 4096):
-            own = np.isin(batch.column(key).to_numpy(), asked)
-            if own.any():
-                parts.append(batch.filter(pa.array(own)))
+            some = np.isin(batch.column(key).to_numpy(), asked)
+            if some.any():
+                parts.append(batch.filter(pa.array(some)))
         if not parts:
             return
         left = pa.Table.from_batches(parts).combine_chunks().sort_by(key)
         known = left.column(key).to_numpy()
+        queries = made.prepare(left) if made else None
         for batch in streamed(files, [key, *names], 4096):
             low, high = (np.searchsorted(sought, batch.column(key).to_numpy(), side) for side in ("left", "right"))
+            some = np.flatnonzero(high > low)
+            if not len(some):
+                continue
+            right, low, high = pa.Table.from_batches([batch]).take(some), low[some], high[some]
             found, upto = high - low, np.cumsum(high - low)
+            refs = made.prepare(right) if made else None
             for start in range(0, int(upto[-1]), 4096):
                 n = np.arange(start, min(start + 4096, int(upto[-1])))  # of the batch's pairs
                 j = np.searchsorted(upto, n, "right")
                 at = order[low[j] + n - (upto[j] - found[j])]
                 i = np.searchsorted(known, query[at]).clip(max=len(known) - 1)
                 both = known[i] == query[at]
-                rows = [held.take(at[both]), left.select(names).take(i[both]), pa.Table.from_batches([batch]).select(names).take(j[both])]
-                columns = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for t in rows for c in t.columns]
-                yield pa.RecordBatch.from_arrays(columns, [*held.column_names, *(f"{p}_{c}" for p in "qr" for c in names)])
+                at, i, j = at[both], i[both], j[both]
+                sides = {"q": left.select(own["q"]).take(i), "r": right.select(own["r"]).take(j)}
+                columns = [*held.take(at).columns, *(sides[c[0]].column(c[2:]) for c in kept)]
+                arrays = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in columns]
+                numbers = [pa.array(x) for x in made.compare(queries, i, refs, j)] if made else []
+                yield pa.RecordBatch.from_arrays([*arrays, *numbers], [*held.column_names, *kept, *(made.names if made else ())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, queries = [], 0, 0
         for batch in batches:
             held.append(batch)
             n, queries = n + batch.num_rows, queries + len(np.unique(batch.column("query").to_numpy()))
-            if n >= PAIRS or queries >= ASKED:
+            if n >= 4 * PAIRS or queries >= 4 * ASKED:
                 yield from told(pa.Table.from_batches(held).combine_chunks())
                 held, n, queries = [], 0, 0
         if n:

@@ -9,7 +9,7 @@ from voltrail.functions.columns import r6, sigmoid
 from voltrail.functions.ranks import numbered
 from voltrail.operators import retrieval as op
 from voltrail.plans.registry import query
-from voltrail.plans.retrieval_plans import NEEDED, PAIRS_SQL, RESULTS_SQL, TOLD, chosen, coarse, components, components_sql, found_sides, pairs_of, query_rows, results_of, with_components
+from voltrail.plans.retrieval_plans import PAIRS_SQL, RESULTS_SQL, TOLD, chosen, coarse, components_sql, found_sides, pairs_of, query_rows, results_of, with_components
 from voltrail.plans.window_plans import CASES_SQL, H, L, cases_of
 from voltrail.functions.storage import stored
 
@@ -129,7 +129,7 @@ def random_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = refs.agg(F.count("*").alias("n"))  # one row
     asked = query_rows(df).select(F.col("case_id").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")).crossJoin(F.broadcast(n))
     pairs = asked.withColumn("place", (F.col("query") * 7919 + F.col("j")) % F.col("n")).join(refs, "place").select("query", "ref")
-    drawn = components(found_sides(df, pairs.repartition("query"), [*NEEDED, "future"])).select(F.lit("random").alias("how"), "query", "distance", F.lit(0.2).alias("alpha"), "r_future", "q_future")
+    drawn = with_components(df, pairs.repartition("query"), ("r_future", "q_future")).select(F.lit("random").alias("how"), "query", "distance", F.lit(0.2).alias("alpha"), "r_future", "q_future")
     both = stored(drawn.unionByName(real), "drawn")
     long = both.select("how", "query", "alpha", F.posexplode(F.arrays_zip("r_future", "q_future")).alias("i", "z"))
     mean = long.groupBy("how", "query", "i").agg((F.sum(F.col("alpha") * F.col("z.r_future")) / F.sum("alpha")).alias("p"), F.first("z.q_future").alias("y"))
@@ -174,7 +174,7 @@ one AS (SELECT *, row_number() OVER (PARTITION BY query, r_cell ORDER BY d, ref)
 SELECT query, ref, rank, round(d, 6) AS distance, round(distance, 6) AS base_distance FROM k WHERE rank <= 5""")
 def curve_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dataset's queries order their candidates by the distance blended with that of the curves."""
-    pairs = pairs_of(spark, sf_dir, ()).select(*TOLD, "q_dataset", "r_stage", "r_cell").withColumns({"cell": F.col("r_cell"), "d": F.when(F.col("r_stage") != "end", F.col("d_qv_shape"))})
+    pairs = pairs_of(spark, sf_dir, ("q_dataset", "r_stage", "r_cell")).select(*TOLD, "q_dataset", "r_stage", "r_cell").withColumns({"cell": F.col("r_cell"), "d": F.when(F.col("r_stage") != "end", F.col("d_qv_shape"))})
     out = op.capped_topk(op.blended_rerank(pairs, F.col("q_dataset") == "hust", extra="d"), 5, per="cell", cap=2)
     return out.select("query", "ref", "rank", r6("distance", "distance"), r6("base_distance", "base_distance"))
 
