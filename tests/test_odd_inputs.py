@@ -79,3 +79,24 @@ def test_numbers_of_pairs_are_those_on_columns(spark):
     assert got.shape == (n * (n - 1), len(names)) and np.isnan(got).any()
     for c, name in enumerate(names):
         assert np.allclose(got[:, c], want[:, c], rtol=1e-9, atol=1e-7, equal_nan=True), (name, [(a[:2], a[c], b[c]) for a, b in zip(got, want) if not np.isclose(a[c], b[c], equal_nan=True)][:6])
+
+
+@pytest.mark.parametrize("shape", [(5, 8), (7, 5), (0, 8), (3, 0), (64, 256)])
+def test_places_of_hits(shape):
+    for share in (0, 0.02, 1):
+        hits = np.random.default_rng(1).random(shape) < share
+        assert retrieval._places(hits).tolist() == np.flatnonzero(hits).tolist()
+
+
+def test_embedding_is_that_on_columns(spark, far):
+    """To the last bit, with gaps and sequences that are unknown throughout; cases are not embedded row by row in Spark."""
+    folder, _ = far
+    raw = retrieval_plans.raw_cases(spark, folder)
+    power = F.when(F.col("window_start") % 3 != 0, F.col("power_seq")).otherwise(F.array_repeat(F.lit(None).cast("double"), retrieval_plans.L))
+    raw = stored(raw.withColumn("power_seq", power).select("case_id", "state", "soh_seq", "curve_stats", "stress", "temp_mean_seq", "current_mean_seq", "power_seq"), "raw")
+    others = [F.transform("current_mean_seq", F.abs), F.col("temp_mean_seq"), F.col("power_seq"), F.concat(F.array(F.lit(0.0)), retrieval.differences(F.col("soh_seq")))]
+    want = raw.select("case_id", retrieval.stage1_embedding(F.col("state"), F.col("soh_seq"), F.col("curve_stats"), F.col("stress"), others).alias("embedding"))
+    got = retrieval_plans.with_embedding(raw)
+    assert set(got.columns) == {*raw.columns, "embedding"} - {"stress", "power_seq"}
+    got, want = ({r["case_id"]: r["embedding"] for r in x.collect()} for x in (got, want))
+    assert len(got) > 100 and got == want and all(len(v) == retrieval_plans.WIDTH for v in got.values())

@@ -1,4 +1,4 @@
-"""Distances of pairs of cases in numpy, as ``operators.retrieval`` has them on columns: rows are cases or pairs, columns the elements of their sequences."""
+"""Embeddings of cases and distances of pairs in numpy, as ``operators.retrieval`` has them on columns: rows are cases or pairs, columns the elements of their sequences."""
 
 from __future__ import annotations
 
@@ -97,3 +97,34 @@ def differ(q: pa.Array, r: pa.Array) -> np.ndarray:
 def composite(parts: Sequence[tuple[np.ndarray, float]]) -> np.ndarray:
     """Weighted mean of components that are all known."""
     return sum(w * x for x, w in parts if w > 0) / sum(w for _, w in parts if w > 0)
+
+
+def _sum(x: np.ndarray) -> np.ndarray:
+    """Of each row, element by element, as a fold over an array adds them."""
+    out = np.zeros(len(x))
+    for c in x.T:
+        out += c
+    return out
+
+
+def resampled(s: Known, points: int) -> np.ndarray:
+    """Linear interpolation of sequences of one length at so many equal steps; unknown elements are 0."""
+    last = s.x.shape[1] - 1
+    place = np.arange(points) * last / max(points - 1, 1) if points > 1 else np.zeros(1)
+    low = np.floor(place).astype(int)
+    return s.x[:, low] + (place - low) * (s.x[:, np.minimum(low + 1, last)] - s.x[:, low])
+
+
+def summary(s: Known) -> np.ndarray:
+    """Mean, population deviation and last of the known elements, zeros if there are none."""
+    n = s.known.sum(axis=1)
+    mean = _sum(s.x) / np.maximum(n, 1)
+    apart = np.where(s.known, s.x - mean[:, None], 0.0)
+    last = s.x[np.arange(len(n)), s.known.shape[1] - 1 - np.argmax(s.known[:, ::-1], axis=1)]
+    return np.where(n[:, None] > 0, np.column_stack([mean, np.sqrt(_sum(apart * apart) / np.maximum(n, 1)), last]), 0.0)
+
+
+def stage1_embedding(state: Known, history: Known, curve_stats: Known, stress: Known, others: Sequence[Known], points: int = 16) -> np.ndarray:
+    """State, the resampled history less its last value, curve statistics, stress features, and summaries of sequences."""
+    end = Known(np.repeat(history.x[:, -1:], history.x.shape[1], axis=1), np.repeat(history.known[:, -1:], history.x.shape[1], axis=1))
+    return np.column_stack([state.x, resampled(history.less(end), points), curve_stats.x, stress.x, *map(summary, others)])
